@@ -236,7 +236,7 @@ def _graph_sql(node, names):
         return names[node]
     op, params, parents = node
     texts = dict(zip("xy", [_graph_sql(p, names) for p in parents]))
-    return REGISTRY[op].sql.format(**texts, **{k: _lit(v) for k, v in params.items()})
+    return REGISTRY[op].sql.format(**texts, **{k: _lit(v) for k, v in (REGISTRY[op].defaults | params).items()})
 
 
 def sql(c: Candidate, names: list[str]) -> str:

@@ -44,3 +44,16 @@ def spread(df: DataFrame, small_bytes_per_core: int = 32 << 20) -> DataFrame:
     if size is not None and size < small_bytes_per_core * cores:
         return df.repartition(cores)
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per session (a no-op where it was submitted with the job)."""
+    import os
+    import shutil
+
+    if spark.conf.get("gramlaw.shipped", None):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-gramlaw-zip-"), "gramlaw"), "zip", os.path.dirname(here), "gramlaw")
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("gramlaw.shipped", "true")
