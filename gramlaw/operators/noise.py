@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VARIANCE_FLOOR = 1e-12  # fixed value
@@ -47,34 +47,45 @@ def _whitener(sigma: np.ndarray) -> np.ndarray:
         return (vectors * np.sqrt(np.clip(values, 0.0, None))) @ vectors.T
 
 
-def whiten_blocks(df: DataFrame, block: str, pos: str, cols: list[str], sigma: DataFrame, max_block: int = 4096) -> DataFrame:
+def whiten_blocks(df: DataFrame, block: str, pos: str, cols: list[str], sigma: DataFrame, max_block: int = 1024) -> DataFrame:
     """Whiten jointly within blocks. ``sigma`` has columns (block, i, j, v) with positions matching ``pos``.
 
-    A block's covariance is dense, so its size must be bounded by the model; larger blocks raise instead of pulling an
-    unbounded group into one task.
+    A block's covariance is dense, so its size must be bounded by the model; a larger block raises instead of pulling an
+    unbounded group into one task. Each block becomes one row of arrays, and Arrow batches carry many blocks at a time.
     """
     size = df.groupBy(block).count().agg(F.max("count")).first()[0] or 0
     if size > max_block:
         raise ValueError(f"block of {size} rows exceeds {max_block}; use the AR(1) or sparse form")
-    fields = ", ".join(f"white_{c} double" for c in cols)
-    kind = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"{block} {kind[block]}, {pos} {kind[pos]}, {fields}"
-
-    def run(rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(pos)
-        at = {p: k for k, p in enumerate(rows[pos])}
-        S = np.zeros((len(rows), len(rows)))
-        for i, j, v in zip(entries["i"], entries["j"], entries["v"]):
-            if i in at and j in at:
-                S[at[i], at[j]] = v
-        out = rows[[block, pos]].copy()
-        white = _whitener(S) @ rows[cols].to_numpy(float)
-        for k, c in enumerate(cols):
-            out[f"white_{c}"] = white[:, k]
-        return out
-
-    left = df.select(block, pos, *cols).groupBy(block)
-    return left.cogroup(sigma.groupBy(block)).applyInPandas(run, schema)
+    kind = dict(df.dtypes)
+    rows = df.groupBy(block).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("pos"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x")))).alias("rows")
+    )
+    entries = sigma.groupBy(block).agg(F.collect_list(F.struct("i", "j", "v")).alias("entries"))
+    flat = rows.join(entries, block, "left").select(
+        block,
+        F.col("rows.pos").alias("pos"),
+        F.flatten("rows.x").alias("x"),
+        *[F.coalesce(F.col(f"entries.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("i", "long"), ("j", "long"), ("v", "double"))],
+    )
+    width = len(cols)
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for p, x, i, j, v in zip(pdf["pos"], pdf["x"], pdf["i"], pdf["j"], pdf["v"]):
+                at = {int(q): k for k, q in enumerate(p)}
+                S = np.zeros((len(p), len(p)))
+                for a, b, value in zip(i, j, v):
+                    if int(a) in at and int(b) in at:
+                        S[at[int(a)], at[int(b)]] = value
+                out.append((_whitener(S) @ np.asarray(x).reshape(-1, width)).ravel().tolist())
+            yield pd.DataFrame({block: pdf[block], "pos": pdf["pos"], "white": out})
+
+    white = flat.mapInPandas(run, f"`{block}` {kind[block]}, pos array<bigint>, white array<double>")
+    exploded = white.select(block, F.posexplode("pos").alias("k", pos), "white")
+    return exploded.select(
+        block, F.col(pos).cast(kind[pos]).alias(pos), *[F.element_at("white", F.col("k") * width + q + 1).alias(f"white_{c}") for q, c in enumerate(cols)]
+    )
 
 
 def sparse_chi2(residuals: DataFrame, key: str, r: str, precision: DataFrame) -> DataFrame:
