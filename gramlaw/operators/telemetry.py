@@ -274,6 +274,30 @@ def regime_label() -> Column:
     )
 
 
+def regime_of_proposal() -> Column:
+    """Same label as ``regime_label`` after ``with_shield``, written over the proposal and the sensor values.
+
+    The shield turns ORANGE and RED into brake whatever was proposed, so only GREEN and YELLOW need their actions spelt
+    out. A filter on the label is pushed down to the scan with the whole expression in it; the long form repeats the
+    level in every branch and outgrows generated code, this one does not.
+    """
+    pred, slope, temp, q = F.col("pred_temp"), F.col("temp_slope"), F.col("temp"), shield_queue_ratio()
+    drops = F.col("packets_dropped")
+    severe = (temp >= 84.0) | (pred >= ORANGE_AT) | (slope >= 3.0) | (drops >= 800.0)
+    yellow = (temp >= 72.0) | (pred >= YELLOW_AT) | (slope >= 1.75) | (q >= 1.10)
+    t = F.col("p_throttle") | (yellow & ((q > 1.05) | (pred > 78.0)))
+    b = F.col("p_boost") | yellow
+    r = F.col("p_reduce_clock") | (yellow & ((pred > 80.0) | (slope > 2.2)))
+    calm = (temp < 60.0) & (pred < 68.0) & (F.col("queue_ratio") < 0.95)
+    return (
+        F.when(severe | (t & b & r), "brake")
+        .when(r & b, "thermal_caution")
+        .when(t & ~r, "congestion_caution")
+        .when(~t & ~b & ~r & calm, "relaxed")
+        .otherwise("efficiency")
+    )
+
+
 def reward() -> Column:
     return F.col("last_processed") / 150.0 - F.least(F.lit(1.0), F.col("packets_dropped") / DROP_LIMIT) * 0.08
 
@@ -282,7 +306,7 @@ def label(df: DataFrame, policy: str | Callable = "turbo", topology: Topology =
     """Sensor records to fully labelled records: features, proposal, shield, regime, reward. Row-local."""
     out = with_features(df, topology.ambient, topology.capacity_scale, topology.drop_limit)
     out = with_shield(with_policy(out, policy))
-    return out.withColumns({"regime": regime_label(), "reward_like": reward()})
+    return out.withColumns({"regime": regime_of_proposal(), "reward_like": reward()})
 
 
 def scenario_matrix(
@@ -310,5 +334,5 @@ def scenario_matrix(
     wide = with_shield(with_policy(wide, policy))
     fmap = F.map_filter(feature_map(), lambda k, _: ~F.array_contains(F.col("removed"), k))
     return wide.withColumns(
-        {"regime": regime_label(), "reward_like": reward(), "feature_map": fmap, "mode": F.lit(policy)}
+        {"regime": regime_of_proposal(), "reward_like": reward(), "feature_map": fmap, "mode": F.lit(policy)}
     ).drop("removed", "ambient", "capacity_scale", "drop_limit")

@@ -21,7 +21,7 @@ from gramlaw.operators.distill import (
     with_template,
 )
 from gramlaw.operators.splits import positional_split
-from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES, Topology, label, level_counts, scenario_matrix, with_features, with_policy
+from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES, Topology, label, level_counts, regime_label, scenario_matrix, with_features, with_policy
 from gramlaw.queries.common import TELEMETRY_SQL, label_sql, labelled, query, rnd, rounded, table, telemetry
 from gramlaw.session import materialise, shared_path
 from gramlaw.sources.tables import fingerprint, read_records, reuse_or_build, telemetry_records, write_records
@@ -77,6 +77,13 @@ def _(spark, sf):
     return labelled(spark, sf).select("record_id", "regime", rnd("reward_like").alias("reward_like"))
 
 
+@query("regimes_recorded", f"{LAB} SELECT record_id, regime FROM lab")
+def _(spark, sf):
+    """Regime label from the recorded level, override and action alone."""
+    out = labelled(spark, sf)
+    return out.select("record_id", regime_label().alias("regime"))
+
+
 @query("regimes_stock", f"WITH {TELEMETRY_SQL}, {label_sql('stock')} SELECT regime, shield_level, count(*) AS n FROM lab GROUP BY regime, shield_level")
 def _(spark, sf):
     return labelled(spark, sf, "stock").groupBy("regime", "shield_level").agg(F.count("*").alias("n"))
