@@ -1,7 +1,7 @@
 """Stability of the operator set under subsampling, run on the executors from leaf moments.
 
 Rows fall into hash buckets; a bag leaves some buckets out, so its moments are sums of leaf moments and no row is read
-again. Each task sums the leaves of its (fold, bag) pairs as a stream and repeats the selection there.
+again. Each task adds up its (fold, bag) pairs as a stream and repeats the selection there.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramlaw.operators.gram import PARTIAL_SCHEMA, affine, block_rows, sum_partials
+from gramlaw.operators.gram import PARTIAL_SCHEMA, affine, block_rows, record, salted_sum
 from gramlaw.operators.select import greedy_operators
 from gramlaw.plans.options import Options
 
@@ -30,30 +30,52 @@ def bag_buckets(opt: Options) -> list[list[int]]:
     return out
 
 
+def bag_sums(partials: DataFrame, opt: Options, groups: int, fan_in: int) -> DataFrame:
+    """From partial moments with leaf = fold·buckets + bucket to sums with leaf = fold·(boots + 1) + slot.
+
+    Slot 0 adds all buckets of a fold, slot b + 1 those of bag b. One reducer sees all buckets of a block, so the bags
+    are formed while adding and bucket sums never leave it.
+    """
+    B, slots = opt.bag_buckets, opt.bag_boots + 1
+    slots_of = {q: [0, *(b + 1 for b, kept in enumerate(bag_buckets(opt)) if q in kept)] for q in range(B)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[tuple, list] = {}
+        for batch in batches:
+            cols = batch.to_pydict()
+            for leaf, kind, block, n, data in zip(*(cols[c] for c in ("leaf", "kind", "block", "n", "data"))):
+                fold, bucket = divmod(leaf, B)
+                part = np.frombuffer(data)
+                for slot in slots_of[bucket]:
+                    key = (fold * slots + slot, kind, block)
+                    if key in acc:
+                        acc[key][0] += part
+                        acc[key][1] += n
+                    else:
+                        acc[key] = [part.copy(), n]
+        for (leaf, kind, block), (data, n) in acc.items():
+            yield record([(leaf, kind, block, n, data.tobytes())])
+
+    first = salted_sum(partials, groups, fan_in).withColumn("fold", F.floor(F.col("leaf") / B))
+    return first.repartition(groups, "fold", "kind", "block").drop("fold").mapInArrow(run, PARTIAL_SCHEMA)
+
+
 def bag_picks(
-    leaves: DataFrame, kind: int, p: int, targets: int, scales: dict[int, tuple], limits: dict[tuple[int, int], int], opt: Options
+    sums: DataFrame, kind: int, p: int, targets: int, scales: dict[int, tuple], limits: dict[tuple[int, int], int], opt: Options
 ) -> DataFrame:
     """Picks of every bag: rows (fold, target, bag, idx).
 
-    ``leaves`` holds summed moments with leaf = fold·buckets + bucket. ``scales`` gives each fold's column shift,
-    scale and live mask in working units, ``limits`` how many operators a (fold, target) may pick.
+    ``sums`` comes from ``bag_sums``. ``scales`` gives each fold's column shift, scale and live mask in working units,
+    ``limits`` how many operators a (fold, target) may pick. A training bag of fold k adds that bag over the other folds.
     """
-    B, boots, folds = opt.bag_buckets, opt.bag_boots, sorted(scales)
-    members = bag_buckets(opt)
-    bags_of = F.array(*[F.array(*[F.lit(b) for b in range(boots) if q in members[b]]).cast("array<int>") for q in range(B)])
+    boots, folds = opt.bag_boots, sorted(scales)
+    slots = boots + 1
     others = F.array(*[F.array(*[F.lit(k) for k in folds if k != f or len(folds) == 1]).cast("array<int>") for f in folds])
     position = F.create_map(*[F.lit(v) for f in folds for v in (f, folds.index(f))])
-    per_bag = (
-        leaves.where(F.col("kind") == kind)
-        .withColumn("bag", F.explode(F.element_at(bags_of, F.pmod("leaf", F.lit(B)).cast("int") + 1)))
-        .withColumn("leaf", (F.floor(F.col("leaf") / B) * boots + F.col("bag")).cast("int"))
-        .select("leaf", "kind", "block", "n", "data")
-    )
-    per_bag = sum_partials(per_bag, groups=max(8, len(folds) * boots))
     spread = (
-        per_bag.withColumn("f", F.floor(F.col("leaf") / boots).cast("int"))
-        .withColumn("k", F.explode(F.element_at(others, F.element_at(position, F.col("f")) + 1)))
-        .withColumn("leaf", (F.col("k") * boots + F.pmod("leaf", F.lit(boots))).cast("int"))
+        sums.where((F.col("kind") == kind) & (F.col("leaf") % slots > 0))
+        .withColumn("k", F.explode(F.element_at(others, F.element_at(position, F.floor(F.col("leaf") / slots).cast("int")) + 1)))
+        .withColumn("leaf", (F.col("k") * boots + F.col("leaf") % slots - 1).cast("int"))
         .select("leaf", "kind", "block", "n", "data")
         .repartition(max(8, len(folds) * boots), "leaf")
     )
@@ -91,5 +113,3 @@ def bag_picks(
 
     return spread.mapInArrow(run, PICK_SCHEMA)
 
-
-__all__ = ["PARTIAL_SCHEMA", "bag_buckets", "bag_picks"]

@@ -107,9 +107,15 @@ def _one_array(c: Candidate, X: np.ndarray, memo: dict) -> np.ndarray:
     raise ValueError(f"unknown candidate kind {c.kind}")
 
 
-def evaluate(cands: list[Candidate], X: np.ndarray) -> np.ndarray:
-    """All candidates on one batch; atoms are applied to whole blocks of inputs or projections at a time."""
-    out = np.empty((X.shape[0], len(cands)))
+def evaluate(cands: list[Candidate], X: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """All candidates on one batch, as rows × candidates.
+
+    Atoms are applied to whole blocks of inputs or projections at a time. Values are laid out candidate by candidate
+    (``out`` is candidates × rows), so that every block is written in one piece.
+    """
+    XT = np.ascontiguousarray(X.T)
+    X = XT.T
+    out = np.empty((len(cands), X.shape[0])) if out is None else out
     by_atom: dict[str, list[int]] = {}
     by_proj: dict[str, list[int]] = {}
     memo: dict = {}
@@ -120,18 +126,18 @@ def evaluate(cands: list[Candidate], X: np.ndarray) -> np.ndarray:
             elif c.kind == "hsml_unary":
                 by_proj.setdefault(c.args["f"], []).append(pos)
             else:
-                out[:, pos] = finite_array(_one_array(c, X, memo))
+                out[pos] = finite_array(_one_array(c, X, memo))
         for fname, where in by_atom.items():
-            out[:, where] = apply_atom_array(fname, X[:, [cands[p].args["i"] for p in where]])
+            out[where] = apply_atom_array(fname, XT[[cands[p].args["i"] for p in where]])
         if by_proj:
             vectors = {}
             for where in by_proj.values():
                 for p in where:
                     vectors.setdefault(tuple(cands[p].args["w"]), len(vectors))
-            Z = X @ np.array(list(vectors)).T
+            Z = np.array(list(vectors)) @ XT
             for fname, where in by_proj.items():
-                out[:, where] = apply_atom_array(fname, Z[:, [vectors[tuple(cands[p].args["w"])] for p in where]])
-    return out
+                out[where] = apply_atom_array(fname, Z[[vectors[tuple(cands[p].args["w"])] for p in where]])
+    return out.T
 
 
 # --------------------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramlaw.operators.ranks import first_rows
-from gramlaw.operators.telemetry import BITS, REGIMES
+from gramlaw.operators.telemetry import REGIMES
 from gramlaw.session import materialise
 
 
@@ -128,7 +128,7 @@ def mine(df: DataFrame, order: str = "record_id", top_frac: float = 0.2, stage:
     n, hard = scored.agg(F.count("*"), F.count_if(F.col("hard_score") > 0)).first()
     k = min(max(1, int(n * top_frac)), hard)
     positive = F.col("hard_score") > 0
-    chosen = positive & first_rows(scored.where(positive), [-F.col("hard_score"), F.col(order)], k) if k else F.lit(False)
+    chosen = positive & first_rows(scored.where(positive), [-F.col("hard_score"), F.col(order)], [k])[0] if k else F.lit(False)
     return scored.withColumn("chosen", chosen)
 
 

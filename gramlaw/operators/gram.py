@@ -170,7 +170,7 @@ def unpack(rows, P: int) -> dict[tuple[int, int], tuple[np.ndarray, int]]:
     return {k: (M, n) for k, (M, n) in out.items()}
 
 
-def _record(rows: list[tuple]) -> pa.RecordBatch:
+def record(rows: list[tuple]) -> pa.RecordBatch:
     leaf, kind, block, n, data = zip(*rows)
     return pa.RecordBatch.from_arrays(
         [pa.array(leaf, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())],
@@ -186,20 +186,23 @@ def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale:
         counts: dict[int, int] = {}
         P = 1 + len(centre)
 
+        shift, factor = centre[:, None], (1.0 / scale)[:, None]
+
         def standard(X, Y):
-            U = np.empty((X.shape[0], P))
-            U[:, 0] = 1.0
-            U[:, 1 : 1 + len(cands)] = evaluate(cands, X)
-            U[:, 1 + len(cands) :] = Y
-            U[:, 1:] -= centre
-            U[:, 1:] /= scale
+            """Columns as rows of U, shifted and scaled."""
+            U = np.empty((P, X.shape[0]))
+            U[0] = 1.0
+            evaluate(cands, X, U[1 : 1 + len(cands)])
+            U[1 + len(cands) :] = Y.T
+            U[1:] -= shift
+            U[1:] *= factor
             return U
 
         def add(key, U):
             if key in acc:
-                acc[key] += U.T @ U
+                acc[key] += U @ U.T
             else:
-                acc[key] = U.T @ U
+                acc[key] = U @ U.T
 
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_PER_STEP):
@@ -208,20 +211,20 @@ def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale:
                 V = None
                 if layout["lagged"]:
                     prev = standard(_matrix(batch, layout["px"], layout["d"]), _matrix(batch, layout["py"], 0))
-                    phi, gain = _matrix(batch, ["phi"], 1), _matrix(batch, ["gain"], 1)
+                    phi, gain = _matrix(batch, ["phi"], 1).T, _matrix(batch, ["gain"], 1).T
                     V = gain * (U - np.where(phi == 0.0, 0.0, phi * np.nan_to_num(prev)))
                 elif layout["weight"]:
-                    V = U * np.sqrt(_matrix(batch, ["w"], 1))
+                    V = U * np.sqrt(_matrix(batch, ["w"], 1)).T
                 leaf = batch.column("leaf").to_numpy(zero_copy_only=False)
                 for k in np.unique(leaf):
                     rows = leaf == k
                     k = int(k)
                     counts[k] = counts.get(k, 0) + int(rows.sum())
-                    add((k, PLAIN), U[rows])
+                    add((k, PLAIN), U[:, rows])
                     if V is not None:
-                        add((k, WEIGHTED), V[rows])
+                        add((k, WEIGHTED), V[:, rows])
         for item in pack(acc, counts, P):
-            yield _record([item])
+            yield record([item])
 
     return run
 
@@ -239,7 +242,7 @@ def _stream_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if leaf == SAMPLE:
                 samples += 1
                 if samples <= SAMPLE_PIECES:
-                    yield _record([(leaf, kind, block, n, data)])
+                    yield record([(leaf, kind, block, n, data)])
                 continue
             part = np.frombuffer(data)
             if (leaf, kind, block) in acc:
@@ -248,27 +251,43 @@ def _stream_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 acc[leaf, kind, block] = [part.copy(), n]
     for (leaf, kind, block), (data, n) in acc.items():
-        yield _record([(leaf, kind, block, n, data.tobytes())])
+        yield record([(leaf, kind, block, n, data.tobytes())])
 
 
 def sum_partials(partials: DataFrame, groups: int, fan_in: int = 1) -> DataFrame:
     """Add partial blocks per (leaf, kind, block). ``fan_in`` > 1 first sums within salted subgroups, so that with
     many thousands of map tasks no single reducer has to stream all their partials."""
     keys = ["leaf", "kind", "block"]
-    if fan_in > 1:
-        salted = partials.withColumn("salt", F.spark_partition_id() % fan_in)
-        partials = salted.repartition(groups * fan_in, *keys, "salt").drop("salt").mapInArrow(_stream_sum, PARTIAL_SCHEMA)
-    return partials.repartition(groups, *keys).mapInArrow(_stream_sum, PARTIAL_SCHEMA)
+    return salted_sum(partials, groups, fan_in).repartition(groups, *keys).mapInArrow(_stream_sum, PARTIAL_SCHEMA)
+
+
+def salted_sum(partials: DataFrame, groups: int, fan_in: int) -> DataFrame:
+    """First level of a two-level sum; with one subgroup the partial sums are passed on as they are."""
+    if fan_in <= 1:
+        return partials
+    salted = partials.withColumn("salt", F.spark_partition_id() % fan_in)
+    keys = ["leaf", "kind", "block", "salt"]
+    return salted.repartition(groups * fan_in, *keys).drop("salt").mapInArrow(_stream_sum, PARTIAL_SCHEMA)
 
 
-def leaf_partials(
+def partial_moments(
     design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, max_tasks: int = 20000
 ) -> DataFrame:
-    """Summed Gram blocks per leaf, still distributed."""
+    """Packed sums of every task, not yet added up. ``max_tasks`` bounds how many partial sums are shuffled."""
     narrow = spread(_narrow(design)).coalesce(max_tasks)
-    partials = narrow.mapInArrow(_accumulate(_layout(design), cands, centre, scale), PARTIAL_SCHEMA)
-    cores = design.df.sparkSession.sparkContext.defaultParallelism
-    return sum_partials(partials, groups=max(cores, 8), fan_in=1 if cores <= 64 else 16)
+    return narrow.mapInArrow(_accumulate(_layout(design), cands, centre, scale), PARTIAL_SCHEMA)
+
+
+def fan_in_for(df: DataFrame) -> tuple[int, int]:
+    """Reducers and salted subgroups for adding up partial sums, from the size of the cluster."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, 8), 1 if cores <= 64 else 16
+
+
+def leaf_moments(design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """Summed Gram blocks per leaf, still distributed."""
+    groups, fan_in = fan_in_for(design.df)
+    return sum_partials(partial_moments(design, cands, centre, scale), groups, fan_in)
 
 
 def affine(M: np.ndarray, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -335,11 +354,10 @@ def profile_inputs(design: Design, sample_rows: int = 4096) -> RawProfile:
 
         yield from body(tee())
         if kept:
-            yield _record([(SAMPLE, PLAIN, 0, 0, np.ascontiguousarray(kept[0]).tobytes())])
+            yield record([(SAMPLE, PLAIN, 0, 0, np.ascontiguousarray(kept[0]).tobytes())])
 
     parts = narrow.mapInArrow(run, PARTIAL_SCHEMA)
-    cores = design.df.sparkSession.sparkContext.defaultParallelism
-    rows = sum_partials(parts, groups=1, fan_in=1 if cores <= 64 else 16).collect()
+    rows = sum_partials(parts, groups=1, fan_in=fan_in_for(design.df)[1]).collect()
     M = np.zeros((1 + d + t, 1 + d + t))
     n = 0
     for G, count in unpack([r for r in rows if r["leaf"] >= 0], 1 + d + t).values():
@@ -398,6 +416,6 @@ def gram(design: Design, cands: list[Candidate], prof: RawProfile | None = None)
     """Moments per (leaf, kind) of a bank; kind is ``PLAIN`` or ``WEIGHTED``."""
     prof = prof or profile_inputs(design)
     centre, scale = working_scale(cands, prof)
-    summed = leaf_partials(design, cands, centre, scale)
+    summed = leaf_moments(design, cands, centre, scale)
     leaves = collect_moments(summed, len(cands), len(design.targets), centre, scale)
     return GramTable(cands, centre[: len(cands)], scale[: len(cands)], leaves)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,18 +23,32 @@ def whiten_diagonal(df: DataFrame, cols: list[str], variance: str) -> DataFrame:
     return df.withColumns({f"white_{c}": F.col(c) * root for c in cols})
 
 
-def whiten_ar1(df: DataFrame, series: str, step: str, cols: list[str], rho: float, sigma: float, order: list[str] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Ar1:
+    """AR(1) noise within ``series`` on the integer grid ``step``: correlation ``rho`` per unit step, deviation ``sigma``."""
+
+    series: str
+    step: str
+    rho: float
+    sigma: float = 1.0
+
+
+def ar1_frame(df: DataFrame, noise: Ar1, cols: list[str]) -> DataFrame:
+    """Attach the previous row's values with the factor ``phi`` and scale ``gain`` that whiten the series."""
+    from gramlaw.operators.scan import with_previous
+
+    out = with_previous(df, noise.series, [noise.step], [noise.step, *cols])
+    gap = (F.col(noise.step) - F.col(f"prev_{noise.step}")).cast("double")
+    phi = F.when(gap.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(noise.rho), gap))
+    return out.withColumn("phi", phi).withColumn("gain", 1.0 / (noise.sigma * F.sqrt(1.0 - F.col("phi") * F.col("phi"))))
+
+
+def whiten_ar1(df: DataFrame, series: str, step: str, cols: list[str], rho: float, sigma: float) -> DataFrame:
     """Whiten within each series of an AR(1) process on an integer grid, allowing gaps.
 
     ``(x_t - ρ^g·x_prev)/(σ√(1-ρ^{2g}))`` with g the gap to the previous observation, and x/σ for the first one.
     """
-    from gramlaw.operators.scan import with_previous
-
-    out = with_previous(df, series, order or [step], [step, *cols])
-    gap = (F.col(step) - F.col(f"prev_{step}")).cast("double")
-    phi = F.when(gap.isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(rho), gap))
-    out = out.withColumn("phi", phi)
-    out = out.withColumn("gain", 1.0 / (F.lit(sigma) * F.sqrt(1.0 - F.col("phi") * F.col("phi"))))
+    out = ar1_frame(df, Ar1(series, step, rho, sigma), cols)
     white = {f"white_{c}": (F.col(c) - F.col("phi") * F.coalesce(F.col(f"prev_{c}"), F.lit(0.0))) * F.col("gain") for c in cols}
     return out.withColumns(white)
 

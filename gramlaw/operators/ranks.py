@@ -63,20 +63,28 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
     return [done[r] for r in ranks]
 
 
-def first_rows(df: DataFrame, order: list[Column], k: int) -> Column:
-    """Condition that is true for exactly the first ``k`` rows in the ascending order of unique ``order`` tuples.
+def first_rows(df: DataFrame, order: list[Column], ks: list[int]) -> list[Column]:
+    """For each k a condition that is true for exactly the first ``k`` rows in the ascending order of ``order`` tuples.
 
-    Ties on one column are settled by the next, so no global sort and no single-partition limit is needed.
+    All cuts are found together; ties at a cut are settled by the next order column, so no global sort and no
+    single-partition limit is needed.
     """
-    if k <= 0:
-        return F.lit(False)
-    value, less, equal = rank_select(df, order[0], [k])[0]
-    head, tie = order[0] < F.lit(value), order[0] == F.lit(value)
-    if less + equal == k:
-        return head | tie
-    if len(order) == 1:
-        raise ValueError("order columns do not identify rows")
-    return head | (tie & first_rows(df.where(tie), order[1:], k - less))
+    inner = sorted({k for k in ks if k > 0})
+    found = dict(zip(inner, rank_select(df, order[0], inner))) if inner else {}
+    out = []
+    for k in ks:
+        if k <= 0:
+            out.append(F.lit(False))
+            continue
+        value, less, equal = found[k]
+        head, tie = order[0] < F.lit(value), order[0] == F.lit(value)
+        if less + equal == k:
+            out.append(head | tie)
+        elif len(order) == 1:
+            raise ValueError("order columns do not identify rows")
+        else:
+            out.append(head | (tie & first_rows(df.where(tie), order[1:], [k - less])[0]))
+    return out
 
 
 def median_of(df: DataFrame, value: Column, n: int | None = None) -> float:

@@ -10,12 +10,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from gramlaw.functions.scores import criterion, mdl_bits
 from gramlaw.operators import select
 from gramlaw.operators.algebra import FoldView, centred, residual_square, small, split_views, whole_view
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.gram import Design, GramTable, RawProfile, gram
-from gramlaw.operators.graphs import Graph, graph_pool, key_of, node_candidate, product_of, seed_graph
+from gramlaw.operators.graphs import Graph, graph_pool, node_candidate, product_of, seed_graph
 from gramlaw.plans.options import Options
 
 MAX_FRONTIER, FRONTIER_STEP, PROPOSAL_STEP = 40, 4, 5  # fixed values
@@ -270,5 +269,3 @@ def refine_fits(design: Design, fits: dict, prof: RawProfile, opt: Options, whol
             f.kept += "+graph"
         f.A, f.w, f.b0, f.view, f.cands = grown.A, w, b0, view, cands
 
-
-__all__ = ["criterion", "mdl_bits", "refine_fits", "search_graphs", "top_outputs", "tune", "key_of"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import ROUND_HALF_EVEN, Decimal
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,10 @@ def exact_folds(df: DataFrame, key: str, folds: int, seed: int = 1337, larger_la
     """Folds of exact size in hash order. The key must be unique."""
     order = [hash_order(F.col(key), seed), F.col(key)]
     n = df.count()
+    cuts = list(accumulate(fold_sizes(n, folds, larger_last)[:-1]))
     value = F.lit(0)
-    taken = 0
-    for size in fold_sizes(n, folds, larger_last)[:-1]:
-        taken += size
-        value = value + (~first_rows(df, order, taken)).cast("int")
+    for inside in first_rows(df, order, cuts):
+        value = value + (~inside).cast("int")
     return df.withColumn(name, value)
 
 
@@ -47,9 +47,9 @@ def holdout(df: DataFrame, key: str, frac: float = 0.2, seed: int = 1337, roundi
         k = int(frac * n)
     else:
         k = int(Decimal(frac * n).quantize(Decimal(1), rounding=ROUND_HALF_EVEN))
-    return df.withColumn(name, first_rows(df, [hash_order(F.col(key), seed), F.col(key)], max(1, k)))
+    return df.withColumn(name, first_rows(df, [hash_order(F.col(key), seed), F.col(key)], [max(1, k)])[0])
 
 
 def positional_split(df: DataFrame, order: str, frac: float = 0.7, name: str = "is_train") -> DataFrame:
     """The first ``floor(frac·n)`` rows in record order train, the rest evaluate."""
-    return df.withColumn(name, first_rows(df, [F.col(order)], int(frac * df.count())))
+    return df.withColumn(name, first_rows(df, [F.col(order)], [int(frac * df.count())])[0])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from gramlaw.operators import catalog
 from gramlaw.operators.catalog import Candidate
 
 
+COLUMN_TERMS = 24  # beyond this a generated expression outgrows what the JVM compiles well
+
+
 @dataclass(frozen=True)
 class Law:
     """``y ≈ intercept + Σ weight·f(x)``. Residualized features are linear in the candidates, so every search result
@@ -34,27 +40,10 @@ class Law:
         return " + ".join(parts)
 
     def score(self, df: DataFrame, name: str = "yhat") -> DataFrame:
-        return df.withColumn(name, self.column())
-
-    def score_bulk(self, df: DataFrame, keep: list[str], name: str = "yhat") -> DataFrame:
-        """Arrow form for laws with very many terms, where one generated expression would be too large."""
-        import numpy as np
-        import pyarrow as pa
-
-        cands = [c for _, c in self.terms]
-        weights = np.array([w for w, _ in self.terms])
-        b0, inputs = self.intercept, [f"__x{j}" for j in range(len(self.features))]
-        narrow = df.select(*keep, *[F.col(f"`{n}`").cast("double").alias(a) for n, a in zip(self.features, inputs)])
-
-        def run(batches):
-            for batch in batches:
-                X = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in inputs])
-                yhat = b0 + (catalog.evaluate(cands, X) @ weights if cands else np.zeros(len(X)))
-                kept = [batch.column(k) for k in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(yhat)], names=[*keep, name])
-
-        schema = narrow.select(*keep).schema.add(name, "double")
-        return narrow.mapInArrow(run, schema)
+        """Add the prediction: one JVM expression, or the Arrow form when the law has very many terms."""
+        if len(self.terms) <= COLUMN_TERMS:
+            return df.withColumn(name, self.column())
+        return df.withColumn(name, F.element_at(score_array([self]), 1))
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(-1, "1", "intercept", "{}", self.intercept)]
@@ -79,10 +68,45 @@ class Law:
         return Law.from_json(spark.read.parquet(path).first()["law"])
 
 
+def score_array(laws: list[Law]) -> Column:
+    """Scores of several laws over the same inputs as one array column.
+
+    Shared candidate columns are evaluated once per Arrow batch; only the inputs travel to Python.
+    """
+    features = laws[0].features
+    pool: dict[str, Candidate] = {}
+    for law in laws:
+        for _, c in law.terms:
+            pool.setdefault(c.name, c)
+    at = {n: j for j, n in enumerate(pool)}
+    cands = list(pool.values())
+    W = np.zeros((len(cands), len(laws)))
+    for q, law in enumerate(laws):
+        for w, c in law.terms:
+            W[at[c.name], q] += w
+    b0 = np.array([law.intercept for law in laws])
+
+    @F.arrow_udf("array<double>")
+    def scores(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            X = np.column_stack([a.to_numpy(zero_copy_only=False).astype(float) for a in arrays])
+            Y = np.ascontiguousarray(catalog.evaluate(cands, X) @ W + b0)
+            offsets = pa.array(np.arange(0, Y.size + 1, len(laws), dtype=np.int32))
+            yield pa.ListArray.from_arrays(offsets, pa.array(Y.ravel()))
+
+    return scores(*[F.col(f"`{n}`").cast("double") for n in features])
+
+
+def score_laws(df: DataFrame, laws: dict[str, Law]) -> DataFrame:
+    """Add one prediction column per law."""
+    if sum(len(law.terms) for law in laws.values()) <= COLUMN_TERMS:
+        return df.withColumns({n: law.column() for n, law in laws.items()})
+    scored = df.withColumn("__scores", score_array(list(laws.values())))
+    return scored.withColumns({n: F.col("__scores")[q] for q, n in enumerate(laws)}).drop("__scores")
+
+
 def flatten(A, w, b0: float, shift, scale, cands: list[Candidate], features) -> Law:
     """Fold features given as rows over scaled candidates, with weights ``w``, into raw candidate weights."""
-    import numpy as np
-
     p = len(cands)
     combined = np.asarray(w) @ np.asarray(A) if len(w) else np.zeros(p + 2)
     raw = combined[1 : 1 + p] / scale

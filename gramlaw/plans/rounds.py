@@ -14,7 +14,6 @@ from gramlaw.operators.distill import (
     agreement,
     best_regime,
     bit_prediction,
-    copies,
     mine,
     mining_stats,
     regime_targets,
@@ -25,6 +24,7 @@ from gramlaw.operators.distill import (
 )
 from gramlaw.operators.splits import positional_split
 from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES
+from gramlaw.plans.law import score_laws
 from gramlaw.plans.options import Options
 from gramlaw.plans.search import Report, search
 from gramlaw.session import materialise
@@ -39,12 +39,13 @@ class Student:
     templates: DataFrame | None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scores = {t: r.model.column() for t, r in self.reports.items()}
+        temporary = {t: f"__s_{t}" for t in self.reports}
+        scored = score_laws(df, {temporary[t]: r.model for t, r in self.reports.items()})
         if self.kind == "bits":
-            return df.withColumn("pred_action", F.array(*[bit_prediction(scores[f"y_{b}"]) for b in BITS]))
-        scored = df.withColumns({f"__s_{r}": scores[f"is_{r}"] for r in REGIMES})
-        named = scored.withColumn("pred_regime", best_regime([F.col(f"__s_{r}") for r in REGIMES]))
-        return with_template(named.drop(*[f"__s_{r}" for r in REGIMES]), self.templates)
+            bits = F.array(*[bit_prediction(F.col(temporary[f"y_{b}"])) for b in BITS])
+            return scored.withColumn("pred_action", bits).drop(*temporary.values())
+        named = scored.withColumn("pred_regime", best_regime([F.col(temporary[f"is_{r}"]) for r in REGIMES]))
+        return with_template(named.drop(*temporary.values()), self.templates)
 
     def law_rows(self) -> list[tuple]:
         """Per law: distinct operators over folds, median of their lowest evidence, out-of-fold scores."""
@@ -131,5 +132,3 @@ def distill_rounds(
     history = [{k: (float(h[k]) if isinstance(h.get(k), (int, float)) and not isinstance(h.get(k), bool) else h.get(k)) for k in full} for h in history]
     return Distilled(student, evaluate_student(student, test, gate), history)
 
-
-__all__ = ["copies", "distill_rounds", "evaluate_student", "fit_student"]

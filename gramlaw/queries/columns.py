@@ -12,7 +12,7 @@ from gramlaw.operators.gram import Design, corrcoef_from, gram, profile_inputs
 from gramlaw.operators.graphs import Graph, product_nodes, seed_graph
 from gramlaw.operators.ranks import median_of
 from gramlaw.operators.residual import Step, add_chain
-from gramlaw.operators.telemetry import BITS, FEATURES, Sensors, design_matrix, feature_map, feature_names, select_features
+from gramlaw.operators.telemetry import FEATURES, Sensors, design_matrix, feature_map, feature_names, select_features
 from gramlaw.queries.common import (
     FOLD_SQL,
     LINE_FEATURES,
@@ -396,5 +396,3 @@ def _(spark, sf):
     """The nineteen telemetry features, with previous value, position and running drops per episode."""
     return rounded(with_features(telemetry(spark, sf)).select("record_id", "episode", "tick", *FEATURES))
 
-
-__all__ = ["BITS"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.operators.splits import exact_folds, hashed_folds
+from gramlaw.operators.splits import exact_folds
 from gramlaw.operators.telemetry import events_as_telemetry, label
 from gramlaw.session import ship_package
 
@@ -169,5 +169,3 @@ def rounded(df: DataFrame, digits: int = 6, keep: list[str] = ()) -> DataFrame:
         *[rnd(c, digits).alias(c) if t == "double" and c not in keep else F.col(c) for c, t in df.dtypes]
     )
 
-
-__all__ = ["hashed_folds"]

@@ -21,7 +21,7 @@ from gramlaw.operators.distill import (
     with_template,
 )
 from gramlaw.operators.splits import positional_split
-from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES, Topology, label, level_counts, regime_label, scenario_matrix, with_features, with_policy
+from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES, level_counts, regime_label, scenario_matrix, with_features, with_policy
 from gramlaw.queries.common import TELEMETRY_SQL, label_sql, labelled, query, rnd, rounded, table, telemetry
 from gramlaw.session import materialise, shared_path
 from gramlaw.sources.tables import fingerprint, read_records, reuse_or_build, telemetry_records, write_records
@@ -288,5 +288,3 @@ def _(spark, sf):
     w = replay_weights(mine(_predicted(spark, sf)))
     return w.groupBy("regime").agg(F.sum("replay_weight").alias("weight"), F.count("*").alias("n"))
 
-
-__all__ = ["Topology", "label"]

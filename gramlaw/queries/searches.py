@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from gramlaw.operators import select
 from gramlaw.operators.algebra import split_views, whole_view
 from gramlaw.operators.catalog import Candidate, catalog_frame
-from gramlaw.operators.distill import agreement, best_regime, bit_prediction, compactness, regime_targets
 from gramlaw.operators.gram import Design, gram, profile_inputs
 from gramlaw.operators.graphs import Graph, description_bits, node_candidate, nodes_frame, seed_graph
 from gramlaw.operators.refine import Scorer, columns_of, search_graphs, top_outputs, tune
-from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES
+from gramlaw.operators.noise import Ar1
 from gramlaw.plans.options import Options, older
 from gramlaw.plans.rounds import distill_rounds
 from gramlaw.plans.search import bank_for, search
 from gramlaw.plans.stability import inclusion_counts, repeated_summary
 from gramlaw.queries.common import (
-    FOLD_SQL,
     LINE_FEATURES,
-    LINE_KEY,
-    LINE_SQL,
     ORDER_FEATURES,
     ORDER_SQL,
     TELEMETRY_SQL,
@@ -66,7 +61,7 @@ def _(spark, sf):
     prof = profile_inputs(design)
     cands = bank_for(prof, 4, Options(n_proj=8, n_pairs=6))
     og = select.operator_set(whole_view(gram(design, cands, prof)), [c.name for c in cands], Options())
-    rows = [(k, og.bits_path[k], og.rss_path[k], og.r2_path[k], og.cond, og.r2_train) for k in range(len(og.bits_path))]
+    rows = [(k, *map(float, (og.bits_path[k], og.rss_path[k], og.r2_path[k], og.cond, og.r2_train))) for k in range(len(og.bits_path))]
     return spark.createDataFrame(rows, "k int, bits double, rss double, r2_uncentred double, cond double, r2_train double")
 
 
@@ -110,7 +105,7 @@ def _(spark, sf):
     """Out-of-fold predictions, each row scored by the law of the other folds."""
     df = materialise(folded_orders(spark, sf), "folded")
     report = search(df, ORDER_FEATURES, "y", "id", LIGHT.patched(folds=5, bag_boots=0), fold="fold", consensus=False)["y"]
-    return df.select("id", "fold", "y", report.oof_column("fold").alias("yhat"))
+    return report.score_oof(df, "fold").select("id", "fold", "y", "yhat")
 
 
 @query("repeated_cross_validation")
@@ -155,6 +150,16 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "name string, n int, r2_oof double, mse_oof double, n_ops int")
 
 
+@query("ar1_law")
+def _(spark, sf):
+    """Operators of a law under AR(1) noise within users, on an irregular grid."""
+    ev = table(spark, sf, "events").select(
+        "user_id", "event_id", (F.col("value") / 50.0).alias("x0"), (F.col("event_id") % 13 / 6.5 - 1.0).alias("x1")
+    ).withColumn("y", F.tanh("x0") + F.col("x1") * F.col("x1") * 0.5)
+    opt = LIGHT.patched(bag_boots=0, max_grammar=0)
+    return search(ev, ["x0", "x1"], "y", "event_id", opt, ar1=Ar1("user_id", "event_id", 0.99, 0.7), consensus=False)["y"].ops_frame(spark)
+
+
 @query("bank_catalog")
 def _(spark, sf):
     """The full candidate bank as a table."""
@@ -371,5 +376,3 @@ def _(spark, sf):
     out = run_to_table(level_windows(stream), shared_path(spark, "levels"), shared_path(spark, "levels-check"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "shield_level", "n")
 
-
-__all__ = ["BITS", "FEATURES", "FOLD_SQL", "LINE_KEY", "LINE_SQL", "REGIMES", "agreement", "best_regime", "bit_prediction", "compactness", "np", "regime_targets"]

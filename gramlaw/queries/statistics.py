@@ -18,7 +18,7 @@ from gramlaw.operators.probe import Probe, draw_numbers, probe_median, probe_sco
 from gramlaw.operators.residual import residualize_columns
 from gramlaw.operators.splits import exact_folds, hashed_folds, holdout
 from gramlaw.plans.basis import evaluate_basis, raw_moments
-from gramlaw.plans.law import Law
+from gramlaw.plans.law import Law, flatten, score_array
 from gramlaw.plans.options import Options
 from gramlaw.plans.stability import consensus, operator_stability
 from gramlaw.queries.common import FOLD_SQL, LINE_SQL, ORDER_FEATURES, ORDER_SQL, folded_orders, line, orders, query, rnd, rounded, table
@@ -465,8 +465,6 @@ def _(spark, sf):
     cand = Candidate("x[x0]", "unary", {"f": "x", "i": 0})
     g = gram(Design(df, ["x0"], ["y"], leaf="fold"), [cand])
     yhat = F.lit(None).cast("double")
-    from gramlaw.plans.law import flatten
-
     for k, view in split_views(g):
         A = np.array([view.unit(0)])
         w, b0, _, _ = select.fit_with(view, A, Options())
@@ -546,7 +544,7 @@ def _(spark, sf):
 @query("law_scores_bulk", f"WITH {ORDER_SQL} SELECT id, round({FIXED_LAW.sql()},6) AS yhat FROM ord")
 def _(spark, sf):
     """The same law through the Arrow form."""
-    return FIXED_LAW.score_bulk(orders(spark, sf), ["id"]).select("id", rnd("yhat").alias("yhat"))
+    return orders(spark, sf).select("id", rnd(score_array([FIXED_LAW])[0]).alias("yhat"))
 
 
 @query("law_sql_text", f"WITH {ORDER_SQL} SELECT id, round({FIXED_LAW.sql()},6) AS yhat FROM ord")

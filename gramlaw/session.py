@@ -21,19 +21,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gramlaw/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write a result once and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan, used to prove a bound before broadcasting; ``None`` if unknown."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
-    except Exception:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:  # no JVM plan behind a remote session
         return None
 
 

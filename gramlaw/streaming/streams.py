@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gramlaw.operators.catalog import Candidate
-from gramlaw.operators.gram import PARTIAL_SCHEMA, Design, Moments, leaf_partials, sum_partials, unpack
+from gramlaw.operators.gram import PARTIAL_SCHEMA, Design, Moments, leaf_moments, sum_partials, unpack
 from gramlaw.operators.telemetry import SHIELD_CAPACITY, with_policy, with_features, with_shield, regime_of_proposal
 from gramlaw.plans.law import Law
 
@@ -117,7 +117,7 @@ class MomentSink:
         self.scale = np.ones(width) if scale is None else np.asarray(scale)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        sums = leaf_partials(Design(batch, self.features, self.targets), self.cands, self.centre, self.scale)
+        sums = leaf_moments(Design(batch, self.features, self.targets), self.cands, self.centre, self.scale)
         sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
     def total(self, spark: SparkSession) -> Moments:
