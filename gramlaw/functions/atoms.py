@@ -39,13 +39,9 @@ class Atom:
 
 
 def finite(c: Column) -> Column:
-    """NaN and null become 0, infinities are capped."""
-    return (
-        F.when(c.isNull() | F.isnan(c), F.lit(0.0))
-        .when(c == F.lit(math.inf), F.lit(POS_CAP))
-        .when(c == F.lit(-math.inf), F.lit(NEG_CAP))
-        .otherwise(c)
-    )
+    """NaN and null become 0, infinities are capped. Written with few mentions of ``c``: each one is inlined."""
+    odd = F.nanvl(F.signum(c), F.lit(0.0)) * POS_CAP
+    return F.coalesce(F.when(F.abs(c) < F.lit(math.inf), c).otherwise(odd), F.lit(0.0))
 
 
 def finite_array(a: np.ndarray) -> np.ndarray:
@@ -63,7 +59,8 @@ def finite_sql(text: str) -> str:
 
 
 def _between(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.least(c, F.lit(float(hi))), F.lit(float(lo)))
+    """Clip; NaN and null give null (``least`` alone would turn them into the bound)."""
+    return F.when(c <= F.lit(math.inf), F.greatest(F.least(c, F.lit(float(hi))), F.lit(float(lo))))
 
 
 def _logistic(c: Column) -> Column:
@@ -127,7 +124,7 @@ _BANK = [
         f"(0.5*{{x}}*(1.0+{_TANH_GELU_SQL}))",
     ),
     Atom("swish", lambda c: c * _logistic(c), lambda a: a * _logistic_array(a), f"({{x}}*{_SIGMOID_SQL})"),
-    Atom("hat", lambda c: F.least(F.abs(c), F.lit(3.0)), lambda a: np.minimum(np.abs(a), 3.0), "least(abs({x}),3.0)"),
+    Atom("hat", lambda c: _between(F.abs(c), 0, 3), lambda a: np.minimum(np.abs(a), 3.0), "least(abs({x}),3.0)"),
 ]
 
 UNARY: dict[str, Atom] = {a.name: a for a in _BANK}
@@ -140,9 +137,8 @@ def register_atom(name: str, column: Callable, array: Callable, sql: str | None
 
 
 def apply_atom(name: str, c: Column) -> Column:
-    """Guarded JVM form of a bank atom: a missing or non-finite result never leaves the expression."""
-    raw = UNARY[name].column(c)
-    return F.when(c.isNull() | F.isnan(c), F.lit(0.0)).otherwise(finite(raw))
+    """JVM form of a bank atom: a missing or non-finite result never leaves the expression."""
+    return finite(UNARY[name].column(c))
 
 
 def apply_atom_array(name: str, a: np.ndarray) -> np.ndarray:

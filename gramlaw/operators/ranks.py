@@ -40,8 +40,7 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
                 cell = F.floor((F.col("v").cast("double") - F.lit(float(low))) * (BINS / width)).cast("double")
             bin_of = F.when(inside, cell).otherwise(bin_of)
         counted = (
-            rows.select("v", ident.alias("b"), bin_of.alias("cell"))
-            .where("b is not null")
+            rows.select("v", ident.alias("b"), bin_of.alias("cell"))  # rows outside all brackets form one null group
             .groupBy("b", "cell")
             .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             .collect()
