@@ -6,13 +6,17 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlaw.operators.catalog import GroupSpec
+from gramlaw.operators.catalog import GroupSpec, evaluate
 from gramlaw.plans.law import Law
 
 
+EXPRESSION_LIMIT = 24  # terms × probes × draws that still make a compact expression
+
+
 @dataclass(frozen=True)
 class Probe:
     """One symmetry and how its draws are made: ``flip``, ``perm``, ``rotate`` or ``scale`` over input positions."""
@@ -66,8 +70,14 @@ def probes_for(spec: GroupSpec) -> list[Probe]:
     return out + [Probe("scale", tuple(g)) for g in spec.scale_groups]
 
 
-def probe_shifts(df: DataFrame, law: Law, probes: list[Probe], key: str, draws: int = 16, seed: int = 42) -> DataFrame:
-    """Mean |Δprediction| per (probe, draw): all draws are aggregates of one scan, no row is copied."""
+def probe_shifts(df: DataFrame, law: Law, probes: list[Probe], key: str, draws: int = 16, seed: int = 42, batches: bool | None = None) -> DataFrame:
+    """Mean |Δprediction| per (probe, draw), all draws from one scan; no row is copied.
+
+    Short laws are aggregated as JVM expressions; for long ones the draws are evaluated on Arrow batches, with the row
+    coins still made by Spark.
+    """
+    if batches or batches is None and len(law.terms) * len(probes) * draws > EXPRESSION_LIMIT:
+        return _shifts_in_batches(df, law, probes, key, draws, seed)
     cols = [F.col(f"`{n}`").cast("double") for n in law.features]
     base = law.column(cols)
     aggs = [
@@ -84,6 +94,55 @@ def probe_shifts(df: DataFrame, law: Law, probes: list[Probe], key: str, draws:
     return wide.select(F.inline(F.array(*cells)))
 
 
+def _moved(probe: Probe, which: int, draw: int, seed: int, X: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Input rows after one draw."""
+    Y = X.copy()
+    rng = draw_numbers(probe, which, draw, seed)
+    idx = list(probe.idx)
+    if probe.kind == "flip":
+        Y[np.ix_(heads, idx)] *= -1.0
+    elif probe.kind == "perm":
+        Y[:, idx] = X[:, rng.permutation(idx)]
+    elif probe.kind == "rotate":
+        angle = rng.uniform(0.0, 2.0 * math.pi)
+        turn = np.array([[math.cos(angle), math.sin(angle)], [-math.sin(angle), math.cos(angle)]])
+        Y[:, idx] = X[:, idx] @ turn
+    else:
+        Y[:, idx] *= math.exp(rng.normal(0.0, probe.spread))
+    return Y
+
+
+def _shifts_in_batches(df: DataFrame, law: Law, probes: list[Probe], key: str, draws: int, seed: int) -> DataFrame:
+    d = len(law.features)
+    cands = [c for _, c in law.terms]
+    w = np.array([v for v, _ in law.terms])
+    flip_p = next((pr.p for pr in probes if pr.kind == "flip"), 0.5)
+    coins = F.lit(0).cast("long")
+    if any(pr.kind == "flip" for pr in probes):
+        for r in range(draws):
+            coins = coins + F.when(coin(F.col(key), r, seed, flip_p), F.lit(1 << r)).otherwise(F.lit(0))
+    narrow = df.select(*[F.col(f"`{n}`").cast("double").alias(f"x{j}") for j, n in enumerate(law.features)], coins.alias("coins"))
+
+    def run(batches):
+        sums = np.zeros((len(probes), draws))
+        n = 0
+        for batch in batches:
+            X = np.column_stack([batch.column(f"x{j}").to_numpy(zero_copy_only=False).astype(float) for j in range(d)])
+            bits = batch.column("coins").to_numpy(zero_copy_only=False)
+            base = evaluate(cands, X) @ w
+            n += len(X)
+            for s, pr in enumerate(probes):
+                for r in range(draws):
+                    moved = evaluate(cands, _moved(pr, s, r, seed, X, (bits >> r) & 1 == 1)) @ w
+                    sums[s, r] += np.abs(base - moved).sum()
+        cells = [(s, pr.kind, r, float(sums[s, r]), n) for s, pr in enumerate(probes) for r in range(draws)]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*cells)], names=["sampler", "kind", "draw", "total", "n"])
+
+    parts = narrow.mapInArrow(run, "sampler long, kind string, draw long, total double, n long")
+    return parts.groupBy("sampler", "kind", "draw").agg((F.sum("total") / F.sum("n")).alias("shift"))
+
+
 def probe_scores(shifts: DataFrame) -> DataFrame:
     """Median over draws per sampler."""
     return shifts.groupBy("sampler", "kind").agg(F.median("shift").alias("score"))

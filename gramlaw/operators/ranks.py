@@ -17,8 +17,10 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
     """
     v = value.alias("v")
     rows = df.select(v).where(F.col("v").isNotNull())
-    if dict(rows.dtypes)["v"] in ("double", "float"):
+    floating = dict(rows.dtypes)["v"] in ("double", "float")
+    if floating:
         rows = rows.where(~F.isnan("v"))
+    cell_type = "double" if floating else "long"
     lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
     if not n:
         raise ValueError("no values to rank")
@@ -29,15 +31,16 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
     while open_:
         brackets = list(open_)
         ident = F.lit(None).cast("int")
-        bin_of = F.lit(None).cast("double")
+        bin_of = F.lit(None).cast(cell_type)
         for b, (low, high, _, size) in reversed(list(enumerate(brackets))):
             inside = (F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))
             ident = F.when(inside, b).otherwise(ident)
-            if size <= SMALL or high == low:
-                cell = F.col("v").cast("double")
+            offset = F.col("v") - F.lit(low)  # exact for integers, where a double would merge neighbours
+            width = float(high) - float(low)
+            if size <= SMALL or width < 1e-290:
+                cell = (F.col("v") if floating else offset).cast(cell_type)
             else:
-                width = float(high) - float(low)
-                cell = F.floor((F.col("v").cast("double") - F.lit(float(low))) * (BINS / width)).cast("double")
+                cell = F.floor(offset.cast("double") * (BINS / width)).cast(cell_type)
             bin_of = F.when(inside, cell).otherwise(bin_of)
         counted = (
             rows.select("v", ident.alias("b"), bin_of.alias("cell"))  # rows outside all brackets form one null group

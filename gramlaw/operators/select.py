@@ -20,6 +20,7 @@ from gramlaw.operators.catalog import Candidate
 from gramlaw.plans.options import Options
 
 RANK_TOL = 1e-10
+RSS_FLOOR = 1e-12  # share of the total below which a residual is rounding of the moments; an exact law counts as this
 
 
 # --------------------------------------------------------------------------------------------------------------
@@ -172,6 +173,7 @@ def greedy_operators(
     b = (M[z, y] - mu * M[z, 0]) / safe
     rss = max(float(M[y, y] - 2 * mu * M[0, y] + mu * mu * M[0, 0]), 0.0)
     p_live = int(live.sum())
+    floor = RSS_FLOOR * rss
     current = float(ebic_bits(rss, n, k0, p_live, gamma))
     open_ = live & (norms > 0)
     V = np.zeros((0, p))
@@ -180,7 +182,7 @@ def greedy_operators(
     near = np.zeros(p)
     while len(picks) < max_ops and open_.any():
         drop = np.where(left > RANK_TOL, b**2 / np.maximum(left, RANK_TOL), 0.0)
-        gain = ebic_bits(np.maximum(rss - drop, 0.0), n, k0 + len(picks) + 1, p_live, gamma) - current
+        gain = ebic_bits(np.maximum(rss - drop, floor), n, k0 + len(picks) + 1, p_live, gamma) - current
         gain = np.where(open_ & (near <= opt.max_corr), gain, -np.inf)
         j = int(np.argmax(gain))
         if gain[j] <= 0.0 or gain[j] < threshold:
@@ -193,7 +195,7 @@ def greedy_operators(
         V = np.vstack([V, direction])
         b = b - beta * direction
         left = np.maximum(left - direction**2, 0.0)
-        rss = max(rss - float(beta) ** 2, 0.0)
+        rss = max(rss - float(beta) ** 2, floor)
         current += float(gain[j])
         open_[j] = False
         picks.append(j)

@@ -12,7 +12,8 @@ from gramlaw.functions.scores import bits_between, bits_from_bic_change, criteri
 from gramlaw.operators.algebra import residual_square, ridge
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, affine, gram, profile_inputs
-from gramlaw.operators.noise import variance_weight
+from gramlaw.operators.noise import variance_weight, whiten_blocks
+from gramlaw.sources.tables import check_shapes
 
 
 def raw_moments(design: Design) -> tuple[np.ndarray, int]:
@@ -44,13 +45,9 @@ class BasisFit:
         return spark.createDataFrame(rows, "operator string, amplitude double").orderBy(F.desc(F.abs("amplitude")))
 
 
-def evaluate_basis(design: Design, alpha: float = 2e-3, variance: str | None = None) -> BasisFit:
-    """GLS ridge of the target on the basis, scored against the intercept by AICc, BIC and MDL, with noise checks."""
-    if variance:
-        df = design.df.withColumn("__w", variance_weight(F.col(variance)))
-        design = Design(df, design.features, design.targets, design.dim, "__w", design.leaf, design.lagged)
-    K, n = raw_moments(design)
-    d = design.d
+def _fit(K: np.ndarray, n: int, names: list[str], alpha: float) -> BasisFit:
+    """Both models from the moments of ``(1, basis, y)`` in the noise geometry."""
+    d = len(names)
     K0 = K[np.ix_([0, d + 1], [0, d + 1])]
     w0, b0 = ridge(K0, alpha)
     w, b = ridge(K, alpha)
@@ -61,7 +58,17 @@ def evaluate_basis(design: Design, alpha: float = 2e-3, variance: str | None = N
         ("intercept", 1, *s0, None, None, None),
         ("basis", d + 1, *s1, bits_between(s0[1], s1[1]), bits_between(s0[2], s1[2]), bits_from_bic_change(s1[1] - s0[1])),
     ]
-    checks = {"chi2": chi1}
+    return BasisFit(w, b, names, rows, {"chi2": chi1})
+
+
+def evaluate_basis(design: Design, alpha: float = 2e-3, variance: str | None = None) -> BasisFit:
+    """GLS ridge of the target on the basis, scored against the intercept by AICc, BIC and MDL, with noise checks."""
+    if variance:
+        df = design.df.withColumn("__w", variance_weight(F.col(variance)))
+        design = Design(df, design.features, design.targets, design.dim, "__w", design.leaf, design.lagged)
+    K, n = raw_moments(design)
+    fit = _fit(K, n, design.names(), alpha)
+    w, b = fit.weights, fit.intercept
     if variance:
         yhat = F.lit(b)
         for wj, c in zip(w, design.columns()):
@@ -74,5 +81,28 @@ def evaluate_basis(design: Design, alpha: float = 2e-3, variance: str | None = N
             (F.max(F.abs(s)) / F.greatest(F.min(F.abs(s)), F.lit(1e-300))).alias("cond"),
             (F.sqrt(F.sum((floored - s) * (floored - s))) / (F.sqrt(F.sum(s * s)) + 1e-12)).alias("fro_error"),
         ).first()
-        checks |= row.asDict()
-    return BasisFit(w, b, design.names(), rows, checks)
+        fit.checks |= row.asDict()
+    return fit
+
+
+def evaluate_external(basis: DataFrame, target: DataFrame, sigma: DataFrame, width: int, alpha: float = 2e-3) -> BasisFit:
+    """A basis table (i, b0…), a target table (i, y) and covariance entries (i, j, v), checked and evaluated.
+
+    A diagonal covariance becomes a variance column and has no size limit. A dense one is whitened as a single block,
+    whose size is bounded; longer series need the AR(1) or sparse form.
+    """
+    check_shapes(basis, target, sigma)
+    names = [f"b{j}" for j in range(width)]
+    rows = basis.join(target, "i")
+    if sigma.where((F.col("i") != F.col("j")) & (F.col("v") != 0)).limit(1).count() == 0:
+        variance = sigma.where("i = j").select("i", F.col("v").alias("variance"))
+        return evaluate_basis(Design(rows.join(variance, "i"), names, ["y"]), alpha, "variance")
+    cols = ["one", *names, "y"]
+    one_block = rows.select(F.lit(0).alias("block"), "i", F.lit(1.0).alias("one"), *names, "y")
+    white = whiten_blocks(one_block, "block", "i", cols, sigma.withColumn("block", F.lit(0)))
+    pairs = [(a, b) for k, a in enumerate(cols) for b in cols[k:]]
+    sums = white.agg(F.count("*").alias("n"), *[F.sum(F.col(f"white_{a}") * F.col(f"white_{b}")).alias(f"{a}|{b}") for a, b in pairs]).first()
+    K = np.zeros((len(cols), len(cols)))
+    for a, b in pairs:
+        K[cols.index(a), cols.index(b)] = K[cols.index(b), cols.index(a)] = sums[f"{a}|{b}"]
+    return _fit(K, sums["n"], names, alpha)

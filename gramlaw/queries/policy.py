@@ -24,7 +24,7 @@ from gramlaw.operators.splits import positional_split
 from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES, level_counts, regime_label, scenario_matrix, with_features, with_policy
 from gramlaw.queries.common import TELEMETRY_SQL, label_sql, labelled, query, rnd, rounded, table, telemetry
 from gramlaw.session import materialise, shared_path
-from gramlaw.sources.tables import fingerprint, read_records, reuse_or_build, telemetry_records, write_records
+from gramlaw.sources.tables import fingerprint, read_records, reuse_or_build, telemetry_records, write_records, write_report
 
 LAB = f"WITH {TELEMETRY_SQL}, {label_sql()}"
 _BIT_SQL = "CAST(throttle AS INTEGER) AS throttle, CAST(boost AS INTEGER) AS boost, CAST(reduce_clock AS INTEGER) AS reduce_clock"
@@ -225,6 +225,15 @@ def _(spark, sf):
     return rounded(agreement(_predicted(spark, sf)))
 
 
+@query("report_json", f"{LAB}, {_TPL}, a AS (SELECT {_AGREE} FROM done) SELECT round(exact_agreement,6) AS exact_agreement, round(avg_hamming,6) AS avg_hamming, n_eval FROM a")
+def _(spark, sf):
+    """A metric report written as JSON and read back."""
+    path = shared_path(spark, "report")
+    write_report(agreement(_predicted(spark, sf)), path)
+    back = spark.read.schema("exact_agreement double, avg_hamming double, n_eval long").json(path)
+    return rounded(back)
+
+
 @query(
     "compactness",
     f"{LAB}, u AS (SELECT pmod AS fold, name, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS bits, regime AS target FROM (SELECT record_id%5 AS pmod, regime, unnest(['throttle','boost','reduce_clock']) AS name, unnest([throttle,boost,reduce_clock]) AS hit FROM lab) q GROUP BY ALL), m AS (SELECT target, name, min(bits) AS b FROM u GROUP BY target, name) SELECT target, count(*) AS num_consensus_ops, median(b) AS median_op_bits FROM m GROUP BY target",

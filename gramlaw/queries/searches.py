@@ -13,9 +13,10 @@ from gramlaw.operators.refine import Scorer, columns_of, search_graphs, top_outp
 from gramlaw.operators.noise import Ar1
 from gramlaw.plans.options import Options, older
 from gramlaw.plans.rounds import distill_rounds
-from gramlaw.plans.search import bank_for, search
-from gramlaw.plans.stability import inclusion_counts, repeated_summary
+from gramlaw.plans.search import bank_for, count_bags, leaf_table, search
+from gramlaw.plans.stability import inclusion_counts, repeated_search, repeated_summary
 from gramlaw.queries.common import (
+    FOLD_SQL,
     LINE_FEATURES,
     ORDER_FEATURES,
     ORDER_SQL,
@@ -110,13 +111,9 @@ def _(spark, sf):
 
 @query("repeated_cross_validation")
 def _(spark, sf):
-    """Mean and deviation over two seeds with the earlier defaults (OLS residualization, no operator set)."""
-    frames = None
-    for seed in (42, 1337):
-        opt = older().patched(seed=seed, folds=3, n_proj=6, n_pairs=4, max_grammar=0, refine=False)
-        f = search(orders(spark, sf), ORDER_FEATURES, "y", "id", opt, consensus=False)["y"].fold_frame(spark)
-        frames = f if frames is None else frames.unionByName(f)
-    return repeated_summary(frames)
+    """Scores and invariance over two seeds with the earlier defaults (OLS residualization, no operator set)."""
+    opt = older().patched(folds=3, n_proj=6, n_pairs=4, max_atoms=12, max_grammar=0, refine=False)
+    return repeated_summary(repeated_search(orders(spark, sf), ORDER_FEATURES, "y", "id", [42, 1337], opt, draws=4))
 
 
 @query("atom_inclusion")
@@ -211,6 +208,41 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "fold int, loss double, redundancy double, bits double, flip double, energy double")
 
 
+_BETAS = [1.0, 1.2, 0.8]
+_TRIAL_SQL = [f"(x0/(1.0+{b!r}*abs(x0)+1e-8))" for b in _BETAS]
+
+
+@query(
+    "tuning_trial",
+    f"WITH {ORDER_SQL}, {FOLD_SQL}, m AS (SELECT avg(y) AS my, " + ", ".join(f"avg({v}) AS m{k}, stddev_pop({v}) AS s{k}" for k, v in enumerate(_TRIAL_SQL)) + " FROM folded WHERE fold<>0), w AS (SELECT max(my) AS my, "
+    + ", ".join(f"max(m{k}) AS m{k}, max(s{k}) AS s{k}, sum(({v}-m{k})/s{k}*(y-my))/(sum(power(({v}-m{k})/s{k},2))+0.001) AS w{k}" for k, v in enumerate(_TRIAL_SQL))
+    + " FROM folded, m WHERE fold<>0) " + " UNION ALL ".join(f"SELECT {b!r} AS beta, round(avg(power(y-my-w{k}*({v}-m{k})/s{k},2)),8) AS loss FROM folded, w WHERE fold=0" for k, (b, v) in enumerate(zip(_BETAS, _TRIAL_SQL))),
+)
+def _(spark, sf):
+    """One tuning round: validation loss of a parameter and its two neighbours, from one moment pass."""
+    design, prof = _graph_design(spark, sf)
+    nodes = [["x_over_one_plus_beta_abs", {"beta": b}, [0]] for b in _BETAS]
+    cands = [node_candidate(n) for n in nodes]
+    scorer = Scorer(dict(split_views(gram(design, cands, prof)))[0], {c.name: j for j, c in enumerate(cands)}, Options())
+    return rounded(spark.createDataFrame([(b, scorer.loss([j])) for j, b in enumerate(_BETAS)], "beta double, loss double"), 8)
+
+
+@query("bag_frequency")
+def _(spark, sf):
+    """How often each operator is picked again by the subsamples of each fold."""
+    design = Design(folded_orders(spark, sf), ORDER_FEATURES, ["y"], leaf="fold")
+    prof = profile_inputs(design)
+    opt = LIGHT.patched(folds=5)
+    cands = bank_for(prof, 4, opt)
+    names = [c.name for c in cands]
+    gt, sums = leaf_table(design, cands, prof, opt, ["id"], True)
+    views = {(k, 0): v for k, v in split_views(gt)}
+    sets = {k: select.operator_set(v, names, opt) for k, v in views.items()}
+    counts = count_bags(sums, views, 1, sets, opt, gt)
+    rows = [(k, o.name, o.rank, counts[k, 0, o.idx] / opt.bag_boots) for (k, _), og in sets.items() for o in og.ops]
+    return spark.createDataFrame(rows, "fold int, name string, sel_rank int, bag_freq double")
+
+
 _THREE = [["sin", {}, [0]], ["square", {}, [1]], ["mul", {}, [["sin", {}, [0]], 2]]]
 _V3 = ["sin(x0)", "(x1*x1)", "(sin(x0)*x2)"]
 _C3 = [(0, 1), (0, 2), (1, 2)]

@@ -556,15 +556,17 @@ def _(spark, sf):
 _DRAWS = 4
 
 
-def _probe_query(name, probe, columns_sql):
+def _probe_sql(columns_sql):
     """``columns_sql(draw)`` gives the four transformed inputs."""
     base = FIXED_LAW.sql(["x0", "x1", "x2", "x3"])
     moved = lambda r: FIXED_LAW.sql([f"y{r}_{j}" for j in range(4)])
     inputs = ", ".join(f"{c} AS y{r}_{j}" for r in range(_DRAWS) for j, c in enumerate(columns_sql(r)))
     shifts = ", ".join(f"avg(abs(({base})-({moved(r)}))) AS s{r}" for r in range(_DRAWS))
-    sql = f"WITH {ORDER_SQL}, t AS (SELECT *, {inputs} FROM ord), s AS (SELECT {shifts} FROM t), d AS (SELECT unnest([{', '.join(f's{r}' for r in range(_DRAWS))}]) AS s FROM s) SELECT round(median(s),6) AS score FROM d"
+    return f"WITH {ORDER_SQL}, t AS (SELECT *, {inputs} FROM ord), s AS (SELECT {shifts} FROM t), d AS (SELECT unnest([{', '.join(f's{r}' for r in range(_DRAWS))}]) AS s FROM s) SELECT median(s) AS score FROM d"
 
-    @query(name, sql)
+
+def _probe_query(name, probe, columns_sql):
+    @query(name, f"SELECT round(score,6) AS score FROM ({_probe_sql(columns_sql)}) q")
     def run(spark, sf):
         """Median shift of the prediction over draws of one symmetry."""
         shifts_ = probe_shifts(orders(spark, sf), FIXED_LAW, [probe], "id", _DRAWS, 42)
@@ -581,18 +583,18 @@ def _flip_sql(r):
     return [f"CASE WHEN {heads} THEN -{c} ELSE {c} END" if c in ("x0", "x3") else c for c in _X]
 
 
-def _perm_sql(r):
-    order = draw_numbers(Probe("perm", (0, 1, 2)), 0, r, 42).permutation((0, 1, 2))
+def _perm_sql(r, which=0):
+    order = draw_numbers(Probe("perm", (0, 1, 2)), which, r, 42).permutation((0, 1, 2))
     return [f"x{int(order[j])}" if j < 3 else "x3" for j in range(4)]
 
 
-def _rotate_sql(r):
-    a = draw_numbers(Probe("rotate", (2, 3)), 0, r, 42).uniform(0.0, 2.0 * math.pi)
+def _rotate_sql(r, which=0):
+    a = draw_numbers(Probe("rotate", (2, 3)), which, r, 42).uniform(0.0, 2.0 * math.pi)
     return ["x0", "x1", f"x2*({math.cos(a)!r})-x3*({math.sin(a)!r})", f"x2*({math.sin(a)!r})+x3*({math.cos(a)!r})"]
 
 
-def _scale_sql(r):
-    f = math.exp(draw_numbers(Probe("scale", (0, 1)), 0, r, 42).normal(0.0, 0.2))
+def _scale_sql(r, which=0):
+    f = math.exp(draw_numbers(Probe("scale", (0, 1)), which, r, 42).normal(0.0, 0.2))
     return [f"x0*{f!r}", f"x1*{f!r}", "x2", "x3"]
 
 
@@ -602,8 +604,24 @@ _probe_query("rotation_probe", Probe("rotate", (2, 3)), _rotate_sql)
 _probe_query("scale_probe", Probe("scale", (0, 1)), _scale_sql)
 
 
-@query("invariance_score")
+_EACH = [_flip_sql, lambda r: _perm_sql(r, 1), lambda r: _rotate_sql(r, 2), lambda r: _scale_sql(r, 3)]
+_ALL_PROBES = [Probe("flip", (0, 3)), Probe("perm", (0, 1, 2)), Probe("rotate", (2, 3)), Probe("scale", (0, 1))]
+_SCORE_SQL = "SELECT round(median(score),6) AS median FROM (" + " UNION ALL ".join(f"SELECT score FROM ({_probe_sql(c)}) q{k}" for k, c in enumerate(_EACH)) + ") u"
+
+
+@query("invariance_score", _SCORE_SQL)
 def _(spark, sf):
     """Median over samplers of the median shift."""
-    probes = [Probe("flip", (0, 3)), Probe("perm", (0, 1, 2)), Probe("rotate", (2, 3)), Probe("scale", (0, 1))]
-    return probe_median(probe_scores(probe_shifts(orders(spark, sf), FIXED_LAW, probes, "id", _DRAWS, 42)))
+    return rounded(probe_median(probe_scores(probe_shifts(orders(spark, sf), FIXED_LAW, _ALL_PROBES, "id", _DRAWS, 42))))
+
+
+@query("invariance_score_expression", _SCORE_SQL)
+def _(spark, sf):
+    """The same score with every draw as a JVM expression, one probe at a time."""
+    df = orders(spark, sf)
+    scores = None
+    for k, probe in enumerate(_ALL_PROBES):
+        padded = [Probe("scale", ())] * k + [probe]
+        one = probe_scores(probe_shifts(df, FIXED_LAW, padded, "id", _DRAWS, 42, batches=False).where(F.col("sampler") == k))
+        scores = one if scores is None else scores.unionByName(one)
+    return rounded(probe_median(scores))

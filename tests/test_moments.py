@@ -6,7 +6,7 @@ from gramlaw.operators.algebra import fold_view, orthonormal_map, residualize, r
 from gramlaw.operators.catalog import Candidate, build_bank, evaluate
 from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, gram, profile_inputs, salted_sum, sum_partials
 from gramlaw.operators.noise import Ar1, ar1_frame, variance_weight, whiten_blocks
-from gramlaw.plans.basis import evaluate_basis, raw_moments
+from gramlaw.plans.basis import evaluate_basis, evaluate_external, raw_moments
 
 
 def frame(spark, n=600, d=3, seed=1):
@@ -177,3 +177,25 @@ def test_external_basis_reports_all_criteria(spark):
 def test_empty_table_is_an_error(spark):
     with pytest.raises(ValueError):
         profile_inputs(Design(spark.createDataFrame([], "x double, y double"), ["x"], ["y"]))
+
+
+def test_external_basis_with_dense_and_diagonal_covariance(spark):
+    rng = np.random.default_rng(9)
+    n = 30
+    B = rng.normal(size=(n, 2))
+    y = B @ [1.0, -0.5] + 0.3 + 0.1 * rng.normal(size=n)
+    basis = spark.createDataFrame([(i, *map(float, B[i])) for i in range(n)], "i long, b0 double, b1 double")
+    target = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "i long, y double")
+    full = 0.3 * 0.6 ** np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    for S in (full, np.diag(0.5 + rng.random(n))):
+        entries = spark.createDataFrame([(i, j, float(S[i, j])) for i in range(n) for j in range(n)], "i long, j long, v double")
+        fit = evaluate_external(basis, target, entries, 2)
+        W = np.linalg.inv(S)
+        one = np.ones(n)
+        mu, my = one @ W @ B / (one @ W @ one), one @ W @ y / (one @ W @ one)
+        w = np.linalg.solve((B - mu).T @ W @ (B - mu) + 2e-3 * np.eye(2), (B - mu).T @ W @ (y - my))
+        np.testing.assert_allclose(fit.weights, w, rtol=1e-7)
+        r = y - B @ w - (my - mu @ w)
+        np.testing.assert_allclose(fit.checks["chi2"], r @ W @ r, rtol=1e-7)
+    with pytest.raises(ValueError):
+        evaluate_external(basis.where("i < 5"), target, entries, 2)

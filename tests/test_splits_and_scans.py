@@ -36,6 +36,12 @@ def test_ranks_match_sorting(spark, values, monkeypatch):
     assert median_of(numbers(spark, values), F.col("v")) == np.median(values)
 
 
+def test_large_integers_closer_than_a_double_resolves(spark):
+    base = 1 << 60
+    df = spark.createDataFrame([(base + k,) for k in range(50)], "v long")
+    assert [r[0] for r in rank_select(df, F.col("v"), [1, 25, 50])] == [base, base + 24, base + 49]
+
+
 def test_rank_outside_is_an_error(spark):
     with pytest.raises(ValueError):
         rank_select(numbers(spark, [1.0]), F.col("v"), [2])
