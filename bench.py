@@ -25,7 +25,7 @@ from gramlaw.plans.law import Law, score_array  # noqa: E402
 from gramlaw.plans.options import Options  # noqa: E402
 from gramlaw.plans.search import count_bags, fold_directions, leaf_table, search  # noqa: E402
 from gramlaw.queries.common import LINE_FEATURES, LINE_KEY, ORDER_FEATURES, labelled, line, orders  # noqa: E402
-from gramlaw.session import ship_package  # noqa: E402
+from gramlaw.session import prepare  # noqa: E402
 
 
 def main() -> None:
@@ -42,7 +42,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ship_package(spark)
+    prepare(spark)
     times: dict[str, float] = {}
 
     def timed(name, run):

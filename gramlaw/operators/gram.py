@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from gramlaw.operators.catalog import Candidate, evaluate
 from gramlaw.session import spread
 
 PLAIN, WEIGHTED = 0, 1
-SAMPLE, SAMPLE_PIECES = -1, 32
+SAMPLE, SAMPLE_PIECES = -1, 64
 BLOCK_BYTES = 1 << 20
 ROWS_PER_STEP = 4096
 PARTIAL_SCHEMA = "leaf int, kind int, block int, n long, data binary"
@@ -343,10 +344,12 @@ def profile_inputs(design: Design, sample_rows: int = 4096) -> RawProfile:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
+        part = TaskContext.get().partitionId()
+        sampling = part < SAMPLE_PIECES // 2 or part & (part - 1) == 0  # the first tasks and sparser later ones
 
         def tee():
             for batch in batches:
-                if not kept and batch.num_rows:
+                if sampling and not kept and batch.num_rows:
                     step = max(1, batch.num_rows // keep_each)
                     head = batch.take(pa.array(range(0, batch.num_rows, step)[:keep_each]))
                     kept.append(np.hstack([_matrix(head, layout["x"], d), _matrix(head, layout["y"], 0)]))

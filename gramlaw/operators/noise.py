@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VARIANCE_FLOOR = 1e-12  # fixed value
+MAX_HOT = 10_000
 
 
 def variance_weight(variance: Column) -> Column:
@@ -104,14 +105,26 @@ def whiten_blocks(df: DataFrame, block: str, pos: str, cols: list[str], sigma: D
     )
 
 
-def sparse_chi2(residuals: DataFrame, key: str, r: str, precision: DataFrame) -> DataFrame:
-    """χ² = Σ w_ij·r_i·r_j for a sparse precision table (i, j, w).
+def sparse_chi2(residuals: DataFrame, key: str, r: str, precision: DataFrame, hot_entries: int = 2_000_000) -> DataFrame:
+    """χ² = Σ w_ij·r_i·r_j for a sparse precision table (i, j, w); one residual per key.
 
-    The products are first summed per i (map-side combined), so the second join meets one row per index.
+    Entries of a column j with more than ``hot_entries`` meet its single residual by broadcast (there are at most
+    entries/hot_entries such columns), the others by a shuffle join. Products are summed per i before the second join,
+    so that one meets a row per index.
     """
     rj = residuals.select(F.col(key).alias("j"), F.col(r).alias("rj"))
     ri = residuals.select(F.col(key).alias("i"), F.col(r).alias("ri"))
-    inner = precision.join(rj, "j").groupBy("i").agg(F.sum(F.col("w") * F.col("rj")).alias("wr"))
+    hot = precision.groupBy("j").count().where(F.col("count") > hot_entries).select("j").limit(MAX_HOT + 1).collect()
+    if len(hot) > MAX_HOT:
+        raise ValueError("too many heavy columns; raise hot_entries")
+    if hot:
+        keys = residuals.sparkSession.createDataFrame(hot, precision.select("j").schema)
+        heavy = precision.join(F.broadcast(rj.join(F.broadcast(keys), "j")), "j")
+        light = precision.join(F.broadcast(keys), "j", "left_anti").join(rj, "j")
+        met = heavy.select("i", "w", "rj").unionByName(light.select("i", "w", "rj"))
+    else:
+        met = precision.join(rj, "j")
+    inner = met.groupBy("i").agg(F.sum(F.col("w") * F.col("rj")).alias("wr"))
     return inner.join(ri, "i").agg(F.sum(F.col("wr") * F.col("ri")).alias("chi2"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gramlaw.operators.splits import exact_folds
 from gramlaw.operators.telemetry import events_as_telemetry, label
-from gramlaw.session import ship_package
+from gramlaw.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,7 +44,7 @@ def nudged(sql: str) -> str:
 def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
 
         run.__doc__ = fn.__doc__

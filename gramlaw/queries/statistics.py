@@ -485,6 +485,7 @@ def _op_log(spark, sf):
     sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y), "syy": F.sum(y * y)}
     per = long.groupBy("fold", "name").agg(*[e.alias(c) for c, e in sums.items()])
     total = per.groupBy("name").agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
+    # four rows, one per input
     tr = per.join(F.broadcast(total), "name").select("fold", "name", *[(F.col(f"t_{c}") - F.col(c)).cast("double").alias(c) for c in sums])
     n = F.col("n")
     mean = lambda c: F.col(c) / n

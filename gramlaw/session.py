@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +41,7 @@ def plan_bytes(df: DataFrame) -> int | None:
 
 def spread(df: DataFrame, small_bytes_per_core: int = 32 << 20) -> DataFrame:
     """Give compute-heavy passes one task per core when the input is too small to split; large inputs stay as read."""
+    prepare(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = plan_bytes(df)
     if size is not None and size < small_bytes_per_core * cores:
@@ -46,14 +49,21 @@ def spread(df: DataFrame, small_bytes_per_core: int = 32 << 20) -> DataFrame:
     return df
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per session (a no-op where it was submitted with the job)."""
-    import os
-    import shutil
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_DEFAULT = 64 << 20
 
-    if spark.conf.get("gramlaw.shipped", None):
+
+def prepare(spark: SparkSession) -> None:
+    """Once per session: make this package importable in Python workers, and keep Arrow batches of packed sums small.
+
+    Sums travel as rows of about 1 MB; at the default 64 MB per batch, and twice that while a buffer grows, the tasks of
+    an executor could exceed its direct memory. A value set by the user is left alone.
+    """
+    if spark.conf.get("gramlaw.prepared", None):
         return
+    if int(spark.conf.get(ARROW_BYTES, str(ARROW_DEFAULT)).rstrip("b")) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
     here = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-gramlaw-zip-"), "gramlaw"), "zip", os.path.dirname(here), "gramlaw")
     spark.sparkContext.addPyFile(archive)
-    spark.conf.set("gramlaw.shipped", "true")
+    spark.conf.set("gramlaw.prepared", "true")

@@ -8,7 +8,7 @@ os.environ.setdefault("OMP_NUM_THREADS", "1")
 
 from pyspark.sql import SparkSession  # noqa: E402
 
-from gramlaw.session import ship_package  # noqa: E402
+from gramlaw.session import prepare  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +23,6 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    ship_package(session)
+    prepare(session)
     yield session
     session.stop()

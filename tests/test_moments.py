@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gramlaw.operators.algebra import fold_view, orthonormal_map, residualize, ridge, split_views, whole_view
 from gramlaw.operators.catalog import Candidate, build_bank, evaluate
 from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, gram, profile_inputs, salted_sum, sum_partials
-from gramlaw.operators.noise import Ar1, ar1_frame, variance_weight, whiten_blocks
+from gramlaw.operators.noise import Ar1, ar1_frame, sparse_chi2, variance_weight, whiten_blocks
 from gramlaw.plans.basis import evaluate_basis, evaluate_external, raw_moments
 
 
@@ -199,3 +199,41 @@ def test_external_basis_with_dense_and_diagonal_covariance(spark):
         np.testing.assert_allclose(fit.checks["chi2"], r @ W @ r, rtol=1e-7)
     with pytest.raises(ValueError):
         evaluate_external(basis.where("i < 5"), target, entries, 2)
+
+
+def test_sparse_chi2_with_a_heavy_column(spark):
+    rng = np.random.default_rng(10)
+    r = rng.normal(size=60)
+    W = [(i, 0 if rng.random() < 0.4 else int(rng.integers(0, 60)), float(rng.normal())) for i in range(60) for _ in range(5)]
+    res = spark.createDataFrame([(k, float(v)) for k, v in enumerate(r)], "k long, r double")
+    prec = spark.createDataFrame(W, "i long, j long, w double")
+    want = sum(w * r[i] * r[j] for i, j, w in W)
+    for limit in (20, 10**6):
+        np.testing.assert_allclose(sparse_chi2(res, "k", "r", prec, limit).first()[0], want, rtol=1e-10)
+
+
+def test_bags_equal_selection_on_the_kept_rows(spark):
+    from gramlaw.operators import select
+    from gramlaw.operators.bagging import bag_buckets, bag_picks
+    from gramlaw.plans.options import Options
+    from gramlaw.plans.search import leaf_table
+
+    df, X, y, _ = frame(spark, n=600)
+    opt = Options(bag_boots=3, bag_buckets=5)
+    cands = build_bank(np.eye(3), 7, 4, 2)
+    design = Design(df, ["x0", "x1", "x2"], ["y"], leaf="fold")
+    prof = profile_inputs(design)
+    gt, sums = leaf_table(design, cands, prof, opt, ["id"], True)
+    views = dict(split_views(gt))
+    scales = {k: ((v.shift - gt.centre) / gt.scale, v.scale / gt.scale, v.live) for k, v in views.items()}
+    got = {(r["fold"], r["bag"], r["idx"]) for r in bag_picks(sums, PLAIN, len(cands), 1, scales, {(k, 0): 4 for k in views}, opt).collect()}
+    bucket = dict(df.select("id", F.pmod(F.xxhash64("id", F.lit(opt.seed), F.lit("bag")), F.lit(5)).alias("b")).collect())
+    Z = evaluate(cands, X)
+    want = set()
+    for k, v in views.items():
+        for b, kept in enumerate(bag_buckets(opt)):
+            rows = np.array([i % 5 != k and bucket[i] in kept for i in range(600)])
+            U = np.column_stack([np.ones(rows.sum()), (Z[rows] - v.shift) / v.scale, y[rows]])
+            picks, *_ = select.greedy_operators(U.T @ U, int(rows.sum()), v.live, opt, limit=4)
+            want |= {(k, b, j) for j in picks}
+    assert got == want
