@@ -24,7 +24,7 @@ TYPE_BITS = {
     "hsml_unary": 5.5,
     "hsml_binary": 7.5,
     "atomic": 4.0,
-    "ruliad": 12.0,
+    "graph": 12.0,
 }
 OLDER_TYPE_BITS = TYPE_BITS | {"bilinear": 8.0, "combo_vec": 9.0, "hsml_binary": 6.5}
 DEFAULT_TYPE_BITS = 8.0

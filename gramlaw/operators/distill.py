@@ -34,10 +34,13 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def action_templates(df: DataFrame, order: str = "record_id", regime: str = "regime", action: str = "executed_action") -> DataFrame:
+def action_templates(
+    df: DataFrame, order: str = "record_id", regime: str = "regime", action: str = "executed_action", copies: str | None = None
+) -> DataFrame:
     """Most common action per regime (ties to the one seen first) and its share; a regime never seen gets the overall
-    majority with share 0. Only one row per (regime, action) leaves the map side."""
-    counts = df.groupBy(regime, action).agg(F.count("*").alias("n"), F.min(order).alias("seen")).withColumnRenamed(regime, "regime")
+    majority with share 0. Only one row per (regime, action) leaves the map side. ``copies`` names repetition counts."""
+    n = F.sum(copies) if copies else F.count("*")
+    counts = df.groupBy(regime, action).agg(n.alias("n"), F.min(order).alias("seen")).withColumnRenamed(regime, "regime")
     mine = Window.partitionBy("regime").orderBy(F.desc("n"), "seen")
     ranked = counts.select(
         "regime",

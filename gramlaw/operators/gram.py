@@ -32,7 +32,8 @@ class Design:
 
     ``features`` is either a list of numeric columns or the name of one array column (then ``dim`` is its length).
     ``lagged`` marks AR(1) noise: the frame then carries ``prev_*`` copies of inputs and targets, the factor ``phi``
-    and the scale ``gain``, and every moment is taken of ``gain·(u_t - phi·u_prev)``.
+    and the scale ``gain``, and every moment is taken of ``gain·(u_t - phi·u_prev)``. ``copies`` names a column of
+    repetition counts: each row then enters moments and row counts as if it were there that many times.
     """
 
     df: DataFrame
@@ -42,6 +43,7 @@ class Design:
     weight: str | None = None
     leaf: str | None = None
     lagged: bool = False
+    copies: str | None = None
 
     @property
     def d(self) -> int:
@@ -126,6 +128,8 @@ def _narrow(design: Design, extra: list[Column] | None = None) -> DataFrame:
         cols += [F.col("phi").cast("double").alias("phi"), F.col("gain").cast("double").alias("gain")]
     if design.weight:
         cols.append(F.col(design.weight).cast("double").alias("w"))
+    if design.copies:
+        cols.append(F.col(design.copies).cast("double").alias("c"))
     cols.append((F.col(design.leaf) if design.leaf else F.lit(0)).cast("int").alias("leaf"))
     return df.select(*cols, *(extra or []))
 
@@ -141,6 +145,7 @@ def _layout(design: Design) -> dict:
         "d": design.d,
         "weight": design.weight is not None,
         "lagged": design.lagged,
+        "copies": design.copies is not None,
     }
 
 
@@ -217,10 +222,14 @@ def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale:
                 elif layout["weight"]:
                     V = U * np.sqrt(_matrix(batch, ["w"], 1)).T
                 leaf = batch.column("leaf").to_numpy(zero_copy_only=False)
+                times = _matrix(batch, ["c"], 1)[:, 0] if layout["copies"] else None
+                if times is not None:
+                    U *= np.sqrt(times)
+                    V = None if V is None else V * np.sqrt(times)
                 for k in np.unique(leaf):
                     rows = leaf == k
                     k = int(k)
-                    counts[k] = counts.get(k, 0) + int(rows.sum())
+                    counts[k] = counts.get(k, 0) + int(rows.sum() if times is None else round(times[rows].sum()))
                     add((k, PLAIN), U[:, rows])
                     if V is not None:
                         add((k, WEIGHTED), V[:, rows])

@@ -28,18 +28,20 @@ def training_medians(design: Design, directions: list[list[float]], folds: list[
 
     def projected(batches):
         for batch in batches:
-            yield _matrix(batch, layout["x"], layout["d"]) @ W, batch.column("leaf").to_numpy(zero_copy_only=False)
+            leaf = batch.column("leaf").to_numpy(zero_copy_only=False)
+            times = _matrix(batch, ["c"], 1)[:, 0] if layout["copies"] else np.ones(len(leaf))
+            yield _matrix(batch, layout["x"], layout["d"]) @ W, leaf, times
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], tuple] = {}
-        for Z, leaf in projected(batches):
+        for Z, leaf, times in projected(batches):
             for k in np.unique(leaf):
                 for r in range(W.shape[1]):
-                    z = Z[leaf == k, r]
-                    z = z[np.isfinite(z)]
+                    use = (leaf == k) & np.isfinite(Z[:, r])
+                    z = Z[use, r]
                     if len(z):
                         lo, hi, n = found.get((int(k), r), (np.inf, -np.inf, 0))
-                        found[int(k), r] = (min(lo, z.min()), max(hi, z.max()), n + len(z))
+                        found[int(k), r] = (min(lo, z.min()), max(hi, z.max()), n + round(times[use].sum()))
         rows = [(*key, *v) for key, v in found.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["leaf", "r", "lo", "hi", "n"])
@@ -65,13 +67,13 @@ def training_medians(design: Design, directions: list[list[float]], folds: list[
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             acc = np.zeros((len(brackets), len(leaves), BINS))
-            for Z, leaf in projected(batches):
+            for Z, leaf, times in projected(batches):
                 place = np.searchsorted(leaves, leaf)
                 for u, (r, lo, hi) in enumerate(brackets):
                     z = Z[:, r]
                     inside = (z >= lo) & (z < hi)
                     cell = np.searchsorted(edges[u], z[inside], side="right") - 1
-                    acc[u] += np.bincount(place[inside] * BINS + cell, minlength=acc[u].size).reshape(acc[u].shape)
+                    acc[u] += np.bincount(place[inside] * BINS + cell, weights=times[inside], minlength=acc[u].size).reshape(acc[u].shape)
             for u in range(len(brackets)):
                 yield record([(u, 0, 0, 0, acc[u].tobytes())])
 
@@ -88,12 +90,13 @@ def training_medians(design: Design, directions: list[list[float]], folds: list[
     brackets = sorted({(key[1], b[0], b[1]) for key, b in open_.items()})
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for Z, leaf in projected(batches):
+        for Z, leaf, times in projected(batches):
             for u, (r, lo, hi) in enumerate(brackets):
                 inside = (Z[:, r] >= lo) & (Z[:, r] < hi)
                 if inside.any():
                     pairs = np.column_stack([leaf[inside], Z[inside, r]])
-                    values, n = np.unique(pairs, axis=0, return_counts=True)
+                    values, which = np.unique(pairs, axis=0, return_inverse=True)
+                    n = np.rint(np.bincount(which.ravel(), weights=times[inside]))
                     cols = [pa.array(np.full(len(values), u)), pa.array(values[:, 0].astype(np.int64)), pa.array(values[:, 1]), pa.array(n.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(cols, names=["u", "leaf", "v", "n"])
 

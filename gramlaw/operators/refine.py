@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from gramlaw.operators import select
-from gramlaw.operators.algebra import FoldView, centred, residual_square, small, split_views, whole_view
+from gramlaw.operators.algebra import FoldView, centred, residual_square, split_views, whole_view
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.gram import Design, GramTable, RawProfile, gram
 from gramlaw.operators.graphs import Graph, graph_pool, node_candidate, product_of, seed_graph
@@ -32,9 +32,10 @@ def flipped(cand: Candidate, inputs: tuple[int, ...]) -> Candidate:
     return node_candidate(swap(cand.args["node"]))
 
 
-def _scaled_rows(view: FoldView, columns: list[int]) -> np.ndarray:
-    """Rows for columns centred and scaled on the training rows (the view already scales them)."""
-    return np.array([view.unit(j) for j in columns])
+def picked(M: np.ndarray, columns: list[int]) -> np.ndarray:
+    """Moments of ``(1, columns, y)``; a view's columns are already centred and scaled on the training rows."""
+    idx = [0, *(1 + j for j in columns), M.shape[0] - 1]
+    return M[np.ix_(idx, idx)]
 
 
 @dataclass
@@ -46,7 +47,7 @@ class Scorer:
     opt: Options
 
     def weights(self, columns: list[int]):
-        K = small(self.view.tr, _scaled_rows(self.view, columns), self.view.y)
+        K = picked(self.view.tr, columns)
         mu, S = centred(K)
         k = len(columns)
         w = np.linalg.solve(S[:k, :k] + self.opt.alpha * np.eye(k), S[:k, k])
@@ -55,14 +56,14 @@ class Scorer:
     def loss(self, columns: list[int]) -> float:
         """Mean square (or mean χ²) on validation of a fit on training."""
         w, b0 = self.weights(columns)
-        return residual_square(small(self.view.va, _scaled_rows(self.view, columns), self.view.y), w, b0) / max(self.view.n_va, 1)
+        return residual_square(picked(self.view.va, columns), w, b0) / max(self.view.n_va, 1)
 
     def redundancy(self, columns: list[int]) -> float:
         """Mean absolute off-diagonal correlation of the outputs, from the full validation moments."""
         k = len(columns)
         if k <= 1:
             return 0.0
-        K = small(self.view.va_plain, _scaled_rows(self.view, columns), self.view.y)
+        K = picked(self.view.va_plain, columns)
         _, S = centred(K)
         sd = np.sqrt(np.maximum(np.diag(S)[:k], 0.0))
         inv = np.where(sd > 1e-12, 1.0 / np.where(sd > 1e-12, sd, 1.0), 0.0)
@@ -81,8 +82,7 @@ class Scorer:
         w, _ = self.weights(columns)
         other = [self.at[flipped(node_candidate(o), self.opt.flip_inputs).name] for o in graph.outputs]
         w2, _ = self.weights(other)
-        A = np.vstack([_scaled_rows(self.view, columns), _scaled_rows(self.view, other)])
-        K = small(self.view.va_plain, A, self.view.y)
+        K = picked(self.view.va_plain, [*columns, *other])
         q = np.concatenate([[0.0], w, -w2, [0.0]])
         _, S = centred(K)
         sd_y = np.sqrt(max(S[-1, -1], 0.0) / max(self.view.n_va, 1)) + 1e-8
@@ -232,7 +232,7 @@ def search_graphs(design: Design, keys: list[tuple[int, int]], prof: RawProfile,
 
 def top_outputs(view: FoldView, columns: list[int], k: int) -> list[int]:
     """The ``k`` columns most correlated with y on validation."""
-    K = small(view.va_plain, _scaled_rows(view, columns), view.y)
+    K = picked(view.va_plain, columns)
     _, S = centred(K)
     sd = np.sqrt(np.maximum(np.diag(S), 0.0))
     corr = np.abs(S[:-1, -1]) / (sd[:-1] * sd[-1] + 1e-12)
@@ -262,7 +262,7 @@ def refine_fits(design: Design, fits: dict, prof: RawProfile, opt: Options, whol
         if len(columns) > opt.refine_keep:
             columns = top_outputs(view, columns, opt.refine_keep)
         start = select.start_growth(view, A, opt)
-        grown = select.offer(view, start, "ruliad", 1, columns, opt, "either", 0) if columns else start
+        grown = select.offer(view, start, "graph", 1, columns, opt, "either", 0) if columns else start
         w, b0, _, _ = select.fit_with(view, grown.A, opt)
         if grown.accepted:
             f.blocks = [*f.blocks, "graph"]

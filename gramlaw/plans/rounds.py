@@ -75,14 +75,14 @@ class Distilled:
         return spark.createDataFrame(self.student.law_rows(), "target string, num_consensus_ops double, median_op_bits double, r2_oof double, mse_oof double")
 
 
-def fit_student(train: DataFrame, kind: str, features: list[str], opt: Options, key: str = "record_id", weight: str | None = None) -> Student:
+def fit_student(train: DataFrame, kind: str, features: list[str], opt: Options, key: str = "record_id", copies: str | None = None) -> Student:
     if kind == "bits":
         df = train.withColumns({f"y_{b}": F.col("executed_action")[i].cast("double") for i, b in enumerate(BITS)})
         targets, templates = [f"y_{b}" for b in BITS], None
     else:
         df = train.withColumns(regime_targets())
-        targets, templates = [f"is_{r}" for r in REGIMES], materialise(action_templates(train, key), "templates")
-    return Student(kind, search(df, features, targets, key, opt, weight=weight), templates)
+        targets, templates = [f"is_{r}" for r in REGIMES], materialise(action_templates(train, key, copies=copies), "templates")
+    return Student(kind, search(df, features, targets, key, opt, copies=copies), templates)
 
 
 def evaluate_student(student: Student, df: DataFrame, gate: Gate | None = Gate()) -> dict:
@@ -110,23 +110,23 @@ def distill_rounds(
     replay: str = "weights",
     gate: Gate | None = Gate(),
 ) -> Distilled:
-    """``rounds`` + 1 fits. Mining always looks at the original training rows; replay enters as row weights (folds stay
-    clean) or as copies, which keep their record's fold as well because folds are hashed by record id."""
+    """``rounds`` + 1 fits. Mining always looks at the original training rows; replay enters as repetition counts or as
+    real copies, with the same result: copies keep their record's fold because folds are hashed by record id."""
     rows = materialise(positional_split(labelled, "record_id", frac), "labelled")
     train, test = rows.where("is_train"), rows.where("NOT is_train")
-    current, weight = train, None
+    current, times = train, None
     history = []
     student = None
     for r in range(rounds + 1):
-        student = fit_student(current, kind, features, opt, weight=weight)
+        student = fit_student(current, kind, features, opt, copies=times)
         record = {"round": r, **evaluate_student(student, train, gate)}
         if r < rounds:
             mined = materialise(mine(student.predict(train), top_frac=top_frac), "mined")
             record |= mining_stats(mined, strength).first().asDict()
             if replay == "weights":
-                current, weight = replay_weights(mined, strength), "replay_weight"
+                current, times = replay_weights(mined, strength), "replay_weight"
             else:
-                current, weight = replay_rows(mined, strength), None
+                current, times = replay_rows(mined, strength), None
         history.append(record)
     full = sorted({k for h in history for k in h})
     history = [{k: (float(h[k]) if isinstance(h.get(k), (int, float)) and not isinstance(h.get(k), bool) else h.get(k)) for k in full} for h in history]

@@ -8,7 +8,7 @@ from gramlaw.operators import select
 from gramlaw.operators.algebra import split_views, whole_view
 from gramlaw.operators.catalog import Candidate, catalog_frame
 from gramlaw.operators.gram import Design, gram, profile_inputs
-from gramlaw.operators.graphs import Graph, description_bits, node_candidate, nodes_frame, seed_graph
+from gramlaw.operators.graphs import Graph, description_bits, node_candidate, seed_graph
 from gramlaw.operators.refine import Scorer, columns_of, search_graphs, top_outputs, tune
 from gramlaw.operators.noise import Ar1
 from gramlaw.plans.options import Options, older
@@ -298,15 +298,6 @@ def _(spark, sf):
     return rounded(description_bits(o.select(k.alias("state_id"), F.lit(3).alias("outputs"), F.inline(nodes))))
 
 
-@query("seed_graph_bits")
-def _(spark, sf):
-    """Node table and description length of the seed graph and a product on it; inputs counted from the table."""
-    prof = profile_inputs(Design(orders(spark, sf), ORDER_FEATURES, ["y"]))
-    d = int((prof.variances(4) > 0).sum())
-    g = seed_graph(d)
-    return description_bits(nodes_frame(spark, [g, g.grown(["mul", {}, [g.outputs[0], g.outputs[3]]], "add_mul")]))
-
-
 # --------------------------------------------------------------------------------------------------------------
 # Distillation of policies into laws
 

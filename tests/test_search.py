@@ -55,20 +55,16 @@ def test_targets_share_moments_without_changing_results(planted):
     assert [r[2] for r in both["up"].op_log] == [r[2] for r in alone.op_log]
 
 
-def test_replay_weight_equals_copies_in_moments(spark, planted):
-    from gramlaw.operators.algebra import whole_view
-    from gramlaw.operators.catalog import build_bank
-    from gramlaw.operators.gram import PLAIN, WEIGHTED, gram
-
-    cands = build_bank(np.eye(5), 3, 3, 1)
-    weighted = planted.withColumn("w", (F.col("id") % 3 + 1).cast("double"))
-    copied = weighted.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
-    a = gram(Design(weighted, XS, ["y"], weight="w"), cands)
-    b = gram(Design(copied, XS, ["y"]), cands)
-    shift = lambda g, m: np.diag([1, *g.scale, 1]) @ np.eye(len(g.scale) + 2) @ m.M @ np.diag([1, *g.scale, 1])
-    assert a.total(WEIGHTED).M[0, 0] == b.total(PLAIN).M[0, 0]
-    np.testing.assert_allclose(a.total(WEIGHTED).M[-1, -1], b.total(PLAIN).M[-1, -1], rtol=1e-9)
-    assert whole_view(b).n_tr == copied.count() and shift(a, a.total(WEIGHTED)).shape == (len(cands) + 2,) * 2
+def test_repetition_counts_equal_real_copies(planted):
+    counted = planted.withColumn("times", (F.col("id") % 3 + 1).cast("double"))
+    copied = counted.withColumn("c", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    opt = LIGHT.patched(max_atoms=3, max_ops=4, max_grammar=1, linear_lock=2.0)
+    a = search(counted, XS, "y", "id", opt, copies="times", consensus=False)["y"]
+    b = search(copied, XS, "y", "id", opt, consensus=False)["y"]
+    assert [f.view.n_tr for f in a.folds] == [f.view.n_tr for f in b.folds]
+    assert [(r[1], r[2], r[9]) for r in a.op_log] == [(r[1], r[2], r[9]) for r in b.op_log]
+    assert [f.blocks for f in a.folds] == [f.blocks for f in b.folds]
+    np.testing.assert_allclose(a.metrics["MSE_OOF"], b.metrics["MSE_OOF"], rtol=1e-6)
 
 
 def test_grammar_and_refiner_improve_an_unlocked_law(planted):
@@ -162,3 +158,28 @@ def test_probe_of_invariant_law_is_zero(spark):
     assert scores == {"flip": 0.0, "rotate": 0.0, "scale": 0.0}
     moved = probe_scores(probe_shifts(df, even, [Probe("scale", (0,)), Probe("rotate", (0, 1))], "id", 3)).collect()
     assert all(r["score"] > 0 for r in moved)
+
+
+def test_staged_input_changes_nothing(planted):
+    opt = LIGHT.patched(bag_boots=0, max_grammar=0, max_atoms=4)
+    a = search(planted, XS, "y", "id", opt, consensus=False)["y"]
+    b = search(planted.withColumn("unused", F.lit("z")), XS, "y", "id", opt, consensus=False, stage=True)["y"]
+    np.testing.assert_allclose(a.metrics["MSE_OOF"], b.metrics["MSE_OOF"], rtol=1e-9)
+
+
+def test_ar1_folds_keep_series_together(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for s in range(12):
+        e = 0.0
+        for t in range(60):
+            x = float(rng.normal())
+            e = 0.9 * e + float(rng.normal()) * 0.3
+            rows.append((s, t, s * 60 + t, x, float(np.tanh(x) + e)))
+    df = spark.createDataFrame(rows, "series int, t int, id int, x double, y double").repartition(4)
+    from gramlaw.operators.noise import Ar1
+
+    opt = LIGHT.patched(bag_boots=3, max_grammar=0, max_atoms=4, folds=3)
+    r = search(df, ["x"], "y", "id", opt, ar1=Ar1("series", "t", 0.9, 0.7), consensus=False, stage=True)["y"]
+    assert r.metrics["R2_OOF_GLS"] > 0.5 and r.op_log
+    assert sum(f.view.n_va for f in r.folds) == 720 and all(f.view.n_va % 60 == 0 for f in r.folds)

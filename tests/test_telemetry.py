@@ -159,12 +159,18 @@ def test_gate(spark):
         assert not with_gate(spark.createDataFrame([good | {name: bad}]), Gate()).first()["all_pass"]
 
 
-@pytest.mark.parametrize("replay", ["weights", "copies"])
-def test_rounds(spark, events, replay):
-    opt = Options(n_proj=3, n_pairs=1, max_atoms=3, max_ops=3, max_grammar=0, refine=False, bag_boots=0, folds=3)
-    d = distill_rounds(label(events), "regimes", ["temp", "pred_temp", "queue_ratio", "temp_slope"], opt, rounds=1, replay=replay)
+def test_rounds_with_counts_and_with_copies_agree(spark, events):
+    opt = Options(n_proj=3, n_pairs=1, max_atoms=3, max_ops=3, max_grammar=0, refine=False, bag_boots=2, bag_buckets=4, folds=3)
+    done = {
+        replay: distill_rounds(label(events), "regimes", ["temp", "pred_temp", "queue_ratio", "temp_slope"], opt, rounds=1, replay=replay)
+        for replay in ("weights", "copies")
+    }
+    d = done["weights"]
     assert len(d.rounds) == 2 and d.evaluation["regime_accuracy"] > 0.6
     assert d.metrics(spark).count() == 1 and d.history(spark).count() == 2 and d.compactness(spark).count() == 5
+    for key, value in d.evaluation.items():
+        other = done["copies"].evaluation[key]
+        assert value == other or abs(value - other) < 1e-6 * max(1.0, abs(value)), key
 
 
 def test_sigma_documents_and_shapes(spark):
