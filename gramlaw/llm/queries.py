@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gramlaw.llm import packing, rules
+from gramlaw.llm import packing, pii, rules
 from gramlaw.llm.text import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data: those of the fixed forms, and those found by contexts that these teach."""
+    out = pii.spans(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.FORMS)]
+    return out.select("doc_id", *counts, F.sha2(pii.as_text("base"), 256).alias("base_sha256"), pii.as_text("spans").alias("spans"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each text and the verdict of fences adapted to its language and source."""

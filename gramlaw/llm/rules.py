@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlaw.llm.text import let
+
 WHITE = "\\x20\\x09-\\x0D"  # inside a character class
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -34,11 +36,6 @@ def _without(text: Column, chars: str) -> Column:
     return F.char_length(F.regexp_replace(text, f"[{chars}]+", ""))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _repeated(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice. Windows are compared by a 64-bit hash within their text."""
     n = F.size(words)
@@ -46,10 +43,10 @@ def _repeated(words: Column) -> Column:
 
     def covered(hashes: Column) -> Column:
         placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        twice = _let(placed, lambda s: F.filter(F.transform(s, lambda x, j: F.when((F.get(s, j + 1)["h"] == x["h"]) | (F.get(s, j - 1)["h"] == x["h"]), x["i"])), lambda p: p.isNotNull()))
-        return _let(F.sort_array(twice), lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
+        twice = let(placed, lambda s: F.filter(F.transform(s, lambda x, j: F.when((F.get(s, j + 1)["h"] == x["h"]) | (F.get(s, j - 1)["h"] == x["h"]), x["i"])), lambda p: p.isNotNull()))
+        return let(F.sort_array(twice), lambda p: F.aggregate(F.transform(p, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(p, j + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x))
 
-    return F.when(n < 3, F.lit(0)).otherwise(_let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))).cast("long")
+    return F.when(n < 3, F.lit(0)).otherwise(let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))).cast("long")
 
 
 def measured(docs: DataFrame, name: str = "rules") -> DataFrame:
