@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import packing, pii, rules
+from gramlaw.llm import minhash, packing, pii, rules
 from gramlaw.llm.text import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 5-word shingle sets link at a similarity of 0.75 or more."""
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data: those of the fixed forms, and those found by contexts that these teach."""
