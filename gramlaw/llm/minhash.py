@@ -40,7 +40,7 @@ WORDS, BANDS, ROWS, BITS = 5, 40, 5, 1024
 SAMPLES = BANDS * ROWS
 LEAST, OF = 75, 100  # linked if OF * intersection >= LEAST * union
 MARGIN, STARS = 0.17, 3
-FEATURES = "doc_id long, n long, a long, b long, bands array<long>, sketch array<long>"
+FEATURES = "doc_id long, th long, n long, a long, b long, bands array<long>, sketch array<long>"
 
 _random = np.random.default_rng(20_240_229)
 _FACTORS = _random.integers(1 << 31, size=SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -76,7 +76,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for part in batches:
@@ -93,9 +93,9 @@ def features(docs: DataFrame) -> DataFrame:
             def lists(x):
                 return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.view(np.int64).ravel()))
 
-            yield batch(schema, part.column(0), size, name_a.view(np.int64), name_b.view(np.int64), lists(keyed), lists(sketch))
+            yield batch(schema, part.column(0), part.column(2), size, name_a.view(np.int64), name_b.view(np.int64), lists(keyed), lists(sketch))
 
-    return mapped(docs, ["doc_id", "text"], run, FEATURES)
+    return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), ["doc_id", "text", "th"], run, FEATURES)
 
 
 def _estimate(x: str, y: str) -> Column:
@@ -174,7 +174,8 @@ def _hubs(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    """(doc_id, n_shingles, component_id, kept, th, component) for every row of ``docs``; th is the hash of the text,
+    component the label of the group (null without words)."""
     all_features = cut(features(docs), "features")
     by_set = all_features.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = cut(by_set, "classes")
@@ -193,12 +194,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         labels = components(labels, confirmed(_across(open_, classes), classes, docs))
     least = labels.join(classes.select("a", "rep"), "a").groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = labels.join(least, "comp").join(classes.select("a", "b", "n"), "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_n"), "component_id")
+    named = labels.join(least, "comp").join(classes.select("a", "b", "n"), "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_n"), "component_id", F.col("comp").alias("component"))
     named = cut(named, "named")
     # both sides are plain reads, so that the adaptive join can split a class with very many copies
     out = all_features.drop("bands", "sketch").join(named, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n") == F.col("_n")), "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "th", "component")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group: the one of the smallest id. Repeated rows (id and text) stay once."""
+    near = cut(near_duplicates(docs), "near")
+    first = near.where("kept and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("one"))
+    marked = near.join(first, "component", "left")
+    gone = marked.where(F.col("component").isNotNull() & ~F.struct("doc_id", "th").eqNullSafe(F.col("one"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    rows = docs.withColumn("_t", F.xxhash64("text"))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left_anti").dropDuplicates(["doc_id", "_t"]).drop("_t")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:

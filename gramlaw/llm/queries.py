@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import minhash, packing, pii, rules
-from gramlaw.llm.text import cut
+from gramlaw.llm import langid, minhash, packing, pii, rules
+from gramlaw.llm.text import cut, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 5-word shingle sets link at a similarity of 0.75 or more."""
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("th", "component")
 
 
 @query
@@ -47,6 +47,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judged(table, rules.thresholds(table)).select("doc_id", *counts)
 
 
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each text, learned from the documents outside the held-out quarter."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 4) == 2)
+    return langid.predict(docs, langid.fit(docs.where("not held_out")), ["doc_id", "held_out"]).drop("evidence")
+
+
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""

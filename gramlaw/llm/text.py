@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gramlaw.session import prepare
 
@@ -39,7 +40,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mapped(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The columns that operators know, and all others in one struct, so that no name can clash with a working column."""
+    core = [c for c in docs.columns if c in CORE]
+    return docs.select(*core, F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in CORE]).alias("_extra"))
+
+
+def unpacked(out: DataFrame, like: DataFrame) -> DataFrame:
+    return out.select(*[F.col(c) if c in CORE else F.col("_extra")[c].alias(c) for c in like.columns])
+
+
+def mapped(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over the named columns; ``fn`` sees slices of about ``SLICE_BYTES`` of text."""
     prepare(df.sparkSession)
     return df.select(*columns).mapInArrow(lambda batches: fn(sliced(batches)), schema)
