@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import langid, minhash, packing, pii, rules
+from gramlaw.llm import bpe, langid, minhash, packing, pii, rules
 from gramlaw.llm.text import cut, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("th", "component")
 
 
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each text and the text that they decode to, as digests."""
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data: those of the fixed forms, and those found by contexts that these teach."""
