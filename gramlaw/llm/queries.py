@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import bpe, langid, minhash, packing, pii, rules
+from gramlaw.llm import bpe, langid, minhash, packing, pii, ranking, rules
 from gramlaw.llm.text import cut, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("th", "component")
 
 
+@query
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores learned from pairs of good and bad documents outside the held-out third."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(remainder("doc_id", 3) != 1)
+    out = ranking.scored(docs, ranking.fit(docs, labels))
+    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each text and the text that they decode to, as digests."""
