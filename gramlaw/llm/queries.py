@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import bpe, langid, minhash, packing, phrases, pii, ranking, rules
+from gramlaw.llm import bpe, context_tree, langid, minhash, packing, phrases, pii, ranking, rules
 from gramlaw.llm.text import cut, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,15 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir)).drop("th", "component")
 
 
+@query
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base score and context-tree score of each text, learned outside the held-out tenth."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    table = cut(context_tree.counts(docs.where(remainder("doc_id", 10) != 0)), "counts")
+    out = context_tree.scored(docs, table)
+    return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), *out.columns[1:])
+
+
 @query
 def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores learned from pairs of good and bad documents outside the held-out third."""
