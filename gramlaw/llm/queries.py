@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import bpe, context_tree, langid, minhash, packing, phrases, pii, ranking, rules
+from gramlaw.llm import bpe, context_tree, langid, licenses, minhash, packing, phrases, pii, ranking, rules
 from gramlaw.llm.text import cut, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,16 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts are, as a whole, a known licence."""
+    known = spark.createDataFrame(list(licenses.KNOWN.items()), "name string, text string")
+    return licenses.matched(documents(spark, sf_dir), known)
+
+
+ORACLES["op5_licenses"] = licenses.matched_sql()
+
+
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data: those of the fixed forms, and those found by contexts that these teach."""
