@@ -23,7 +23,7 @@ from gramlaw.operators.splits import exact_folds, hashed_folds  # noqa: E402
 from gramlaw.operators.telemetry import REGIMES  # noqa: E402
 from gramlaw.plans.law import Law, score_array  # noqa: E402
 from gramlaw.plans.options import Options  # noqa: E402
-from gramlaw.plans.search import count_bags, fold_directions, leaf_table, search  # noqa: E402
+from gramlaw.plans.search import count_bags, leaf_table, round_draws, search  # noqa: E402
 from gramlaw.queries.common import LINE_FEATURES, LINE_KEY, ORDER_FEATURES, labelled, line, orders  # noqa: E402
 from gramlaw.session import prepare  # noqa: E402
 
@@ -71,7 +71,7 @@ def main() -> None:
     law = Law(og.intercept, tuple((o.coeff, cands[o.idx]) for o in og.ops), tuple(LINE_FEATURES))
     timed("law_scoring_expression", lambda: sink(law.score(design.df).select("yhat")))
     timed("law_scoring_arrow", lambda: sink(design.df.select(score_array([law])[0].alias("yhat"))))
-    draws = [q["w"] for q in fold_directions(42, 4, 12)]
+    draws = [q.relu for q in round_draws(42, 4, 12)]
     timed("medians_12_directions_5_folds", lambda: training_medians(design, draws, [0, 1, 2, 3, 4], False))
     timed("exact_folds", lambda: sink(exact_folds(orders(spark, sf_dir), "id", 5).select("id", "fold")))
     light = Options(n_proj=8, n_pairs=8, max_grammar=0, refine=False)

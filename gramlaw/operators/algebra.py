@@ -77,12 +77,14 @@ def split_views(table: GramTable, target: int = 0) -> list[tuple[int, FoldView]]
     """One view per fold: that leaf validates, the sum of the others trains."""
     leaves = sorted({leaf for leaf, _ in table.leaves})
     kinds = sorted({kind for _, kind in table.leaves})
+    if len(leaves) < 2:
+        raise ValueError("cross-validation needs rows in at least two folds (under AR(1) noise: two series)")
     pick = {key: m.target(target) for key, m in table.leaves.items()}
     views = []
     for k in leaves:
         train = {}
         for kind in kinds:
-            parts = [pick[leaf, kind] for leaf in leaves if leaf != k] or [pick[k, kind]]
+            parts = [pick[leaf, kind] for leaf in leaves if leaf != k]
             total = parts[0]
             for m in parts[1:]:
                 total = total + m

@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlaw.functions.atoms import finite
 from gramlaw.operators.catalog import Candidate, evaluate
 from gramlaw.session import spread
 
@@ -33,7 +34,9 @@ class Design:
     ``features`` is either a list of numeric columns or the name of one array column (then ``dim`` is its length).
     ``lagged`` marks AR(1) noise: the frame then carries ``prev_*`` copies of inputs and targets, the factor ``phi``
     and the scale ``gain``, and every moment is taken of ``gain·(u_t - phi·u_prev)``. ``copies`` names a column of
-    repetition counts: each row then enters moments and row counts as if it were there that many times.
+    repetition counts: each row then enters moments and row counts as if it were there that many times. ``origin`` is
+    taken off each target before anything is summed, so that a large offset costs no digits; only the intercept of a
+    finished law takes it back.
     """
 
     df: DataFrame
@@ -44,6 +47,7 @@ class Design:
     leaf: str | None = None
     lagged: bool = False
     copies: str | None = None
+    origin: tuple[float, ...] = ()
 
     @property
     def d(self) -> int:
@@ -109,11 +113,12 @@ def _matrix(batch: pa.RecordBatch, names: list[str] | str, dim: int) -> np.ndarr
 
 
 def _narrow(design: Design, extra: list[Column] | None = None) -> DataFrame:
-    """Only the columns the pass needs, under fixed names; rows without every target are left out."""
+    """Only the columns the pass needs, under fixed names; rows without every target (null or NaN) are left out."""
     cols: list[Column] = []
     df = design.df
     for t in design.targets:
-        df = df.where(F.col(f"`{t}`").isNotNull())
+        df = df.where(F.col(f"`{t}`").isNotNull() & ~F.isnan(F.col(f"`{t}`").cast("double")))
+    origin = design.origin or (0.0,) * len(design.targets)
     if isinstance(design.features, str):
         cols.append(F.col(design.features).alias("x"))
         if design.lagged:
@@ -122,9 +127,9 @@ def _narrow(design: Design, extra: list[Column] | None = None) -> DataFrame:
         cols += [F.col(f"`{n}`").cast("double").alias(f"x{j}") for j, n in enumerate(design.features)]
         if design.lagged:
             cols += [F.col(f"`prev_{n}`").cast("double").alias(f"px{j}") for j, n in enumerate(design.features)]
-    cols += [F.col(f"`{t}`").cast("double").alias(f"y{k}") for k, t in enumerate(design.targets)]
+    cols += [(F.col(f"`{t}`").cast("double") - F.lit(origin[k])).alias(f"y{k}") for k, t in enumerate(design.targets)]
     if design.lagged:
-        cols += [F.col(f"`prev_{t}`").cast("double").alias(f"py{k}") for k, t in enumerate(design.targets)]
+        cols += [(F.col(f"`prev_{t}`").cast("double") - F.lit(origin[k])).alias(f"py{k}") for k, t in enumerate(design.targets)]
         cols += [F.col("phi").cast("double").alias("phi"), F.col("gain").cast("double").alias("gain")]
     if design.weight:
         cols.append(F.col(design.weight).cast("double").alias("w"))
@@ -310,17 +315,39 @@ def affine(M: np.ndarray, shift: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 @dataclass
 class RawProfile:
-    """Exact first and second moments of the inputs and targets, plus a bounded row sample for working scales."""
+    """First and second moments of the inputs and targets, plus a bounded row sample for working scales.
 
-    moments: Moments
+    ``inner`` holds them about ``mean`` and in units of ``sd``, where a large offset costs no digits; ``flat`` marks inputs
+    whose least and largest value are equal.
+    """
+
+    inner: Moments
+    mean: np.ndarray
+    sd: np.ndarray
+    flat: np.ndarray
     sample_x: np.ndarray
     sample_y: np.ndarray
 
+    @property
+    def moments(self) -> Moments:
+        """The moments in raw units, for tables of sums."""
+        back = lambda v, first: np.concatenate([[first], v])
+        M = affine(self.inner.M, back(-self.mean / self.sd, 0.0), back(self.sd, 1.0))
+        return Moments(M, self.inner.n, self.inner.p, self.inner.t)
+
     def corr(self, d: int) -> np.ndarray:
-        return corrcoef_from(self.moments, d)
+        return corrcoef_from(self.inner, d)
 
     def variances(self, d: int) -> np.ndarray:
-        return np.maximum(np.diag(self.moments.covariance())[1 : 1 + d], 0.0)
+        inner = np.maximum(np.diag(self.inner.covariance())[1 : 1 + d], 0.0)
+        return np.where(self.flat, 0.0, inner * self.sd[:d] ** 2)
+
+    def about_means(self) -> tuple[tuple[float, ...], "RawProfile"]:
+        """The targets' means as origins, and the profile as a design with these origins has it."""
+        t = self.inner.t
+        origin = self.mean[-t:]
+        mean = np.concatenate([self.mean[:-t], np.zeros(t)])
+        return tuple(float(v) for v in origin), replace(self, mean=mean, sample_y=self.sample_y - origin)
 
 
 def corrcoef_from(m: Moments, d: int, sample_factor: bool = True) -> np.ndarray:
@@ -346,10 +373,10 @@ def profile_inputs(design: Design, sample_rows: int = 4096) -> RawProfile:
     base = replace(design, weight=None, lagged=False)
     layout = _layout(base)
     raw = [Candidate(f"x{i}", "unary", {"f": "x", "i": i}) for i in range(d)]
-    zero, one = np.zeros(d + t), np.ones(d + t)
     narrow = spread(_narrow(base))
+    mean, sd, flat = _location(narrow, layout, d)
     keep_each = max(1, sample_rows // SAMPLE_PIECES)
-    body = _accumulate(layout, raw, zero, one)
+    body = _accumulate(layout, raw, mean, sd)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -375,16 +402,30 @@ def profile_inputs(design: Design, sample_rows: int = 4096) -> RawProfile:
     for G, count in unpack([r for r in rows if r["leaf"] >= 0], 1 + d + t).values():
         M += G
         n += count
-    if n == 0:
-        raise ValueError("no rows with a target value")
     sample = np.vstack([np.frombuffer(r["data"]).reshape(-1, d + t) for r in rows if r["leaf"] < 0])
-    return RawProfile(Moments(M, n, d, t), sample[:, :d], sample[:, d:])
+    return RawProfile(Moments(M, n, d, t), mean, sd, flat, sample[:, :d], sample[:, d:])
+
+
+def _location(narrow: DataFrame, layout: dict, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, deviations and constancy of the (finite) inputs and the targets, by merged central moments."""
+    x = [F.col("x")[j] for j in range(d)] if isinstance(layout["x"], str) else [F.col(c) for c in layout["x"]]
+    cols = [finite(c) for c in x] + [F.col(c) for c in layout["y"]]
+    of = lambda fn: F.array(*[fn(c) for c in cols])
+    row = narrow.agg(F.count("*").alias("n"), of(F.mean).alias("mean"), of(F.stddev_pop).alias("sd"), of(F.min).alias("lo"), of(F.max).alias("hi")).first()
+    if not row["n"]:
+        raise ValueError("no rows with a target value")
+    mean, sd = np.array(row["mean"], dtype=float), np.array(row["sd"], dtype=float)
+    flat = np.array(row["lo"]) == np.array(row["hi"])
+    mean = np.where(np.isfinite(mean), np.where(flat, np.array(row["lo"], dtype=float), mean), 0.0)
+    return mean, np.where(np.isfinite(sd) & (sd > 0) & ~flat, sd, 1.0), flat[:d]
 
 
 def working_scale(cands: list[Candidate], prof: RawProfile) -> tuple[np.ndarray, np.ndarray]:
     """Shift and scale for accumulation, from the profile's row sample."""
     V = np.hstack([evaluate(cands, prof.sample_x), prof.sample_y])
     mu, sd = V.mean(axis=0), V.std(axis=0)
+    t = prof.inner.t
+    mu[-t:], sd[-t:] = prof.mean[-t:], prof.sd[-t:]  # of all rows, not of the sample
     floor = np.maximum(1e-12, 1e-9 * np.abs(mu))
     return mu, np.where(sd > floor, sd, np.maximum(np.abs(mu), 1.0))
 

@@ -20,6 +20,7 @@ from gramlaw.operators.catalog import Candidate
 from gramlaw.plans.options import Options
 
 RANK_TOL = 1e-10
+TIE = 1e-9
 RSS_FLOOR = 1e-12  # share of the total below which a residual is rounding of the moments; an exact law counts as this
 
 
@@ -100,7 +101,7 @@ def forward_atoms(view: FoldView, opt: Options) -> Alphabet:
         tz = -wr / sd
         rss = (H * (Kva @ H)).sum(0) + 2 * tz * (H * kz).sum(0) + tz**2 * diag_va
         scores = np.where(ok, _score(rss, view.n_va, opt, mdl_bits("atomic", 0, k + 1, opt.type_bits)), np.inf)
-        j = int(np.argmin(scores))
+        j = first_best(-scores)
         row = (view.unit(j) - Gamma[:, j] @ A) / sd[j]
         row[0] -= mu[j] / sd[j]
         A2 = np.vstack([A, row])
@@ -153,6 +154,13 @@ def sized_defaults(n: int, opt: Options) -> tuple[float, int, float]:
     )
 
 
+def first_best(values: np.ndarray) -> int:
+    """The first of the largest values; what differs by rounding only is equal, so that equal columns give the first of
+    them whatever shift and scale the moments were summed in."""
+    top = float(np.max(values))
+    return int(np.argmax(values >= top - TIE * (1.0 + abs(top)))) if np.isfinite(top) else int(np.argmax(values))
+
+
 def greedy_operators(
     M: np.ndarray, n: int, live: np.ndarray, opt: Options, limit: int | None = None, intercept: bool = True
 ) -> tuple[list[int], list[float], list[float], float, list[tuple[float, float]]]:
@@ -184,7 +192,7 @@ def greedy_operators(
         drop = np.where(left > RANK_TOL, b**2 / np.maximum(left, RANK_TOL), 0.0)
         gain = ebic_bits(np.maximum(rss - drop, floor), n, k0 + len(picks) + 1, p_live, gamma) - current
         gain = np.where(open_ & (near <= opt.max_corr), gain, -np.inf)
-        j = int(np.argmax(gain))
+        j = first_best(gain)
         if gain[j] <= 0.0 or gain[j] < threshold:
             break
         column = M[1 + j, z] / (safe[j] * safe)

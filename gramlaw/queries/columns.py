@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gramlaw.functions.atoms import REGISTRY, UNARY, apply_atom, finite, finite_sql
 from gramlaw.operators import catalog
 from gramlaw.operators.catalog import Candidate, GroupSpec, build_bank, combo_block, dihedral_block, group_block, perm_block, unit_vector
-from gramlaw.operators.gram import Design, corrcoef_from, gram, profile_inputs
+from gramlaw.operators.gram import Design, gram, profile_inputs
 from gramlaw.operators.graphs import Graph, product_nodes, seed_graph
 from gramlaw.operators.ranks import median_of
 from gramlaw.operators.residual import Step, add_chain
@@ -57,9 +57,8 @@ def _(spark, sf):
     path = shared_path(spark, "basis")
     src.write.mode("overwrite").csv(path, header=False)
     basis = read_basis_csv(spark, path, 2)
-    lowest = basis.agg(F.min("i")).first()[0]
-    diagonal = basis.select((F.col("i") - lowest).alias("i"), (F.col("i") - lowest).alias("j"), F.lit(1.0).alias("v"))
-    check_shapes(basis, src, diagonal)
+    diagonal = basis.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+    check_shapes(basis, src.select(F.col("c_custkey").cast("long").alias("i")), diagonal)
     return basis
 
 
@@ -219,10 +218,21 @@ _PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
 )
 def _(spark, sf):
     """Correlations with population deviations and n-1 covariance."""
-    R = corrcoef_from(profile_inputs(Design(orders(spark, sf), ORDER_FEATURES, ["y"])).moments, 4)
+    R = profile_inputs(Design(orders(spark, sf), ORDER_FEATURES, ["y"])).corr(4)
     return rounded(spark.createDataFrame([(i, j, float(R[i, j])) for i, j in _PAIRS], "i int, j int, r double"))
 
 
+@query(
+    "corr_offset",
+    f"WITH {ORDER_SQL} " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(corr(x{i}+1e9,x{j}+1e9)*count(*)/(count(*)-1.0),5) AS r FROM ord" for i, j in _PAIRS if i != j),
+)
+def _(spark, sf):
+    """Correlations of inputs that stand far from zero."""
+    far = orders(spark, sf).withColumns({c: F.col(c) + 1e9 for c in ORDER_FEATURES})
+    R = profile_inputs(Design(far, ORDER_FEATURES, ["y"])).corr(4)
+    return rounded(spark.createDataFrame([(i, j, float(R[i, j])) for i, j in _PAIRS if i != j], "i int, j int, r double"), 5)
+
+
 @query(
     "projection_pair",
     f"WITH {ORDER_SQL}, c AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, abs(corr(x{i},x{j})) AS r FROM ord" for i, j in _PAIRS if i != j)

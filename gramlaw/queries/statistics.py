@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from gramlaw.functions.scores import TYPE_BITS, criterion_column, ebic_bits_colu
 from gramlaw.operators import catalog, select
 from gramlaw.operators.algebra import orthonormal_map, split_views, whole_view
 from gramlaw.operators.catalog import Candidate
-from gramlaw.operators.gram import Design, corrcoef_from, gram, profile_inputs
+from gramlaw.operators.gram import Design, gram, profile_inputs
 from gramlaw.operators.groups import groups_from_moments
 from gramlaw.operators.noise import sparse_chi2, variance_weight, weight_diagnostics, whiten_ar1, whiten_blocks, whiten_diagonal
 from gramlaw.operators.probe import Probe, draw_numbers, probe_median, probe_scores, probe_shifts
@@ -225,6 +226,24 @@ def _(spark, sf):
     return law.score(df).select("id", rnd("yhat").alias("yhat"))
 
 
+@query(
+    "ridge_offset",
+    f"WITH {ORDER_SQL}, far AS (SELECT x0, y+100000000.0 AS y FROM ord), {_centred_sql('1.0', 'far', ['x0', 'y'])} SELECT round(s_x0_y/(s_x0_x0+0.001),6) AS w, round(m_y-m_x0*s_x0_y/(s_x0_x0+0.001),3) AS b0, round((s_y_y-2*s_x0_y*s_x0_y/(s_x0_x0+0.001)+s_x0_x0*s_x0_y*s_x0_y/((s_x0_x0+0.001)*(s_x0_x0+0.001)))/s_y_y,6) AS unexplained FROM ss",
+)
+def _(spark, sf):
+    """One-input ridge of a target that stands far from zero: its origin is taken off before any sum."""
+    from gramlaw.operators.algebra import residual_square, ridge, small, total_square, whole_view
+
+    design = Design(orders(spark, sf).withColumn("y", F.col("y") + 1e8), ["x0"], ["y"])
+    origin, prof = profile_inputs(design).about_means()
+    view = whole_view(gram(replace(design, origin=origin), [Candidate("x", "unary", {"f": "x", "i": 0})], prof))
+    K = small(view.tr_plain, view.raw(0)[None, :], view.y)
+    w, b0 = ridge(K, 1e-3)
+    row = (float(w[0]), b0 + origin[0], residual_square(K, w, b0) / total_square(K))
+    out = spark.createDataFrame([row], "w double, b0 double, unexplained double")
+    return out.select(rnd("w").alias("w"), rnd("b0", 3).alias("b0"), rnd("unexplained").alias("unexplained"))
+
+
 @query(
     "ridge_2d_weighted",
     f"WITH {ORDER_SQL}, {_centred_sql(_W, 'ord', ['x0', 'x2', 'y'])}, d AS (SELECT *, (s_x0_x0+0.001)*(s_x2_x2+0.001)-s_x0_x2*s_x0_x2 AS det FROM ss), f AS (SELECT ((s_x2_x2+0.001)*s_x0_y-s_x0_x2*s_x2_y)/det AS w0, ((s_x0_x0+0.001)*s_x2_y-s_x0_x2*s_x0_y)/det AS w1, m_y, m_x0, m_x2 FROM d) SELECT round(w0,6) AS w0, round(w1,6) AS w1, round(m_y-m_x0*w0-m_x2*w1,6) AS b0 FROM f",
@@ -393,7 +412,7 @@ def _(spark, sf):
     """Symmetry groups from correlations and variances."""
     df = orders(spark, sf).withColumns({"x4": F.col("x0") + F.col("x1") * 0.001, "x5": F.col("x2") * 0.002 - F.col("x0")})
     prof = profile_inputs(Design(df, [f"x{j}" for j in range(6)], ["y"]))
-    spec = groups_from_moments(corrcoef_from(prof.moments, 6), prof.variances(6))
+    spec = groups_from_moments(prof.corr(6), prof.variances(6))
     groups = [("sign", g) for g in spec.sign_groups] + [("perm", g) for g in spec.perm_groups] + [("rot", g) for g in spec.rot2d_pairs]
     return spark.createDataFrame([(k, ",".join(map(str, g))) for k, g in groups], "kind string, members string")
 

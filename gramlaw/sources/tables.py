@@ -17,10 +17,6 @@ RECORD_SCHEMA = (
 )
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    return spark.read.format(fmt).options(**options).load(path)
-
-
 def regression_table(df: DataFrame, features: list[str], target: str, key: str | None = None) -> DataFrame:
     """A named dataset as doubles: ``x0 … x{d-1}, y`` and the key."""
     keep = [F.col(key)] if key else []
@@ -49,12 +45,21 @@ def read_sigma_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_shapes(basis: DataFrame, target: DataFrame, sigma: DataFrame) -> dict[str, int]:
-    """Rows of basis, target and covariance must agree; raises ``ValueError`` otherwise."""
-    n_b, n_y = basis.count(), target.count()
-    rows, cols = sigma.agg(F.max("i") + 1, F.max("j") + 1).first()
-    if not n_b == n_y == rows == cols:
-        raise ValueError(f"shape mismatch: basis {n_b}, target {n_y}, covariance {rows}x{cols}")
-    return {"rows": n_b}
+    """Basis, target and covariance must have the same rows ``i``, each once, and the covariance all of its diagonal and
+    nothing else; raises ``ValueError`` otherwise."""
+
+    def keys(df: DataFrame, table: int) -> DataFrame:
+        return df.select("i", *[F.lit(1 if k == table else 0).alias(f"n{k}") for k in range(3)])
+
+    both = keys(basis, 0).unionByName(keys(target, 1)).unionByName(keys(sigma.where("i = j"), 2))
+    each = both.groupBy("i").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(3)])
+    good = F.col("i").isNotNull() & (F.col("n0") == 1) & (F.col("n1") == 1) & (F.col("n2") == 1)
+    n, bad = each.agg(F.count("*"), F.count_if(~good)).first()
+    ends = sigma.where("i != j").select(F.explode(F.array("i", "j")).alias("i")).distinct()
+    strange = ends.join(each.where(good), "i", "left_anti")
+    if bad or not n or not strange.isEmpty():
+        raise ValueError(f"shape mismatch: {bad} of {n} rows are not once in basis, target and covariance diagonal, or covariance entries name other rows")
+    return {"rows": n}
 
 
 def telemetry_records(labelled: DataFrame) -> DataFrame:

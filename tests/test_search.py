@@ -47,6 +47,29 @@ def test_planted_law_is_found_and_scores_match_moments(planted):
     np.testing.assert_allclose(r2, r.metrics["R2_OOF"], rtol=1e-6)
 
 
+def test_a_large_offset_of_the_target_changes_nothing(planted):
+    opt = LIGHT.patched(bag_boots=0, max_grammar=1)
+    near = search(planted, XS, "y", "id", opt)["y"]
+    for offset in (1e6, 1e9):
+        far = search(planted.withColumn("y", F.col("y") + offset), XS, "y", "id", opt)["y"]
+        assert [r[2] for r in far.op_log] == [r[2] for r in near.op_log] and far.consensus == near.consensus
+        np.testing.assert_allclose(far.metrics["R2_OOF"], near.metrics["R2_OOF"], rtol=1e-4)
+        np.testing.assert_allclose(far.metrics["MSE_OOF"], near.metrics["MSE_OOF"], rtol=1e-4)
+        np.testing.assert_allclose(far.model.intercept - offset, near.model.intercept, atol=1e-3)
+
+
+def test_missing_targets_cost_only_their_own_rows(planted):
+    gaps = planted.withColumn("half", F.when(F.col("id") % 2 == 0, F.col("y"))).withColumn("y", F.when(F.col("id") == 3, float("nan")).otherwise(F.col("y")))
+    opt = LIGHT.patched(bag_boots=0, max_grammar=0)
+    both = search(gaps, XS, ["y", "half"], "id", opt, consensus=False)
+    assert [both[t].metrics["n"] for t in ("y", "half")] == [1499, 750]
+
+
+def test_one_fold_is_no_cross_validation(planted):
+    with pytest.raises(ValueError, match="at least two folds"):
+        search(planted.withColumn("f", F.lit(0)), XS, "y", "id", LIGHT, fold="f")
+
+
 def test_targets_share_moments_without_changing_results(planted):
     opt = LIGHT.patched(bag_boots=0, max_grammar=0)
     both = search(planted, XS, ["y", "up"], "id", opt, consensus=False)

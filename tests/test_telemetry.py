@@ -175,10 +175,16 @@ def test_rounds_with_counts_and_with_copies_agree(spark, events):
 
 def test_sigma_documents_and_shapes(spark):
     docs = spark.createDataFrame([(0, "[[1.0, 0.5], [0.5, 2.0]]"), (1, '{"Sigma": [[3.0]]}')], "k int, value string")
+    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "i long")
     got = sorted(tuple(r) for r in sigma_entries(docs).collect())
     assert got == [(0, 0, 0, 1.0), (0, 0, 1, 0.5), (0, 1, 0, 0.5), (0, 1, 1, 2.0), (1, 0, 0, 3.0)]
     with pytest.raises(ValueError, match="shape mismatch"):
-        check_shapes(spark.range(3), spark.range(3), sigma_entries(docs.where("k = 0")))
+        check_shapes(keys(0, 1, 2), keys(0, 1, 2), sigma_entries(docs.where("k = 0")))
+    two = sigma_entries(docs.where("k = 0"))
+    assert check_shapes(keys(0, 1), keys(1, 0), two) == {"rows": 2}
+    for basis, target in ((keys(0, 2), keys(0, 2)), (keys(0, 0), keys(0, 1)), (keys(0, 1), keys(0, None))):
+        with pytest.raises(ValueError, match="shape mismatch"):
+            check_shapes(basis, target, two)
 
 
 def test_stage_reuse(spark, tmp_path):
