@@ -13,7 +13,8 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
     """For each 1-based rank: the value there, how many rows are smaller, and how many are equal.
 
     Each round counts rows per bin inside the open brackets (one map-side-combined aggregation whatever the row count
-    or skew) and narrows every bracket to the extremes of the bin that holds its rank. Nulls and NaN are left out.
+    or skew) and narrows every bracket to the extremes of the bin that holds its rank. Nulls and NaN are left out;
+    infinities are counted apart, at either end.
     """
     v = value.alias("v")
     rows = df.select(v).where(F.col("v").isNotNull())
@@ -21,13 +22,17 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
     if floating:
         rows = rows.where(~F.isnan("v"))
     cell_type = "double" if floating else "long"
-    lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    ends = (F.col("v") == F.lit(float("-inf")), F.col("v") == F.lit(float("inf"))) if floating else (F.lit(False), F.lit(False))
+    inner = F.when(~(ends[0] | ends[1]), F.col("v"))
+    lo, hi, n, low_n, high_n = rows.agg(F.min(inner), F.max(inner), F.count("v"), F.count_if(ends[0]), F.count_if(ends[1])).first()
     if not n:
         raise ValueError("no values to rank")
     if any(r < 1 or r > n for r in ranks):
         raise ValueError(f"rank outside 1..{n}")
-    open_ = {(lo, hi, 0, n): list(ranks)}
-    done: dict[int, tuple] = {}
+    done: dict[int, tuple] = {r: (float("-inf"), 0, low_n) for r in ranks if r <= low_n}
+    done |= {r: (float("inf"), n - high_n, high_n) for r in ranks if r > n - high_n}
+    left = [r for r in ranks if r not in done]
+    open_ = {(lo, hi, low_n, n - low_n - high_n): left} if left else {}
     while open_:
         brackets = list(open_)
         ident = F.lit(None).cast("int")
@@ -37,6 +42,8 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
             ident = F.when(inside, b).otherwise(ident)
             offset = F.col("v") - F.lit(low)  # exact for integers, where a double would merge neighbours
             width = float(high) - float(low)
+            if floating:  # halves, so that the difference of two large numbers of either sign is finite
+                offset, width = F.col("v") * 0.5 - F.lit(low * 0.5), high * 0.5 - low * 0.5
             if size <= SMALL or width < 1e-290:
                 cell = (F.col("v") if floating else offset).cast(cell_type)
             else:

@@ -1,7 +1,8 @@
 """Ordered per-key scans (previous value, running sum, position) that survive one key holding much of the table.
 
-Ordinary keys use a window. A key above ``hot_rows`` is cut into time slices: the window runs within slices, and the
-carry from slice to slice comes from a second window over one summary row per slice.
+Ordinary keys use a window. A key above ``hot_rows`` is cut into slices of about equal row counts, at quantiles of its
+first order column: the window runs within slices, and the carry from slice to slice comes from a second window over one
+summary row per slice. There are at most rows / ``hot_rows`` such keys, a bound for their broadcast.
 """
 
 from __future__ import annotations
@@ -10,25 +11,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
+SLICES = 128
 
 
 def _slices(df: DataFrame, key: str, first: str, hot_rows: int) -> tuple[DataFrame, bool]:
-    """Add ``__slice``: 0 for ordinary keys, a position on the order axis for hot ones; and whether there are any."""
+    """Add ``__slice``: 0 for ordinary keys, a range of the first order column for hot ones; and whether there are any."""
     axis = F.col(first).cast("timestamp").cast("double") if dict(df.dtypes)[first].startswith("timestamp") else F.col(first).cast("double")
-    counts = df.groupBy(key).agg(F.count("*").alias("__n"), F.min(axis).alias("__lo"), F.max(axis).alias("__hi"))
-    hot = counts.where(F.col("__n") > hot_rows).limit(MAX_HOT_KEYS + 1).collect()
-    if not hot:
+    hot = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).select(key)
+    if hot.isEmpty():
         return df.withColumn("__slice", F.lit(0).cast("long")), False
-    if len(hot) > MAX_HOT_KEYS:
-        raise ValueError("too many hot keys; raise hot_rows")
-    spark = df.sparkSession
-    schema = f"`{key}` {dict(df.dtypes)[key]}, __lo double, __width double"
-    rows = [(r[key], r["__lo"], max((r["__hi"] - r["__lo"]) / -(-2 * r["__n"] // hot_rows), 1e-9)) for r in hot]
-    table = spark.createDataFrame(rows, schema)
-    out = df.join(F.broadcast(table), key, "left")
-    slice_ = F.floor((axis - F.col("__lo")) / F.col("__width")) + 1
-    return out.withColumn("__slice", F.coalesce(slice_, F.lit(0)).cast("long")).drop("__lo", "__width"), True
+    cuts = F.percentile_approx(axis, [k / SLICES for k in range(1, SLICES)], 10_000).alias("__cuts")
+    table = df.join(F.broadcast(hot), key, "left_semi").groupBy(key).agg(F.coalesce(cuts, F.array().cast("array<double>")).alias("__cuts"))
+    out = df.withColumn("__axis", axis).join(F.broadcast(table), key, "left")
+    # equal values share a slice; rows without one come first
+    place = F.size(F.filter("__cuts", lambda c: c < F.col("__axis"))) + 1
+    slice_ = F.when(F.col("__cuts").isNull(), 0).when(F.col("__axis").isNull(), 1).otherwise(place)
+    return out.withColumn("__slice", slice_.cast("long")).drop("__cuts", "__axis"), True
 
 
 def ordered_scan(

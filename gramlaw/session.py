@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``. A temporary one only where it is unset and the
+    driver runs everything, as in tests: on a cluster each executor would write to its own disk."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gramlaw.local.dir", None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="spark-gramlaw-")
         spark.conf.set("gramlaw.local.dir", configured)
     return configured.rstrip("/")
@@ -53,6 +56,11 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_DEFAULT = 64 << 20
 
 
+def _bytes(spark: SparkSession, text: str) -> int:
+    """A size as Spark writes it (``64m``, ``8388608b``), by Spark's own parser."""
+    return int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text))
+
+
 def prepare(spark: SparkSession) -> None:
     """Once per session: make this package importable in Python workers, and keep Arrow batches of packed sums small.
 
@@ -61,7 +69,7 @@ def prepare(spark: SparkSession) -> None:
     """
     if spark.conf.get("gramlaw.prepared", None):
         return
-    if int(spark.conf.get(ARROW_BYTES, str(ARROW_DEFAULT)).rstrip("b")) == ARROW_DEFAULT:
+    if _bytes(spark, spark.conf.get(ARROW_BYTES, str(ARROW_DEFAULT))) == ARROW_DEFAULT:
         spark.conf.set(ARROW_BYTES, str(8 << 20))
     here = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-gramlaw-zip-"), "gramlaw"), "zip", os.path.dirname(here), "gramlaw")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gramlaw.operators import ranks
 from gramlaw.operators.ranks import first_rows, median_of, rank_select
 from gramlaw.operators.scan import ordered_scan
 from gramlaw.operators.splits import exact_folds, fold_sizes, hashed_folds, holdout, positional_split
@@ -103,3 +104,35 @@ def test_hot_key_slices_equal_a_plain_window(spark):
     assert sorted(map(tuple, hot.select(cols).collect()), key=lambda r: r[2]) == sorted(map(tuple, plain.select(cols).collect()), key=lambda r: r[2])
     cold = ordered_scan(df, "key", ["t", "id"], **args)
     assert sorted(map(tuple, cold.select(cols).collect()), key=lambda r: r[2]) == sorted(map(tuple, plain.select(cols).collect()), key=lambda r: r[2])
+
+
+def test_ranks_and_medians_with_infinities(spark):
+    inf = float("inf")
+    values = [-inf, -inf, *range(2000), 1e308, -1e308, inf, float("nan"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    order = sorted(v for v in values if v is not None and v == v)
+    for small in (20000, 10):
+        ranks.SMALL, before = small, ranks.SMALL
+        try:
+            got = ranks.rank_select(df, F.col("v"), [1, 2, 3, 4, 1000, len(order) - 1, len(order)])
+        finally:
+            ranks.SMALL = before
+        assert [g[0] for g in got] == [order[r - 1] for r in (1, 2, 3, 4, 1000, len(order) - 1, len(order))]
+        assert got[0][1:] == (0, 2) and got[-1][1:] == (len(order) - 1, 1)
+    only = df.where(F.col("v") == -inf)
+    assert ranks.median_of(only, F.col("v")) == -inf
+
+
+def test_hot_keys_by_row_counts_with_nulls_and_bursts(spark):
+    # almost all rows of the hot key lie in a short burst after one early row; some have no order value
+    rows = [(k, "hot", None if k < 10 else 0.0 if k == 10 else 1e6 + k, 1) for k in range(1000)] + [(5000 + k, f"k{k}", float(k), 1) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, key string, t double, one long").repartition(7)
+    args = dict(previous={"before": "id"}, running={"total": F.col("one")}, position="place")
+    plain = ordered_scan(df, "key", ["t", "id"], hot_rows=10**9, **args)
+    hot = ordered_scan(df, "key", ["t", "id"], hot_rows=50, **args)
+    assert sorted(map(str, hot.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    assert hot.agg(F.max("total")).first()[0] == 1000
+    from gramlaw.operators.scan import _slices
+
+    sizes = [r["count"] for r in _slices(df, "key", "t", 50)[0].where("key = 'hot'").groupBy("__slice").count().collect()]
+    assert len(sizes) > 50 and max(sizes) <= 40
