@@ -70,16 +70,32 @@ def _graph_array(node, X, memo):
     return memo[key]
 
 
+def _dots(W: np.ndarray, XT: np.ndarray) -> np.ndarray:
+    """Projections of the inputs. As in the column form, a zero weight leaves its input out, also where that is missing
+    or infinite (the product would be NaN)."""
+    Z = W @ XT
+    odd = np.flatnonzero(~np.isfinite(XT).all(axis=0)) if not np.isfinite(XT.sum()) else ()
+    if len(odd):
+        for k, w in enumerate(W):
+            used = np.flatnonzero(w)
+            Z[k, odd] = w[used] @ XT[np.ix_(used, odd)]
+    return Z
+
+
+def _dot_array(w, X: np.ndarray) -> np.ndarray:
+    return _dots(np.asarray(w, dtype=float)[None, :], X.T)[0]
+
+
 def _one_array(c: Candidate, X: np.ndarray, memo: dict) -> np.ndarray:
     a = c.args
     if c.kind == "hsml_binary":
-        return _PAIR_ARRAY[a["op"]](X @ np.asarray(a["w1"]), X @ np.asarray(a["w2"]))
+        return _PAIR_ARRAY[a["op"]](_dot_array(a["w1"], X), _dot_array(a["w2"], X))
     if c.kind == "relu_proj":
-        return np.maximum(0.0, X @ np.asarray(a["w"]) - a["t"])
+        return np.maximum(0.0, _dot_array(a["w"], X) - a["t"])
     if c.kind == "sinproj":
-        return np.sin(X @ np.asarray(a["w"]) + a["b"])
+        return np.sin(_dot_array(a["w"], X) + a["b"])
     if c.kind == "fct":
-        z = X @ np.asarray(a["w"]) + a["b0"]
+        z = _dot_array(a["w"], X) + a["b0"]
         return np.cos(z) + np.cos(a["kappa"] * z) / a["kappa"]
     if c.kind == "bilinear":
         return X[:, a["i"]] * X[:, a["j"]]
@@ -134,7 +150,7 @@ def evaluate(cands: list[Candidate], X: np.ndarray, out: np.ndarray | None = Non
             for where in by_proj.values():
                 for p in where:
                     vectors.setdefault(tuple(cands[p].args["w"]), len(vectors))
-            Z = np.array(list(vectors)) @ XT
+            Z = _dots(np.array(list(vectors)), XT)
             for fname, where in by_proj.items():
                 out[where] = apply_atom_array(fname, Z[[vectors[tuple(cands[p].args["w"])] for p in where]])
     return out.T

@@ -27,10 +27,18 @@ class Probe:
     p: float = 0.5
 
 
-def coin(key: Column, draw: int, seed: int, p: float = 0.5) -> Column:
-    """Row coin from a hash of key, draw and seed: the first 7 hex digits of an MD5 below p·16⁷."""
+SIDES = 16**7
+
+
+def roll(key: Column, draw: int, seed: int) -> Column:
+    """Row number below ``SIDES`` from a hash of key, draw and seed: the first 7 hex digits of an MD5."""
     text = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(draw)), F.lit(str(seed))).cast("binary"))
-    return F.conv(F.substring(text, 1, 7), 16, 10).cast("long") < F.lit(int(p * 16**7))
+    return F.conv(F.substring(text, 1, 7), 16, 10).cast("long")
+
+
+def coin(key: Column, draw: int, seed: int, p: float = 0.5) -> Column:
+    """Row coin: true with probability ``p``."""
+    return roll(key, draw, seed) < F.lit(int(p * SIDES))
 
 
 def draw_numbers(probe: Probe, which: int, draw: int, seed: int) -> np.random.Generator:
@@ -116,24 +124,22 @@ def _shifts_in_batches(df: DataFrame, law: Law, probes: list[Probe], key: str, d
     d = len(law.features)
     cands = [c for _, c in law.terms]
     w = np.array([v for v, _ in law.terms])
-    flip_p = next((pr.p for pr in probes if pr.kind == "flip"), 0.5)
-    coins = F.lit(0).cast("long")
-    if any(pr.kind == "flip" for pr in probes):
-        for r in range(draws):
-            coins = coins + F.when(coin(F.col(key), r, seed, flip_p), F.lit(1 << r)).otherwise(F.lit(0))
-    narrow = df.select(*[F.col(f"`{n}`").cast("double").alias(f"x{j}") for j, n in enumerate(law.features)], coins.alias("coins"))
+    flips = any(pr.kind == "flip" for pr in probes)
+    rolls = F.array(*[roll(F.col(key), r, seed) for r in range(draws if flips else 0)]).cast("array<long>")
+    narrow = df.select(*[F.col(f"`{n}`").cast("double").alias(f"x{j}") for j, n in enumerate(law.features)], rolls.alias("rolls"))
 
     def run(batches):
         sums = np.zeros((len(probes), draws))
         n = 0
         for batch in batches:
             X = np.column_stack([batch.column(f"x{j}").to_numpy(zero_copy_only=False).astype(float) for j in range(d)])
-            bits = batch.column("coins").to_numpy(zero_copy_only=False)
+            rolls = batch.column("rolls").flatten().to_numpy(zero_copy_only=False).reshape(len(X), -1)
             base = evaluate(cands, X) @ w
             n += len(X)
             for s, pr in enumerate(probes):
                 for r in range(draws):
-                    moved = evaluate(cands, _moved(pr, s, r, seed, X, (bits >> r) & 1 == 1)) @ w
+                    heads = rolls[:, r] < int(pr.p * SIDES) if pr.kind == "flip" else np.zeros(len(X), dtype=bool)
+                    moved = evaluate(cands, _moved(pr, s, r, seed, X, heads)) @ w
                     sums[s, r] += np.abs(base - moved).sum()
         cells = [(s, pr.kind, r, float(sums[s, r]), n) for s, pr in enumerate(probes) for r in range(draws)]
         if n:

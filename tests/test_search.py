@@ -70,6 +70,45 @@ def test_one_fold_is_no_cross_validation(planted):
         search(planted.withColumn("f", F.lit(0)), XS, "y", "id", LIGHT, fold="f")
 
 
+def test_probe_forms_agree_for_two_flips_and_many_draws(planted):
+    from gramlaw.operators.catalog import Candidate
+
+    law = Law(0.5, ((1.0, Candidate("x", "unary", {"f": "x", "i": 0})), (2.0, Candidate("y", "unary", {"f": "tanh", "i": 1}))), tuple(XS))
+    probes = [Probe("flip", (0,), p=0.1), Probe("flip", (0, 1), p=0.9), Probe("perm", (0, 1, 2))]
+    key = lambda r: (r["sampler"], r["draw"])
+    for draws in (3, 70):
+        one, two = ({key(r): r["shift"] for r in probe_shifts(planted.limit(200), law, probes[: 3 if draws < 9 else 1], "id", draws, batches=b).collect()} for b in (False, True))
+        assert one.keys() == two.keys()
+        np.testing.assert_allclose([one[k] for k in sorted(one)], [two[k] for k in sorted(one)], rtol=1e-9)
+
+
+def test_missing_and_infinite_inputs_mean_the_same_in_every_form(spark):
+    import duckdb
+    from gramlaw.operators.catalog import Candidate
+    from gramlaw.plans.law import score_array
+
+    nan, inf = float("nan"), float("inf")
+    values = [(0, 2.0, None), (1, None, 3.0), (2, nan, 1.0), (3, 1.0, inf), (4, -inf, nan), (5, 0.5, -0.25), (6, None, None)]
+    df = spark.createDataFrame(values, "id int, a double, b double")
+    kinds = [
+        Candidate("p", "hsml_unary", {"f": "x", "w": [1.0, 0.0]}),
+        Candidate("q", "hsml_unary", {"f": "tanh", "w": [0.6, 0.8]}),
+        Candidate("r", "relu_proj", {"w": [0.0, 1.0], "t": 0.1}),
+        Candidate("s", "sinproj", {"w": [0.0, 2.0], "b": 0.3}),
+        Candidate("f", "fct", {"w": [1.0, 0.0], "b0": 0.2, "kappa": 1.5}),
+        Candidate("m", "hsml_binary", {"op": "*", "w1": [1.0, 0.0], "w2": [0.0, 1.0]}),
+    ]
+    db = duckdb.connect()
+    db.sql("create table t(id int, a double, b double)")
+    db.executemany("insert into t values (?, ?, ?)", values)
+    for c in kinds:
+        law = Law(0.25, ((1.5, c),), ("a", "b"))
+        rows = df.select("id", law.column().alias("c"), F.element_at(score_array([law]), 1).alias("n")).orderBy("id").collect()
+        sql = [v for (v,) in db.sql(f"select {law.sql()} from t order by id").fetchall()]
+        np.testing.assert_allclose([r["c"] for r in rows], [r["n"] for r in rows], rtol=1e-12, err_msg=c.name)
+        np.testing.assert_allclose([r["c"] for r in rows], sql, rtol=1e-12, err_msg=c.name)
+
+
 def test_targets_share_moments_without_changing_results(planted):
     opt = LIGHT.patched(bag_boots=0, max_grammar=0)
     both = search(planted, XS, ["y", "up"], "id", opt, consensus=False)
