@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VARIANCE_FLOOR = 1e-12  # fixed value
-MAX_HOT = 10_000
 
 
 def variance_weight(variance: Column) -> Column:
@@ -114,13 +113,10 @@ def sparse_chi2(residuals: DataFrame, key: str, r: str, precision: DataFrame, ho
     """
     rj = residuals.select(F.col(key).alias("j"), F.col(r).alias("rj"))
     ri = residuals.select(F.col(key).alias("i"), F.col(r).alias("ri"))
-    hot = precision.groupBy("j").count().where(F.col("count") > hot_entries).select("j").limit(MAX_HOT + 1).collect()
-    if len(hot) > MAX_HOT:
-        raise ValueError("too many heavy columns; raise hot_entries")
-    if hot:
-        keys = residuals.sparkSession.createDataFrame(hot, precision.select("j").schema)
-        heavy = precision.join(F.broadcast(rj.join(F.broadcast(keys), "j")), "j")
-        light = precision.join(F.broadcast(keys), "j", "left_anti").join(rj, "j")
+    hot = precision.groupBy("j").count().where(F.col("count") > hot_entries).select("j")
+    if not hot.isEmpty():
+        heavy = precision.join(F.broadcast(rj.join(F.broadcast(hot), "j")), "j")
+        light = precision.join(F.broadcast(hot), "j", "left_anti").join(rj, "j")
         met = heavy.select("i", "w", "rj").unionByName(light.select("i", "w", "rj"))
     else:
         met = precision.join(rj, "j")

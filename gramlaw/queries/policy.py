@@ -24,7 +24,7 @@ from gramlaw.operators.splits import positional_split
 from gramlaw.operators.telemetry import BITS, FEATURES, REGIMES, level_counts, regime_label, scenario_matrix, with_features, with_policy
 from gramlaw.queries.common import TELEMETRY_SQL, label_sql, labelled, query, rnd, rounded, table, telemetry
 from gramlaw.session import materialise, shared_path
-from gramlaw.sources.tables import fingerprint, read_records, reuse_or_build, telemetry_records, write_records, write_report
+from gramlaw.sources.tables import content_mark, read_records, reuse_or_build, telemetry_records, write_records, write_report
 
 LAB = f"WITH {TELEMETRY_SQL}, {label_sql()}"
 _BIT_SQL = "CAST(throttle AS INTEGER) AS throttle, CAST(boost AS INTEGER) AS boost, CAST(reduce_clock AS INTEGER) AS reduce_clock"
@@ -134,9 +134,9 @@ def _(spark, sf):
     """A stage table is reused only under the same fingerprint; a different one rebuilds it."""
     lab = labelled(spark, sf).select("record_id", "regime")
     path = shared_path(spark, "stage")
-    n = lab.count()
-    reuse_or_build(spark, path, fingerprint(n, ["other"]), lambda: lab.limit(0))
-    mark = fingerprint(n, FEATURES)
+    # as many rows of the same names, other contents
+    reuse_or_build(spark, path, content_mark(lab.withColumn("regime", F.lit("none")), {"features": FEATURES}), lambda: lab.limit(0))
+    mark = content_mark(lab, {"features": FEATURES})
     reuse_or_build(spark, path, mark, lambda: lab)
     again = reuse_or_build(spark, path, mark, lambda: lab.limit(0))
     return again.groupBy("regime").agg(F.count("*").alias("n"))

@@ -93,6 +93,14 @@ def fingerprint(n_rows: int, names: list[str], extra: dict | None = None) -> str
     return json.dumps({"n": n_rows, "names": names, **(extra or {})}, sort_keys=True)
 
 
+def content_mark(df: DataFrame, extra: dict | None = None) -> str:
+    """A fingerprint of what a table holds, in any order: rows, names and the sum of the rows' hashes. Columns that have no
+    hash (maps) are hashed by their entries in key order."""
+    hashed = [F.array_sort(F.map_entries(f"`{c}`")) if kind.startswith("map") else F.col(f"`{c}`") for c, kind in df.dtypes]
+    n, total = df.agg(F.count("*"), F.sum(F.xxhash64(*hashed).cast("decimal(38,0)"))).first()
+    return fingerprint(n, df.columns, {"content": str(total), **(extra or {})})
+
+
 def reuse_or_build(spark: SparkSession, path: str, mark: str, build) -> DataFrame:
     """Reuse a stage table only if it carries the same fingerprint; otherwise build and write it."""
     try:

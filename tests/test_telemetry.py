@@ -20,7 +20,7 @@ from gramlaw.operators.telemetry import (
 )
 from gramlaw.plans.options import Options
 from gramlaw.plans.rounds import distill_rounds
-from gramlaw.sources.tables import RECORD_SCHEMA, check_shapes, fingerprint, read_records, reuse_or_build, sigma_entries, telemetry_records, write_records
+from gramlaw.sources.tables import RECORD_SCHEMA, check_shapes, content_mark, fingerprint, read_records, reuse_or_build, sigma_entries, telemetry_records, write_records
 
 SENSOR = "temp double, pred_temp double, temp_slope double, clock_speed double, data_load double, packets_dropped double, p_throttle boolean, p_boost boolean, p_reduce_clock boolean"
 
@@ -202,3 +202,9 @@ def test_stage_reuse(spark, tmp_path):
     assert reuse_or_build(spark, path, fingerprint(3, ["a"]), build(9)).count() == 3
     assert reuse_or_build(spark, path, fingerprint(4, ["a"]), build(4)).count() == 4
     assert built == [3, 4]
+
+
+def test_content_marks(spark):
+    a = spark.createDataFrame([(1, {"x": 1.0, "y": 2.0}), (2, None)], "k int, m map<string,double>")
+    assert content_mark(a) == content_mark(a.repartition(3)) == content_mark(spark.createDataFrame([(2, None), (1, {"y": 2.0, "x": 1.0})], a.schema))
+    assert len({content_mark(a), content_mark(a.withColumn("k", F.col("k") + 1)), content_mark(a.withColumnRenamed("k", "j")), content_mark(a, {"v": 1}), content_mark(a.union(a))}) == 5
