@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -33,23 +34,24 @@ def score_stream(stream: DataFrame, law: Law, name: str = "yhat") -> DataFrame:
 # --------------------------------------------------------------------------------------------------------------
 # Stateful shield
 
-STATE_SCHEMA = "last_temp double, drops double, tick long, waiting string"
+STATE_SCHEMA = "last_temp double, drops double, tick long, waiting binary"
 TRACK_SCHEMA = "episode long, record_id long, ts timestamp, tick long, temp double, prev_temp double, clock_speed double, cooling_valve double, data_load double, packets_dropped double"
 SENSOR_COLUMNS = ["record_id", "ts", "temp", "clock_speed", "cooling_valve", "data_load", "drop_step"]
 
 
-def track_episodes(sensors: DataFrame, idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+def track_episodes(sensors: DataFrame, idle: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Previous temperature, tick number and running drops per episode, kept as state between batches.
 
     ``sensors`` has columns episode, record_id, ts, temp, clock_speed, cooling_valve, data_load, drop_step. Rows are
     held until the watermark has passed them and then emitted in time order, so late rows inside the delay are placed
-    correctly; rows later than that are dropped by the watermark. State of idle episodes expires after ``idle``.
+    correctly; rows later than that are dropped by the watermark. An episode goes on for ever, however long it pauses,
+    unless ``idle`` is given: a pause of that length then ends it, and what follows starts a new one at tick 0.
     """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, drops, tick, held = state.get if state.exists else (float("nan"), 0.0, 0, "")
-        parts = [pd.read_json(_text(held), orient="split", convert_dates=["ts"])] if held else []
+        last, drops, tick, held = state.get if state.exists else (float("nan"), 0.0, 0, b"")
+        parts = [_unpacked(held)] if held else []
         parts += [f[SENSOR_COLUMNS] for f in frames]
         rows = pd.concat(parts) if parts else pd.DataFrame(columns=SENSOR_COLUMNS)
         mark = state.getCurrentWatermarkMs()
@@ -78,21 +80,34 @@ def track_episodes(sensors: DataFrame, idle: str = "1 day", delay: str = "10 min
         if state.hasTimedOut and not len(wait):
             state.remove()
             return
-        state.update((last, drops, tick, wait.to_json(orient="split", date_format="iso", date_unit="us", double_precision=15) if len(wait) else ""))
-        due = int(wait["ts"].map(lambda t: t.value // 1_000_000).min()) + 1 if len(wait) else mark + idle_ms
+        state.update((last, drops, tick, _packed(wait) if len(wait) else b""))
+        if len(wait):
+            due = int(wait["ts"].map(lambda t: t.value // 1_000_000).min()) + 1
+        elif idle_ms is not None:
+            due = mark + idle_ms
+        else:
+            return
         state.setTimeoutTimestamp(max(due, mark + 1))
 
     marked = sensors.withWatermark("ts", delay)
     return marked.groupBy("episode").applyInPandasWithState(step, TRACK_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _text(s: str):
-    import io
+def _packed(rows: pd.DataFrame) -> bytes:
+    """Rows in Arrow's stream format, which keeps every digit."""
+    table = pa.Table.from_pandas(rows[SENSOR_COLUMNS], preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
 
-    return io.StringIO(s)
+def _unpacked(data: bytes) -> pd.DataFrame:
+    with pa.ipc.open_stream(bytes(data)) as reader:
+        return reader.read_pandas()
 
 
-def shield_stream(sensors: DataFrame, policy: str = "turbo", idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+def shield_stream(sensors: DataFrame, policy: str = "turbo", idle: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Level, override and regime per record of a sensor stream."""
     tracked = track_episodes(sensors, idle, delay)
     tracked = tracked.withColumn("last_processed", F.least("data_load", F.col("clock_speed") * SHIELD_CAPACITY))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.telemetry import label
-from gramlaw.streaming.streams import MomentSink, read_stream, run_to_table, shield_stream
+from gramlaw.streaming.streams import MomentSink, read_stream, run_to_table, shield_stream, track_episodes
 
 
 def test_late_rows_inside_the_delay_keep_their_place(spark, tmp_path):
@@ -46,6 +46,26 @@ def test_late_rows_inside_the_delay_keep_their_place(spark, tmp_path):
         np.testing.assert_allclose(v[5:], want[k][5:], rtol=1e-9)
 
 
+def test_pauses_of_days_do_not_restart_an_episode(spark, tmp_path):
+    """Rows days apart in batches of their own, doubles with all digits, another episode moving the watermark."""
+    day = dt.timedelta(days=1)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(7, k, start + at * day, 50.0 + 1 / 3 + k, 1.0, 0.5, 20.0, 60.0) for k, at in enumerate((0, 0.1, 6, 13))]
+    rows += [(8, 100 + k, start + at * day, 40.0, 1.0, 0.5, 20.0, 0.0) for k, at in enumerate((0.05, 3, 8, 15, 30))]
+    rows.sort(key=lambda r: r[2])
+    schema = "episode long, record_id long, ts timestamp, temp double, clock_speed double, cooling_valve double, data_load double, drop_step double"
+    src = tmp_path / "src"
+    src.mkdir()
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(src / f"p{k:02}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(src))
+    tracked = track_episodes(stream, delay="10 minutes").select("episode", "record_id", "tick", "prev_temp", "temp", "packets_dropped")
+    got = {r["record_id"]: r for r in run_to_table(tracked, str(tmp_path / "out"), str(tmp_path / "check")).collect()}
+    assert [(got[k]["tick"], got[k]["packets_dropped"]) for k in range(4)] == [(0, 60.0), (1, 120.0), (2, 180.0), (3, 240.0)]
+    assert [got[k]["prev_temp"] for k in range(4)] == [None, *(50.0 + 1 / 3 + k for k in range(3))]
+    assert [got[k]["temp"] for k in range(4)] == [50.0 + 1 / 3 + k for k in range(4)]
+
+
 def test_replayed_batch_is_not_counted_twice(spark, tmp_path):
     df = spark.range(100).select((F.col("id") / 10.0).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
     sink = MomentSink(str(tmp_path / "m"), ["x"], ["y"], [Candidate("x", "unary", {"f": "x", "i": 0})])
