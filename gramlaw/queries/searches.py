@@ -89,6 +89,12 @@ def _(spark, sf):
     return _light_report(spark, sf).ops_frame(spark)
 
 
+@query("default_law")
+def _(spark, sf):
+    """The whole search with its default options: full bank, subsamples, grammar rounds and graph stage; terms of the law."""
+    return search(orders(spark, sf), ORDER_FEATURES, "y", "id", Options(), variance="variance", stage=True)["y"].model.table(spark)
+
+
 @query("fold_report")
 def _(spark, sf):
     """Per-fold scores, kept stages, atoms, operators and accepted blocks."""

@@ -18,11 +18,11 @@ from gramlaw.operators.noise import sparse_chi2, variance_weight, weight_diagnos
 from gramlaw.operators.probe import Probe, draw_numbers, probe_median, probe_scores, probe_shifts
 from gramlaw.operators.residual import residualize_columns
 from gramlaw.operators.splits import exact_folds, hashed_folds, holdout
-from gramlaw.plans.basis import evaluate_basis, raw_moments
+from gramlaw.plans.basis import evaluate_basis, evaluate_external, raw_moments
 from gramlaw.plans.law import Law, flatten, score_array
 from gramlaw.plans.options import Options
 from gramlaw.plans.stability import consensus, operator_stability
-from gramlaw.queries.common import FOLD_SQL, LINE_SQL, ORDER_FEATURES, ORDER_SQL, folded_orders, line, orders, query, rnd, rounded, table
+from gramlaw.queries.common import FOLD_SQL, LINE_SQL, ORACLES, ORDER_FEATURES, ORDER_SQL, folded_orders, line, orders, query, rnd, rounded, table
 from gramlaw.session import shared_path
 
 LN2 = math.log(2.0)
@@ -297,6 +297,19 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([(fit.checks["white_std"], fit.checks["cond"], float(fit.weights[0]))], "white_std double, cond double, amplitude double"))
 
 
+@query("external_basis")
+def _(spark, sf):
+    """A basis table, a target table and covariance entries, matched by row, checked and compared."""
+    df = orders(spark, sf)
+    row = F.col("id").cast("long").alias("i")
+    sigma = df.select(row, F.col("id").cast("long").alias("j"), F.col("variance").alias("v"))
+    fit = evaluate_external(df.select(row, F.col("x0").alias("b0")), df.select(row, "y"), sigma, 1)
+    return rounded(fit.comparison(spark), 4)
+
+
+ORACLES["external_basis"] = ORACLES["basis_comparison"]
+
+
 @query(
     "superfeatures",
     f"WITH {ORDER_SQL}, g AS (SELECT sum({_W}*x0*x0) AS a, sum({_W}*x0*x2) AS b, sum({_W}*x2*x2) AS c FROM ord) SELECT id, round(1000*x0/sqrt(a),6) AS s0, round(1000*(x2-b/a*x0)/sqrt(c-b*b/a),6) AS s1 FROM ord, g",
