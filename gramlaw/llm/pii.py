@@ -4,10 +4,11 @@
 2. Patterns: the one word and the two words to the left of a seed, lower-cased. Kept if they introduce at least
    ``MIN_SEEDS`` different seeds and ``MIN_SHARE`` of all seeds, so there are at most 2 / MIN_SHARE = 65,536 of them: this
    proven bound allows their broadcast (two longs each).
-3. Graph: all words of the corpus that follow a pattern, added up to (pattern, instance, n). An instance is a seed, an
-   identifier (a word of ``MIN_LENGTH`` or more characters with a digit) or an ordinary word.
-4. Scores: a pattern's confidence is the mean score of its instances; a seed scores 1, an ordinary word 0, an identifier
-   the mean confidence of the patterns that introduce it. ``ROUNDS`` rounds of two joins and two sums.
+3. Graph: words of the corpus that follow a pattern, added up to (pattern, instance, n). An instance is a seed or an
+   identifier (a word of ``MIN_LENGTH`` or more characters with a digit); of ordinary words only the number behind each
+   pattern counts. Patterns with so many that they can never reach ``ACCEPT`` are left out, such as all common words.
+4. Scores: a pattern's confidence is the mean score of what follows it; a seed scores 1, an ordinary word 0, an
+   identifier the mean confidence of the patterns that introduce it. ``ROUNDS`` rounds of two joins and two sums.
 5. Identifiers of score ``ACCEPT`` behind a pattern of confidence ``ACCEPT`` become spans of the kind ``id``.
 
 Everything is DataFrame functions. Sums are made before shuffles, and the graph holds a row for each pattern and instance,
@@ -132,16 +133,33 @@ def patterns(seed_rows: DataFrame) -> DataFrame:
     return pairs.groupBy("context").agg(F.count("*").alias("values"), F.sum("n").alias("n")).join(total).where((F.col("values") >= MIN_SEEDS) & (F.col("n") >= MIN_SHARE * F.col("all"))).select("context")
 
 
-def followers(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Words that stand behind a pattern: (doc_id, th, at, context, instance, what); what is 1 for a seed, 0 for an
-    ordinary word and null for an identifier."""
+def _listed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), _word_list(F.coalesce("text", F.lit(""))).alias("w"))
+
+
+def _behind(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows with context hashes c1 and c2, once for each pattern among them, as ``context``."""
+    side = lambda c: F.broadcast(kept.select(F.col("context").alias(c), F.lit(True).alias(f"{c}_")))  # noqa: E731  at most 65,536 rows
+    near = rows.join(side("c1"), "c1", "left").join(side("c2"), "c2", "left").where("c1_ or c2_")
+    known = F.filter(F.array(F.when(F.col("c1_"), F.col("c1")), F.when(F.col("c2_"), F.col("c2"))), lambda c: c.isNotNull())
+    return near.withColumn("context", F.explode(known)).drop("c1", "c2", "c1_", "c2_")
+
+
+def totals(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(context, total): how many words of all kinds stand behind each pattern."""
+    w = F.col("w")
+    each = F.transform(w, lambda x, i: F.struct(_context(w, i, 1).alias("c1"), _context(w, i, 2).alias("c2")))
+    flat = _listed(docs).select(F.explode(each).alias("x")).select("x.*")
+    return _behind(flat, kept).groupBy("context").agg(F.count("*").alias("total"))
+
+
+def candidates(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Seeds and identifiers behind a pattern: (doc_id, th, at, context, instance, what), what is 1 for a seed and null
+    for an identifier."""
     w = F.col("w")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), _word_list(F.coalesce("text", F.lit(""))).alias("w"))
     # five words hold a phone or card of four groups
-    each = F.transform(w, lambda x, i: F.struct(i.alias("at"), _context(w, i, 1).alias("c1"), _context(w, i, 2).alias("c2"), F.array_join(F.slice(w, i + 1, F.lit(5)), " ").alias("tail")))
-    flat = rows.select("doc_id", "th", F.explode(each).alias("x")).select("doc_id", "th", "x.*")
-    side = lambda c: F.broadcast(kept.select(F.col("context").alias(c), F.lit(True).alias(f"{c}_")))  # noqa: E731  at most 65,536 rows
-    near = flat.join(side("c1"), "c1", "left").join(side("c2"), "c2", "left").where("c1_ or c2_")
+    each = F.transform(w, lambda x, i: F.when(x.rlike("[0-9@]"), F.struct(i.alias("at"), _context(w, i, 1).alias("c1"), _context(w, i, 2).alias("c2"), F.array_join(F.slice(w, i + 1, F.lit(5)), " ").alias("tail"))))
+    flat = _listed(docs).select("doc_id", "th", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("doc_id", "th", "x.*")
     first = _bare(F.regexp_extract("tail", f"^[^{SPACE}]+", 0))
     opened = F.regexp_replace("tail", r"^[\p{Ps}\p{Pi}\"'<]+", "")
     hit = lambda k: F.regexp_extract(opened, f"^(?:{FORMS[k]})", 0)
@@ -149,15 +167,15 @@ def followers(docs: DataFrame, kept: DataFrame) -> DataFrame:
     for k in FORMS:
         is_seed = is_seed | ((hit(k) != "") & valid(k, hit(k)))
     what = F.when(is_seed, 1.0).when(first.rlike("[0-9]") & (F.char_length(first) >= MIN_LENGTH), F.lit(None).cast("double")).otherwise(0.0)
-    known = F.filter(F.array(F.when(F.col("c1_"), F.col("c1")), F.when(F.col("c2_"), F.col("c2"))), lambda c: c.isNotNull())
-    return near.select("doc_id", "th", "at", F.explode(known).alias("context"), F.xxhash64(first).alias("instance"), what.alias("what"))
+    rows = _behind(flat, kept).select("doc_id", "th", "at", "context", F.xxhash64(first).alias("instance"), what.alias("what"))
+    return rows.where("what is null or what > 0")
 
 
 def scored(graph: DataFrame) -> DataFrame:
-    """(context, instance) of identifiers to be accepted. ``graph``: context, instance, what, n."""
-    state = graph.select("context", "instance", "what", "n", F.coalesce("what", F.lit(0.0)).alias("score"))
+    """(context, instance) of identifiers to be accepted. ``graph``: context, instance, what, n, total."""
+    state = graph.select("context", "instance", "what", "n", "total", F.coalesce("what", F.lit(0.0)).alias("score"))
     for _ in range(ROUNDS):
-        trust = state.groupBy("context").agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("trust"))
+        trust = state.groupBy("context").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("trust"))
         linked = state.drop("score", "trust").join(trust, "context")
         new = linked.where("what is null").groupBy("instance").agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("new"))
         state = linked.join(new, "instance", "left").withColumn("score", F.coalesce("what", "new")).drop("new")
@@ -167,10 +185,12 @@ def scored(graph: DataFrame) -> DataFrame:
 def discovered(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(doc_id, th, at): which words of which texts are identifiers found by their context."""
     kept = cut(patterns(seeds(base)), "patterns")
-    behind = cut(followers(docs, kept), "followers")
-    graph = behind.groupBy("context", "instance", "what").agg(F.count("*").alias("n"))
+    rows = cut(candidates(docs, kept), "candidates")
+    met = rows.groupBy("context").agg(F.count("*").alias("met"))
+    viable = cut(met.join(totals(docs, kept), "context").where(F.col("met") >= ACCEPT * F.col("total")).select("context", "total"), "viable")
+    graph = rows.join(viable, "context").groupBy("context", "instance", "what").agg(F.count("*").alias("n"), F.max("total").alias("total"))
     good = cut(scored(cut(graph, "graph")), "accepted")
-    hits = behind.where("what is null").join(good, ["context", "instance"], "left_semi")
+    hits = rows.where("what is null").join(good, ["context", "instance"], "left_semi")
     return hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
 
