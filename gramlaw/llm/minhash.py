@@ -8,11 +8,13 @@
    Everything below is about classes.
 3. Buckets (equal band keys) of two or more classes. In each, the class with the most partners over all buckets is the
    hub, usually what the others were copied from; every other class is paired with its hub, not with all others.
-4. Pairs are screened by set size and sketch (``MARGIN`` under the limit: five standard deviations), then confirmed on the
-   full sets. Links merge classes into components (smallest label spreads over links, labels jump ahead).
+4. Pairs are screened by set size and sketch (``MARGIN`` under the limit: four standard deviations, so that a pair at the
+   limit is lost with probability 3e-5, and ever more rarely above), then confirmed on the full sets. Links merge classes into components (smallest label spreads over links, labels jump ahead).
 5. ``STARS`` rounds of 3 and 4; after the first, only buckets with several components take part, with a hub for each of
-   two components. What then still shares a bucket across components is compared in full (an equi-join on the bucket that
-   screens inside the join), so that no pair that shares a bucket stays untested.
+   two components. What then still shares a bucket across components is compared in full, so that no pair that shares a
+   bucket stays untested: an equi-join on the bucket that screens inside the join, by sketches and by an exact bound. Of a
+   class only the shingles that some other open class holds can be common with any; a copy with many edits of its own has
+   too few of them for a link and drops out before the join. A pair that shares several buckets is formed in the first.
 
 Two sets of similarity 0.75 share no bucket with probability (1 - 0.75^5)^40 = 2e-5, of 0.8 with 1e-7; 0.9: below 1e-15.
 Other than that the links are exact. Components and links are never collected. Intermediate tables are written to the
@@ -39,7 +41,7 @@ from gramlaw.llm.text import batch, cut, filled, hash_strings, mapped, mix, word
 WORDS, BANDS, ROWS, BITS = 5, 40, 5, 1024
 SAMPLES = BANDS * ROWS
 LEAST, OF = 75, 100  # linked if OF * intersection >= LEAST * union
-MARGIN, STARS = 0.17, 3
+MARGIN, STARS = 0.13, 2
 FEATURES = "doc_id long, th long, n long, a long, b long, bands array<long>, sketch array<long>"
 
 _random = np.random.default_rng(20_240_229)
@@ -108,11 +110,8 @@ def _near(n: str, m: str, s: str, t: str) -> Column:
     return (OF * F.least(n, m) >= LEAST * F.greatest(n, m)) & (_estimate(s, t) >= LEAST / OF - MARGIN)
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (x, y) of classes whose full sets reach the limit."""
-    side = lambda k: classes.select(F.col("a").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
-    pairs = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(_near("n_x", "n_y", "s_x", "s_y")).select("x", "y"), "screened")
-    wanted = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "a")
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(a, items): the packed sets of the ``wanted`` classes, from the text of the smallest id of each."""
     owners = classes.join(wanted, "a", "left_semi").select(F.col("rep").alias("_rep"))
     texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     schema = pa.schema([("a", pa.int64()), ("items", pa.binary())])
@@ -122,7 +121,13 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
             sets = list(shingle_sets(part.column(1)))
             yield batch(schema, np.array([mix(s, 2).sum() for s in sets], dtype=np.uint64).view(np.int64), [s.tobytes() for s in sets])
 
-    sets = cut(mapped(texts, ["doc_id", "text"], run, "a long, items binary").join(wanted, "a", "left_semi").dropDuplicates(["a"]), "sets")
+    return mapped(texts, ["doc_id", "text"], run, "a long, items binary").join(wanted, "a", "left_semi").dropDuplicates(["a"])
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (x, y) of classes whose full sets reach the limit."""
+    side = lambda k: classes.select(F.col("a").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    pairs = cut(pairs.join(side("x"), "x").join(side("y"), "y").where(_near("n_x", "n_y", "s_x", "s_y")).select("x", "y"), "screened")
     both = pairs.join(sets.select(F.col("a").alias("x"), F.col("items").alias("i_x")), "x").join(sets.select(F.col("a").alias("y"), F.col("items").alias("i_y")), "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,6 +144,23 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return both.select("x", "y", "i_x", "i_y").mapInArrow(check, "x long, y long")
 
 
+def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, shared): how many shingles of each node occur in another node as well. No other node can have more in common
+    with it. Counted by the shingles that occur once, so that frequent ones meet only as counts."""
+    schema = pa.schema([("a", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for a, items in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                found = np.frombuffer(items.as_buffer(), dtype=np.int64)
+                yield batch(schema, np.full(len(found), a, dtype=np.int64), found)
+
+    own = sets.join(nodes, "a", "left_semi")
+    rows = own.select("a", "items").mapInArrow(run, "a long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("a").alias("a")).where("n = 1").groupBy("a").agg(F.count("*").alias("once"))
+    return own.select("a", (F.octet_length("items") / 8).cast("long").alias("n")).join(once, "a", "left").select("a", (F.col("n") - F.coalesce("once", F.lit(0))).alias("shared"))
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(a, comp): the smallest label reachable over ``links`` (x, y), for every row of ``nodes`` (a, comp)."""
     edges = cut(links.select("x", "y").union(links.select("y", "x")).distinct(), "edges")
@@ -179,20 +201,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all_features = cut(features(docs), "features")
     by_set = all_features.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = cut(by_set, "classes")
-    rows = classes.select("a", F.explode("bands").alias("key"))
+    rows = classes.select("a", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = cut(rows.join(shared, "key"), "members")
     degree = members.groupBy("a").agg((F.sum("size") - F.count("*")).alias("degree"))
-    members = cut(members.select("key", "a").join(degree, "a"), "members")
+    members = cut(members.select("key", "band", "a").join(degree, "a"), "members")
+    sets = cut(full_sets(docs, classes, cut(members.select("a").distinct(), "nodes")), "sets")
     labels = classes.select("a", F.col("a").alias("comp"))
     open_ = members.withColumn("comp", F.col("a"))
     for _ in range(STARS):
-        labels = components(labels, confirmed(_hubs(open_), classes, docs))
+        labels = components(labels, confirmed(_hubs(open_), classes, sets))
         open_ = _open(members, labels)
         if open_.isEmpty():
             break
     else:
-        labels = components(labels, confirmed(_across(open_, classes), classes, docs))
+        labels = components(labels, confirmed(_across(open_, classes, sets), classes, sets))
     least = labels.join(classes.select("a", "rep"), "a").groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = labels.join(least, "comp").join(classes.select("a", "b", "n"), "a").select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("_n"), "component_id", F.col("comp").alias("component"))
     named = cut(named, "named")
@@ -219,9 +242,14 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(labelled.join(several, "key"), "open")
 
 
-def _across(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of a bucket across components that sizes and sketches allow, each once."""
-    full = cut(open_.join(classes.select("a", "n", "sketch"), "a"), "across")
+def _across(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs of a bucket across components that sizes, shared shingles and sketches allow, each once."""
+    shared = cut(shared_sizes(open_.select("a").distinct(), sets), "shared")
+    able = shared.join(classes.select("a", "n", "sketch", "bands"), "a").where(OF * F.col("shared") >= LEAST * F.col("n"))
+    full = cut(open_.join(able, "a"), "across")
     l, r = full.alias("l"), full.alias("r")  # noqa: E741
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a")) & (F.col("l.comp") != F.col("r.comp")) & _near("l.n", "r.n", "l.sketch", "r.sketch")
-    return l.join(r, on).select(F.col("l.a").alias("x"), F.col("r.a").alias("y")).distinct()
+    most = F.least("l.shared", "r.shared")
+    enough = OF * most >= LEAST * (F.col("l.n") + F.col("r.n") - most)
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a")) & (F.col("l.comp") != F.col("r.comp")) & enough & _near("l.n", "r.n", "l.sketch", "r.sketch")
+    on = on & (F.array_position(F.zip_with("l.bands", "r.bands", lambda p, q: p == q), True) == F.col("l.band") + 1)
+    return l.join(r, on).select(F.col("l.a").alias("x"), F.col("r.a").alias("y"))
