@@ -32,6 +32,8 @@ from gramlaw.llm.text import batch, filled, mapped
 
 CACHE = 120_000  # entries of one generation
 LONGEST = 64  # characters of a cached unit
+ID_BITS, PLACE_BITS = 24, 40
+ID, PLACE = (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -66,7 +68,7 @@ class Recent(dict):
 @dataclass
 class Model:
     vocab: list[str]
-    merges: dict[tuple[int, int], tuple[int, int]]  # pair of ids: rank, merged id
+    merges: dict[int, int]  # two ids in one number: rank and merged id in one number
     inner: list[int]  # id of each byte
     final: list[int]  # id of each byte at the end of a word
     special: dict[str, int]
@@ -77,29 +79,32 @@ class Model:
     units: Recent = field(default_factory=Recent)
 
     def merged(self, symbols: list[int]) -> tuple[int, ...]:
-        n, pairs = len(symbols), self.merges
+        n, find = len(symbols), self.merges.get
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue = []
-        for i in range(n - 1):
-            hit = pairs.get((symbols[i], symbols[i + 1]))
-            if hit:
-                queue.append((hit[0], i, symbols[i], symbols[i + 1], hit[1]))
+        # an entry is rank and position in one number; ranks tell pairs apart
+        queue = [(hit >> ID_BITS) << PLACE_BITS | i for i in range(n - 1) if (hit := find(symbols[i] << ID_BITS | symbols[i + 1])) is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, a, b, new = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i = entry & PLACE
             j = after[i]
-            if symbols[i] != a or j >= n or symbols[j] != b:
-                continue  # stale
+            a = symbols[i]
+            if a < 0 or j >= n:
+                continue
+            hit = find(a << ID_BITS | symbols[j])
+            if hit is None or hit >> ID_BITS != entry >> PLACE_BITS:
+                continue  # stale: the symbols here have changed since
+            new = hit & ID
             symbols[i], symbols[j] = new, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if hit := pairs.get((new, symbols[k])):
-                    heapq.heappush(queue, (hit[0], i, new, symbols[k], hit[1]))
+                if (hit := find(new << ID_BITS | symbols[k])) is not None:
+                    heapq.heappush(queue, (hit >> ID_BITS) << PLACE_BITS | i)
             h = before[i]
-            if h >= 0 and (hit := pairs.get((symbols[h], new))):
-                heapq.heappush(queue, (hit[0], h, symbols[h], new, hit[1]))
-        return tuple(s for s in symbols if s >= 0)
+            if h >= 0 and (hit := find(symbols[h] << ID_BITS | new)) is not None:
+                heapq.heappush(queue, (hit >> ID_BITS) << PLACE_BITS | h)
+        return tuple([s for s in symbols if s >= 0])
 
     def piece(self, text: str) -> tuple[int, ...]:
         ids = self.known.find(text)
@@ -140,7 +145,7 @@ def model(path: str) -> Model:
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     merges = {}
     for rank, (a, b) in enumerate(spec["model"]["merges"]):
-        merges[ids[a], ids[b]] = (rank, ids[a + b])
+        merges[ids[a] << ID_BITS | ids[b]] = rank << ID_BITS | ids[a + b]
     names = {i: s for s, i in [*ids.items(), *special.items()]}
     letters = byte_alphabet()
     pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
