@@ -12,9 +12,10 @@
    limit is lost with probability 3e-5, and ever more rarely above), then confirmed on the full sets. Links merge classes into components (smallest label spreads over links, labels jump ahead).
 5. ``STARS`` rounds of 3 and 4; after the first, only buckets with several components take part, with a hub for each of
    two components. What then still shares a bucket across components is compared in full, so that no pair that shares a
-   bucket stays untested: an equi-join on the bucket that screens inside the join, by sketches and by an exact bound. Of a
+   bucket stays untested: an equi-join on the bucket that screens inside the join, by sketches and two exact bounds. Of a
    class only the shingles that some other open class holds can be common with any; a copy with many edits of its own has
-   too few of them for a link and drops out before the join. A pair that shares several buckets is formed in the first.
+   too few of them for a link and drops out before the join. And two sets have few shingles in common if few of ``CELLS``
+   cells hold a shingle of both. A pair that shares several buckets is formed in the first.
 
 Two sets of similarity 0.75 share no bucket with probability (1 - 0.75^5)^40 = 2e-5, of 0.8 with 1e-7; 0.9: below 1e-15.
 Other than that the links are exact. Components and links are never collected. Intermediate tables are written to the
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from gramlaw.llm.text import batch, cut, filled, hash_strings, mapped, mix, words
 
-WORDS, BANDS, ROWS, BITS = 5, 40, 5, 1024
+WORDS, BANDS, ROWS, BITS, CELLS = 5, 40, 5, 1024, 4096
 SAMPLES = BANDS * ROWS
 LEAST, OF = 75, 100  # linked if OF * intersection >= LEAST * union
 MARGIN, STARS = 0.13, 2
@@ -111,17 +112,23 @@ def _near(n: str, m: str, s: str, t: str) -> Column:
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, items): the packed sets of the ``wanted`` classes, from the text of the smallest id of each."""
+    """(a, items, cells): the packed sets of the ``wanted`` classes, from the text of the smallest id of each, and which of
+    ``CELLS`` cells hold a shingle."""
     owners = classes.join(wanted, "a", "left_semi").select(F.col("rep").alias("_rep"))
     texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    schema = pa.schema([("a", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("items", pa.binary()), ("cells", pa.list_(pa.int64()))])
+
+    def cells(s: np.ndarray) -> np.ndarray:
+        out = np.zeros(CELLS, dtype=np.uint8)
+        out[(mix(s, 6) >> np.uint64(52)).astype(np.int64)] = 1
+        return np.packbits(out).view(np.int64)
 
     def run(batches):
         for part in batches:
             sets = list(shingle_sets(part.column(1)))
-            yield batch(schema, np.array([mix(s, 2).sum() for s in sets], dtype=np.uint64).view(np.int64), [s.tobytes() for s in sets])
+            yield batch(schema, np.array([mix(s, 2).sum() for s in sets], dtype=np.uint64).view(np.int64), [s.tobytes() for s in sets], [cells(s) for s in sets])
 
-    return mapped(texts, ["doc_id", "text"], run, "a long, items binary").join(wanted, "a", "left_semi").dropDuplicates(["a"])
+    return mapped(texts, ["doc_id", "text"], run, "a long, items binary, cells array<long>").join(wanted, "a", "left_semi").dropDuplicates(["a"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,11 +252,17 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _across(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of a bucket across components that sizes, shared shingles and sketches allow, each once."""
     shared = cut(shared_sizes(open_.select("a").distinct(), sets), "shared")
-    able = shared.join(classes.select("a", "n", "sketch", "bands"), "a").where(OF * F.col("shared") >= LEAST * F.col("n"))
+    filled_ = F.aggregate("cells", F.lit(0), lambda t, c: t + F.bit_count(c))
+    held = sets.select("a", "cells", filled_.alias("filled"))
+    able = shared.join(classes.select("a", "n", "sketch", "bands"), "a").where(OF * F.col("shared") >= LEAST * F.col("n")).join(held, "a")
     full = cut(open_.join(able, "a"), "across")
     l, r = full.alias("l"), full.alias("r")  # noqa: E741
     most = F.least("l.shared", "r.shared")
-    enough = OF * most >= LEAST * (F.col("l.n") + F.col("r.n") - most)
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a")) & (F.col("l.comp") != F.col("r.comp")) & enough & _near("l.n", "r.n", "l.sketch", "r.sketch")
+    reach = lambda common: OF * common >= LEAST * (F.col("l.n") + F.col("r.n") - common)
+    # two sets have at most a shingle in common for each cell that both fill, and one more for each that shares its cell
+    # with another of its own set
+    both = F.aggregate(F.zip_with("l.cells", "r.cells", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, c: t + c)
+    met = both + F.least(F.col("l.n") - F.col("l.filled"), F.col("r.n") - F.col("r.filled"))
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a")) & (F.col("l.comp") != F.col("r.comp")) & reach(most) & _near("l.n", "r.n", "l.sketch", "r.sketch") & reach(met)
     on = on & (F.array_position(F.zip_with("l.bands", "r.bands", lambda p, q: p == q), True) == F.col("l.band") + 1)
     return l.join(r, on).select(F.col("l.a").alias("x"), F.col("r.a").alias("y"))
