@@ -234,33 +234,47 @@ def spans(docs: DataFrame) -> DataFrame:
     return _with_words(base.drop("text"), added).select("doc_id", F.col("spans").alias("base"), F.concat("spans", F.coalesce(F.col("_at").cast(SPAN), F.array().cast(SPAN))).alias("spans"))
 
 
+def _merged(spans: Column) -> Column:
+    """Overlapping spans as one, by start; each has the kind of the longest span in it."""
+    kind = "array<struct<start:int,end:int,kind:int,n:int>>"
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (s["end"] - s["start"]).alias("n"))))
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.when(s["n"] > last["n"], s["kind"]).otherwise(last["kind"]).alias("kind"), F.greatest(last["n"], s["n"]).alias("n"))
+        return F.when(last["end"] > s["start"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(s))).cast(kind)
+
+    return F.aggregate(ordered.cast(kind), F.array().cast(kind), add)
+
+
+def _replaced(text: Column, spans: Column) -> Column:
+    """``text`` with each of the disjoint ordered ``spans`` replaced by its kind. The text is cut into blocks, so that no
+    piece between two spans is sought from the start of the text."""
+
+    def filled(blocks: Column, s: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            near = F.array_join(F.slice(blocks, F.shiftright(a, 8) + 1, F.shiftright(b, 8) - F.shiftright(a, 8) + 1), "")
+            return F.substring(near, a.bitwiseAND(F.lit(255)) + 1, b - a)
+
+        ends = lambda i: F.coalesce(F.get(s, i - 1)["end"], F.lit(0))
+        kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+        cuts = F.transform(s, lambda x, i: F.concat(piece(ends(i), x["start"]), F.get(kinds, x["kind"])))
+        return F.concat(F.array_join(cuts, ""), piece(ends(F.size(s)), F.char_length(text)))
+
+    return let(F.regexp_extract_all(text, F.lit("(?s).{1,256}"), F.lit(0)), lambda blocks: let(spans, lambda s: filled(blocks, s)))
+
+
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of its texts replaced by its kind in brackets."""
+    """``docs`` with every span of its texts replaced by its kind in brackets; overlapping spans are one."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("th", F.xxhash64("text"))
     base = cut(docs.select("text", base_spans(text).alias("spans")).where(F.size("spans") > 0), "spans")
     more = cut(discovered(docs, base), "found")
     joined = _with_words(rows, more)
 
-    def hide(parts: Column) -> Column:
-        i_of = lambda i: i - _shift(F.col("text"))
-        inner = r"^([\p{P}\p{S}&&[^+]]*)(?s:.*?)([\p{P}\p{S}]*[" + SPACE + r"]*)$"
-        return F.array_join(F.transform(parts, lambda p, i: F.when(F.array_contains("_at", i_of(i)) & ~_holds_base(p), F.regexp_replace(p, inner, "$1[ID]$2")).otherwise(p)), "")
-
-    out = F.when(F.col("_at").isNotNull(), let(_parts(F.col("text")), hide)).otherwise(F.col("text"))
-    joined = joined.withColumn("text", out)
-    for k in FORMS:
-        hidden = lambda t, k=k: let(F.split(t, FORMS[k], -1), lambda gaps: let(_hits(t, k), lambda hits: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(hits), F.when(valid(k, F.get(hits, i)), f"[{k.upper()}]").otherwise(F.get(hits, i))).otherwise(""))), "")))
-        hint = F.col("text").contains(HINTS[k]) if k == "email" else F.col("text").rlike(HINTS[k])
-        joined = joined.withColumn("text", F.when(hint, hidden(F.col("text"))).otherwise(F.col("text")))
-    return joined.select(*docs.columns)
+    def hidden(spans: Column) -> Column:
+        words = F.when(F.col("_at").isNotNull(), _word_spans(F.col("text"), F.col("_at"), spans).cast(SPAN)).otherwise(F.array().cast(SPAN))
+        both = F.concat(spans, words)
+        return let(both, lambda b: F.when(F.size(b) > 0, _replaced(F.col("text"), _merged(b))).otherwise(F.col("text")))
 
-
-def _holds_base(part: Column) -> Column:
-    def any_of(kind: str) -> Column:
-        return F.exists(_hits(part, kind), lambda h: valid(kind, h))
-
-    out = F.lit(False)
-    for k in FORMS:
-        out = out | any_of(k)
-    return out
+    return joined.withColumn("text", let(base_spans(text), hidden)).select(*docs.columns)

@@ -74,3 +74,31 @@ def test_odd_rows(odd, none):
     assert pii.spans(none).count() == 0
     assert sorted(map(str, pii.masked(odd).collect())) == sorted(map(str, odd.collect()))
     assert pii.masked(none).columns == none.columns
+
+
+def plain_mask(text):
+    """The union of all spans, each range under the kind of the longest span in it."""
+    spans = sorted((int(a), int(b), kind) for kind, a, b in (s.split(":") for s in brute(text).split(",") if s))
+    merged = []
+    for a, b, kind in spans:
+        if merged and merged[-1][1] > a:
+            merged[-1] = [merged[-1][0], max(merged[-1][1], b), *((b - a, kind) if b - a > merged[-1][2] else merged[-1][2:])]
+        else:
+            merged.append([a, b, b - a, kind])
+    out, at = "", 0
+    for a, b, _, kind in merged:
+        out, at = out + text[at:a] + f"[{kind.upper()}]", b
+    return out + text[at:]
+
+
+def test_masks_are_the_spans_of_the_original_text(spark):
+    texts = pieces()[:400] + ["call +33.1.23.45.67.89 now", "é😀" * 300 + "+33.1.23.45.67.89" + "日" * 600 + "a@b.c", "", "1.1.1.1 " * 700]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    none_found = pii.discovered
+    try:
+        pii.discovered = lambda docs, base: docs.select("doc_id", F.xxhash64("text").alias("th"), F.array().cast("array<int>").alias("at")).where("false")
+        got = {r.doc_id: r.text for r in pii.masked(docs).collect()}
+    finally:
+        pii.discovered = none_found
+    assert got[400] == "call [PHONE] now"
+    assert [got[i] for i in range(len(texts))] == [plain_mask(t) for t in texts]
