@@ -2,8 +2,8 @@
 
 1. Seeds: every email, ip, card and phone of the fixed forms, in code points of the whole text.
 2. Patterns: the one word and the two words to the left of a seed, lower-cased. Kept if they introduce at least
-   ``MIN_SEEDS`` different seeds and ``MIN_SHARE`` of all seeds, so there are at most 2 / MIN_SHARE = 65,536 of them: this
-   proven bound allows their broadcast (two longs each).
+   ``MIN_SEEDS`` different seeds, whatever the size of the table. Those of at least ``OFTEN`` of all seed rows, at most
+   1 / OFTEN = 32,768, are sent everywhere; all others meet the words of the corpus in a join.
 3. Graph: words of the corpus that follow a pattern, added up to (pattern, instance, n). An instance is a seed or an
    identifier (a word of ``MIN_LENGTH`` or more characters with a digit); of ordinary words only the number behind each
    pattern counts. Patterns with so many that they can never reach ``ACCEPT`` are left out, such as all common words.
@@ -37,7 +37,8 @@ OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = [*FORMS, "id"]
 
-MIN_SEEDS, MIN_SHARE, ACCEPT, ROUNDS, MIN_LENGTH = 3, 2.0**-15, 0.6, 3, 5
+MIN_SEEDS, ACCEPT, ROUNDS, MIN_LENGTH = 3, 0.6, 3, 5
+OFTEN, SALTS = 2.0**-15, 16
 BLOCK = 64
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
@@ -127,30 +128,45 @@ def seeds(base: DataFrame) -> DataFrame:
 
 
 def patterns(seed_rows: DataFrame) -> DataFrame:
-    """Contexts with enough different seeds; a bounded table."""
+    """(context, often) of contexts with enough different seeds; ``often`` marks at most 1 / OFTEN of them."""
     pairs = seed_rows.groupBy("context", "value").agg(F.count("*").alias("n"))
     total = pairs.agg(F.sum("n").alias("all"))
-    return pairs.groupBy("context").agg(F.count("*").alias("values"), F.sum("n").alias("n")).join(total).where((F.col("values") >= MIN_SEEDS) & (F.col("n") >= MIN_SHARE * F.col("all"))).select("context")
+    kept = pairs.groupBy("context").agg(F.count("*").alias("values"), F.sum("n").alias("n")).where(F.col("values") >= MIN_SEEDS)
+    return kept.join(F.broadcast(total)).select("context", (F.col("n") >= OFTEN * F.col("all")).alias("often"))
 
 
 def _listed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), _word_list(F.coalesce("text", F.lit(""))).alias("w"))
 
 
-def _behind(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows with context hashes c1 and c2, once for each pattern among them, as ``context``."""
-    side = lambda c: F.broadcast(kept.select(F.col("context").alias(c), F.lit(True).alias(f"{c}_")))  # noqa: E731  at most 65,536 rows
+def _behind_often(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows with context hashes c1 and c2, once for each frequent pattern among them, as ``context``."""
+    side = lambda c: F.broadcast(kept.where("often").select(F.col("context").alias(c), F.lit(True).alias(f"{c}_")))  # noqa: E731  at most 32,768 rows
     near = rows.join(side("c1"), "c1", "left").join(side("c2"), "c2", "left").where("c1_ or c2_")
     known = F.filter(F.array(F.when(F.col("c1_"), F.col("c1")), F.when(F.col("c2_"), F.col("c2"))), lambda c: c.isNotNull())
     return near.withColumn("context", F.explode(known)).drop("c1", "c2", "c1_", "c2_")
 
 
+def _other(kept: DataFrame) -> DataFrame | None:
+    """The patterns that are not sent everywhere, if any."""
+    other = kept.where("not often").select("context")
+    return None if other.isEmpty() else other
+
+
+def _by_context(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("context", F.explode(F.filter(F.array("c1", "c2"), lambda c: c.isNotNull()))).drop("c1", "c2")
+
+
 def totals(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(context, total): how many words of all kinds stand behind each pattern."""
     w = F.col("w")
     each = F.transform(w, lambda x, i: F.struct(_context(w, i, 1).alias("c1"), _context(w, i, 2).alias("c2")))
     flat = _listed(docs).select(F.explode(each).alias("x")).select("x.*")
-    return _behind(flat, kept).groupBy("context").agg(F.count("*").alias("total"))
+    count = F.count("*").alias("total")
+    out, other = _behind_often(flat, kept).groupBy("context").agg(count), _other(kept)
+    if other is None:
+        return out
+    return out.unionByName(_by_context(flat).groupBy("context").agg(count).join(other, "context"))  # one row a context on both sides
 
 
 def candidates(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -167,7 +183,12 @@ def candidates(docs: DataFrame, kept: DataFrame) -> DataFrame:
     for k in FORMS:
         is_seed = is_seed | ((hit(k) != "") & valid(k, hit(k)))
     what = F.when(is_seed, 1.0).when(first.rlike("[0-9]") & (F.char_length(first) >= MIN_LENGTH), F.lit(None).cast("double")).otherwise(0.0)
-    rows = _behind(flat, kept).select("doc_id", "th", "at", "context", F.xxhash64(first).alias("instance"), what.alias("what"))
+    near, other = _behind_often(flat, kept), _other(kept)
+    if other is not None:  # a pattern of few seeds may stand before many words
+        salted = _by_context(flat).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "at"), F.lit(SALTS)))
+        each_salt = other.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        near = near.unionByName(salted.join(each_salt, ["context", "salt"]).drop("salt").select(near.columns))
+    rows = near.select("doc_id", "th", "at", "context", F.xxhash64(first).alias("instance"), what.alias("what"))
     return rows.where("what is null or what > 0")
 
 
@@ -186,9 +207,10 @@ def discovered(docs: DataFrame, base: DataFrame) -> DataFrame:
     """(doc_id, th, at): which words of which texts are identifiers found by their context."""
     kept = cut(patterns(seeds(base)), "patterns")
     rows = cut(candidates(docs, kept), "candidates")
-    met = rows.groupBy("context").agg(F.count("*").alias("met"))
+    pairs = rows.groupBy("context", "instance", "what").agg(F.count("*").alias("n"))
+    met = pairs.groupBy("context").agg(F.sum("n").alias("met"))
     viable = cut(met.join(totals(docs, kept), "context").where(F.col("met") >= ACCEPT * F.col("total")).select("context", "total"), "viable")
-    graph = rows.join(viable, "context").groupBy("context", "instance", "what").agg(F.count("*").alias("n"), F.max("total").alias("total"))
+    graph = pairs.join(viable, "context")
     good = cut(scored(cut(graph, "graph")), "accepted")
     hits = rows.where("what is null").join(good, ["context", "instance"], "left_semi")
     return hits.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("at")).alias("at"))

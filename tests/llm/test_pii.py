@@ -102,3 +102,21 @@ def test_masks_are_the_spans_of_the_original_text(spark):
         pii.discovered = none_found
     assert got[400] == "call [PHONE] now"
     assert [got[i] for i in range(len(texts))] == [plain_mask(t) for t in texts]
+
+
+def ids(docs):
+    return sorted((r.doc_id, s) for r in pii.spans(docs).select("doc_id", pii.as_text("spans").alias("s")).collect() for s in r.s.split(",") if s.startswith("id:"))
+
+
+def test_many_other_seeds_hide_no_context(spark):
+    few = [(i, f"badge: u{i}@y.org") for i in range(3)] + [(3, "badge: ZX177A")]
+    many = [(10 + i, " ".join(f"see a{j}@b.org" for j in range(3000))) for i in range(40)]
+    docs = spark.createDataFrame(few + many, "doc_id long, text string").repartition(4)
+    assert ids(docs) == [(3, "id:7:13")]
+
+
+def test_joined_patterns_as_sent_patterns(spark, context_rows, monkeypatch):
+    docs = spark.createDataFrame(context_rows, "doc_id long, text string").repartition(3)
+    sent = ids(docs.where("doc_id is not null"))
+    monkeypatch.setattr(pii, "OFTEN", 2.0)
+    assert len(sent) == 5 and ids(docs.where("doc_id is not null")) == sent
