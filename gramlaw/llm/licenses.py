@@ -12,6 +12,8 @@ empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,8 @@ LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON A
 CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
 SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
 """
-# The published texts of common short licences.
+# The published texts of common licences, the long ones from the files of ``licence_texts``.
+LONG = ["Apache-2.0", "Artistic-1.0-Perl", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0"]
 KNOWN = {
     "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _NO_WARRANTY,
     "BSD-2-Clause": _BSD_START + _BSD_END,
@@ -94,6 +97,7 @@ and redistribute it freely, subject to the following restrictions:
 3. This notice may not be removed or altered from any source distribution.
 """,
 }
+KNOWN |= {name: pkgutil.get_data(__package__, f"licence_texts/{name}").decode() for name in LONG}
 
 
 def canonical(text: Column) -> Column:

@@ -41,3 +41,9 @@ def test_empty_tables_and_ties(spark, none, odd):
     assert L.matched(odd, known(spark).where("false")).where("license is not null").count() == 0
     twice = spark.createDataFrame([("b", "Word"), ("a", "word!"), ("c", ""), ("d", None)], "name string, text string")
     assert {(r.doc_id, r.license) for r in L.matched(odd, twice).collect() if r.license} == {(4, "a")}
+
+
+def test_long_licences(spark):
+    texts = [(i, L.KNOWN[n].replace("\n", "\r\n").upper()) for i, n in enumerate(L.LONG)]
+    docs = spark.createDataFrame([*texts, (99, "Licensed under the GPL-3. " + L.KNOWN["GPL-3"])], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in L.matched(docs, known(spark)).collect()} == {**dict(enumerate(L.LONG)), 99: None}
