@@ -32,12 +32,19 @@ def brute(text):
 
 def pieces():
     draw = random.Random(9)
-    parts = ["a@b.c", "_d@e.f", "@", ".", "1.2.3.4", "256.1.1.1", "001.2.3.4.5", "+1 (499) 555-6503", "+1", "4111 1111 1111 1111", "4111111111111112", "-", " ", "\n", "é", "😀", "x", "9" * 25, "+44.20.7946.0958"]
+    parts = ["a@b.c", "_d@e.f", "@", ".", "1.2.3.4", "256.1.1.1", "001.2.3.4.5", "+1 (499) 555-6503", "+1", "4111 1111 1111 1111", "4111111111111112", "-", " ", "\n", "é", "😀", "x", "9" * 25, "+44.20.7946.0958", "10.0.0.1", "0", "00", "000", "0255", "0256", "256", "0" * 30, "1.2.3"]
     return ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(1500)]
 
 
+def octets():
+    """Addresses of every kind of part, zeros among them."""
+    draw = random.Random(4)
+    part = ["0", "00", "000", "0000", "7", "07", "10", "99", "100", "255", "0255", "256", "0256", "999", "1000", "0" * 30, "0" * 30 + "9", "9" * 30]
+    return [".".join(draw.choice(part) for _ in range(draw.randint(3, 9))) + draw.choice(["", ".", " x", ".."]) for _ in range(3000)]
+
+
 def test_base_spans_equal_brute_force(spark):
-    texts = [*pieces(), *[r[1] for r in ODD], "a" * 50_000, "1" * 50_000, "1.1.1.1 " * 700, "a.b@c.d " * 700]
+    texts = [*pieces(), *octets(), *[r[1] for r in ODD], "server at 10.0.0.1, 127.0.0.1 and 1.2.3.0", "0." * 20_000, "a" * 50_000, "1" * 50_000, "1.1.1.1 " * 700, "a.b@c.d " * 700]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
     for r in docs.select("text", pii.as_text(pii.base_spans(F.coalesce("text", F.lit("")))).alias("s")).collect():
         assert r.s == brute(r.text), r.text[:100]
@@ -92,7 +99,7 @@ def plain_mask(text):
 
 
 def test_masks_are_the_spans_of_the_original_text(spark):
-    texts = pieces()[:400] + ["call +33.1.23.45.67.89 now", "é😀" * 300 + "+33.1.23.45.67.89" + "日" * 600 + "a@b.c", "", "1.1.1.1 " * 700]
+    texts = pieces()[:400] + octets()[:200] + ["server at 10.0.0.1 and 8.8.8.8", "call +33.1.23.45.67.89 now", "é😀" * 300 + "+33.1.23.45.67.89" + "日" * 600 + "a@b.c", "", "1.1.1.1 " * 700]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA).repartition(4)
     none_found = pii.discovered
     try:
@@ -100,7 +107,7 @@ def test_masks_are_the_spans_of_the_original_text(spark):
         got = {r.doc_id: r.text for r in pii.masked(docs).collect()}
     finally:
         pii.discovered = none_found
-    assert got[400] == "call [PHONE] now"
+    assert got[600] == "server at [IP] and [IP]" and got[601] == "call [PHONE] now"
     assert [got[i] for i in range(len(texts))] == [plain_mask(t) for t in texts]
 
 
