@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import bpe, context_tree, langid, licenses, minhash, packing, phrases, pii, ranking, rules
+from gramlaw.llm import bpe, context_tree, langid, licenses, minhash, packing, phrases, pii, ranking, rules, trie
 from gramlaw.llm.text import cut, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,41 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each text and of its edited form."""
     return phrases.fingerprinted(documents(spark, sf_dir))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared prefix of the rebuilt conversations."""
+    return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(d ORDER BY turn NULLS FIRST, d, w) AS ds, list(w ORDER BY turn NULLS FIRST, d, w) AS ws FROM turns GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, conv_id::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS c FROM own
+  UNION ALL
+  SELECT conv_id, s, i + 1, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END
+  FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(s, i // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, xor(c, 4294967295::BIGINT) % 4 AS h FROM crc WHERE i = 8 * length(s)),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.ds[1:h.h], []), o.ds[h.h + 1:]) AS ds, list_concat(coalesce(b.ws[1:h.h], []), o.ws[h.h + 1:]) AS ws
+  FROM own o JOIN h USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+prefixes AS (
+  SELECT conv_id, d, array_to_string(ds[1:d], '') AS key, CASE WHEN d > 0 THEN array_to_string(ds[1:d - 1], '') END AS parent, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, d = len(ds) AS ends
+  FROM (SELECT conv_id, ds, ws, unnest(range(0, len(ds) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT key, any_value(d) AS depth, any_value(parent) AS parent, any_value(w) AS w, min(conv_id) AS conv_id, count(*) AS n,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends
+  FROM prefixes GROUP BY key),
+children AS (SELECT parent AS key, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+up AS (
+  SELECT n.key[1:32 * k] AS key, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n.n - 1) * n.w) AS saved
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes) n LEFT JOIN children c ON c.key = n.key GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(c.n, 0) AS n_children,
+  up.leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN up USING (key) LEFT JOIN nodes p ON p.key = n.parent LEFT JOIN children c ON c.key = n.key
+"""
