@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.llm import bpe, context_tree, langid, licenses, minhash, packing, phrases, pii, ranking, rules, trie
+from gramlaw.llm import automaton, bpe, context_tree, langid, lexical, licenses, minhash, packing, phrases, pii, ranking, rules, trie
 from gramlaw.llm.text import cut, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,41 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprinted(documents(spark, sf_dir))
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    hits = automaton.scanned(docs.select("doc_id", "text"), benchmark, ["doc_id"])
+    n_hit = F.aggregate(F.arrays_zip("hits.starts", "hits.stops"), F.lit(0).cast("long"), lambda a, s: a + s["stops"] - s["starts"])
+    out = hits.select("doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"), F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text that stand in a window of a benchmark item."""
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op11_decontamination"] = r"""
+WITH lower AS (SELECT doc_id, row_number() OVER () AS r, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+docs AS (SELECT doc_id, r, CASE WHEN t IS NULL THEN [] ELSE regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM lower),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS t
+  FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM windows),
+runs AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS t
+  FROM (SELECT d.r, d.w, s.k, unnest(range(1, len(d.w) - s.k + 2)) AS i FROM docs d, sizes s WHERE len(d.w) >= s.k)),
+found AS (SELECT runs.r, runs.i, runs.k, windows.item FROM runs JOIN windows ON runs.k = windows.k AND runs.t = windows.t),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT r, i, k FROM found)) GROUP BY r),
+met AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(met.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(met.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit USING (r) LEFT JOIN met USING (r)
+"""
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shared prefix of the rebuilt conversations."""
@@ -136,3 +171,33 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n AS
   up.leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
 FROM nodes n JOIN up USING (key) LEFT JOIN nodes p ON p.key = n.parent LEFT JOIN children c ON c.key = n.key
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents for each benchmark item."""
+    return lexical.search(lexical.index(documents(spark, sf_dir).select("doc_id", "text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+long AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS n, sum(n)::BIGINT AS l FROM long),
+tf AS (
+  SELECT r, t, count(*)::BIGINT AS tf
+  FROM (SELECT r, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM docs) GROUP BY r, t),
+asked AS (
+  SELECT DISTINCT item_id, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark WHERE text IS NOT NULL)),
+weight AS (
+  SELECT t, floor(1000 * ln((2 * any_value(total.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, total WHERE t IN (SELECT t FROM asked) GROUP BY t),
+scored AS (
+  SELECT asked.item_id, long.r, any_value(long.doc_id) AS doc_id,
+    sum(weight.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 90 + (90 * long.n * total.n) // total.l))))::BIGINT AS score
+  FROM asked JOIN weight USING (t) JOIN tf USING (t) JOIN long ON long.r = tf.r, total GROUP BY asked.item_id, long.r)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,43 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes[keep], np.concatenate([[0], np.cumsum(keep)])[bounds], coded.dictionary
 
 
+_ALNUM = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
+
+
+@dataclass
+class Terms:
+    """Runs of letters, digits and characters beyond ASCII in texts: codes into a dictionary, the bounds of each text's
+    terms, and where in its text each term starts and stops (bytes)."""
+
+    codes: np.ndarray
+    bounds: np.ndarray
+    dictionary: pa.Array
+    start: np.ndarray
+    stop: np.ndarray
+
+
+def terms(texts: pa.Array) -> Terms:
+    """The maximal runs of ``[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]``, lower-cased in A-Z only."""
+    lower = pc.ascii_lower(filled(texts))
+    raw = [s.as_buffer() for s in lower]
+    ends = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)).cumsum()
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    inside = _ALNUM[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edge = ends[:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]
+    first[edge] |= inside[edge]
+    last[edge - 1] |= inside[edge - 1]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())).dictionary_encode()
+    bounds = np.concatenate([[0], np.searchsorted(start, ends)])
+    begin = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(bounds))
+    return Terms(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds, flat.dictionary, start - begin, stop - begin)
+
+
 def hash_strings(strings: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string that is the same in every process."""
     return np.fromiter((xxhash.xxh3_64_intdigest(s) for s in strings.to_pylist()), dtype=np.uint64, count=len(strings))
