@@ -89,11 +89,11 @@ def whiten_blocks(df: DataFrame, block: str, pos: str, cols: list[str], sigma: D
         for pdf in frames:
             out = []
             for p, x, i, j, v in zip(pdf["pos"], pdf["x"], pdf["i"], pdf["j"], pdf["v"]):
-                at = {int(q): k for k, q in enumerate(p)}
+                p, i, j = (np.asarray(a, dtype=np.int64) for a in (p, i, j))
+                a, b = (np.minimum(np.searchsorted(p, k), len(p) - 1) for k in (i, j))
+                here = (p[a] == i) & (p[b] == j)
                 S = np.zeros((len(p), len(p)))
-                for a, b, value in zip(i, j, v):
-                    if int(a) in at and int(b) in at:
-                        S[at[int(a)], at[int(b)]] = value
+                S[a[here], b[here]] = np.asarray(v, dtype=float)[here]
                 out.append((_whitener(S) @ np.asarray(x).reshape(-1, width)).ravel().tolist())
             yield pd.DataFrame({block: pdf[block], "pos": pdf["pos"], "white": out})
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from gramlaw.functions.scores import bits_between, bits_from_bic_change, criterion
 from gramlaw.operators.algebra import residual_square, ridge
+from gramlaw.operators.blocks import precision_sums
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, affine, gram, profile_inputs
-from gramlaw.operators.noise import variance_weight, whiten_blocks
+from gramlaw.operators.noise import variance_weight
 from gramlaw.sources.tables import check_shapes
 
 
@@ -85,11 +86,11 @@ def evaluate_basis(design: Design, alpha: float = 2e-3, variance: str | None = N
     return fit
 
 
-def evaluate_external(basis: DataFrame, target: DataFrame, sigma: DataFrame, width: int, alpha: float = 2e-3) -> BasisFit:
+def evaluate_external(basis: DataFrame, target: DataFrame, sigma: DataFrame, width: int, alpha: float = 2e-3, max_block: int = 1024) -> BasisFit:
     """A basis table (i, b0…), a target table (i, y) and covariance entries (i, j, v), checked and evaluated.
 
-    A diagonal covariance becomes a variance column and has no size limit. A dense one is whitened as a single block,
-    whose size is bounded; longer series need the AR(1) or sparse form.
+    A diagonal covariance becomes a variance column. Any other one is split into its connected blocks: those of at most
+    ``max_block`` rows are whitened densely, larger ones are solved by conjugate gradients; neither has a size limit.
     """
     check_shapes(basis, target, sigma)
     names = [f"b{j}" for j in range(width)]
@@ -97,12 +98,5 @@ def evaluate_external(basis: DataFrame, target: DataFrame, sigma: DataFrame, wid
     if sigma.where((F.col("i") != F.col("j")) & (F.col("v") != 0)).limit(1).count() == 0:
         variance = sigma.where("i = j").select("i", F.col("v").alias("variance"))
         return evaluate_basis(Design(rows.join(variance, "i"), names, ["y"]), alpha, "variance")
-    cols = ["one", *names, "y"]
-    one_block = rows.select(F.lit(0).alias("block"), "i", F.lit(1.0).alias("one"), *names, "y")
-    white = whiten_blocks(one_block, "block", "i", cols, sigma.withColumn("block", F.lit(0)))
-    pairs = [(a, b) for k, a in enumerate(cols) for b in cols[k:]]
-    sums = white.agg(F.count("*").alias("n"), *[F.sum(F.col(f"white_{a}") * F.col(f"white_{b}")).alias(f"{a}|{b}") for a, b in pairs]).first()
-    K = np.zeros((len(cols), len(cols)))
-    for a, b in pairs:
-        K[cols.index(a), cols.index(b)] = K[cols.index(b), cols.index(a)] = sums[f"{a}|{b}"]
-    return _fit(K, sums["n"], names, alpha)
+    K, n = precision_sums(rows.withColumn("one", F.lit(1.0)), sigma, ["one", *names, "y"], max_block)
+    return _fit(K, n, names, alpha)

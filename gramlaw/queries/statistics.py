@@ -309,6 +309,41 @@ def _(spark, sf):
 
 ORACLES["external_basis"] = ORACLES["basis_comparison"]
 
+_UV = [("one", "one"), ("one", "x0"), ("one", "y"), ("x0", "x0"), ("x0", "y"), ("y", "y")]
+
+
+@query(
+    "external_basis_blocks",
+    f"""WITH {ORDER_SQL}, u AS (SELECT id, 1.0 AS one, x0, y, id//8 AS block, id%8 AS part, 1.0+(id%5)*0.25 AS d FROM ord),
+single AS (SELECT {", ".join(f"sum({a}*{b}/d) AS {a}_{b}" for a, b in _UV)} FROM u WHERE part IN (1, 2)),
+each AS (SELECT block, count(*) AS m, {", ".join(f"sum({a}) AS s_{a}" for a in ("one", "x0", "y"))}, {", ".join(f"sum({a}*{b}) AS q_{a}_{b}" for a, b in _UV)} FROM u WHERE part NOT IN (1, 2, 3) GROUP BY block),
+equal AS (SELECT {", ".join(f"sum((q_{a}_{b}-0.4/(1.0+(m-1)*0.4)*s_{a}*s_{b})/(1.5*0.6)) AS {a}_{b}" for a, b in _UV)} FROM each),
+star AS (SELECT *, id=min(id) OVER () AS hub, 0.5/sqrt(count(*) OVER ()) AS link FROM u WHERE part=3),
+leaves AS (SELECT {", ".join(f"sum(CASE WHEN hub THEN 0.0 ELSE {a}*{b}/d END) AS q_{a}_{b}" for a, b in _UV)}, {", ".join(f"sum(CASE WHEN hub THEN {a} ELSE -link*{a}/d END) AS h_{a}" for a in ("one", "x0", "y"))}, 2.0-sum(CASE WHEN hub THEN 0.0 ELSE link*link/d END) AS rest FROM star),
+k AS (SELECT {", ".join(f"single.{a}_{b}+equal.{a}_{b}+q_{a}_{b}+h_{a}*h_{b}/rest AS {a}_{b}" for a, b in _UV)}, (SELECT CAST(count(*) AS DOUBLE) FROM ord) AS n FROM single, equal, leaves),
+ss AS (SELECT n, x0_x0-one_x0*one_x0/one_one AS xx, x0_y-one_x0*one_y/one_one AS xy, y_y-one_y*one_y/one_one AS yy FROM k),
+f AS (SELECT n, yy AS c0, yy-2*xy/(xx+0.002)*xy+power(xy/(xx+0.002),2)*xx AS c1 FROM ss),
+b AS (SELECT n, n*ln(c0/n+1e-9) AS l0, n*ln(c1/n+1e-9) AS l1 FROM f)
+SELECT 'intercept' AS model, 1 AS k, round(l0+2+4.0/(n-2),3) AS aicc, round(l0+ln(n+1e-9),3) AS bic, round(l0,3) AS mdl, CAST(NULL AS DOUBLE) AS delta_bic_bits, CAST(NULL AS DOUBLE) AS delta_mdl_bits, CAST(NULL AS DOUBLE) AS half_bits FROM b
+UNION ALL SELECT 'basis', 2, round(l1+4+12.0/(n-3),3), round(l1+2*ln(n+1e-9),3), round(l1,3), round((l0-l1-ln(n+1e-9))/ln(2.0),3), round((l0-l1)/ln(2.0),3), round((l0-l1-ln(n+1e-9))/(2*ln(2.0)),3) FROM b""",
+)
+def _(spark, sf):
+    """A basis under a covariance of three kinds of blocks: single rows, rows of equal correlation, and one large block in
+    which every row is linked with the first."""
+    df = orders(spark, sf).select(F.col("id").cast("long").alias("i"), "x0", "y")
+    block, part, d = F.expr("i div 8"), F.col("i") % 8, F.col("i") % 5 * 0.25 + 1.0
+    hub, many = df.where(part == 3).agg(F.min("i"), F.count("*")).first()
+    grouped = ~part.isin(1, 2, 3)
+    own = F.when(grouped, 1.5).when(F.col("i") == hub, 2.0).otherwise(d)
+    diagonal = df.select("i", F.col("i").alias("j"), own.alias("v"))
+    near = df.where(grouped).select(block.alias("block"), "i")
+    equal = near.join(near.withColumnRenamed("i", "j"), "block").where("i != j").select("i", "j", F.lit(0.6).alias("v"))  # five rows a block
+    links = F.array(*[F.struct(a.alias("i"), b.alias("j")) for a, b in ((F.lit(hub), F.col("i")), (F.col("i"), F.lit(hub)))])
+    star = df.where((part == 3) & (F.col("i") != hub)).select(F.inline(links)).withColumn("v", F.lit(0.5 / math.sqrt(many)))
+    sigma = diagonal.unionByName(equal).unionByName(star)
+    fit = evaluate_external(df.select("i", F.col("x0").alias("b0")), df.select("i", "y"), sigma, 1, max_block=64)
+    return rounded(fit.comparison(spark), 3)
+
 
 @query(
     "superfeatures",
