@@ -82,8 +82,8 @@ def split_views(table: GramTable, target: int = 0) -> list[tuple[int, FoldView]]
     pick = {key: m.target(target) for key, m in table.leaves.items()}
     views = []
     for k in leaves:
-        train = {}
-        for kind in kinds:
+        train = {kind: table.trained[k, kind].target(target) for kind in kinds} if table.trained else {}
+        for kind in () if train else kinds:
             parts = [pick[leaf, kind] for leaf in leaves if leaf != k]
             total = parts[0]
             for m in parts[1:]:

@@ -36,7 +36,8 @@ class Design:
     and the scale ``gain``, and every moment is taken of ``gain·(u_t - phi·u_prev)``. ``copies`` names a column of
     repetition counts: each row then enters moments and row counts as if it were there that many times. ``origin`` is
     taken off each target before anything is summed, so that a large offset costs no digits; only the intercept of a
-    finished law takes it back.
+    finished law takes it back. ``serial`` is the number of folds that cut through correlated series: the frame then
+    carries the roles of ``serial_frame``, and ``leaf`` its fold.
     """
 
     df: DataFrame
@@ -48,6 +49,7 @@ class Design:
     lagged: bool = False
     copies: str | None = None
     origin: tuple[float, ...] = ()
+    serial: int = 0
 
     @property
     def d(self) -> int:
@@ -55,7 +57,7 @@ class Design:
 
     @property
     def weighted(self) -> bool:
-        return self.weight is not None or self.lagged
+        return self.weight is not None or self.lagged or self.serial > 0
 
     def columns(self) -> list[Column]:
         """Input columns in order, as expressions."""
@@ -289,6 +291,10 @@ def partial_moments(
     design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, max_tasks: int = 20000
 ) -> DataFrame:
     """Packed sums of every task, not yet added up. ``max_tasks`` bounds how many partial sums are shuffled."""
+    if design.serial:
+        from gramlaw.operators.serial import entered
+
+        design = entered(design)
     narrow = spread(_narrow(design)).coalesce(max_tasks)
     return narrow.mapInArrow(_accumulate(_layout(design), cands, centre, scale), PARTIAL_SCHEMA)
 
@@ -370,7 +376,7 @@ def profile_inputs(design: Design, sample_rows: int = 4096) -> RawProfile:
     beyond rounding, because the shift and scale are undone exactly.
     """
     d, t = design.d, len(design.targets)
-    base = replace(design, weight=None, lagged=False)
+    base = replace(design, weight=None, lagged=False, serial=0)
     layout = _layout(base)
     raw = [Candidate(f"x{i}", "unary", {"f": "x", "i": i}) for i in range(d)]
     narrow = spread(_narrow(base))
@@ -456,8 +462,12 @@ class GramTable:
     centre: np.ndarray
     scale: np.ndarray
     leaves: dict[tuple[int, int], Moments]
+    trained: dict[tuple[int, int], Moments] | None = None  # of each fold's training rows, where no sum of leaves gives them
+    whole: dict[int, Moments] | None = None
 
     def total(self, kind: int = PLAIN) -> Moments:
+        if self.whole is not None:
+            return self.whole[kind]
         parts = [m for (_, k), m in self.leaves.items() if k == kind]
         out = parts[0]
         for m in parts[1:]:
@@ -471,4 +481,13 @@ def gram(design: Design, cands: list[Candidate], prof: RawProfile | None = None)
     centre, scale = working_scale(cands, prof)
     summed = leaf_moments(design, cands, centre, scale)
     leaves = collect_moments(summed, len(cands), len(design.targets), centre, scale)
-    return GramTable(cands, centre[: len(cands)], scale[: len(cands)], leaves)
+    return gram_table(design, cands, centre, scale, leaves)
+
+
+def gram_table(design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, leaves: dict) -> GramTable:
+    table = GramTable(cands, centre[: len(cands)], scale[: len(cands)], leaves)
+    if not design.serial:
+        return table
+    from gramlaw.operators.serial import by_fold
+
+    return by_fold(table, design.serial)

@@ -25,12 +25,14 @@ def whiten_diagonal(df: DataFrame, cols: list[str], variance: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Ar1:
-    """AR(1) noise within ``series`` on the integer grid ``step``: correlation ``rho`` per unit step, deviation ``sigma``."""
+    """AR(1) noise within ``series`` on the integer grid ``step``: correlation ``rho`` per unit step, deviation ``sigma``.
+    ``split`` lets folds cut through a series; otherwise a series stays in one fold."""
 
     series: str
     step: str
     rho: float
     sigma: float = 1.0
+    split: bool = False
 
 
 def ar1_frame(df: DataFrame, noise: Ar1, cols: list[str]) -> DataFrame:

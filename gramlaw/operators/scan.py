@@ -37,10 +37,11 @@ def ordered_scan(
     running: dict[str, Column] | None = None,
     position: str | None = None,
     hot_rows: int = HOT_ROWS,
+    latest: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Per key in order: previous values (``new name → column``), running sums (``new name → expression``) and the
-    0-based position."""
-    previous, running = dict(previous or {}), dict(running or {})
+    """Per key in order: previous values (``new name → column``), running sums (``new name → expression``), the 0-based
+    position, and the last value before the row that is not null (``latest``: ``new name → column``)."""
+    previous, running, latest = dict(previous or {}), dict(running or {}), dict(latest or {})
     if position:
         running[f"__{position}"] = F.lit(1).cast("long")
     sliced, any_hot = _slices(df, key, order[0], hot_rows)
@@ -50,13 +51,15 @@ def ordered_scan(
     out = sliced.withColumns(
         {n: F.lag(c).over(local) for n, c in previous.items()}
         | {n: F.sum(f"__s_{n}").over(to_here) for n in running}
+        | {n: F.last(c, ignorenulls=True).over(local.rowsBetween(Window.unboundedPreceding, -1)) for n, c in latest.items()}
         | {"__first": F.row_number().over(local) == 1}
     )
     if any_hot:
-        latest = F.struct(*order)
+        place = F.struct(*order)
         summary = sliced.where("__slice > 0").groupBy(key, "__slice").agg(
             F.lit(1).alias("__one"),
-            *[F.max_by(F.struct(F.col(c)), latest).alias(f"__l_{n}") for n, c in previous.items()],
+            *[F.max_by(F.struct(F.col(c)), place).alias(f"__l_{n}") for n, c in previous.items()],
+            *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"__n_{n}") for n, c in latest.items()],
             *[F.sum(f"__s_{n}").alias(f"__t_{n}") for n in running],
         )
         across = Window.partitionBy(key).orderBy("__slice")
@@ -66,14 +69,16 @@ def ordered_scan(
             "__slice",
             *[F.lag(f"__l_{n}").over(across).alias(f"__c_{n}") for n in previous],
             *[F.sum(f"__t_{n}").over(before).alias(f"__b_{n}") for n in running],
+            *[F.last(f"__n_{n}", ignorenulls=True).over(before).alias(f"__k_{n}") for n in latest],
         )
         out = out.join(carry, [key, "__slice"], "left")
         fixes = {n: F.when(F.col("__first") & F.col(f"__c_{n}").isNotNull(), F.col(f"__c_{n}.{c}")).otherwise(F.col(n)) for n, c in previous.items()}
         fixes |= {n: F.col(n) + F.coalesce(F.col(f"__b_{n}"), F.lit(0)) for n in running}
+        fixes |= {n: F.coalesce(n, f"__k_{n}") for n in latest}
         out = out.withColumns(fixes)
     if position:
         out = out.withColumn(position, (F.col(f"__{position}") - 1).cast("long")).drop(f"__{position}")
-    return out.drop("__first", "__slice", *[c for c in out.columns if c.startswith(("__s_", "__c_", "__b_"))])
+    return out.drop("__first", "__slice", *[c for c in out.columns if c.startswith(("__s_", "__c_", "__b_", "__k_"))])
 
 
 def with_previous(df: DataFrame, key: str, order: list[str], cols: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gramlaw.operators import select
 from gramlaw.operators.algebra import split_views, whole_view
 from gramlaw.operators.catalog import Candidate, catalog_frame
-from gramlaw.operators.gram import Design, gram, profile_inputs
+from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, affine, gram, profile_inputs
 from gramlaw.operators.graphs import Graph, description_bits, node_candidate, seed_graph
 from gramlaw.operators.refine import Scorer, columns_of, search_graphs, top_outputs, tune
 from gramlaw.operators.noise import Ar1
+from gramlaw.operators.serial import serial_frame
 from gramlaw.plans.options import Options, older
 from gramlaw.plans.rounds import distill_rounds
 from gramlaw.plans.search import bank_for, count_bags, leaf_table, search
@@ -163,6 +165,52 @@ def _(spark, sf):
     return search(ev, ["x0", "x1"], "y", "event_id", opt, ar1=Ar1("user_id", "event_id", 0.99, 0.7), consensus=False)["y"].ops_frame(spark)
 
 
+def _one_series(spark, sf):
+    """All events as one series with folds that cut through it."""
+    ev = table(spark, sf, "events").select(
+        F.lit(0).alias("line"), "event_id", (F.col("value") / 50.0).alias("x0"), (F.col("event_id") % 13 / 6.5 - 1.0).alias("x1")
+    )
+    fold = (F.expr("event_id * event_id div 7") % 5).cast("int")
+    return ev.withColumn("y", F.tanh("x0") + F.col("x1") * F.col("x1") * 0.5).withColumn("fold", fold)
+
+
+_WHITE_PAIRS = [("one", "one"), ("one", "x0"), ("one", "y"), ("x0", "x0"), ("x0", "x1"), ("x0", "y"), ("x1", "y"), ("y", "y")]
+
+
+@query(
+    "ar1_fold_sums",
+    f"""WITH ev AS (SELECT event_id, 1.0 AS one, value/50.0 AS x0, (event_id%13)/6.5-1.0 AS x1, (event_id*event_id//7)%5 AS fold FROM events),
+e AS (SELECT *, tanh(x0)+x1*x1*0.5 AS y FROM ev),
+r AS (SELECT k AS fold, CASE WHEN fold=k THEN 'valid' ELSE 'train' END AS role, event_id, one, x0, x1, y FROM e, (SELECT unnest(range(5)) AS k)),
+p AS (SELECT *, power(0.9, event_id-lag(event_id) OVER w) AS phi, {", ".join(f"lag({c}) OVER w AS p_{c}" for c in ("one", "x0", "x1", "y"))} FROM r WINDOW w AS (PARTITION BY fold, role ORDER BY event_id)),
+v AS (SELECT fold, role, {", ".join(f"({c}-coalesce(phi*p_{c}, 0.0))/(0.7*sqrt(1.0-coalesce(phi*phi, 0.0))) AS {c}" for c in ("one", "x0", "x1", "y"))} FROM p)
+SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, {", ".join(f"round(sum({a}*{b})/count(*),6) AS {a}_{b}" for a, b in _WHITE_PAIRS)} FROM v GROUP BY fold, role""",
+)
+def _(spark, sf):
+    """Whitened sums of each fold's training and validation rows inside one correlated series."""
+    df = serial_frame(_one_series(spark, sf), Ar1("line", "event_id", 0.9, 0.7), ["x0", "x1", "y"], "fold", 5)
+    design = Design(df, ["x0", "x1"], ["y"], leaf="fold", serial=5)
+    cands = [Candidate(f"x{i}", "unary", {"f": "x", "i": i}) for i in (0, 1)]
+    g = gram(design, cands)
+    shift = np.concatenate([[0.0], -g.centre / g.scale, [0.0]])
+    factor = np.concatenate([[1.0], g.scale, [1.0]])
+    at = {"one": 0, "x0": 1, "x1": 2, "y": 3}
+    rows = []
+    for role, sums in (("valid", g.leaves), ("train", g.trained)):
+        for k in range(5):
+            n, M = sums[k, PLAIN].n, affine(sums[k, WEIGHTED].M, shift, factor)
+            rows.append((k, role, n, *[float(M[at[a], at[b]] / n) for a, b in _WHITE_PAIRS]))
+    return rounded(spark.createDataFrame(rows, "fold int, role string, n long, " + ", ".join(f"{a}_{b} double" for a, b in _WHITE_PAIRS)))
+
+
+@query("ar1_law_one_series")
+def _(spark, sf):
+    """Operators of a law whose folds cut through a single correlated series."""
+    noise = Ar1("line", "event_id", 0.9, 0.7, split=True)
+    found = search(_one_series(spark, sf), ["x0", "x1"], "y", "event_id", Options().patched(bag_boots=0), ar1=noise, fold="fold", consensus=False)
+    return found["y"].ops_frame(spark)
+
+
 @query("bank_catalog")
 def _(spark, sf):
     """The full candidate bank as a table."""
