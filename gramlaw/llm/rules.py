@@ -1,13 +1,18 @@
 """Quality rules with thresholds that adapt to each language and source.
 
-Every text gives a few measures (below). KLL quantile sketches of each measure are built per (language, source): partial
-sketches in every map task, merged after the shuffle, so that a hot source costs no more than a cold one. The sketches of
-a language are merged again from those of its sources, and those of everything from the languages. From the quartiles of
-its group a measure gets a fence, ``q3 + reach * max(q3 - q1, least)``: what lies beyond is unusual for that language and
-source, and a group whose values hardly spread is not cut at the edge of ordinary text. A source may be mostly junk, so
-that its own fence says nothing; the fence used is therefore at most that of the language, and that at most the one of
-everything, each with a margin. Documents join their thresholds (one row per language and source, replicated over salts
-so that a hot source is spread) and are kept if they pass the two fixed rules and all fences.
+Every text gives a few measures (below), which are not negative. A quantile sketch of a measure counts the values that
+fall into buckets of equal ratio, so a quantile read from it is within ``PRECISION`` of a true one. Sketches are sums of
+counts: they are made in every map task, merge exactly, and are the same whatever the partitions, tasks and repeats. They
+are built per (language, source) over the texts that pass the fixed rules; those of a language and of everything are
+merged from them. In a group, ``SHARE`` of the texts lie beyond each of two edges; a fence lies ``REACH`` times as far
+beyond an edge as this is from the median. Where edge and median are equal (most texts without any symbol) they tell no
+scale, and the fence is the quantile beyond which ``TAIL`` of the group lie. A group's fences are shrunk towards those of
+the language, and the language's towards those of everything, by the number of texts, with ``PRIOR`` texts of the wider
+group added. No measure has constants of its own, so what is usual follows from each group. A small source of junk is
+judged by its language; in one with more than ``SHARE`` of junk the junk is usual.
+
+Documents join their fences (one row per language and source, replicated over salts so that a hot source is spread) and
+are kept if they pass the two fixed rules and lie within all fences. Values at a fence, ties included, lie within.
 
 Results for odd input: a null or empty text has no words and fails the fixed rule. Null languages and sources form
 groups of their own. Repeated rows are judged one by one, alike. An empty table gives no rows. Measures are held under
@@ -16,18 +21,22 @@ one struct column, whose name the caller can choose; extra columns of the input
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramlaw.llm.text import let
+from gramlaw.llm.text import cut, let
 
 WHITE = "\\x20\\x09-\\x0D"  # inside a character class
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: measure: the least spread that counts. All are shares of a text, but for the mean length of a word.
-MEASURES = {"symbols": 0.02, "shouts": 0.05, "capitals": 0.1, "repeats": 0.16, "dup_lines": 0.15, "word_length": 4.0}
+#: Shares of a text, but for the mean length of a word.
+MEASURES = ("symbols", "shouts", "capitals", "repeats", "dup_lines", "word_length")
 COUNTED = {"symbols": SYMBOLS, "shouts": "!?", "capitals": "A-Z"}
-REACH = 3.0
+SHARE, REACH, TAIL, PRIOR = 0.1, 4.0, 0.005, 50
+PRECISION, SMALLEST = 0.005, 1e-6  # of a bucket's values; what is smaller counts as zero
+RATIO = math.log((1 + PRECISION) / (1 - PRECISION))
 SALTS = 16
 
 
@@ -84,24 +93,47 @@ def measured(docs: DataFrame, name: str = "rules") -> DataFrame:
     return steps.withColumn(name, out).select(*docs.columns, name)
 
 
-def thresholds(table: DataFrame, name: str = "rules", reach: float = REACH) -> DataFrame:
-    """(lang, source, fence): the upper fence of each measure in each group, from merged KLL sketches."""
-    by_source = table.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(F.col(name)["m"][m]).alias(m) for m in MEASURES])
-    by_lang = by_source.groupBy("lang").agg(*[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
-    over_all = by_lang.agg(*[F.kll_merge_agg_double(m).alias(m) for m in MEASURES])
+def sketch(table: DataFrame, name: str = "rules") -> DataFrame:
+    """(lang, source, measure, bucket, n): the quantile sketches of texts that pass the fixed rules. Bucket 0 holds zero."""
+    bucket = lambda m: F.when(F.col(name)["m"][m] < SMALLEST, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log(F.col(name)["m"][m] / SMALLEST) / RATIO).cast("int")))
+    each = F.array(*[F.struct(F.lit(k).alias("measure"), bucket(m).alias("bucket")) for k, m in enumerate(MEASURES)])
+    rows = table.where(~F.col(name)["base_failed"]).select("lang", "source", F.inline(each))
+    return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+
+
+def quantiles(sketches: DataFrame, keys: list[str], at: tuple[float, ...]) -> DataFrame:
+    """Per group and measure the number of texts and the quantiles ``q``: the upper end of the bucket that holds each."""
+    group = [*keys, "measure"]
+    so_far = Window.partitionBy(*group).orderBy("bucket")
+    counted = sketches.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
+    placed = counted.withColumns({"below": F.sum("n").over(so_far), "all": F.sum("n").over(Window.partitionBy(*group))})
+    first = lambda q: F.min(F.when(F.col("below") >= F.lit(q) * F.col("all"), F.col("bucket")))
+    value = lambda b: F.when(b <= 0, 0.0).otherwise(SMALLEST * F.exp(b * RATIO))
+    found = placed.groupBy(*group).agg(F.max("all").alias("n"), *[first(q).alias(f"_q{k}") for k, q in enumerate(at)])
+    return found.select(*group, "n", F.array(*[value(F.col(f"_q{k}")) for k in range(len(at))]).alias("q"))
+
+
+def thresholds(table: DataFrame, name: str = "rules") -> DataFrame:
+    """(lang, source, fence): for each measure the fences ``lo`` and ``hi`` of its group."""
+    sketches = cut(sketch(table, name), "sketches")
 
-    def fences(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-        def fence(m: str) -> Column:
-            q1, q3 = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (0.25, 0.75))
-            return q3 + reach * F.greatest(q3 - q1, F.lit(MEASURES[m]))
+    def fences(keys: list[str]) -> DataFrame:
+        found = quantiles(sketches, keys, (TAIL, SHARE, 0.5, 1 - SHARE, 1 - TAIL))
+        q = lambda k: F.col("q")[k]
+        lo = F.when(q(1) < q(2), q(1) - REACH * (q(2) - q(1))).otherwise(q(0))
+        hi = F.when(q(3) > q(2), q(3) + REACH * (q(3) - q(2))).otherwise(q(4))
+        return found.select(*keys, "measure", "n", lo.alias("lo"), hi.alias("hi"))
 
-        return df.select(*keys, F.struct(*[fence(m).alias(m) for m in MEASURES]).alias(label))
+    def shrunk(own: DataFrame, parent: DataFrame, same: Column) -> DataFrame:
+        weight = F.col("n") / (F.col("n") + PRIOR)
+        wide = parent.select(*[F.col(c).alias(f"_{c}") for c in parent.columns])
+        mixed = {c: weight * F.col(c) + (1 - weight) * F.coalesce(f"_{c}", c) for c in ("lo", "hi")}
+        return own.join(wide, same & (F.col("measure") == F.col("_measure")), "left").withColumns(mixed).select(*own.columns)
 
-    own, lang, everything = fences(by_source, ["lang", "source"], "own"), fences(by_lang, ["lang"], "wide"), fences(over_all, [], "most")
-    lang = lang.select(F.col("lang").alias("lang_"), "wide")
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_"))).join(everything)
-    bound = lambda m: F.least(F.col("own")[m], F.lit(1.5) * F.col("wide")[m], F.lit(2.0) * F.col("most")[m])
-    return joined.select("lang", "source", F.struct(*[bound(m).alias(m) for m in MEASURES]).alias("fence"))
+    by_lang = shrunk(fences(["lang"]), fences([]), F.lit(True))
+    own = shrunk(fences(["lang", "source"]), by_lang, F.col("lang").eqNullSafe(F.col("_lang")))
+    of = own.groupBy("lang", "source").agg(F.sort_array(F.collect_list(F.struct("measure", "lo", "hi"))).alias("f"))  # one struct a measure
+    return of.select("lang", "source", F.struct(*[F.col("f")[k].alias(m) for k, m in enumerate(MEASURES)]).alias("fence"))
 
 
 def judged(table: DataFrame, fences: DataFrame, name: str = "rules") -> DataFrame:
@@ -111,5 +143,6 @@ def judged(table: DataFrame, fences: DataFrame, name: str = "rules") -> DataFram
     on = F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (salt == F.col("_salt"))
     passed = ~F.col(name)["base_failed"]
     for m in MEASURES:
-        passed = passed & (F.col(name)["m"][m] <= F.coalesce(F.col("fence")[m], F.lit(float("inf"))))
+        value, slack = F.col(name)["m"][m], 1 + 2 * PRECISION  # the width of a bucket: a fence between equal values holds both
+        passed = passed & (value <= F.coalesce(F.col("fence")[m]["hi"] * slack, F.lit(math.inf))) & (value * slack >= F.coalesce(F.col("fence")[m]["lo"], F.lit(-math.inf)))
     return table.join(salted, on, "left").withColumn(name, F.col(name).withField("kept", passed)).drop("_lang", "_source", "_salt", "fence")
