@@ -6,7 +6,8 @@ counts: they are made in every map task, merge exactly, and are the same whateve
 are built per (language, source) over the texts that pass the fixed rules; those of a language and of everything are
 merged from them. In a group, ``SHARE`` of the texts lie beyond each of two edges; a fence lies ``REACH`` times as far
 beyond an edge as this is from the median. Where edge and median are equal (most texts without any symbol) they tell no
-scale, and the fence is the quantile beyond which ``TAIL`` of the group lie. A group's fences are shrunk towards those of
+scale, and the fence is the quantile beyond which ``TAIL`` of the group lie, when 1 / ``TAIL`` texts at the median are
+added: it takes more than one unusual text to make it usual. A group's fences are shrunk towards those of
 the language, and the language's towards those of everything, by the number of texts, with ``PRIOR`` texts of the wider
 group added. No measure has constants of its own, so what is usual follows from each group. A small source of junk is
 judged by its language; in one with more than ``SHARE`` of junk the junk is usual.
@@ -101,13 +102,20 @@ def sketch(table: DataFrame, name: str = "rules") -> DataFrame:
     return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketches: DataFrame, keys: list[str], at: tuple[float, ...]) -> DataFrame:
-    """Per group and measure the number of texts and the quantiles ``q``: the upper end of the bucket that holds each."""
+def quantiles(sketches: DataFrame, keys: list[str], at: tuple[float, ...], added: dict[float, float] | None = None) -> DataFrame:
+    """Per group and measure the number of texts and the quantiles ``q``: the upper end of the bucket that holds each.
+    ``added`` is how many texts at the median are added for a quantile."""
     group = [*keys, "measure"]
     so_far = Window.partitionBy(*group).orderBy("bucket")
     counted = sketches.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))
     placed = counted.withColumns({"below": F.sum("n").over(so_far), "all": F.sum("n").over(Window.partitionBy(*group))})
-    first = lambda q: F.min(F.when(F.col("below") >= F.lit(q) * F.col("all"), F.col("bucket")))
+    placed = placed.withColumn("past", F.col("below") >= 0.5 * F.col("all"))  # the bucket of the median, or one beyond
+
+    def first(q: float) -> Column:
+        more = (added or {}).get(q, 0.0)
+        below = F.col("below") + F.when(F.col("past"), more).otherwise(0.0)
+        return F.min(F.when(below >= F.lit(q) * (F.col("all") + more), F.col("bucket")))
+
     value = lambda b: F.when(b <= 0, 0.0).otherwise(SMALLEST * F.exp(b * RATIO))
     found = placed.groupBy(*group).agg(F.max("all").alias("n"), *[first(q).alias(f"_q{k}") for k, q in enumerate(at)])
     return found.select(*group, "n", F.array(*[value(F.col(f"_q{k}")) for k in range(len(at))]).alias("q"))
@@ -118,7 +126,7 @@ def thresholds(table: DataFrame, name: str = "rules") -> DataFrame:
     sketches = cut(sketch(table, name), "sketches")
 
     def fences(keys: list[str]) -> DataFrame:
-        found = quantiles(sketches, keys, (TAIL, SHARE, 0.5, 1 - SHARE, 1 - TAIL))
+        found = quantiles(sketches, keys, (TAIL, SHARE, 0.5, 1 - SHARE, 1 - TAIL), {TAIL: 1 / TAIL, 1 - TAIL: 1 / TAIL})
         q = lambda k: F.col("q")[k]
         lo = F.when(q(1) < q(2), q(1) - REACH * (q(2) - q(1))).otherwise(q(0))
         hi = F.when(q(3) > q(2), q(3) + REACH * (q(3) - q(2))).otherwise(q(4))

@@ -49,7 +49,7 @@ def plain(i, mark="", every=3):
 
 def test_fences_follow_their_group(spark):
     rows = [(i, plain(i), "en", "prose", 0) for i in range(400)]
-    rows += [(1000 + i, plain(i, "###"), "en", "prose", 0) for i in range(1)]  # unusual here
+    rows += [(1000 + i, plain(i, "###"), "en", "prose", 0) for i in range(3)]  # unusual here
     rows += [(2000 + i, plain(i).upper() + " WOW!!!!!!!! " * 60, None, "junk", 0) for i in range(20)]  # a small source of junk only
     got = verdicts(spark, rows)
     assert all(got[i] for i in range(400)) and not any(v for k, v in got.items() if k >= 1000)
