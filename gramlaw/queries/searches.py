@@ -35,7 +35,7 @@ from gramlaw.queries.common import (
 )
 from gramlaw.queries.statistics import FIXED_LAW
 from gramlaw.session import materialise, shared_path
-from gramlaw.streaming.streams import MomentSink, level_windows, read_stream, run_to_table, score_stream, shield_stream
+from gramlaw.streaming.streams import MomentSink, closable, level_windows, read_stream, run_to_table, score_stream, shield_stream
 
 LIGHT = Options(n_proj=6, n_pairs=4, max_grammar=3, refine=False, bag_boots=4, bag_buckets=5, folds=3)
 
@@ -408,19 +408,18 @@ def _(spark, sf):
     return out.select("id", rnd("yhat").alias("yhat"))
 
 
-_SHIELD_SQL = f"WITH {TELEMETRY_SQL}, {label_sql()} SELECT record_id, tick, shield_level, override_code, regime, round(pred_temp,6) AS pred_temp FROM lab WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+_SHIELD_SQL = f"WITH {TELEMETRY_SQL}, {label_sql()} SELECT record_id, tick, shield_level, override_code, regime, round(pred_temp,6) AS pred_temp FROM lab"
 
 
 @query("stream_shield", _SHIELD_SQL)
 def _(spark, sf):
-    """Stateful shield over a stream: everything the watermark has passed, in time order per episode."""
-    top = table(spark, sf, "events").agg(F.max("ts").cast("timestamp")).first()[0]
+    """Stateful shield over a bounded stream, to its last row, in time order per episode."""
+    ends = shared_path(spark, "shield-ends")
     out = run_to_table(
-        shield_stream(_event_stream(spark, sf)).select("record_id", "tick", "ts", "shield_level", "override_code", "regime", "pred_temp"),
-        shared_path(spark, "shield"), shared_path(spark, "shield-check"),
+        shield_stream(closable(_event_stream(spark, sf), ends)).select("record_id", "tick", "shield_level", "override_code", "regime", "pred_temp"),
+        shared_path(spark, "shield"), shared_path(spark, "shield-check"), ends,
     )
-    passed = out.where(F.col("ts") < F.lit(top) - F.expr("INTERVAL 10 MINUTES"))
-    return passed.select("record_id", "tick", "shield_level", "override_code", "regime", rnd("pred_temp").alias("pred_temp"))
+    return out.withColumn("pred_temp", rnd("pred_temp"))
 
 
 @query(
@@ -443,13 +442,13 @@ def _(spark, sf):
 
 @query(
     "stream_level_windows",
-    f"WITH {TELEMETRY_SQL}, {label_sql()}, e AS (SELECT date_trunc('day', max(ts) - INTERVAL 10 MINUTE) AS t FROM events) SELECT date_trunc('day', ts) AS start, shield_level, count(*) AS n FROM lab, e WHERE ts < t GROUP BY ALL",
+    f"WITH {TELEMETRY_SQL}, {label_sql()} SELECT date_trunc('day', ts) AS start, shield_level, count(*) AS n FROM lab GROUP BY ALL",
 )
 def _(spark, sf):
-    """Level counts per day from a stream, for the days the watermark has closed."""
-    src = shared_path(spark, "labels")
+    """Level counts per day from a bounded stream, the last day included."""
+    src, ends = shared_path(spark, "labels"), shared_path(spark, "levels-ends")
     labelled(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "shield_level").write.parquet(src)
     stream = read_stream(spark, src, "*.parquet")
-    out = run_to_table(level_windows(stream), shared_path(spark, "levels"), shared_path(spark, "levels-check"))
+    out = run_to_table(level_windows(closable(stream, ends)), shared_path(spark, "levels"), shared_path(spark, "levels-check"), ends)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "shield_level", "n")
 
