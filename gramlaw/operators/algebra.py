@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -38,6 +38,10 @@ class FoldView:
     def y(self) -> int:
         return self.p + 1
 
+    def restricted(self, bank: np.ndarray | None) -> "FoldView":
+        """The view with only the candidates of a bank alive."""
+        return self if bank is None else replace(self, live=self.live & bank)
+
     def unit(self, j: int) -> np.ndarray:
         """Row vector picking scaled candidate ``j``."""
         row = np.zeros(self.p + 2)
@@ -89,7 +93,8 @@ def split_views(table: GramTable, target: int = 0) -> list[tuple[int, FoldView]]
             for m in parts[1:]:
                 total = total + m
             train[kind] = total
-        views.append((k, fold_view(train, {kind: pick[k, kind] for kind in kinds}, table.centre, table.scale)))
+        view = fold_view(train, {kind: pick[k, kind] for kind in kinds}, table.centre, table.scale)
+        views.append((k, view.restricted((table.banks or {}).get(k))))
     return views
 
 
@@ -97,7 +102,7 @@ def whole_view(table: GramTable, target: int = 0) -> FoldView:
     """All rows as both training and validation (in-sample)."""
     kinds = sorted({kind for _, kind in table.leaves})
     total = {kind: table.total(kind).target(target) for kind in kinds}
-    return fold_view(total, total, table.centre, table.scale)
+    return fold_view(total, total, table.centre, table.scale).restricted((table.banks or {}).get(None))
 
 
 # --------------------------------------------------------------------------------------------------------------

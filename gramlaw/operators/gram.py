@@ -8,7 +8,7 @@ streaming sum reduces them in one or two levels, so no task ever holds more than
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -333,6 +333,12 @@ class RawProfile:
     flat: np.ndarray
     sample_x: np.ndarray
     sample_y: np.ndarray
+    parts: dict[int, Moments] = field(default_factory=dict)  # ``inner`` of each leaf
+
+    def training(self, fold: int) -> "RawProfile":
+        """The profile of the rows outside ``fold``."""
+        others = [m for k, m in self.parts.items() if k != fold]
+        return replace(self, inner=sum(others[1:], others[0])) if others else self
 
     @property
     def moments(self) -> Moments:
@@ -403,13 +409,10 @@ def profile_inputs(design: Design, sample_rows: int = 4096) -> RawProfile:
 
     parts = narrow.mapInArrow(run, PARTIAL_SCHEMA)
     rows = sum_partials(parts, groups=1, fan_in=fan_in_for(design.df)[1]).collect()
-    M = np.zeros((1 + d + t, 1 + d + t))
-    n = 0
-    for G, count in unpack([r for r in rows if r["leaf"] >= 0], 1 + d + t).values():
-        M += G
-        n += count
+    parts = {leaf: Moments(G, count, d, t) for (leaf, _), (G, count) in unpack([r for r in rows if r["leaf"] >= 0], 1 + d + t).items()}
+    inner = sum(parts.values(), Moments(np.zeros((1 + d + t, 1 + d + t)), 0, d, t))
     sample = np.vstack([np.frombuffer(r["data"]).reshape(-1, d + t) for r in rows if r["leaf"] < 0])
-    return RawProfile(Moments(M, n, d, t), mean, sd, flat, sample[:, :d], sample[:, d:])
+    return RawProfile(inner, mean, sd, flat, sample[:, :d], sample[:, d:], parts)
 
 
 def _location(narrow: DataFrame, layout: dict, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -464,6 +467,7 @@ class GramTable:
     leaves: dict[tuple[int, int], Moments]
     trained: dict[tuple[int, int], Moments] | None = None  # of each fold's training rows, where no sum of leaves gives them
     whole: dict[int, Moments] | None = None
+    banks: dict[int | None, np.ndarray] | None = None  # candidates that a fold may use; None: those of all rows
 
     def total(self, kind: int = PLAIN) -> Moments:
         if self.whole is not None:
