@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gramlaw.functions.scores import TYPE_BITS, criterion_column, ebic_bits_column, mdl_bits_column
-from gramlaw.operators import catalog, select
+from gramlaw.operators import catalog, qr, select
 from gramlaw.operators.algebra import orthonormal_map, split_views, whole_view
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.gram import Design, gram, profile_inputs
@@ -21,6 +21,7 @@ from gramlaw.operators.splits import exact_folds, hashed_folds, holdout
 from gramlaw.plans.basis import evaluate_basis, evaluate_external, raw_moments
 from gramlaw.plans.law import Law, flatten, score_array
 from gramlaw.plans.options import Options
+from gramlaw.plans.search import bank_for
 from gramlaw.plans.stability import consensus, operator_stability
 from gramlaw.queries.common import FOLD_SQL, LINE_SQL, ORACLES, ORDER_FEATURES, ORDER_SQL, folded_orders, line, orders, query, rnd, rounded, table
 from gramlaw.session import shared_path
@@ -345,6 +346,39 @@ def _(spark, sf):
     return rounded(fit.comparison(spark), 3)
 
 
+@query(
+    "superfeatures_near_equal",
+    f"""WITH {ORDER_SQL}, u AS (SELECT id, x0 AS a, x0+x2/4096.0 AS b, {_W} AS w FROM ord), g AS (SELECT sum(w*a*a) AS aa, sum(w*a*b) AS ab FROM u),
+r AS (SELECT id, a/sqrt(aa) AS q0, w, b-a-(ab-aa)/aa*a AS r FROM u, g), r2 AS (SELECT id, q0, w, r-q0*(SELECT sum(w*q0*r) FROM r) AS r FROM r)
+SELECT id, round(1000*q0,3) AS s0, round(1000*r/sqrt((SELECT sum(w*r*r) FROM r2)),3) AS s1 FROM r2""",
+)
+def _(spark, sf):
+    """Orthonormal export of two columns that agree in three digits, by a tree of QR factors (times 1000)."""
+    df = orders(spark, sf).select("id", F.col("x0").alias("a"), (F.col("x0") + F.col("x2") / 4096.0).alias("b"), variance_weight(F.col("variance")).alias("w"))
+    out, _ = qr.superfeatures(df, ["a", "b"], F.col("w"))
+    return out.select("id", rnd(F.col("s0") * 1000, 3).alias("s0"), rnd(F.col("s1") * 1000, 3).alias("s1"))
+
+
+_INPUT_PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+
+
+@query(
+    "fold_pairs",
+    f"""WITH {ORDER_SQL}, {FOLD_SQL}, c AS (SELECT k AS fold, {", ".join(f"corr(x{i},x{j})*count(*)/(count(*)-1.0) AS c{i}{j}" for i, j in _INPUT_PAIRS)} FROM folded, (SELECT unnest(range(5)) AS k) WHERE fold<>k GROUP BY k),
+p AS ({" UNION ALL ".join(f"SELECT fold, {i} AS i, {j} AS j, c{i}{j} AS corr FROM c" for i, j in _INPUT_PAIRS)})
+SELECT CAST(fold AS INTEGER) AS fold, i, j, round(corr,6) AS corr, row_number() OVER (PARTITION BY fold ORDER BY abs(corr) DESC)=1 AS projected FROM p""",
+)
+def _(spark, sf):
+    """Correlations of the inputs over each fold's training rows, and the pair whose axes its bank projects on."""
+    prof = profile_inputs(Design(folded_orders(spark, sf), ORDER_FEATURES, ["y"], leaf="fold"))
+    rows = []
+    for k in range(5):
+        corr = prof.training(k).corr(4)
+        own = {n for n in (c.name for c in bank_for(prof.training(k), 4, Options())) if "(proj[ei:" in n or "(proj[ej:" in n}
+        rows += [(k, i, j, float(corr[i, j]), f"hsml:x(proj[ei:{i}])" in own and f"hsml:x(proj[ej:{j}])" in own) for i, j in _INPUT_PAIRS]
+    return rounded(spark.createDataFrame(rows, "fold int, i int, j int, corr double, projected boolean"))
+
+
 @query(
     "superfeatures",
     f"WITH {ORDER_SQL}, g AS (SELECT sum({_W}*x0*x0) AS a, sum({_W}*x0*x2) AS b, sum({_W}*x2*x2) AS c FROM ord) SELECT id, round(1000*x0/sqrt(a),6) AS s0, round(1000*(x2-b/a*x0)/sqrt(c-b*b/a),6) AS s1 FROM ord, g",
