@@ -33,14 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+WRITTEN: list[str] = []  # tables that ``cut`` wrote in this process and that ``release`` has not deleted
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later steps and lost executors never redo it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/text/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since, but for the newest, which no longer needs them. ``since`` counts ``WRITTEN``."""
+    for path in WRITTEN[since:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    del WRITTEN[since:-1]
+
+
 CORE = ("doc_id", "text", "lang", "source", "n_chars")
 
 

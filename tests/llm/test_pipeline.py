@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -5,7 +6,7 @@ import corpus_pipeline as cp
 from helpers import ODD, SCHEMA
 from pyspark.sql import functions as F
 
-from gramlaw.llm.text import cut
+from gramlaw.llm.text import WRITTEN, cut
 
 
 def prose(i, words=70):
@@ -43,3 +44,13 @@ def test_empty_table(spark, none):
     for name, stage in cp.STAGES:
         docs = cut(stage(spark, docs, "unused"), name)
     assert docs.count() == 0
+
+
+def test_consumed_tables_are_deleted(spark, tmp_path):
+    """A run leaves the last stage's input and what that stage wrote; another table of the session stays."""
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    kept, before = cut(spark.range(3), "other"), list(WRITTEN)
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() > 0 and kept.count() == 3 and WRITTEN[: len(before)] == before
+    left = [os.path.isdir(p) for p in WRITTEN]
+    assert len(left) - len(before) <= 3 and all(left[len(before) :])
