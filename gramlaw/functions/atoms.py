@@ -132,10 +132,27 @@ UNARY: dict[str, Atom] = {a.name: a for a in _BANK}
 
 def register_atom(name: str, column: Callable, array: Callable, sql: str | None = None) -> Atom:
     """Add a user atom to the candidate bank; both forms must agree (``tests`` check the built-in ones)."""
-    UNARY[name] = Atom(name, column, array, sql or "")
+    UNARY[name] = USER_ATOMS[name] = Atom(name, column, array, sql or "")
     return UNARY[name]
 
 
+USER_ATOMS: dict[str, Atom] = {}
+USER_OPS: dict[str, Atom] = {}
+
+
+def adopt(atoms: dict[str, Atom], ops: dict[str, Atom]) -> None:
+    """Make the user's atoms and operators known to this process; candidates bring them along to the executors."""
+    UNARY.update(atoms)
+    REGISTRY.update(ops)
+
+
+def forget(name: str) -> None:
+    """Take a user atom or operator back."""
+    for known, users in ((UNARY, USER_ATOMS), (REGISTRY, USER_OPS)):
+        if users.pop(name, None):
+            known.pop(name, None)
+
+
 def apply_atom(name: str, c: Column) -> Column:
     """JVM form of a bank atom: a missing or non-finite result never leaves the expression."""
     return finite(UNARY[name].column(c))
@@ -222,5 +239,5 @@ def register_op(
     sql: str = "",
 ) -> Atom:
     """Add a user operator for expression graphs."""
-    REGISTRY[name] = Atom(name, column, array, sql, tuple((params or {}).items()), arity, commutative, bits)
+    REGISTRY[name] = USER_OPS[name] = Atom(name, column, array, sql, tuple((params or {}).items()), arity, commutative, bits)
     return REGISTRY[name]

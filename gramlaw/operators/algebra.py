@@ -105,6 +105,13 @@ def whole_view(table: GramTable, target: int = 0) -> FoldView:
     return fold_view(total, total, table.centre, table.scale).restricted((table.banks or {}).get(None))
 
 
+def unscaled(view: FoldView) -> FoldView:
+    """The view with its candidates in raw units."""
+    shift, factor = np.concatenate([[0.0], -view.shift / view.scale, [0.0]]), np.concatenate([[1.0], view.scale, [1.0]])
+    raw = {k: affine(getattr(view, k), shift, factor) for k in ("tr", "va", "tr_plain", "va_plain")}
+    return replace(view, **raw, shift=np.zeros(view.p), scale=np.ones(view.p))
+
+
 # --------------------------------------------------------------------------------------------------------------
 # Regression on the moments of (1, F, y)
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramlaw.operators.bags import bag_plan
 from gramlaw.operators.gram import PARTIAL_SCHEMA, affine, block_rows, record, salted_sum
 from gramlaw.operators.select import greedy_operators
 from gramlaw.plans.options import Options
@@ -65,18 +66,19 @@ def bag_picks(
 ) -> DataFrame:
     """Picks of every bag: rows (fold, target, bag, idx).
 
-    ``sums`` comes from ``bag_sums``. ``scales`` gives each fold's column shift, scale and live mask in working units,
+    ``sums`` comes from ``bag_sums``, or holds the leaves of ``bag_leaves`` if bags are exact. ``scales`` gives each fold's column shift, scale and live mask in working units,
     ``limits`` how many operators a (fold, target) may pick. A training bag of fold k adds that bag over the other folds.
     """
     boots, folds = opt.bag_boots, sorted(scales)
     slots = boots + 1
-    others = F.array(*[F.array(*[F.lit(k) for k in folds if k != f or len(folds) == 1]).cast("array<int>") for f in folds])
-    position = F.create_map(*[F.lit(v) for f in folds for v in (f, folds.index(f))])
+    plan = bag_plan(folds, opt) if opt.bag_exact else [
+        (f * slots + 1 + b, k * boots + b, 1.0) for k in folds for f in folds if f != k or len(folds) == 1 for b in range(boots)
+    ]
+    parts = sums.sparkSession.createDataFrame(plan, "leaf int, bag int, sign double")  # at most 3·folds²·boots rows
     spread = (
-        sums.where((F.col("kind") == kind) & (F.col("leaf") % slots > 0))
-        .withColumn("k", F.explode(F.element_at(others, F.element_at(position, F.floor(F.col("leaf") / slots).cast("int")) + 1)))
-        .withColumn("leaf", (F.col("k") * boots + F.col("leaf") % slots - 1).cast("int"))
-        .select("leaf", "kind", "block", "n", "data")
+        sums.where(F.col("kind") == kind)
+        .join(F.broadcast(parts), "leaf")
+        .select(F.col("bag").alias("leaf"), "kind", "block", "n", "data", "sign")
         .repartition(max(8, len(folds) * boots), "leaf")
     )
     P = 1 + p + targets
@@ -86,12 +88,12 @@ def bag_picks(
         step = block_rows(P)
         for batch in batches:
             cols = batch.to_pydict()
-            for leaf, block, n, data in zip(cols["leaf"], cols["block"], cols["n"], cols["data"]):
+            for leaf, block, n, data, sign in zip(cols["leaf"], cols["block"], cols["n"], cols["data"], cols["sign"]):
                 M, rows = acc.setdefault(leaf, [np.zeros((P, P)), {}])
                 lo = block * step
                 hi = min(lo + step, P)
-                M[lo:hi, lo:] += np.frombuffer(data).reshape(hi - lo, P - lo)
-                rows[block] = rows.get(block, 0) + n
+                M[lo:hi, lo:] += sign * np.frombuffer(data).reshape(hi - lo, P - lo)
+                rows[block] = rows.get(block, 0) + int(sign) * n
         out = []
         for leaf, (M, rows) in acc.items():
             fold, bag = divmod(leaf, boots)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlaw.functions.atoms import EPS, REGISTRY, UNARY, apply_atom, apply_atom_array, finite, finite_array, finite_sql
+from gramlaw.functions.atoms import EPS, REGISTRY, UNARY, USER_ATOMS, USER_OPS, adopt, apply_atom, apply_atom_array, finite, finite_array, finite_sql
 
 # Fixed values (must equal the reference's for equal results).
 DIVISION_FLOOR = 1e-3
@@ -40,6 +40,10 @@ class Candidate:
     args: dict = field(hash=False)
     block: str = ""
 
+    def __reduce__(self):
+        """A candidate that travels to an executor takes the user's own atoms and operators with it."""
+        return _arrived, (self.name, self.kind, self.args, self.block, dict(USER_ATOMS), dict(USER_OPS))
+
     def to_json(self) -> str:
         return json.dumps({"name": self.name, "kind": self.kind, "args": self.args, "block": self.block})
 
@@ -49,6 +53,11 @@ class Candidate:
         return Candidate(d["name"], d["kind"], d["args"], d.get("block", ""))
 
 
+def _arrived(name: str, kind: str, args: dict, block: str, atoms: dict, ops: dict) -> Candidate:
+    adopt(atoms, ops)
+    return Candidate(name, kind, args, block)
+
+
 # --------------------------------------------------------------------------------------------------------------
 # Evaluation on a NumPy batch (rows × inputs)
 

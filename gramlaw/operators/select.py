@@ -61,7 +61,7 @@ def forward_atoms(view: FoldView, opt: Options) -> Alphabet:
     best = float(_score(residual_square(small(view.va, A, y), w, b0), view.n_va, opt, mdl_bits("atomic", 0, 0, opt.type_bits)))
     mse = residual_square(small(view.va_plain, A, y), w, b0) / view.n_va
     out = Alphabet([], A, best, mse)
-    diag_tr, diag_va = np.diag(view.tr)[z], np.diag(view.va)[z]
+    diag_tr, diag_va = view.tr.diagonal()[z], view.va.diagonal()[z]
     total_w = view.tr[0, 0]
     denom = total_w + (1e-12 if view.weighted else 0.0)
     base = view.tr_plain if opt.rdmp_ols else view.tr
@@ -142,6 +142,7 @@ class OperatorSet:
     r2_train: float
     cond: float
     r2_val: float | None = None
+    entry: list[tuple[float, float]] = field(default_factory=list)  # coefficient and error of each pick when it entered
 
 
 def sized_defaults(n: int, opt: Options) -> tuple[float, int, float]:
@@ -176,7 +177,7 @@ def greedy_operators(
     z, y = slice(1, 1 + p), p + 1
     mu = float(M[0, y] / max(M[0, 0], 1e-12)) if intercept else 0.0
     k0 = 1 if intercept else 0
-    norms = np.sqrt(np.maximum(np.diag(M)[z], 0.0))
+    norms = np.sqrt(np.maximum(M.diagonal()[z], 0.0))
     safe = np.where(norms > 0, norms, 1.0)
     b = (M[z, y] - mu * M[z, 0]) / safe
     rss = max(float(M[y, y] - 2 * mu * M[0, y] + mu * mu * M[0, 0]), 0.0)
@@ -231,8 +232,9 @@ def refit(M: np.ndarray, n: int, picks: list[int], mu: float, intercept: bool =
 
 
 def operator_set(view: FoldView, names: list[str], opt: Options, intercept: bool = True) -> OperatorSet:
-    picks, gains, path, mu, _ = greedy_operators(view.tr, view.n_tr, view.live, opt, intercept=intercept)
+    picks, gains, path, mu, entry = greedy_operators(view.tr, view.n_tr, view.live, opt, intercept=intercept)
     out = _finish(view, names, picks, gains, path, mu, {}, intercept)
+    out.entry = entry
     start = float(ebic_bits(path[0], view.n_tr, int(intercept), int(view.live.sum()), sized_defaults(view.n_tr, opt)[2]))
     out.bits_path = [start + b for b in out.bits_path]
     return out
@@ -264,7 +266,7 @@ def with_frequency(view: FoldView, names: list[str], og: OperatorSet, counts: di
     out = _finish(view, names, [o.idx for o in kept], [o.bits for o in kept], og.rss_path, og.intercept, freq)
     ranks = {o.idx: o.rank for o in kept}
     out.ops = [replace(o, rank=ranks[o.idx]) for o in out.ops]
-    out.bits_path, out.rss_path, out.r2_path = og.bits_path, og.rss_path, og.r2_path
+    out.bits_path, out.rss_path, out.r2_path, out.entry = og.bits_path, og.rss_path, og.r2_path, og.entry
     return out
 
 

@@ -312,27 +312,18 @@ def label(df: DataFrame, policy: str | Callable = "turbo", topology: Topology =
 def scenario_matrix(
     df: DataFrame, policy: str, sensors: list[Sensors] = SENSOR_SCENARIOS, topologies: list[Topology] = TOPOLOGIES
 ) -> DataFrame:
-    """Every record under every sensor and topology variant, with its feature map. The variants are a literal array
-    unfolded in place, so nothing is joined or shuffled."""
-    combos = [
-        F.struct(
-            F.lit(s.name).alias("sensor_scenario"),
-            F.array(*[F.lit(v) for v in s.remove]).cast("array<string>").alias("removed"),
-            F.lit(t.name).alias("topology_scenario"),
-            F.lit(t.ambient).alias("ambient"),
-            F.lit(t.capacity_scale).alias("capacity_scale"),
-            F.lit(t.drop_limit).alias("drop_limit"),
-        )
-        for t in topologies
-        for s in sensors
-    ]
+    """Every record under every sensor and topology variant, with its feature map. The variants are literal arrays unfolded
+    in place, so nothing is joined or shuffled; policy, shield and features do not depend on the sensor variant and are
+    computed once for each topology."""
     missing = [k for s in sensors for k in s.add if k not in FEATURES]
     if missing:
         raise ValueError(f"requested features are not computed: {missing}")
-    wide = df.select("*", F.inline(F.array(*combos)))
-    wide = with_features(wide, F.col("ambient"), F.col("capacity_scale"), F.col("drop_limit"))
+    each = lambda name, value, kind: F.lit(value).cast(kind).alias(name)
+    places = F.array(*[F.struct(each("topology_scenario", t.name, "string"), each("ambient", t.ambient, "double"), each("capacity_scale", t.capacity_scale, "double"), each("drop_limit", t.drop_limit, "double")) for t in topologies])
+    wide = with_features(df.select("*", F.inline(places)), F.col("ambient"), F.col("capacity_scale"), F.col("drop_limit"))
     wide = with_shield(with_policy(wide, policy))
-    fmap = F.map_filter(feature_map(), lambda k, _: ~F.array_contains(F.col("removed"), k))
-    return wide.withColumns(
-        {"regime": regime_of_proposal(), "reward_like": reward(), "feature_map": fmap, "mode": F.lit(policy)}
-    ).drop("removed", "ambient", "capacity_scale", "drop_limit")
+    wide = wide.withColumns({"regime": regime_of_proposal(), "reward_like": reward(), "feature_map": feature_map(), "mode": F.lit(policy)})
+    views = F.array(*[F.struct(each("sensor_scenario", s.name, "string"), F.array(*[F.lit(v) for v in s.remove]).cast("array<string>").alias("removed")) for s in sensors])
+    out = wide.select("*", F.inline(views))
+    seen = F.map_filter("feature_map", lambda k, _: ~F.array_contains(F.col("removed"), k))
+    return out.withColumn("feature_map", seen).drop("removed", "ambient", "capacity_scale", "drop_limit")

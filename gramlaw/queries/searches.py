@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gramlaw.operators import select
-from gramlaw.operators.algebra import split_views, whole_view
+from gramlaw.operators.bags import bag_hash, bag_thresholds
+from gramlaw.operators.algebra import split_views, unscaled, whole_view
 from gramlaw.operators.catalog import Candidate, catalog_frame
 from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, affine, gram, profile_inputs
 from gramlaw.operators.graphs import Graph, description_bits, node_candidate, seed_graph
@@ -15,7 +16,7 @@ from gramlaw.operators.noise import Ar1
 from gramlaw.operators.serial import serial_frame
 from gramlaw.plans.options import Options, older
 from gramlaw.plans.rounds import distill_rounds
-from gramlaw.plans.search import bank_for, count_bags, leaf_table, search
+from gramlaw.plans.search import Report, bank_for, count_bags, leaf_table, search
 from gramlaw.plans.stability import inclusion_counts, repeated_search, repeated_summary
 from gramlaw.queries.common import (
     FOLD_SQL,
@@ -37,7 +38,15 @@ from gramlaw.queries.statistics import FIXED_LAW
 from gramlaw.session import materialise, shared_path
 from gramlaw.streaming.streams import MomentSink, closable, level_windows, read_stream, run_to_table, score_stream, shield_stream
 
-LIGHT = Options(n_proj=6, n_pairs=4, max_grammar=3, refine=False, bag_boots=4, bag_buckets=5, folds=3)
+_REPORTS: dict[tuple, Report] = {}
+
+
+def _report(spark, sf) -> Report:
+    """The weighted default search over orders; queries that show another part of it share one run in a session."""
+    place = (spark.sparkContext.applicationId, sf)
+    if place not in _REPORTS:
+        _REPORTS[place] = search(orders(spark, sf), ORDER_FEATURES, "y", "id", Options(), variance="variance", stage=True)["y"]
+    return _REPORTS[place]
 
 
 @query("ogset_ops")
@@ -56,16 +65,52 @@ def _(spark, sf):
 
 @query("selection_path")
 def _(spark, sf):
-    """Evidence, residual and R² after every pick, weighted by row variances."""
+    """Evidence, residual and R² after every pick, weighted by row variances, with the pick and its coefficient and error
+    as it entered."""
     from gramlaw.operators.noise import variance_weight
 
     df = orders(spark, sf).withColumn("w", variance_weight(F.col("variance")))
     design = Design(df, ORDER_FEATURES, ["y"], weight="w")
     prof = profile_inputs(design)
-    cands = bank_for(prof, 4, Options(n_proj=8, n_pairs=6))
+    cands = bank_for(prof, 4, Options())
     og = select.operator_set(whole_view(gram(design, cands, prof)), [c.name for c in cands], Options())
-    rows = [(k, *map(float, (og.bits_path[k], og.rss_path[k], og.r2_path[k], og.cond, og.r2_train))) for k in range(len(og.bits_path))]
-    return spark.createDataFrame(rows, "k int, bits double, rss double, r2_uncentred double, cond double, r2_train double")
+    picked = [(None, None, None), *[(cands[j].name, *e) for j, e in zip(og.selected, og.entry)]]
+    rows = [(k, *map(float, (og.bits_path[k], og.rss_path[k], og.r2_path[k], og.cond, og.r2_train)), *picked[k]) for k in range(len(og.bits_path))]
+    return spark.createDataFrame(rows, "k int, bits double, rss double, r2_uncentred double, cond double, r2_train double, name string, coeff double, stderr double")
+
+
+_STEP_ATOMS = {"x0": "x0", "x1": "x1", "x2": "x2", "sin0": "sin(x0)", "abs3": "abs(x3)", "p12": "x1*x2"}
+_STEP_SUMS = ", ".join(f"sum(w*({v})*({u})) AS {a}_{b}" for a, v in _STEP_ATOMS.items() for b, u in (*_STEP_ATOMS.items(), ("y", "(y-m)")))
+
+
+def _step_sql() -> str:
+    """Two greedy picks written out: sums of products, one candidate's fit, then each other one's fit beside the first."""
+    one = " UNION ALL ".join(f"SELECT '{a}' AS name, {a}_y*{a}_y/{a}_{a} AS fall, {a}_y/{a}_{a} AS coeff, {a}_{a} AS g, rss0, n FROM s" for a in _STEP_ATOMS)
+    pairs = [(a, b) for a in _STEP_ATOMS for b in _STEP_ATOMS if a != b]
+    two = " UNION ALL ".join(
+        f"SELECT '{a}' AS base, '{b}' AS name, ({b}_y-{a}_{b}/{a}_{a}*{a}_y)/({b}_{b}-{a}_{b}*{a}_{b}/{a}_{a}) AS coeff, {b}_{b}-{a}_{b}*{a}_{b}/{a}_{a} AS g, {a}_y*{a}_y/{a}_{a} AS fall1, abs({a}_{b})/sqrt({a}_{a}*{b}_{b}) AS near FROM s" for a, b in pairs
+    )
+    return f"""WITH {ORDER_SQL}, v AS (SELECT *, CASE WHEN variance>0 THEN 1.0/greatest(variance,1e-12) ELSE 0.0 END AS w FROM ord),
+m AS (SELECT sum(w*y)/sum(w) AS m FROM v), s AS (SELECT count(*) AS n, sum(w*(y-m)*(y-m)) AS rss0, {_STEP_SUMS} FROM v, m),
+c1 AS ({one}), k1 AS (SELECT * FROM c1 ORDER BY fall DESC LIMIT 1),
+c2 AS ({two}), k2 AS (SELECT c2.*, c2.coeff*c2.coeff*c2.g AS fall2, rss0, n FROM c2 JOIN k1 ON c2.base=k1.name WHERE near<=0.98 ORDER BY fall2 DESC LIMIT 1)
+SELECT 1 AS step, name, round(coeff,6) AS coeff, round(sqrt((rss0-fall)/(n-2)/g),6) AS stderr, round((n*ln(rss0/n)-n*ln((rss0-fall)/n)-ln(n))/ln(2.0),4) AS bits FROM k1
+UNION ALL SELECT 2, name, round(coeff,6), round(sqrt((rss0-fall1-fall2)/(n-3)/g),6), round((n*ln((rss0-fall1)/n)-n*ln((rss0-fall1-fall2)/n)-ln(n))/ln(2.0),4) FROM k2"""
+
+
+@query("selection_steps", _step_sql())
+def _(spark, sf):
+    """Coefficient, error and evidence of the first two operators as they enter, from candidates given by the caller."""
+    from gramlaw.operators.noise import variance_weight
+
+    df = orders(spark, sf).withColumn("w", variance_weight(F.col("variance")))
+    unary = lambda n, f, i: Candidate(n, "unary", {"f": f, "i": i})
+    cands = [unary("x0", "x", 0), unary("x1", "x", 1), unary("x2", "x", 2), unary("sin0", "sin", 0), unary("abs3", "|x|", 3), Candidate("p12", "bilinear", {"i": 1, "j": 2})]
+    design = Design(df, ORDER_FEATURES, ["y"], weight="w")
+    K = gram(design, cands)
+    og = select.operator_set(unscaled(whole_view(K)), [c.name for c in cands], Options(max_ops=2, ebic_gamma=0.0))
+    rows = [(r + 1, o.name, *og.entry[r], o.bits) for r, o in enumerate(og.ops)]
+    return spark.createDataFrame(rows, "step int, name string, coeff double, stderr double, bits double").select("step", "name", rnd("coeff").alias("coeff"), rnd("stderr").alias("stderr"), rnd("bits", 4).alias("bits"))
 
 
 @query("forward_atoms")
@@ -73,7 +118,7 @@ def _(spark, sf):
     """Forward atoms of every fold with their validation scores."""
     design = Design(folded_orders(spark, sf), ORDER_FEATURES, ["y"], leaf="fold")
     prof = profile_inputs(design)
-    cands = bank_for(prof, 4, Options(n_proj=8, n_pairs=6))
+    cands = bank_for(prof, 4, Options())
     rows = []
     for k, view in split_views(gram(design, cands, prof)):
         found = select.forward_atoms(view, Options())
@@ -81,60 +126,53 @@ def _(spark, sf):
     return spark.createDataFrame(rows, "fold int, step int, name string, score double, mse double, explained_by int")
 
 
-def _light_report(spark, sf):
-    return search(orders(spark, sf), ORDER_FEATURES, "y", "id", LIGHT, variance="variance")["y"]
-
-
 @query("cross_validated_law")
 def _(spark, sf):
     """Operator log of a cross-validated weighted search: coefficient, error, evidence, subsample frequency."""
-    return _light_report(spark, sf).ops_frame(spark)
+    return _report(spark, sf).ops_frame(spark)
 
 
 @query("default_law")
 def _(spark, sf):
     """The whole search with its default options: full bank, subsamples, grammar rounds and graph stage; terms of the law."""
-    return search(orders(spark, sf), ORDER_FEATURES, "y", "id", Options(), variance="variance", stage=True)["y"].model.table(spark)
+    return _report(spark, sf).model.table(spark)
 
 
 @query("fold_report")
 def _(spark, sf):
     """Per-fold scores, kept stages, atoms, operators and accepted blocks."""
-    return _light_report(spark, sf).fold_frame(spark)
+    return _report(spark, sf).fold_frame(spark)
 
 
 @query("consensus_law")
 def _(spark, sf):
     """Terms of the consensus law refitted on all rows (in-sample by construction)."""
-    return _light_report(spark, sf).model.table(spark)
+    return _report(spark, sf).model.table(spark)
 
 
 @query("oof_predictions")
 def _(spark, sf):
     """Out-of-fold predictions, each row scored by the law of the other folds."""
     df = materialise(folded_orders(spark, sf), "folded")
-    report = search(df, ORDER_FEATURES, "y", "id", LIGHT.patched(folds=5, bag_boots=0), fold="fold", consensus=False)["y"]
+    report = search(df, ORDER_FEATURES, "y", "id", Options(), fold="fold", consensus=False)["y"]
     return report.score_oof(df, "fold").select("id", "fold", "y", "yhat")
 
 
 @query("repeated_cross_validation")
 def _(spark, sf):
     """Scores and invariance over two seeds with the earlier defaults (OLS residualization, no operator set)."""
-    opt = older().patched(folds=3, n_proj=6, n_pairs=4, max_atoms=12, max_grammar=0, refine=False)
-    return repeated_summary(repeated_search(orders(spark, sf), ORDER_FEATURES, "y", "id", [42, 1337], opt, draws=4))
+    return repeated_summary(repeated_search(orders(spark, sf), ORDER_FEATURES, "y", "id", [42, 1337], older()))
 
 
 @query("atom_inclusion")
 def _(spark, sf):
     """How often each atom is used over the folds."""
-    opt = older().patched(folds=3, n_proj=6, n_pairs=4, max_grammar=0, refine=False)
-    return inclusion_counts(search(orders(spark, sf), ORDER_FEATURES, "y", "id", opt, consensus=False)["y"].fold_frame(spark))
+    return inclusion_counts(search(orders(spark, sf), ORDER_FEATURES, "y", "id", older(), consensus=False)["y"].fold_frame(spark))
 
 
 @query("dataset_summary")
 def _(spark, sf):
     """Scores over several tables: orders, customers, parts, and document labels."""
-    opt = LIGHT.patched(bag_boots=0, max_grammar=0)
     part = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 25.0).alias("size"), (F.col("p_retailprice") / 1000.0).alias("price"))
     part = part.withColumn("y", F.col("size") * F.col("price") + F.sqrt("price"))
     docs = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
@@ -149,8 +187,7 @@ def _(spark, sf):
     ]
     rows = []
     for name, df, features, target, key, extra in jobs:
-        o = opt.patched(n_proj=2, n_pairs=0, max_atoms=6) if name == "embeddings" else opt
-        r = search(df, features, target, key, o, consensus=False, **extra)[target]
+        r = search(df, features, target, key, Options(), consensus=False, **extra)[target]
         rows.append((name, int(r.metrics["n"]), r.metrics["R2_OOF"], r.metrics["MSE_OOF"], len({x[2] for x in r.op_log})))
     return spark.createDataFrame(rows, "name string, n int, r2_oof double, mse_oof double, n_ops int")
 
@@ -161,8 +198,7 @@ def _(spark, sf):
     ev = table(spark, sf, "events").select(
         "user_id", "event_id", (F.col("value") / 50.0).alias("x0"), (F.col("event_id") % 13 / 6.5 - 1.0).alias("x1")
     ).withColumn("y", F.tanh("x0") + F.col("x1") * F.col("x1") * 0.5)
-    opt = LIGHT.patched(bag_boots=0, max_grammar=0)
-    return search(ev, ["x0", "x1"], "y", "event_id", opt, ar1=Ar1("user_id", "event_id", 0.99, 0.7), consensus=False)["y"].ops_frame(spark)
+    return search(ev, ["x0", "x1"], "y", "event_id", Options(), ar1=Ar1("user_id", "event_id", 0.99, 0.7), consensus=False)["y"].ops_frame(spark)
 
 
 def _one_series(spark, sf):
@@ -229,21 +265,20 @@ def _graph_design(spark, sf):
 
 @query("graph_search")
 def _(spark, sf):
-    """Best expression graph per fold after a short beam search."""
+    """Best expression graph per fold after the beam search."""
     design, prof = _graph_design(spark, sf)
-    opt = Options(refine_depth=2, refine_proposals=4, refine_frontier=3, refine_tune=False)
-    best = search_graphs(design, [(k, 0) for k in range(5)], prof, opt, whole=False)
+    best = search_graphs(design, [(k, 0) for k in range(5)], prof, Options(), whole=False)
     rows = [(k, node_candidate(o).name, len(g.outputs), g.bits()) for (k, _), g in best.items() for o in g.outputs]
     return spark.createDataFrame(rows, "fold int, output string, n_outputs int, bits double")
 
 
 @query("param_tuning")
 def _(spark, sf):
-    """Tuned parameters of the seed graph (fit on folds 1-4, loss on fold 0)."""
+    """Tuned parameters of the seed graph of every fold (fit on the other folds, loss on the fold)."""
     design, prof = _graph_design(spark, sf)
-    g = tune(design, {(0, 0): seed_graph(4)}, prof, Options(), whole=False)[0, 0]
-    rows = [(n[0], f"x{n[2][0]}", k, float(v)) for n in g.tunable() for k, v in n[1].items()]
-    return spark.createDataFrame(rows, "op string, input string, param string, value double")
+    tuned = tune(design, {(k, 0): seed_graph(4) for k in range(5)}, prof, Options(), whole=False)
+    rows = [(fold, n[0], f"x{n[2][0]}", k, float(v)) for (fold, _), g in sorted(tuned.items()) for n in g.tunable() for k, v in n[1].items()]
+    return spark.createDataFrame(rows, "fold int, op string, input string, param string, value double")
 
 
 @query("graph_energy")
@@ -281,12 +316,26 @@ def _(spark, sf):
     return rounded(spark.createDataFrame([(b, scorer.loss([j])) for j, b in enumerate(_BETAS)], "beta double, loss double"), 8)
 
 
+@query(
+    "bag_sizes",
+    f"WITH {ORDER_SQL}, {FOLD_SQL}, k AS (SELECT fold, count(*) AS own, (SELECT count(*) FROM folded) AS total FROM folded GROUP BY fold) SELECT CAST(fold AS INTEGER) AS fold, bag, CAST(total-own AS BIGINT) AS n_train, CAST(greatest(4, floor(0.8*(total-own))) AS BIGINT) AS n_bag FROM k, (SELECT CAST(unnest(range(8)) AS INTEGER) AS bag)",
+)
+def _(spark, sf):
+    """Rows of each fold's training set and of its bags, drawn without replacement."""
+    df = materialise(folded_orders(spark, sf).select("id", "fold"), "bag-folds")
+    opt = Options()
+    ends = bag_thresholds(df, ["id"], "fold", opt)
+    bags = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(b).alias("bag"), (bag_hash(["id"], opt.seed, b) <= end).alias("inside")) for (k, b), end in sorted(ends.items())])
+    each = df.select("fold", F.inline(bags)).where("fold <> k")
+    return each.groupBy(F.col("k").alias("fold"), "bag").agg(F.count("*").alias("n_train"), F.count_if("inside").alias("n_bag"))
+
+
 @query("bag_frequency")
 def _(spark, sf):
-    """How often each operator is picked again by the subsamples of each fold."""
+    """How often each operator is picked again by the subsamples of each fold, of exactly 0.8 of its training rows."""
     design = Design(folded_orders(spark, sf), ORDER_FEATURES, ["y"], leaf="fold")
     prof = profile_inputs(design)
-    opt = LIGHT.patched(folds=5)
+    opt = Options(bag_exact=True)
     cands = bank_for(prof, 4, opt)
     names = [c.name for c in cands]
     gt, sums = leaf_table(design, cands, prof, opt, ["id"], True)
@@ -355,31 +404,28 @@ def _(spark, sf):
 # --------------------------------------------------------------------------------------------------------------
 # Distillation of policies into laws
 
-_DISTILL = Options(n_proj=4, n_pairs=2, max_atoms=8, max_grammar=0, refine=False, bag_boots=0, folds=3)
-
-
 @query("bit_laws")
 def _(spark, sf):
     """One law per action bit on shared moments, scored on the last 30 % of the records."""
-    return distill_rounds(labelled(spark, sf), kind="bits", opt=_DISTILL, rounds=0).metrics(spark)
+    return distill_rounds(labelled(spark, sf), kind="bits", opt=Options(), rounds=0).metrics(spark)
 
 
 @query("regime_laws")
 def _(spark, sf):
     """One-vs-rest regime laws with templates, agreement and gate."""
-    return distill_rounds(labelled(spark, sf), kind="regimes", opt=_DISTILL, rounds=0).metrics(spark)
+    return distill_rounds(labelled(spark, sf), kind="regimes", opt=Options(), rounds=0).metrics(spark)
 
 
 @query("replay_rounds")
 def _(spark, sf):
     """Fit, evaluate, mine and refit: scores of every round."""
-    return distill_rounds(labelled(spark, sf), kind="regimes", opt=_DISTILL.patched(max_atoms=5), rounds=1).history(spark)
+    return distill_rounds(labelled(spark, sf), kind="regimes", opt=Options()).history(spark)
 
 
 @query("law_compactness")
 def _(spark, sf):
     """Operators and evidence per regime law."""
-    return distill_rounds(labelled(spark, sf), kind="regimes", opt=_DISTILL, rounds=0).compactness(spark)
+    return distill_rounds(labelled(spark, sf), kind="regimes", opt=Options(), rounds=0).compactness(spark)
 
 
 # --------------------------------------------------------------------------------------------------------------

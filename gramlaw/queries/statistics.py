@@ -12,11 +12,12 @@ from gramlaw.functions.scores import TYPE_BITS, criterion_column, ebic_bits_colu
 from gramlaw.operators import catalog, qr, select
 from gramlaw.operators.algebra import orthonormal_map, split_views, whole_view
 from gramlaw.operators.catalog import Candidate
-from gramlaw.operators.gram import Design, gram, profile_inputs
+from gramlaw.operators.gram import PLAIN, Design, gram, profile_inputs
 from gramlaw.operators.groups import groups_from_moments
 from gramlaw.operators.noise import sparse_chi2, variance_weight, weight_diagnostics, whiten_ar1, whiten_blocks, whiten_diagonal
 from gramlaw.operators.probe import Probe, draw_numbers, probe_median, probe_scores, probe_shifts
 from gramlaw.operators.residual import residualize_columns
+from gramlaw.operators.tiles import RowMatrix, tiled_gram
 from gramlaw.operators.splits import exact_folds, hashed_folds, holdout
 from gramlaw.plans.basis import evaluate_basis, evaluate_external, raw_moments
 from gramlaw.plans.law import Law, flatten, score_array
@@ -346,6 +347,28 @@ def _(spark, sf):
     return rounded(fit.comparison(spark), 3)
 
 
+_TILED = {"one": "1.0", "a": "x0", "b": "x1", "c": "x0*x0", "d": "sin(x1)", "e": "x2*x2", "f": "sin(x3)", "y": "y"}
+_TILED_PAIRS = [(u, v) for k, u in enumerate(_TILED) for v in list(_TILED)[k:]]
+
+
+@query(
+    "tiled_sums",
+    f"WITH {ORDER_SQL}, {FOLD_SQL} SELECT CAST(fold AS INTEGER) AS fold, {', '.join(f'round(avg(({_TILED[u]})*({_TILED[v]})),6) AS {u}_{v}' for u, v in _TILED_PAIRS)} FROM folded GROUP BY fold",
+)
+def _(spark, sf):
+    """Cross moments of each fold from a Gram kept as a table of tiles."""
+    design = Design(folded_orders(spark, sf), ORDER_FEATURES, ["y"], leaf="fold")
+    unary = lambda f, i: Candidate(f"{f}[x{i}]", "unary", {"f": f, "i": i})
+    g = tiled_gram(design, [unary("x", 0), unary("x", 1), unary("x^2", 0), unary("sin", 1), unary("x^2", 2), unary("sin", 3)], width=3)
+    shift, factor = np.concatenate([[0.0], -g.centre / g.scale]), np.concatenate([[1.0], g.scale])
+    rows = []
+    for k, n in sorted(g.counts.items()):
+        M = RowMatrix(g, [k], PLAIN, np.arange(g.P), shift, factor)
+        at = {u: i for i, u in enumerate(_TILED)}
+        rows.append((k, *[float(M[at[u], at[v]] / n) for u, v in _TILED_PAIRS]))
+    return rounded(spark.createDataFrame(rows, "fold int, " + ", ".join(f"{u}_{v} double" for u, v in _TILED_PAIRS)))
+
+
 @query(
     "superfeatures_near_equal",
     f"""WITH {ORDER_SQL}, u AS (SELECT id, x0 AS a, x0+x2/4096.0 AS b, {_W} AS w FROM ord), g AS (SELECT sum(w*a*a) AS aa, sum(w*a*b) AS ab FROM u),

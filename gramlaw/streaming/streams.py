@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,11 +122,18 @@ def shield_stream(sensors: DataFrame, policy: str = "turbo", idle: str | None =
 
 
 class MomentSink:
-    """``foreachBatch`` target that keeps summed moments in a folder, one table per batch id.
-
-    A batch that is replayed overwrites its own table, so nothing is counted twice; ``total`` adds all batches.
+    """``foreachBatch`` target that keeps summed moments in a folder, as a log of merged generations.
+
+    A batch writes a table of its own. ``FAN`` tables of a level are added up into one of the next level, and a manifest
+    then names the merged tables and the last batch in them; it is written beside its place and renamed, so that it is there
+    whole or not at all. What counts is the newest manifest and the finished tables of later batches. So a crash leaves
+    either the old tables in force or the new ones, with some that nothing names; a replayed batch overwrites its own table,
+    or is passed over if it has been merged. After n batches about ``FAN``·log n tables are left. One writer at a time;
+    readers need no lock, but start again if tables they have just listed were merged away.
     """
 
+    FAN = 4
+
     def __init__(self, path: str, features: list[str], targets: list[str], cands: list[Candidate], centre=None, scale=None):
         self.path, self.features, self.targets, self.cands = path.rstrip("/"), list(features), list(targets), cands
         width = len(cands) + len(targets)
@@ -132,17 +141,86 @@ class MomentSink:
         self.scale = np.ones(width) if scale is None else np.asarray(scale)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id <= self._manifest(spark)["upto"]:
+            return
         sums = leaf_moments(Design(batch, self.features, self.targets), self.cands, self.centre, self.scale)
         sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        self.compact(spark)
+
+    def compact(self, spark: SparkSession) -> None:
+        """Merge while a level has ``FAN`` tables."""
+        while True:
+            log = self._manifest(spark)
+            tables = log["tables"] + [{"level": 0, "path": f"{self.path}/batch={k}"} for k in self._batches(spark, log["upto"])]
+            full = [level for level in sorted({t["level"] for t in tables}) if sum(t["level"] == level for t in tables) >= self.FAN]
+            if not full:
+                return
+            old = [t for t in tables if t["level"] == full[0]]
+            number = log["number"] + 1
+            merged = f"{self.path}/merged/{number}-{uuid.uuid4().hex}"
+            self._sum(spark, [t["path"] for t in old]).write.option("compression", "none").parquet(merged)
+            upto = max([log["upto"], *(self._batches(spark, log["upto"]) if full[0] == 0 else [])])
+            kept = [t for t in log["tables"] if t not in old]
+            self._publish(spark, {"number": number, "upto": upto, "tables": [*kept, {"level": full[0] + 1, "path": merged}]})
+            for t in old:
+                self._delete(spark, t["path"])
+
+    def tables(self, spark: SparkSession) -> list[str]:
+        """The tables that count now."""
+        log = self._manifest(spark)
+        return [t["path"] for t in log["tables"]] + [f"{self.path}/batch={k}" for k in self._batches(spark, log["upto"])]
 
     def total(self, spark: SparkSession) -> Moments:
         """Moments of ``(1, candidates, targets)`` in the sink's shift and scale."""
-        stored = spark.read.schema(PARTIAL_SCHEMA).parquet(self.path)
         P = 1 + len(self.cands) + len(self.targets)
-        summed = sum_partials(stored.select("leaf", "kind", "block", "n", "data"), groups=8)
-        (M, n), *_ = unpack(summed.collect(), P).values()
+        (M, n), *_ = unpack(self._sum(spark, self.tables(spark)).collect(), P).values()
         return Moments(M, n, len(self.cands), len(self.targets))
 
+    def _sum(self, spark: SparkSession, paths: list[str]) -> DataFrame:
+        return sum_partials(spark.read.schema(PARTIAL_SCHEMA).parquet(*paths).select("leaf", "kind", "block", "n", "data"), groups=8)
+
+    def _files(self, spark: SparkSession, path: str):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, spark: SparkSession, path: str) -> list[str]:
+        place, files = self._files(spark, path)
+        return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+    def _batches(self, spark: SparkSession, upto: int) -> list[int]:
+        """Finished batches that no manifest has merged."""
+        found = sorted(int(n.split("=")[1]) for n in self._names(spark, self.path) if n.startswith("batch="))
+        done = lambda k: (lambda place, files: files.exists(place))(*self._files(spark, f"{self.path}/batch={k}/_SUCCESS"))
+        return [k for k in found if k > upto and done(k)]
+
+    def _manifest(self, spark: SparkSession) -> dict:
+        numbers = [int(n) for n in self._names(spark, f"{self.path}/manifests") if n.isdigit()]
+        if not numbers:
+            return {"number": 0, "upto": -1, "tables": []}
+        place, files = self._files(spark, f"{self.path}/manifests/{max(numbers)}")
+        stream = files.open(place)
+        try:
+            return json.loads(stream.readUTF())
+        finally:
+            stream.close()
+
+    def _publish(self, spark: SparkSession, log: dict) -> None:
+        folder = f"{self.path}/manifests"
+        draft, files = self._files(spark, f"{folder}/.{log['number']}-{uuid.uuid4().hex}")
+        stream = files.create(draft)
+        stream.writeUTF(json.dumps(log))
+        stream.close()
+        if not files.rename(draft, self._files(spark, f"{folder}/{log['number']}")[0]):
+            raise RuntimeError(f"manifest {log['number']} of {self.path} has another writer")
+        for n in self._names(spark, folder):
+            if n.isdigit() and int(n) < log["number"] - 1:
+                self._delete(spark, f"{folder}/{n}")
+
+    def _delete(self, spark: SparkSession, path: str) -> None:
+        place, files = self._files(spark, path)
+        files.delete(place, True)
+
 
 # --------------------------------------------------------------------------------------------------------------
 # Windowed counts

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gramlaw.functions.atoms import REGISTRY, UNARY, apply_atom, apply_atom_array, finite, finite_array, register_atom
+from gramlaw.functions.atoms import REGISTRY, UNARY, apply_atom, apply_atom_array, finite, finite_array, forget, register_atom
 from gramlaw.operators import catalog
 from gramlaw.operators.catalog import Candidate, GroupSpec, build_bank, evaluate, group_block
 
@@ -44,7 +44,8 @@ def test_user_atom_joins_the_bank():
         assert any(c.name == "x^4[x0]" for c in build_bank(np.eye(2), 1, 3, 1))
         assert apply_atom_array("x^4", np.array([2.0]))[0] == 16.0
     finally:
-        del UNARY["x^4"]
+        forget("x^4")
+    assert "x^4" not in UNARY
 
 
 def test_bank_layout_and_determinism():

@@ -237,3 +237,46 @@ def test_bags_equal_selection_on_the_kept_rows(spark):
             picks, *_ = select.greedy_operators(U.T @ U, int(rows.sum()), v.live, opt, limit=4)
             want |= {(k, b, j) for j in picks}
     assert got == want
+
+
+@pytest.mark.parametrize("few", [1000, 3])
+def test_exact_bags_equal_selection_on_their_rows(spark, monkeypatch, few):
+    from gramlaw.operators import bags, select
+    from gramlaw.operators.bagging import bag_picks
+    from gramlaw.plans.options import Options
+    from gramlaw.plans.search import leaf_table
+
+    monkeypatch.setattr(bags, "FEW", few)
+    df, X, y, _ = frame(spark, n=600)
+    opt = Options(bag_boots=3, bag_exact=True, bag_frac=0.8)
+    cands = build_bank(np.eye(3), 7, 4, 2)
+    design = Design(df, ["x0", "x1", "x2"], ["y"], leaf="fold")
+    prof = profile_inputs(design)
+    gt, sums = leaf_table(design, cands, prof, opt, ["id"], True)
+    views = dict(split_views(gt))
+    scales = {k: ((v.shift - gt.centre) / gt.scale, v.scale / gt.scale, v.live) for k, v in views.items()}
+    got = {(r["fold"], r["bag"], r["idx"]) for r in bag_picks(sums, PLAIN, len(cands), 1, scales, {(k, 0): 4 for k in views}, opt).collect()}
+    hashes = np.array([[r[b + 1] for b in range(3)] for r in df.select("id", *[bags.bag_hash(["id"], opt.seed, b) for b in range(3)]).orderBy("id").collect()])
+    ends = bags.bag_thresholds(df, ["id"], "fold", opt)
+    Z, want, fold = evaluate(cands, X), set(), np.arange(600) % 5
+    for k, v in views.items():
+        for b in range(3):
+            train = np.flatnonzero(fold != k)
+            rows = train[np.argsort(hashes[train, b])[: int(0.8 * len(train))]]
+            assert ends[k, b] == hashes[rows, b].max() and len(rows) == 384
+            U = np.column_stack([np.ones(len(rows)), (Z[rows] - v.shift) / v.scale, y[rows]])
+            picks, *_ = select.greedy_operators(U.T @ U, len(rows), v.live, opt, limit=4)
+            want |= {(k, b, j) for j in picks}
+    assert got == want
+
+
+def test_bags_of_few_and_equal_keys(spark):
+    from gramlaw.operators.bags import bag_hash, bag_thresholds
+    from gramlaw.plans.options import Options
+
+    opt = Options(bag_boots=2)
+    three = spark.createDataFrame([(i, 0) for i in range(3)], "id long, fold int")
+    assert all(three.where(bag_hash(["id"], opt.seed, b) <= end).count() == 3 for (_, b), end in bag_thresholds(three, ["id"], "fold", opt).items())
+    equal = spark.createDataFrame([(i // 50, 0) for i in range(200)], "id long, fold int")  # 160 rows do not divide by 50
+    for (_, b), end in bag_thresholds(equal, ["id"], "fold", opt).items():
+        assert equal.where(bag_hash(["id"], opt.seed, b) <= end).count() == 150

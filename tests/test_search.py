@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gramlaw.functions.atoms import forget, register_atom, register_op
 from gramlaw.operators.bagging import bag_buckets
-from gramlaw.operators.gram import Design
-from gramlaw.operators.graphs import Graph, description_bits, nodes_frame, seed_graph
+from gramlaw.operators.gram import Design, gram
+from gramlaw.operators.graphs import Graph, description_bits, node_candidate, nodes_frame, seed_graph
 from gramlaw.operators.medians import training_medians
 from gramlaw.operators.probe import Probe, probe_scores, probe_shifts, probes_for
 from gramlaw.operators.catalog import GroupSpec
@@ -245,3 +246,27 @@ def test_ar1_folds_keep_series_together(spark):
     r = search(df, ["x"], "y", "id", opt, ar1=Ar1("series", "t", 0.9, 0.7), consensus=False, stage=True)["y"]
     assert r.metrics["R2_OOF_GLS"] > 0.5 and r.op_log
     assert sum(f.view.n_va for f in r.folds) == 720 and all(f.view.n_va % 60 == 0 for f in r.folds)
+
+
+def test_user_atoms_operators_and_groups_reach_the_executors(spark):
+    """A law of a user's atom and a user's graph operator, and a group spec given by the user."""
+    register_atom("bump", lambda c: F.exp(-c * c), lambda a: np.exp(-a * a), "exp(-({x}*{x}))")
+    register_op("wave", lambda c, rate=2.0: F.sin(c * rate) * c, lambda a, rate=2.0: np.sin(rate * a) * a, params={"rate": 2.0}, sql="(sin({rate}*{x})*{x})")
+    try:
+        rng = np.random.default_rng(12)
+        X = rng.normal(size=(400, 3))
+        y = 2.0 * np.exp(-X[:, 0] ** 2) + 0.3 + 0.01 * rng.normal(size=400)
+        df = spark.createDataFrame([(k, *map(float, x), float(t)) for k, (x, t) in enumerate(zip(X, y))], "id long, x0 double, x1 double, x2 double, y double").repartition(4)
+        opt = LIGHT.patched(bag_boots=3, max_grammar=1, linear_lock=2.0)
+        spec = GroupSpec(((0, 1, 2),), (), ((1, 2),), ((1, 2),))
+        report = search(df, ["x0", "x1", "x2"], "y", "id", opt, spec=spec)["y"]
+        assert "og:bump[x0]" in report.consensus and report.metrics["R2_OOF"] > 0.99
+        scored = report.model.score(df).select("y", "yhat").toPandas()
+        assert np.abs(scored["y"] - scored["yhat"]).max() < 0.2
+        node = node_candidate(["wave", {"rate": 2.0}, [1]])
+        g = gram(Design(df, ["x0", "x1", "x2"], ["y"]), [node])
+        z = np.sin(2.0 * X[:, 1]) * X[:, 1]
+        np.testing.assert_allclose(g.total().means()[1] * g.scale[0] + g.centre[0], z.mean(), rtol=1e-9)
+    finally:
+        forget("bump")
+        forget("wave")

@@ -80,6 +80,57 @@ def test_replayed_batch_is_not_counted_twice(spark, tmp_path):
     np.testing.assert_allclose(m.M, U.T @ U, rtol=1e-12)
 
 
+def _sink_of(df, path):
+    sink = MomentSink(path, ["x"], ["y"], [Candidate("x", "unary", {"f": "x", "i": 0})])
+    return sink, lambda k: df.where(F.col("id") % 40 == k)
+
+
+def _whole(m):
+    x, y = np.arange(400) / 10.0, np.arange(400) % 7
+    U = np.column_stack([np.ones(400), x, y])
+    return m.n == 400 and np.allclose(m.M, U.T @ U, rtol=1e-12)
+
+
+def test_many_batches_leave_few_tables(spark, tmp_path):
+    df = spark.range(0, 400, 1, 1).select("id", (F.col("id") / 10.0).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    sink, part = _sink_of(df, str(tmp_path / "m"))
+    most = 0
+    for k in range(40):
+        sink(part(k), k)
+        if k in (11, 12, 39):
+            sink(part(k), k)  # a replay, merged or not
+        most = max(most, len(sink.tables(spark)))
+    assert most <= 9 and _whole(sink.total(spark))
+    left = [p for p in (tmp_path / "m").iterdir() if p.name.startswith("batch=")] + list((tmp_path / "m" / "merged").iterdir())
+    assert len(left) == len(sink.tables(spark)) and len(list((tmp_path / "m" / "manifests").glob("[0-9]*"))) <= 2
+
+
+def test_a_crash_between_steps_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    """The writer dies after the merged table, after the manifest, or in the middle of a batch; a new one goes on."""
+    df = spark.range(0, 400, 1, 1).select("id", (F.col("id") / 10.0).alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    path = str(tmp_path / "m")
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    for k in range(40):
+        sink, part = _sink_of(df, path)
+        broken = {3: "_publish", 7: "_delete", 15: "_publish", 19: "_delete"}.get(k)
+        if broken:
+            with monkeypatch.context() as m:
+                m.setattr(MomentSink, broken, dies)
+                try:
+                    sink(part(k), k)
+                except KeyboardInterrupt:
+                    pass
+        if k == 30:
+            part(5).select("id").write.parquet(f"{path}/batch={k}")  # a half-written batch
+            (tmp_path / "m" / f"batch={k}" / "_SUCCESS").unlink()
+            assert f"{path}/batch={k}" not in sink.tables(spark)
+        sink(part(k), k)
+    assert _whole(sink.total(spark))
+
+
 def test_stream_reader_takes_the_folder_schema(spark, tmp_path):
     spark.range(5).write.parquet(str(tmp_path / "t"))
     s = read_stream(spark, str(tmp_path / "t"), "*.parquet")
