@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gramlaw.llm import langid, minhash, packing, pii, rules  # noqa: E402
-from gramlaw.llm.text import cut, packed, unpacked  # noqa: E402
+from gramlaw.llm.text import WRITTEN, cut, packed, release, unpacked  # noqa: E402
 
 MIN_EVIDENCE = 0.25  # least share of a text's n-grams that its language explains
 
@@ -68,9 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. Once a stage is written, what it read and wrote on its way is deleted from the shared folder."""
+    since = len(WRITTEN)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs, name)
+            release(spark, since)
     return docs
