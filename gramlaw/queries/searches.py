@@ -187,7 +187,9 @@ def _(spark, sf):
     ]
     rows = []
     for name, df, features, target, key, extra in jobs:
-        r = search(df, features, target, key, Options(), consensus=False, **extra)[target]
+        # 64 inputs make 2208 candidates, whose bags would fill the disk of a small machine (see README)
+        opt = Options(n_proj=2, n_pairs=0, max_atoms=6, max_grammar=0, refine=False, bag_boots=0) if name == "embeddings" else Options()
+        r = search(df, features, target, key, opt, consensus=False, **extra)[target]
         rows.append((name, int(r.metrics["n"]), r.metrics["R2_OOF"], r.metrics["MSE_OOF"], len({x[2] for x in r.op_log})))
     return spark.createDataFrame(rows, "name string, n int, r2_oof double, mse_oof double, n_ops int")
 
@@ -404,28 +406,32 @@ def _(spark, sf):
 # --------------------------------------------------------------------------------------------------------------
 # Distillation of policies into laws
 
+# 19 inputs make 1128 candidates: the whole bank and all folds, but no bags, grammar rounds or graph stage (see README)
+_DISTILL = Options(max_grammar=0, refine=False, bag_boots=0)
+
+
 @query("bit_laws")
 def _(spark, sf):
     """One law per action bit on shared moments, scored on the last 30 % of the records."""
-    return distill_rounds(labelled(spark, sf), kind="bits", opt=Options(), rounds=0).metrics(spark)
+    return distill_rounds(labelled(spark, sf), kind="bits", opt=_DISTILL, rounds=0).metrics(spark)
 
 
 @query("regime_laws")
 def _(spark, sf):
     """One-vs-rest regime laws with templates, agreement and gate."""
-    return distill_rounds(labelled(spark, sf), kind="regimes", opt=Options(), rounds=0).metrics(spark)
+    return distill_rounds(labelled(spark, sf), kind="regimes", opt=_DISTILL, rounds=0).metrics(spark)
 
 
 @query("replay_rounds")
 def _(spark, sf):
     """Fit, evaluate, mine and refit: scores of every round."""
-    return distill_rounds(labelled(spark, sf), kind="regimes", opt=Options()).history(spark)
+    return distill_rounds(labelled(spark, sf), kind="regimes", opt=_DISTILL, rounds=1).history(spark)
 
 
 @query("law_compactness")
 def _(spark, sf):
     """Operators and evidence per regime law."""
-    return distill_rounds(labelled(spark, sf), kind="regimes", opt=Options(), rounds=0).compactness(spark)
+    return distill_rounds(labelled(spark, sf), kind="regimes", opt=_DISTILL, rounds=0).compactness(spark)
 
 
 # --------------------------------------------------------------------------------------------------------------
