@@ -77,15 +77,15 @@ def fold_view(train: dict[int, Moments], valid: dict[int, Moments], centre: np.n
     )
 
 
-def split_views(table: GramTable, target: int = 0) -> list[tuple[int, FoldView]]:
-    """One view per fold: that leaf validates, the sum of the others trains."""
+def split_views(table: GramTable, target: int = 0, only: int | None = None) -> list[tuple[int, FoldView]]:
+    """One view per fold (or of ``only`` one): that leaf validates, the sum of the others trains."""
     leaves = sorted({leaf for leaf, _ in table.leaves})
     kinds = sorted({kind for _, kind in table.leaves})
     if len(leaves) < 2:
         raise ValueError("cross-validation needs rows in at least two folds (under AR(1) noise: two series)")
     pick = {key: m.target(target) for key, m in table.leaves.items()}
     views = []
-    for k in leaves:
+    for k in leaves if only is None else [only]:
         train = {kind: table.trained[k, kind].target(target) for kind in kinds} if table.trained else {}
         for kind in () if train else kinds:
             parts = [pick[leaf, kind] for leaf in leaves if leaf != k]

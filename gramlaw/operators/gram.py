@@ -191,21 +191,44 @@ def record(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray):
+class Square:
+    """What a pass adds up: here all products of two columns."""
+
+    def __init__(self, columns: int):
+        self.columns = columns
+
+    def rows_per_step(self) -> int:
+        return ROWS_PER_STEP
+
+    def filler(self, cands: list[Candidate]):
+        """Evaluates the candidates of a batch into the rows of an array."""
+        return lambda X, out: evaluate(cands, X, out)
+
+    def products(self, U: np.ndarray) -> np.ndarray:
+        return U @ U.T
+
+    def packed(self, acc: dict, counts: dict) -> Iterator[tuple]:
+        return pack(acc, counts, self.columns)
+
+
+def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, form: Square | None = None):
     """Task body: bank on each batch, leaf by leaf into the accumulators, then the packed partial sums."""
 
+    form = form or Square(1 + len(centre))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple[int, int], np.ndarray] = {}
         counts: dict[int, int] = {}
         P = 1 + len(centre)
 
         shift, factor = centre[:, None], (1.0 / scale)[:, None]
+        fill, step = form.filler(cands), form.rows_per_step()
 
         def standard(X, Y):
             """Columns as rows of U, shifted and scaled."""
             U = np.empty((P, X.shape[0]))
             U[0] = 1.0
-            evaluate(cands, X, U[1 : 1 + len(cands)])
+            fill(X, U[1 : 1 + len(cands)])
             U[1 + len(cands) :] = Y.T
             U[1:] -= shift
             U[1:] *= factor
@@ -213,13 +236,13 @@ def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale:
 
         def add(key, U):
             if key in acc:
-                acc[key] += U @ U.T
+                acc[key] += form.products(U)
             else:
-                acc[key] = U @ U.T
+                acc[key] = form.products(U)
 
         for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS_PER_STEP):
-                batch = whole.slice(lo, ROWS_PER_STEP)
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
                 U = standard(_matrix(batch, layout["x"], layout["d"]), _matrix(batch, layout["y"], 0))
                 V = None
                 if layout["lagged"]:
@@ -240,7 +263,7 @@ def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale:
                     add((k, PLAIN), U[:, rows])
                     if V is not None:
                         add((k, WEIGHTED), V[:, rows])
-        for item in pack(acc, counts, P):
+        for item in form.packed(acc, counts):
             yield record([item])
 
     return run
@@ -288,7 +311,7 @@ def salted_sum(partials: DataFrame, groups: int, fan_in: int) -> DataFrame:
 
 
 def partial_moments(
-    design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, max_tasks: int = 20000
+    design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, max_tasks: int = 20000, form: Square | None = None
 ) -> DataFrame:
     """Packed sums of every task, not yet added up. ``max_tasks`` bounds how many partial sums are shuffled."""
     if design.serial:
@@ -296,7 +319,7 @@ def partial_moments(
 
         design = entered(design)
     narrow = spread(_narrow(design)).coalesce(max_tasks)
-    return narrow.mapInArrow(_accumulate(_layout(design), cands, centre, scale), PARTIAL_SCHEMA)
+    return narrow.mapInArrow(_accumulate(_layout(design), cands, centre, scale, form), PARTIAL_SCHEMA)
 
 
 def fan_in_for(df: DataFrame) -> tuple[int, int]:

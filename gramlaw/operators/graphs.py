@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +89,10 @@ class Graph:
         return [node_candidate(o) for o in self.outputs]
 
     def key(self) -> str:
+        return self._key
+
+    @cached_property
+    def _key(self) -> str:
         return json.dumps(sorted(key_of(o) for o in self.outputs))
 
     def grown(self, node, step: str) -> "Graph":

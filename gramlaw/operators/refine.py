@@ -1,7 +1,7 @@
 """Expression-graph refinement: grow products and tune parameters, scoring whole generations from one moment pass.
 
-Every generation collects all columns its proposals need, gathers their moments once, and scores each proposal by small
-algebra: fit on the training rows, loss on the validation rows.
+Every generation gathers once what its proposals add to the moments of the graphs they grew out of (``borders``), and
+scores each proposal by small algebra: fit on the training rows, loss on the validation rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import numpy as np
 
 from gramlaw.operators import select
 from gramlaw.operators.algebra import FoldView, centred, residual_square, split_views, whole_view
+from gramlaw.operators.borders import GraphSums
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.gram import Design, GramTable, RawProfile, gram
 from gramlaw.operators.graphs import Graph, graph_pool, node_candidate, product_of, seed_graph
@@ -100,29 +101,32 @@ class Scorer:
         return float(value + (o.energy_flip * self.flip_shift(graph, columns) if o.flip_inputs else 0.0))
 
 
-def rule_pairs(history: tuple[str, ...]) -> set:
-    return set(zip(history, history[1:]))
-
-
-def history_distance(a: Graph, b: Graph) -> float:
-    """1 - Jaccard similarity of consecutive rule pairs."""
-    A, B = rule_pairs(a.history), rule_pairs(b.history)
-    return 1.0 - len(A & B) / max(1, len(A | B)) if A or B else 0.0
+def move_distances(graphs: list[Graph]) -> np.ndarray:
+    """Between every two graphs: the share of their kinds of consecutive moves that only one of them has made."""
+    kinds: dict[tuple[str, str], int] = {}
+    made = [{kinds.setdefault(pair, len(kinds)) for pair in zip(g.history, g.history[1:])} for g in graphs]
+    has = np.zeros((len(graphs), max(1, len(kinds))))
+    for row, which in zip(has, made):
+        row[list(which)] = 1.0
+    both = has @ has.T
+    either = has.sum(1)[:, None] + has.sum(1)[None, :] - both
+    return np.where(either > 0, 1.0 - both / np.maximum(either, 1.0), 0.0)
 
 
 def diverse_best(scored: list[tuple[Graph, float]], k: int) -> list[tuple[Graph, float]]:
-    """The best proposal, then repeatedly the one farthest in history from those kept (better energy first on ties)."""
-    ranked = sorted(scored, key=lambda t: t[1])
-    if len(ranked) <= k:
-        return ranked
-    kept, rest = ranked[:1], ranked[1:]
-    gap = [history_distance(g, kept[0][0]) for g, _ in rest]
-    while len(kept) < k and rest:
-        at = int(np.argmax(gap))
-        kept.append(rest.pop(at))
-        gap.pop(at)
-        gap = [min(d, history_distance(g, kept[-1][0])) for d, (g, _) in zip(gap, rest)]
-    return kept
+    """The graph of least energy, then one by one the graph whose moves differ most from all kept (less energy first on ties)."""
+    order = np.argsort([e for _, e in scored], kind="stable")
+    if len(order) <= k:
+        return [scored[j] for j in order]
+    far = move_distances([scored[j][0] for j in order])
+    kept = [0]
+    nearest = far[0].copy()
+    nearest[0] = -1.0
+    while len(kept) < k:
+        kept.append(int(np.argmax(nearest)))
+        nearest = np.minimum(nearest, far[kept[-1]])
+        nearest[kept] = -1.0
+    return [scored[order[j]] for j in kept]
 
 
 def columns_of(graphs: list[Graph], opt: Options) -> list[Candidate]:
@@ -137,94 +141,125 @@ def columns_of(graphs: list[Graph], opt: Options) -> list[Candidate]:
     return list(pool.values())
 
 
-def score_graphs(design: Design, graphs: dict, prof: RawProfile, opt: Options, whole: bool) -> dict:
-    """Energies per key ``(fold, target)`` of that key's graphs, with one moment pass for all of them."""
-    cands = columns_of([g for gs in graphs.values() for g in gs], opt)
-    table = gram(design, cands, prof)
-    at = {c.name: j for j, c in enumerate(cands)}
-    out = {}
-    for (k, t), gs in graphs.items():
-        view = view_of(table, k, t, whole)
-        scorer = Scorer(view, at, opt)
-        out[k, t] = [(g, scorer.energy(g)) for g in gs]
-    return out
+def view_of(table: GramTable, fold: int, target: int, whole: bool) -> FoldView:
+    return whole_view(table, target) if whole else split_views(table, target, fold)[0][1]
 
 
-def view_of(table: GramTable, fold: int, target: int, whole: bool) -> FoldView:
-    return whole_view(table, target) if whole else dict(split_views(table, target))[fold]
+@dataclass
+class Generations:
+    """Scorers of graphs on one design; every call of ``gather`` is one pass over the rows."""
+
+    sums: GraphSums
+    opt: Options
+    whole: bool
+
+    @staticmethod
+    def of(design: Design, prof: RawProfile, opt: Options, whole: bool) -> "Generations":
+        return Generations(GraphSums(design, prof, lambda g: columns_of([g], opt)), opt, whole)
 
+    def gather(self, pairs: list[tuple[Graph, Graph | None]]) -> None:
+        self.sums.gather(pairs)
 
-def tune(design: Design, start: dict, prof: RawProfile, opt: Options, whole: bool) -> dict:
+    def scorer(self, graph: Graph, key: tuple[int, int]) -> Scorer:
+        table = self.sums.table(graph)
+        return Scorer(view_of(table, *key, self.whole), {c.name: j for j, c in enumerate(table.cands)}, self.opt)
+
+    def energies(self, graphs: dict) -> dict:
+        """Energies per key ``(fold, target)`` of that key's graphs."""
+        return {key: [(g, self.scorer(g, key).energy(g)) for g in gs] for key, gs in graphs.items()}
+
+    def loss(self, graph: Graph, key: tuple[int, int]) -> float:
+        s = self.scorer(graph, key)
+        return s.loss([s.at[node_candidate(o).name] for o in graph.outputs])
+
+
+def retuned(g: Graph, node, name: str, delta: float) -> Graph:
+    """The graph with one parameter of one node moved."""
+    return g.replaced(node, [node[0], {**node[1], name: node[1][name] + delta}, node[2]], f"opt:{node[0]}")
+
+
+def tune(design: Design, start: dict, prof: RawProfile, opt: Options, whole: bool, over: Generations | None = None) -> dict:
     """Coordinate search on the parameters of each key's graph: try ±step on every parameter in one pass per round,
     keep the best single change, halve the step; stop when no key improves."""
-    best = {key: (g, None) for key, g in start.items()}
+    over = over or Generations.of(design, prof, opt, whole)
+    best = dict(start)
     step = TUNE_STEP
-    for _ in range(TUNE_ROUNDS):
-        trials = {}
-        for key, (g, _) in best.items():
-            trials[key] = [g]
-            for node in g.tunable():
-                for name in node[1]:
-                    for delta in (step, -step):
-                        new = [node[0], {**node[1], name: node[1][name] + delta}, node[2]]
-                        trials[key].append(g.replaced(node, new, f"opt:{node[0]}"))
+    for turn in range(TUNE_ROUNDS):
+        trials = {
+            key: [g, *[retuned(g, node, name, delta) for node in g.tunable() for name in node[1] for delta in (step, -step)]]
+            for key, g in best.items()
+        }
         if all(len(v) == 1 for v in trials.values()):
             break
-        cands = columns_of([g for gs in trials.values() for g in gs], opt)
-        table = gram(design, cands, prof)
-        at = {c.name: j for j, c in enumerate(cands)}
+        if turn == 0:
+            over.gather([(g, None) for g in best.values()])
+        over.gather([(new, gs[0]) for gs in trials.values() for new in gs])
         improved = False
         for key, gs in trials.items():
-            scorer = Scorer(view_of(table, *key, whole), at, opt)
-            losses = [scorer.loss([at[node_candidate(o).name] for o in g.outputs]) for g in gs]
+            losses = [over.loss(g, key) for g in gs]
             j = int(np.argmin(losses))
             if j > 0 and losses[j] < losses[0]:
-                best[key] = (gs[j], losses[j])
+                best[key] = gs[j]
                 improved = True
         step *= 0.5
         if not improved:
             break
-    return {key: g for key, (g, _) in best.items()}
-
-
-def search_graphs(design: Design, keys: list[tuple[int, int]], prof: RawProfile, opt: Options, whole: bool) -> dict[tuple[int, int], Graph]:
-    """Beam over graphs per key. All keys share the proposals' columns, so a generation is one pass for every fold and
-    target together."""
-    d = design.d
-    seed = seed_graph(d)
+    return best
+
+
+def proposal(g: Graph, rng: np.random.Generator, tuning: bool) -> Graph:
+    """A random move: the product of two nodes or, if asked for and there are parameters, a change of one of them, each as
+    often. The steps are those of ``tune``."""
+    nodes = g.tunable() if tuning else []
+    if nodes and rng.random() < 0.5:
+        node = nodes[int(rng.integers(len(nodes)))]
+        name = sorted(node[1])[int(rng.integers(len(node[1])))]
+        step = TUNE_STEP * 0.5 ** int(rng.integers(TUNE_ROUNDS))
+        return retuned(g, node, name, step if rng.random() < 0.5 else -step)
+    return g.grown(product_of(g, rng), "add_mul")
+
+
+def search_graphs(
+    design: Design, keys: list[tuple[int, int]], prof: RawProfile, opt: Options, whole: bool, over: Generations | None = None
+) -> dict[tuple[int, int], Graph]:
+    """Beam over graphs per key. The graphs of all folds and targets share the pass of a generation, which gathers the
+    products of a proposal's new columns with its own columns only. With ``refine_tune`` the beam starts from tuned seeds
+    and tunes on as it grows."""
+    over = over or Generations.of(design, prof, opt, whole)
+    seed = seed_graph(design.d)
     seeds = {key: seed for key in keys}
     if opt.refine_tune:
-        seeds = tune(design, seeds, prof, opt, whole)
-    scored = score_graphs(design, {k: [g] for k, g in seeds.items()}, prof, opt, whole)
-    frontier = scored
-    best = {k: v[0] for k, v in scored.items()}
+        seeds = tune(design, seeds, prof, opt, whole, over)
+    over.gather([(g, None) for g in seeds.values()])
+    frontier = over.energies({k: [g] for k, g in seeds.items()})
+    best = {k: v[0] for k, v in frontier.items()}
     seen = {k: {seeds[k].key()} for k in keys}
     width, proposals = opt.refine_frontier, opt.refine_proposals
     for generation in range(opt.refine_depth):
         rng = np.random.default_rng([opt.seed, generation])
-        proposed = {}
+        proposed: dict[tuple[int, int], list[Graph]] = {}
+        pairs = []
         for k in keys:
-            mine = []
             for g, _ in frontier[k]:
                 if len(graph_pool(g)) < 2:
                     continue
                 for _ in range(proposals):
-                    new = g.grown(product_of(g, rng), "add_mul")
+                    new = proposal(g, rng, opt.refine_tune)
                     if new.key() not in seen[k]:
                         seen[k].add(new.key())
-                        mine.append(new)
-            if mine:
-                proposed[k] = mine
+                        proposed.setdefault(k, []).append(new)
+                        pairs.append((new, g))
         if not proposed:
             break
-        scored = score_graphs(design, proposed, prof, opt, whole)
+        over.gather(pairs)
         stalled = True
-        for k, values in scored.items():
+        for k, values in over.energies(proposed).items():
             frontier[k] = diverse_best(values, width)
             top = min(frontier[k], key=lambda t: t[1])
             if top[1] < best[k][1] - 1e-6:
                 best[k] = top
                 stalled = False
+        over.sums.keep([g for values in frontier.values() for g, _ in values])
         if stalled:
             width, proposals = min(width + FRONTIER_STEP, MAX_FRONTIER), min(proposals + PROPOSAL_STEP, MAX_FRONTIER)
     return {k: g for k, (g, _) in best.items()}

@@ -9,7 +9,7 @@ from gramlaw.operators.graphs import Graph, description_bits, node_candidate, no
 from gramlaw.operators.medians import training_medians
 from gramlaw.operators.probe import Probe, probe_scores, probe_shifts, probes_for
 from gramlaw.operators.catalog import GroupSpec
-from gramlaw.operators.refine import diverse_best, history_distance
+from gramlaw.operators.refine import diverse_best, move_distances
 from gramlaw.plans.law import Law, score_laws
 from gramlaw.plans.options import Options
 from gramlaw.plans.search import search
@@ -207,7 +207,7 @@ def test_graph_tables(spark):
     swapped = g.replaced(g.outputs[4], [g.outputs[4][0], {"beta": 2.0}, [0]], "opt")
     assert swapped.outputs[4][1] == {"beta": 2.0} and swapped.outputs[:4] == g.outputs[:4]
     a, b = Graph(1, (0,), ("p", "q", "r")), Graph(1, (0,), ("p", "q"))
-    assert history_distance(a, b) == 0.5 and history_distance(b, b) == 0.0
+    assert move_distances([a, b, g]).tolist() == [[0.0, 0.5, 1.0], [0.5, 0.0, 1.0], [1.0, 1.0, 0.0]]
     assert [s for _, s in diverse_best([(a, 2.0), (b, 1.0), (a, 3.0)], 2)] == [1.0, 2.0]
 
 
