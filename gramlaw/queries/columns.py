@@ -12,6 +12,7 @@ from gramlaw.operators.gram import Design, gram, profile_inputs
 from gramlaw.operators.graphs import Graph, product_nodes, seed_graph
 from gramlaw.operators.ranks import median_of
 from gramlaw.operators.residual import Step, add_chain
+from gramlaw.operators.sparse import key_pairs, key_targets, score_maps
 from gramlaw.operators.telemetry import FEATURES, Sensors, design_matrix, feature_map, feature_names, select_features
 from gramlaw.queries.common import (
     FOLD_SQL,
@@ -33,7 +34,7 @@ from gramlaw.queries.common import (
 )
 from gramlaw.operators.noise import variance_weight
 from gramlaw.operators.telemetry import with_features
-from gramlaw.session import shared_path
+from gramlaw.session import materialise, shared_path
 from gramlaw.sources.tables import check_shapes, read_basis_csv, regression_table, sigma_entries
 
 # --------------------------------------------------------------------------------------------------------------
@@ -123,6 +124,54 @@ def _(spark, sf):
     return rounded(design_matrix(rows, names, ["record_id"], "executed_action"))
 
 
+# One row per key that a record holds, values in hundreds; every third record lacks two sensors.
+_KEYS_SQL = "WITH " + TELEMETRY_SQL + ", " + label_sql() + ", held AS (" + " UNION ALL ".join(
+    f"SELECT record_id, '{f}' AS key, {f}/100.0 AS v, CAST(throttle AS DOUBLE) AS t, CAST(boost AS DOUBLE) AS b, CAST(reduce_clock AS DOUBLE) AS r FROM lab"
+    + (" WHERE record_id%3<>0" if f in ("packets_dropped", "last_processed") else "")
+    for f in FEATURES
+) + ")"
+_BIT_NAMES = {"t": "throttle", "b": "boost", "r": "reduce_clock"}
+
+
+def _hundreds(spark, sf):
+    """Partial records with their values in hundreds."""
+    return _partial_records(spark, sf).withColumn("feature_map", F.transform_values("feature_map", lambda _, v: v / 100.0))
+
+
+@query(
+    "sparse_pairs",
+    _KEYS_SQL + " SELECT l.key AS a, r.key AS b, count(*) AS n, round(sum(l.v*r.v)/count(*),6) AS vv, round(sum(l.v)/count(*),6) AS vp, round(sum(r.v)/count(*),6) AS pv FROM held l JOIN held r ON l.record_id=r.record_id AND l.key<=r.key GROUP BY l.key, r.key",
+)
+def _(spark, sf):
+    """Moments of every two keys of the feature maps that occur together, from the keys a record holds."""
+    n = F.col("n")
+    return key_pairs(_hundreds(spark, sf)).select("a", "b", "n", *[rnd(F.col(c) / n).alias(c) for c in ("vv", "vp", "pv")])
+
+
+@query(
+    "sparse_targets",
+    _KEYS_SQL + " SELECT key, count(*) AS n, round(sum(v)/count(*),6) AS v, round(sum(v*v)/count(*),6) AS vv, "
+    + ", ".join(f"round(sum(v*{c})/count(*),6) AS vy_{n}, round(sum({c})/count(*),6) AS py_{n}" for c, n in _BIT_NAMES.items()) + " FROM held GROUP BY key",
+)
+def _(spark, sf):
+    """Moments of every key of the feature maps with the action bits."""
+    bits = {n: F.col("executed_action")[k] for k, n in enumerate(_BIT_NAMES.values())}
+    out = key_targets(_hundreds(spark, sf), bits)
+    return out.select("key", "n", *[rnd(F.col(c) / F.col("n")).alias(c) for c in out.columns if c not in ("key", "n")])
+
+
+@query(
+    "sparse_scores",
+    _KEYS_SQL + ", w AS (SELECT key, sum(v*b)/(sum(v*v)+1.0) AS vw, sum(b)/count(*) AS pw FROM held GROUP BY key) SELECT record_id, round(sum(v*vw+pw),6) AS score FROM held JOIN w USING (key) GROUP BY record_id",
+)
+def _(spark, sf):
+    """Every record scored by one weight per key: the ridge slope of the boost bit on that key alone, and its mean there."""
+    rows = _hundreds(spark, sf)
+    sums = materialise(key_targets(rows, {"b": F.col("executed_action")[1]}), "key-sums")
+    weights = sums.select("key", (F.col("vy_b") / (F.col("vv") + 1.0)).alias("value_weight"), (F.col("py_b") / F.col("n")).alias("presence_weight"))
+    return score_maps(rows, ["record_id"], weights).select("record_id", rnd("score").alias("score"))
+
+
 @query(
     "feature_subset",
     "SELECT event_id AS record_id, 17 AS n_keys, false AS has_drops, true AS has_pressure FROM events",
