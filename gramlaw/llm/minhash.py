@@ -237,9 +237,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     near = cut(near_duplicates(docs), "near")
     first = near.where("kept and component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("one"))
     marked = near.join(first, "component", "left")
-    gone = marked.where(F.col("component").isNotNull() & ~F.struct("doc_id", "th").eqNullSafe(F.col("one"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    rows = docs.withColumn("_t", F.xxhash64("text"))
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left_anti").dropDuplicates(["doc_id", "_t"]).drop("_t")
+    gone = marked.where(F.col("component").isNotNull() & ~F.struct("doc_id", "th").eqNullSafe(F.col("one"))).select(F.struct("doc_id", "th").alias("_key"))
+    # one key (of one type, nullable fields included) for both steps, so that texts are shuffled once; null ids inside a
+    # struct are equal
+    rows = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("th")).cast(gone.schema["_key"].dataType))
+    return rows.join(gone, "_key", "left_anti").dropDuplicates(["_key"]).drop("_key")
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:

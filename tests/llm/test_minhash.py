@@ -94,3 +94,24 @@ def test_sets_of_short_texts_differ():
     sets = list(minhash.shingle_sets(pa.array(["a b", "b a", "a b c d e", "a", None, "A B"])))
     assert [len(s) for s in sets] == [1, 1, 1, 1, 0, 1]
     assert len({s.tobytes() for s in sets[:4]}) == 4 and sets[0] == sets[5]
+
+
+def test_texts_are_shuffled_once_to_drop_copies(spark):
+    """The anti-join and the removal of repeated rows share one shuffle."""
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in planted()] + ODD, SCHEMA)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.deduplicated(docs)
+        plan = out._jdf.queryExecution().executedPlan()
+        found, open_ = [], [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+        while open_:
+            node = open_.pop()
+            if node.nodeName() == "Exchange":
+                found.append([node.output().apply(k).dataType().simpleString() for k in range(node.output().length())])
+            open_ += [node.children().apply(k) for k in range(node.children().length())]
+        kept = [r.doc_id for r in out.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert found and sum("string" in types for types in found) == 1  # buffers of first(text) have names of their own
+    assert sorted(kept, key=str) == sorted([d for d, _, _, k in set(brute([(r.doc_id, r.text) for r in docs.collect()])) if k], key=str)
