@@ -57,7 +57,8 @@ def bag_sums(partials: DataFrame, opt: Options, groups: int, fan_in: int) -> Dat
         for (leaf, kind, block), (data, n) in acc.items():
             yield record([(leaf, kind, block, n, data.tobytes())])
 
-    first = salted_sum(partials, groups, fan_in).withColumn("fold", F.floor(F.col("leaf") / B))
+    # buckets are added up apart first: a fold's buckets of all tasks would meet in one of few reducers
+    first = salted_sum(partials, groups, max(2, fan_in)).withColumn("fold", F.floor(F.col("leaf") / B))
     return first.repartition(groups, "fold", "kind", "block").drop("fold").mapInArrow(run, PARTIAL_SCHEMA)
 
 

@@ -24,6 +24,7 @@ PLAIN, WEIGHTED = 0, 1
 SAMPLE, SAMPLE_PIECES = -1, 64
 BLOCK_BYTES = 1 << 20
 ROWS_PER_STEP = 4096
+WAVES = 2  # tasks a core that add up moments, however many pieces the input has
 PARTIAL_SCHEMA = "leaf int, kind int, block int, n long, data binary"
 
 
@@ -311,14 +312,16 @@ def salted_sum(partials: DataFrame, groups: int, fan_in: int) -> DataFrame:
 
 
 def partial_moments(
-    design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, max_tasks: int = 20000, form: Square | None = None
+    design: Design, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, max_tasks: int | None = None, form: Square | None = None
 ) -> DataFrame:
-    """Packed sums of every task, not yet added up. ``max_tasks`` bounds how many partial sums are shuffled."""
+    """Packed sums of every task, not yet added up. ``max_tasks`` (``WAVES`` a core) bounds how many partial sums are
+    shuffled, so that what a reducer reads depends on the cluster and the columns, not on the rows."""
     if design.serial:
         from gramlaw.operators.serial import entered
 
         design = entered(design)
-    narrow = spread(_narrow(design)).coalesce(max_tasks)
+    narrow = spread(_narrow(design))
+    narrow = narrow.coalesce(max_tasks or max(8, WAVES * narrow.sparkSession.sparkContext.defaultParallelism))
     return narrow.mapInArrow(_accumulate(_layout(design), cands, centre, scale, form), PARTIAL_SCHEMA)
 
 

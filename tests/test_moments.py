@@ -280,3 +280,14 @@ def test_bags_of_few_and_equal_keys(spark):
     equal = spark.createDataFrame([(i // 50, 0) for i in range(200)], "id long, fold int")  # 160 rows do not divide by 50
     for (_, b), end in bag_thresholds(equal, ["id"], "fold", opt).items():
         assert equal.where(bag_hash(["id"], opt.seed, b) <= end).count() == 150
+
+
+def test_partial_sums_are_bounded_by_the_cluster_not_by_the_pieces_of_the_input(spark):
+    from gramlaw.operators.gram import partial_moments
+
+    df = spark.range(0, 400, 1, 100).select((F.col("id") / 400.0).alias("x0"), (F.col("id") % 7).alias("y"), F.col("id").alias("id"))
+    cands = [Candidate("x0", "unary", {"f": "x", "i": 0})]
+    far = spark.createDataFrame(df.rdd, df.schema)  # of unknown size, so left as read
+    parts = partial_moments(Design(far, ["x0"], ["y"]), cands, np.zeros(2), np.ones(2))
+    assert far.rdd.getNumPartitions() == 100 and parts.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert gram(Design(far, ["x0"], ["y"]), cands).total().n == 400
