@@ -6,10 +6,12 @@ of the training data under a context mixes its own estimate and the product over
 P_w = (P_e + prod P_w(children)) / 2. Read along the path of a text's context this gives each depth a weight,
 w = P_e / (P_e + prod P_w(children)), and the code length of a byte is that of the weighted estimates of all depths.
 
-Training counts come from all training texts: (DEPTH + 1)-byte strings, added up within tasks, then over them. Contexts of
-at least ``MIN_CONTEXT`` of all positions are nodes of the tree (at most 1/MIN_CONTEXT = 32,768 a depth), with the bytes of
-at least ``MIN_BYTE`` of all positions; what follows a node in other contexts is a child of its own that only enters its
-weight. So the model that the driver collects and broadcasts has a fixed bound whatever the corpus.
+No context and no count is left out. A pass deals the texts into chunks of bounded size and writes them with the distinct
+(DEPTH + 1)-byte strings of each chunk and their counts in training texts; summed by string these are the leaves of the
+tree. Strings are dealt and sorted by their context, latest byte first, so that all strings below a context of three bytes
+meet in one task, which weighs the depths from three on. Depths up to two, at most 2^16 contexts, are weighed on the driver
+and broadcast. A second pass then gives every string of the texts the log probability of its last byte, which goes back
+to the chunks that hold the string by a join; there it is looked up for each position.
 
 Beside it stands the unigram base score over words. Words of at least ``MIN_WORD`` of all tokens (at most 2^20) are looked
 up in a broadcast table within the tasks; all others meet their counts in a join, where no word is frequent.
@@ -29,14 +31,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlaw.llm.text import Tally, batch, cut, filled, hash_strings, mapped, words
+from gramlaw.llm.text import Tally, batch, cut, filled, hash_strings, mapped, sliced, words
 
 DEPTH, END = 5, 255
-MIN_CONTEXT, MIN_BYTE, MIN_WORD = 2.0**-15, 2.0**-21, 2.0**-20
-WORD, STRING, TEXTS = 0, 1, 2  # kinds of counts
+MIN_WORD = 2.0**-20
+WORD, STRING, TEXTS, TEXT = 0, 1, 2, 3  # kinds of counts, and texts
+CHUNK_STRINGS, CHUNK_BYTES = 2_000_000, 32 << 20  # a chunk ends at either
+TOP = 2  # depths up to here are weighed on the driver
+NODE_STRINGS = 200_000  # strings that a task weighs at a time, and what is left of their last context
 
 
 def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,38 +59,67 @@ def _positions(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (size.cumsum() - size), size) + np.arange(int(size.sum()))
 
 
-def counts(train: DataFrame) -> DataFrame:
-    """(kind, key, n): word hashes, byte strings, number of texts."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+def strings(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The string at each position as a number: its context, latest byte highest, then the byte itself."""
+    key = np.zeros(len(at), dtype=np.uint64)
+    for back in [*range(1, DEPTH + 1), 0]:
+        key = (key << np.uint64(8)) | data[at - back].astype(np.uint64)
+    return key
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies = {WORD: Tally(), STRING: Tally()}
-        seen = 0
 
-        def rows(kind):
-            keys, n = tallies[kind].drain()
-            return batch(schema, np.full(len(keys), kind, dtype=np.int32), keys.view(np.int64), n)
+def chunked(docs: DataFrame, train: Column) -> DataFrame:
+    """(kind, chunk, key, n, row, doc_id, text): lower-cased texts with their chunk; each chunk's strings, counted in its
+    ``train`` texts (0: in others only); word hashes and the number of texts, of ``train`` texts."""
+    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 
-        for part in batches:
-            lower = pc.ascii_lower(filled(part.column(0)))
-            seen += len(lower)
-            codes, _, dictionary = words(lower)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = Tally(), Tally(CHUNK_STRINGS)
+        part = TaskContext.get().partitionId()
+        chunk, row, size_of_chunk, seen = part << 24, part << 36, 0, 0
+
+        def rows(kind, tally):
+            keys, n = tally.drain()
+            none = pa.nulls(len(keys), pa.int64())
+            return batch(schema, np.full(len(keys), kind, dtype=np.int32), np.full(len(keys), chunk), keys.view(np.int64), n, none, none, pa.nulls(len(keys), pa.string()))
+
+        for some in batches:
+            lower = pc.ascii_lower(filled(some.column(1)))
+            learn = some.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            none = pa.nulls(len(lower), pa.int64())
+            yield batch(schema, np.full(len(lower), TEXT, dtype=np.int32), np.full(len(lower), chunk), none, none, np.arange(row, row + len(lower)), some.column(0), lower)
+            row += len(lower)
+            seen += int(learn.sum())
+            codes, _, dictionary = words(lower.filter(pa.array(learn)))
             n = np.bincount(codes, minlength=len(dictionary))
-            tallies[WORD].add(hash_strings(dictionary)[n > 0], n[n > 0])
+            found.add(hash_strings(dictionary)[n > 0], n[n > 0])
             data, starts, size = laid_out(lower)
-            at = _positions(starts, size)
-            key = np.zeros(len(at), dtype=np.uint64)
-            for back in range(DEPTH, -1, -1):
-                key = (key << np.uint64(8)) | data[at - back].astype(np.uint64)
-            tallies[STRING].add(key)
-            for kind, tally in tallies.items():
-                if tally.full():
-                    yield rows(kind)
-        for kind in tallies:
-            yield rows(kind)
-        yield batch(schema, [TEXTS], [0], [seen])
+            key, counted = strings(data, _positions(starts, size)), np.repeat(learn, size)
+            held.add(key[counted])
+            if not counted.all():
+                others = np.unique(key[~counted])
+                held.add(others, np.zeros(len(others), dtype=np.int64))
+            size_of_chunk += int(size.sum())
+            if found.full():
+                yield rows(WORD, found)
+            if held.full() or size_of_chunk >= CHUNK_BYTES:
+                yield rows(STRING, held)
+                chunk, size_of_chunk = chunk + 1, 0
+        yield rows(WORD, found)
+        yield rows(STRING, held)
+        yield batch(schema, [TEXTS], [None], [0], [seen], [None], [None], [None])
+
+    texts = docs.select("doc_id", "text", train.alias("train"))
+    return mapped(texts, ["doc_id", "text", "train"], run, "kind int, chunk long, key long, n long, row long, doc_id long, text string")
+
+
+def summed(chunks: DataFrame) -> DataFrame:
+    """(kind, key, n): word hashes, byte strings, number of texts."""
+    return chunks.where(F.col("kind") != TEXT).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
 
-    return mapped(train, ["text"], run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def counts(train: DataFrame) -> DataFrame:
+    """The counts of training texts."""
+    return summed(chunked(train, F.lit(True)))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -182,26 +216,145 @@ def weighted(contexts: list[np.ndarray], n: list[np.ndarray]) -> Tree:
     return Tree(steps, offset, np.concatenate(table))
 
 
-def tree(table: DataFrame) -> Tree:
-    """The weighted tree of the byte strings in a table of counts."""
-    strings = table.where(F.col("kind") == STRING)
-    total = strings.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cuts = F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")) for d in range(DEPTH + 1)])
-    pairs = strings.select("n", F.explode(cuts).alias("c")).groupBy("c.d", "c.key").agg(F.sum("n").alias("n"))
-    pairs = cut(pairs.withColumn("context", F.shiftright("key", 8)), "pairs")
-    nodes = pairs.groupBy("d", "context").agg(F.sum("n").alias("m")).where(F.col("m") >= MIN_CONTEXT * total)
-    kept = pairs.where(F.col("n") >= MIN_BYTE * total).join(nodes, ["d", "context"]).select("d", "context", F.col("key").bitwiseAND(F.lit(255)).alias("byte"), "n").toArrow()
-    d_of, context, byte, n = (kept.column(c).to_numpy() for c in ("d", "context", "byte", "n"))
-    contexts, counted = [], []
-    for d in range(DEPTH + 1):
-        own, place = np.unique(context[d_of == d], return_inverse=True)
-        if d == 0 and not len(own):
-            own = np.zeros(1, dtype=np.int64)
-        grid = np.zeros((len(own), 256), dtype=np.float64)
-        grid[place, byte[d_of == d]] = n[d_of == d]
-        contexts.append(own)
-        counted.append(grid)
-    return weighted(contexts, counted)
+_SMALL = np.arange(1 << 14)
+_HALF, _ONE = _log_gamma(_SMALL + 0.5), _log_gamma(_SMALL + 1.0)
+
+
+def _log_kt_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``_log_kt`` of whole numbers, most of them small."""
+    both = zeros + ones
+    out = np.empty(len(both))
+    few = both < len(_SMALL)
+    z, o, t = (x[few].astype(np.int64) for x in (zeros, ones, both))
+    out[few] = _HALF[z] + _HALF[o] - _ONE[t] - np.log(np.pi)
+    out[~few] = _log_kt(zeros[~few], ones[~few])
+    return out
+
+
+@dataclass
+class Nodes:
+    """Nodes of the byte trees of some contexts of one depth: sorted ids (context, latest byte highest, then the node), how
+    often they were met and how often a one followed, the weight of their own estimate and their log probability; ``up``
+    is the place of each in the next lesser depth."""
+
+    ids: np.ndarray
+    n: np.ndarray
+    ones: np.ndarray
+    share: np.ndarray
+    log_w: np.ndarray
+    up: np.ndarray | None = None
+
+    def known(self) -> np.ndarray:
+        """Whether the context of a node was seen in training: its first node counts all that followed."""
+        context = self.ids >> 8
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, dtype=np.int64)
+        return np.repeat(self.n[first] > 0, np.diff(np.concatenate([first, [len(context)]])))
+
+
+def climb(ids: np.ndarray, n: np.ndarray, ones: np.ndarray, below: np.ndarray | None, depths: int) -> list[Nodes]:
+    """The nodes and those of ``depths`` lesser depths, deepest first. ``below`` sums up the log probabilities under the first
+    ones; without it they are the deepest of the tree. All strings of a context of a lesser depth must be among them."""
+    out = []
+    while True:
+        own = _log_kt_counts(n - ones, ones)
+        if below is None:
+            share, log_w = np.ones(len(ids)), own
+        else:
+            share, log_w = 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.logaddexp(own, below) - np.log(2)
+        out.append(Nodes(ids, n, ones, share, log_w))
+        if len(out) > depths:
+            return out
+        ids, n, ones, below = lesser(out[-1])
+
+
+def lesser(nodes: Nodes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and sums of the nodes in contexts shorter by the oldest byte."""
+    ids, nodes.up = np.unique(((nodes.ids >> 16) << 8) | (nodes.ids & 255), return_inverse=True)
+    return ids, *[np.bincount(nodes.up, weights=v, minlength=len(ids)) for v in (nodes.n, nodes.ones, nodes.log_w)]
+
+
+@dataclass
+class Mix:
+    """Of each node: the probability of a one if its context is the longest one known, and the sum and the weight left if not."""
+
+    one: np.ndarray
+    mixed: np.ndarray
+    left: np.ndarray
+
+    def at(self, place: np.ndarray) -> "Mix":
+        return Mix(self.one[place], self.mixed[place], self.left[place])
+
+    def under(self, nodes: Nodes, known: np.ndarray) -> "Mix":
+        """One depth further, given this of each node's next lesser depth."""
+        ones = (nodes.ones + 0.5) / (nodes.n + 1)
+        one = np.where(known, self.mixed + self.left * ones, self.one)
+        return Mix(one, self.mixed + self.left * nodes.share * ones, self.left * (1 - nodes.share))
+
+
+def _leaves(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of the deepest contexts with their sums, and the place among them of each string's eight nodes."""
+    byte = key & 255
+    level = np.arange(8)[:, None]
+    ids, at = np.unique(((key >> 8) << 8) | (1 << level) | (byte >> (8 - level)), return_inverse=True)
+    at = at.reshape(8, -1)
+    bit = (byte >> (7 - level)) & 1
+    total = lambda v: np.bincount(at.ravel(), weights=v.ravel(), minlength=len(ids))
+    return ids, total(np.broadcast_to(n, at.shape)), total(bit * n), at
+
+
+def _whole_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted strings with counts, cut between contexts of TOP + 1 bytes."""
+    shift, key, n = 8 * (DEPTH - TOP), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    waiting, size = [], 0
+    for b in batches:
+        waiting.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size < NODE_STRINGS:
+            continue
+        key, n = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+        last = int(np.searchsorted(key, (key[-1] >> shift) << shift))
+        if last:
+            yield key[:last], n[:last]
+        waiting, size = [(key[last:], n[last:])], len(key) - last
+    if size:
+        yield tuple(np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+
+
+def probabilities(table: DataFrame) -> DataFrame:
+    """(key, p): log10 of the probability that every string's last byte follows its context."""
+    context = F.shiftright("key", 8 * (DEPTH - TOP))
+    dealt = table.where(F.col("kind") == STRING).select("key", "n").repartition(context).sortWithinPartitions("key")
+    schema = pa.schema([("id", pa.int64()), ("n", pa.float64()), ("ones", pa.float64()), ("below", pa.float64())])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n in _whole_contexts(batches):
+            ids, m, ones, _ = _leaves(key, n)
+            yield batch(schema, *lesser(climb(ids, m, ones, None, DEPTH - TOP - 1)[-1]))
+
+    sums = dealt.mapInArrow(weigh, "id long, n double, ones double, below double").groupBy("id").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
+    got = sums.orderBy("id").toArrow()
+    top = climb(*(got.column(c).to_numpy() for c in ("id", "n", "ones", "below")), TOP)
+    size = len(top[-1].ids)
+    mix = Mix(np.full(size, 0.5), np.zeros(size), np.ones(size)).under(top[-1], np.ones(size, dtype=bool))
+    for nodes in top[-2::-1]:
+        mix = mix.at(nodes.up).under(nodes, nodes.known())
+    shared = table.sparkSession.sparkContext.broadcast((top[0].ids, mix))
+    out = pa.schema([("key", pa.int64()), ("p", pa.float32())])
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_ids, start = shared.value
+        for key, n in _whole_contexts(batches):
+            ids, m, ones, at = _leaves(key, n)
+            deep = climb(ids, m, ones, None, DEPTH - TOP - 1)
+            here = start.at(np.searchsorted(known_ids, lesser(deep[-1])[0]))
+            for nodes in deep[::-1]:
+                here = here.at(nodes.up).under(nodes, nodes.known())
+            one = np.clip(here.one, 1e-12, 1 - 1e-12)
+            logs = np.log10(np.stack([1 - one, one]))
+            bit = ((key & 255) >> (7 - np.arange(8)[:, None])) & 1
+            yield batch(out, key, logs[bit, at].sum(axis=0).astype(np.float32))
+
+    return dealt.mapInArrow(spell, "key long, p float")
 
 
 @dataclass
@@ -228,17 +381,35 @@ def frequent(table: DataFrame) -> Words:
     return Words(keys[order], n[order], end, total, distinct)
 
 
+def text_scores(texts: pa.Array, keys: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log10 probability of each (lower-cased) text, given those of all its strings by sorted key."""
+    data, starts, size = laid_out(texts)
+    coded = pa.array(strings(data, _positions(starts, size)).view(np.int64)).dictionary_encode()
+    found = p[np.searchsorted(keys, coded.dictionary.to_numpy())].astype(np.float64)
+    return np.add.reduceat(found[coded.indices.to_numpy()], size.cumsum() - size) if len(size) else np.zeros(0)
+
+
 def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of every row, given the counts."""
-    model, known = tree(table), frequent(table)
-    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+    chunks = cut(chunked(docs, F.lit(False)), "chunks", "zstd")
+    both = table.select("kind", "key", "n").unionByName(summed(chunks)).groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return scored_chunks(chunks, cut(both, "counts"))
+
+
+def scored_chunks(chunks: DataFrame, table: DataFrame) -> DataFrame:
+    """The scores of the texts in written chunks, given a written table of counts that has all their strings."""
+    known = frequent(table)
+    shared = chunks.sparkSession.sparkContext.broadcast(known)
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bytes, by_word = shared.value
-        row = TaskContext.get().partitionId() << 36
-        for part in batches:
-            lower = pc.ascii_lower(filled(part.column(1)))
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        by_word = shared.value
+        keys, p = found.column("key").to_numpy(), found.column("p").to_numpy()
+        order = np.argsort(keys)
+        keys, p = keys[order], p[order]
+        out = []
+        for part in sliced(texts.to_batches()):
+            lower = part.column("text")
             codes, bounds, dictionary = words(lower)
             h = hash_strings(dictionary)
             place = np.minimum(np.searchsorted(by_word.hashes, h), max(len(by_word.hashes) - 1, 0))
@@ -251,22 +422,26 @@ def scored(docs: DataFrame, table: DataFrame) -> DataFrame:
             pair, times = np.unique(pair, return_counts=True)
             spans = pa.array(np.searchsorted(pair, np.arange(len(size) + 1) * np.int64(len(dictionary) + 1)).astype(np.int32))
             lists = lambda x: pa.ListArray.from_arrays(spans, pa.array(x))  # noqa: B023, E731
-            yield batch(
-                schema,
-                np.arange(row, row + len(size)),
-                part.column(0),
-                size + 1,
-                total(hit.astype(np.int64)) + (by_word.end > 0),
-                total(value) + by_word.log(np.float64(by_word.end)),
-                by_bytes.scores(lower),
-                pc.binary_length(lower).cast(pa.int64()),
-                lists(h[pair % (len(dictionary) + 1)].view(np.int64)),
-                lists(times.astype(np.int64)),
+            out.append(
+                batch(
+                    schema,
+                    part.column("row"),
+                    part.column("doc_id"),
+                    size + 1,
+                    total(hit.astype(np.int64)) + (by_word.end > 0),
+                    total(value) + by_word.log(np.float64(by_word.end)),
+                    text_scores(lower, keys, p),
+                    pc.binary_length(lower).cast(pa.int64()),
+                    lists(h[pair % (len(dictionary) + 1)].view(np.int64)),
+                    lists(times.astype(np.int64)),
+                )
             )
-            row += len(size)
+        return pa.Table.from_batches(out, schema)
 
     text = "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, times array<long>"
-    rows = cut(mapped(docs, ["doc_id", "text"], run, text), "scored")
+    found = chunks.where(F.col("kind") == STRING).select("key", F.col("chunk").alias("holder")).join(probabilities(table), "key").select("holder", "key", "p")
+    texts = chunks.where(F.col("kind") == TEXT).select("chunk", "row", "doc_id", "text")
+    rows = cut(texts.groupBy("chunk").cogroup(found.groupBy("holder")).applyInArrow(run, text), "scored")
     each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("key"), "w.times")
     met = each.join(table.where(F.col("kind") == WORD).select("key", "n"), "key", "left")
     n = F.coalesce("n", F.lit(0))

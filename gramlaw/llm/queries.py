@@ -34,8 +34,8 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base score and context-tree score of each text, learned outside the held-out tenth."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    table = cut(context_tree.counts(docs.where(remainder("doc_id", 10) != 0)), "counts")
-    out = context_tree.scored(docs, table)
+    chunks = cut(context_tree.chunked(docs, remainder("doc_id", 10) != 0), "chunks", "zstd")
+    out = context_tree.scored_chunks(chunks, cut(context_tree.summed(chunks), "counts"))
     return out.select("doc_id", (remainder("doc_id", 10) == 0).alias("held_out"), *out.columns[1:])
 
 

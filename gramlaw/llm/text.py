@@ -36,11 +36,11 @@ def shared_folder(spark: SparkSession) -> str:
 WRITTEN: list[str] = []  # tables that ``cut`` wrote in this process and that ``release`` has not deleted
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, so that later steps and lost executors never redo it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/text/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

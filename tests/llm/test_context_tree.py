@@ -129,3 +129,18 @@ def test_learned_text_is_likelier():
     tree = ct.weighted(contexts, n)
     s = tree.scores(pc.ascii_lower(pa.array(["the cat sat on the mat ", "xq zv jkw pfy ghb rrt d "])))
     assert s[0] > s[1] / 4
+
+
+def test_rare_contexts_and_bytes_keep_their_counts(spark, monkeypatch):
+    """Scores of a corpus in which a context of one position in 60,000 decides, by the tree of all counts."""
+    monkeypatch.setattr(ct, "NODE_STRINGS", 50, raising=False)
+    monkeypatch.setattr(ct, "CHUNK_STRINGS", 200, raising=False)
+    common = ["the cat sat on the mat and the dog lay by the door " * 120] * 10
+    rows = [(i, t) for i, t in enumerate([*common, "zqxj wvkp zqxj", "The \u00e9t\u00e9", "", "zqxj wvkp", "unmet ~~ here"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 10]
+    assert "zqxj wvkp zqxj" in train
+    tree = ct.weighted(*grids([t.translate({c: c + 32 for c in range(65, 91)}) for t in train], ct.DEPTH))
+    got = {r.doc_id: r.score for r in ct.scored(docs, ct.counts(docs.where(remainder("doc_id", 10) != 0))).collect()}
+    want = tree.scores(pc.ascii_lower(pa.array([t for _, t in rows])))
+    assert np.allclose([got[k] for k, _ in rows], want, rtol=1e-5, atol=1e-3)
