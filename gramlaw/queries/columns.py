@@ -121,7 +121,7 @@ def _(spark, sf):
     """Map features to a dense table with presence flags and one target per action bit."""
     rows = _partial_records(spark, sf)
     names = [*sorted(FEATURES), *[f"{f}__present" for f in sorted(FEATURES)]]
-    return rounded(design_matrix(rows, names, ["record_id"], "executed_action"))
+    return rounded(design_matrix(rows, names, ["record_id"], "executed_action"), keep=names[len(FEATURES) :])
 
 
 # One row per key that a record holds, values in hundreds; every third record lacks two sensors.

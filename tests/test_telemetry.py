@@ -18,6 +18,7 @@ from gramlaw.operators.telemetry import (
     with_policy,
     with_shield,
 )
+from gramlaw.session import prepare
 from gramlaw.plans.options import Options
 from gramlaw.plans.rounds import distill_rounds
 from gramlaw.sources.tables import RECORD_SCHEMA, check_shapes, content_mark, fingerprint, read_records, reuse_or_build, sigma_entries, telemetry_records, write_records
@@ -208,3 +209,8 @@ def test_content_marks(spark):
     a = spark.createDataFrame([(1, {"x": 1.0, "y": 2.0}), (2, None)], "k int, m map<string,double>")
     assert content_mark(a) == content_mark(a.repartition(3)) == content_mark(spark.createDataFrame([(2, None), (1, {"y": 2.0, "x": 1.0})], a.schema))
     assert len({content_mark(a), content_mark(a.withColumn("k", F.col("k") + 1)), content_mark(a.withColumnRenamed("k", "j")), content_mark(a, {"v": 1}), content_mark(a.union(a))}) == 5
+
+
+def test_generated_code_of_wide_rows_is_short_enough_to_be_compiled(spark):
+    prepare(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
