@@ -77,3 +77,9 @@ def test_search_over_one_series(spark):
         search(df, ["x"], "y", "step", opt.patched(bag_boots=4), ar1=noise)
     with pytest.raises(ValueError):  # a single series stays in one fold where folds may not cut it
         search(df, ["x"], "y", "step", opt, ar1=Ar1("s", "step", 0.85, 0.7))
+
+
+def test_predecessors_come_from_one_scan(spark):
+    df = spark.createDataFrame([(0, k, float(k), 0.5, k % 4) for k in range(40)], "s int, t long, x double, y double, fold int")
+    plan = serial_frame(df, Ar1("s", "t", 0.9, 1.0), ["x", "y"], "fold", 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
