@@ -5,11 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlaw.session import prepare
+
 VARIANCE_FLOOR = 1e-12  # fixed value
+STACK = 1 << 20  # numbers in the matrices that a task whitens at a time
 
 
 def variance_weight(variance: Column) -> Column:
@@ -65,6 +69,15 @@ def _whitener(sigma: np.ndarray) -> np.ndarray:
         return (vectors * np.sqrt(np.clip(values, 0.0, None))) @ vectors.T
 
 
+def _whiteners(sigma: np.ndarray) -> np.ndarray:
+    """``_whitener`` of each matrix of a stack."""
+    W = np.linalg.pinv(0.5 * (sigma + sigma.transpose(0, 2, 1)), rcond=1e-12)
+    try:
+        return np.linalg.cholesky(W).transpose(0, 2, 1)
+    except np.linalg.LinAlgError:
+        return np.stack([_whitener(S) for S in sigma])
+
+
 def whiten_blocks(df: DataFrame, block: str, pos: str, cols: list[str], sigma: DataFrame, max_block: int = 1024) -> DataFrame:
     """Whiten jointly within blocks. ``sigma`` has columns (block, i, j, v) with positions matching ``pos``.
 
@@ -86,24 +99,40 @@ def whiten_blocks(df: DataFrame, block: str, pos: str, cols: list[str], sigma: D
         *[F.coalesce(F.col(f"entries.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("i", "long"), ("j", "long"), ("v", "double"))],
     )
     width = len(cols)
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for p, x, i, j, v in zip(pdf["pos"], pdf["x"], pdf["i"], pdf["j"], pdf["v"]):
-                p, i, j = (np.asarray(a, dtype=np.int64) for a in (p, i, j))
-                a, b = (np.minimum(np.searchsorted(p, k), len(p) - 1) for k in (i, j))
-                here = (p[a] == i) & (p[b] == j)
-                S = np.zeros((len(p), len(p)))
-                S[a[here], b[here]] = np.asarray(v, dtype=float)[here]
-                out.append((_whitener(S) @ np.asarray(x).reshape(-1, width)).ravel().tolist())
-            yield pd.DataFrame({block: pdf[block], "pos": pdf["pos"], "white": out})
-
-    white = flat.mapInPandas(run, f"`{block}` {kind[block]}, pos array<bigint>, white array<double>")
-    exploded = white.select(block, F.posexplode("pos").alias("k", pos), "white")
-    return exploded.select(
-        block, F.col(pos).cast(kind[pos]).alias(pos), *[F.element_at("white", F.col("k") * width + q + 1).alias(f"white_{c}") for q, c in enumerate(cols)]
-    )
+    names = [block, pos, *[f"white_{c}" for c in cols]]
+
+    def run(batches):
+        for b in batches:
+            p, i, j = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pos", "i", "j"))
+            x, v = (b.column(c).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("x", "v"))
+            size, cells = (pc.list_value_length(b.column(c)).to_numpy().astype(np.int64) for c in ("pos", "v"))
+            x, white = x.reshape(-1, width), np.empty((len(p), width))
+            start = size.cumsum() - size
+            # rows as numbers that grow with block and position, by which the entries find their place
+            _, code = np.unique(np.concatenate([p, i, j]), return_inverse=True)
+            of_row, of_cell = np.repeat(np.arange(len(size)), size), np.repeat(np.arange(len(size)), cells)
+            key = lambda of, place: of * (len(code) + 1) + place
+            there = key(of_row, code[: len(p)])
+            want = [key(of_cell, code[len(p) : len(p) + len(i)]), key(of_cell, code[len(p) + len(i) :])]
+            a, c = (np.minimum(np.searchsorted(there, w), max(len(there) - 1, 0)) for w in want)
+            here = (there[a] == want[0]) & (there[c] == want[1]) if len(there) else np.zeros(len(i), dtype=bool)
+            for k in np.unique(size):
+                which = np.flatnonzero(size == k)
+                for lo in range(0, len(which), max(1, STACK // int(k * k))):
+                    some = which[lo : lo + max(1, STACK // int(k * k))]
+                    rank = np.full(len(size), -1)
+                    rank[some] = np.arange(len(some))
+                    at = here & (rank[of_cell] >= 0)
+                    S = np.zeros((len(some), k, k))
+                    S[rank[of_cell[at]], a[at] - start[of_cell[at]], c[at] - start[of_cell[at]]] = v[at]
+                    rows = start[some][:, None] + np.arange(k)
+                    white[rows] = _whiteners(S) @ x[rows]
+            columns = [b.column(block).take(pa.array(of_row)), pa.array(p), *[pa.array(white[:, q]) for q in range(width)]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    prepare(df.sparkSession)
+    white = flat.mapInArrow(run, ", ".join([f"`{block}` {kind[block]}", f"`{pos}` bigint", *[f"`white_{c}` double" for c in cols]]))
+    return white.withColumn(pos, F.col(pos).cast(kind[pos]))
 
 
 def sparse_chi2(residuals: DataFrame, key: str, r: str, precision: DataFrame, hot_entries: int = 2_000_000) -> DataFrame:

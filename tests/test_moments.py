@@ -291,3 +291,11 @@ def test_partial_sums_are_bounded_by_the_cluster_not_by_the_pieces_of_the_input(
     parts = partial_moments(Design(far, ["x0"], ["y"]), cands, np.zeros(2), np.ones(2))
     assert far.rdd.getNumPartitions() == 100 and parts.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     assert gram(Design(far, ["x0"], ["y"]), cands).total().n == 400
+
+
+def test_stacked_whiteners_equal_single_ones():
+    from gramlaw.operators.noise import _whitener, _whiteners
+
+    stack = np.array([[[2.0, 0.5], [0.5, 1.0]], [[1.0, 1.0], [1.0, 1.0]], [[0.0, 0.0], [0.0, 3.0]]])
+    for some in (stack, stack[:1]):
+        assert np.allclose(_whiteners(some), [_whitener(S) for S in some], atol=1e-12)
