@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,59 +54,68 @@ def track_episodes(sensors: DataFrame, idle: str | None = None, delay: str = "10
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, drops, tick, held = state.get if state.exists else (float("nan"), 0.0, 0, b"")
         parts = [_unpacked(held)] if held else []
-        parts += [f[SENSOR_COLUMNS] for f in frames]
-        rows = pd.concat(parts) if parts else pd.DataFrame(columns=SENSOR_COLUMNS)
+        parts += [_columns(f) for f in frames]
+        rows = {c: np.concatenate([part[c] for part in parts]) for c in SENSOR_COLUMNS} if parts else {}
+        at = rows["ts"].astype("int64") // 1_000_000 if rows else np.zeros(0, dtype=np.int64)
         mark = state.getCurrentWatermarkMs()
-        rows["ts"] = pd.to_datetime(rows["ts"])
-        ready_at = rows["ts"].map(lambda t: t.value // 1_000_000) if len(rows) else pd.Series(dtype=float)
-        ready = rows[ready_at < mark].sort_values(["ts", "record_id"]) if len(rows) else rows
-        wait = rows[~(ready_at < mark)] if len(rows) else rows
-        if len(ready):
-            temp = ready["temp"].to_numpy(float)
-            cum = drops + ready["drop_step"].to_numpy(float).cumsum()
+        due = np.flatnonzero(at < mark)
+        late = np.flatnonzero(at >= mark)
+        if len(due):
+            due = due[np.lexsort((rows["record_id"][due], rows["ts"][due]))]
+            ready = {c: v[due] for c, v in rows.items()}
+            temp = ready["temp"]
+            cum = drops + ready["drop_step"].cumsum()
             yield pd.DataFrame(
                 {
                     "episode": key[0],
-                    "record_id": ready["record_id"].to_numpy(),
-                    "ts": ready["ts"].to_numpy(),
-                    "tick": tick + np.arange(len(ready)),
+                    "record_id": ready["record_id"],
+                    "ts": ready["ts"],
+                    "tick": tick + np.arange(len(due)),
                     "temp": temp,
-                    "prev_temp": [None if np.isnan(v) else v for v in np.concatenate([[last], temp[:-1]])],
-                    "clock_speed": ready["clock_speed"].to_numpy(float),
-                    "cooling_valve": ready["cooling_valve"].to_numpy(float),
-                    "data_load": ready["data_load"].to_numpy(float),
+                    "prev_temp": np.concatenate([[last], temp[:-1]]),
+                    "clock_speed": ready["clock_speed"],
+                    "cooling_valve": ready["cooling_valve"],
+                    "data_load": ready["data_load"],
                     "packets_dropped": cum,
                 }
             )
-            last, drops, tick = float(temp[-1]), float(cum[-1]), tick + len(ready)
-        if state.hasTimedOut and not len(wait):
+            last, drops, tick = float(temp[-1]), float(cum[-1]), tick + len(due)
+        if state.hasTimedOut and not len(late):
             state.remove()
             return
-        state.update((last, drops, tick, _packed(wait) if len(wait) else b""))
-        if len(wait):
-            due = int(wait["ts"].map(lambda t: t.value // 1_000_000).min()) + 1
+        state.update((last, drops, tick, _packed({c: v[late] for c, v in rows.items()}) if len(late) else b""))
+        if len(late):
+            then = int(at[late].min()) + 1
         elif idle_ms is not None:
-            due = mark + idle_ms
+            then = mark + idle_ms
         else:
             return
-        state.setTimeoutTimestamp(max(due, mark + 1))
+        state.setTimeoutTimestamp(max(then, mark + 1))
 
     marked = sensors.withWatermark("ts", delay)
     return marked.groupBy("episode").applyInPandasWithState(step, TRACK_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def _packed(rows: pd.DataFrame) -> bytes:
-    """Rows in Arrow's stream format, which keeps every digit."""
-    table = pa.Table.from_pandas(rows[SENSOR_COLUMNS], preserve_index=False)
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return sink.getvalue().to_pybytes()
+def _columns(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    """Rows as plain arrays; an id column that is all null counts as one of missing numbers."""
+    out = {c: frame[c].to_numpy(float) for c in SENSOR_COLUMNS[2:]}
+    ids = frame["record_id"].to_numpy()
+    return {"record_id": ids.astype(float) if ids.dtype == object else ids, "ts": frame["ts"].to_numpy("datetime64[ns]"), **out}
 
 
-def _unpacked(data: bytes) -> pd.DataFrame:
-    with pa.ipc.open_stream(bytes(data)) as reader:
-        return reader.read_pandas()
+def _packed(rows: dict[str, np.ndarray]) -> bytes:
+    """Rows as one array in NumPy's file format, which keeps every digit."""
+    table = np.empty(len(rows["ts"]), dtype=[(c, rows[c].dtype) for c in SENSOR_COLUMNS])
+    for c in SENSOR_COLUMNS:
+        table[c] = rows[c]
+    sink = io.BytesIO()
+    np.save(sink, table, allow_pickle=False)
+    return sink.getvalue()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    table = np.load(io.BytesIO(bytes(data)), allow_pickle=False)
+    return {c: table[c] for c in SENSOR_COLUMNS}
 
 
 def shield_stream(sensors: DataFrame, policy: str = "turbo", idle: str | None = None, delay: str = "10 minutes") -> DataFrame:

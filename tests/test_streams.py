@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gramlaw.operators.catalog import Candidate
 from gramlaw.operators.telemetry import label
+from gramlaw.streaming import streams
 from gramlaw.streaming.streams import MomentSink, closable, level_windows, read_stream, run_to_table, shield_stream, track_episodes
 
 
@@ -154,3 +155,11 @@ def test_last_windows_come_out_once(spark, tmp_path):
         out = run_to_table(level_windows(closable(stream, ends)), str(tmp_path / "out"), str(tmp_path / "check"), ends)
         got = out.collect()
         assert {(r["start"].date(), r["shield_level"]): r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_waiting_rows_are_kept_as_plain_arrays():
+    frame = pd.DataFrame({"record_id": [2**53 + 1, 7], "ts": pd.to_datetime(["2024-01-01 00:00:00.123456", "2024-01-02 00:00:00"], format="ISO8601"), "temp": [0.1, float("nan")], "clock_speed": 1.0, "cooling_valve": 0.5, "data_load": 3.0, "drop_step": 60.0})
+    rows = streams._columns(frame)
+    back = streams._unpacked(streams._packed(rows))
+    assert all(back[c].dtype == rows[c].dtype and np.array_equal(back[c], rows[c], equal_nan=c == "temp") for c in rows)
+    assert back["record_id"][0] == 2**53 + 1
