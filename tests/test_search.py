@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,32 @@ def test_repetition_counts_equal_real_copies(planted):
     np.testing.assert_allclose(a.metrics["MSE_OOF"], b.metrics["MSE_OOF"], rtol=1e-6)
 
 
+def test_pairs_that_differ_by_rounding_are_equal():
+    from gramlaw.operators.catalog import closest_pair
+
+    corr = np.array([[1.0, 0.2, 1.0 - 3e-16, 0.1], [0.2, 1.0, 0.3, -1.0], [1.0 - 3e-16, 0.3, 1.0, 0.4], [0.1, -1.0, 0.4, 1.0]])
+    assert closest_pair(corr) == (0, 2) and closest_pair(np.where(corr < 0, 0.5, corr)) == (0, 2)
+    assert closest_pair(np.array([[1.0, 1e-12, 0.0], [1e-12, 1.0, 3e-12], [0.0, 3e-12, 1.0]])) == (1, 2)
+
+
+def test_known_sums_give_the_same_law_also_where_the_bank_is_another(planted):
+    opt = LIGHT.patched(bag_boots=0, max_atoms=3, max_ops=4, max_grammar=1, linear_lock=2.0)
+    counted = planted.withColumn("times", F.when(F.col("id") % 3 == 0, 4.0).otherwise(1.0))
+    known = search(planted, XS, "y", "id", opt, consensus=False)["y"].gathered
+    assert search(counted, XS, "y", "id", opt, copies="times", consensus=False)["y"].gathered is None
+    a = search(counted, XS, "y", "id", opt, copies="times")["y"]
+    other = replace(known, table=replace(known.table, cands=known.table.cands[:-1]))
+    for some in (known, other):
+        b = search(counted, XS, "y", "id", opt, copies="times", known=some)["y"]
+        assert [(r[1], r[2]) for r in a.op_log] == [(r[1], r[2]) for r in b.op_log] and [f.blocks for f in a.folds] == [f.blocks for f in b.folds]
+        assert [f.view.n_tr for f in a.folds] == [f.view.n_tr for f in b.folds]
+        np.testing.assert_allclose(a.metrics["MSE_OOF"], b.metrics["MSE_OOF"], rtol=1e-7)
+        np.testing.assert_allclose([w for w, _ in a.model.terms], [w for w, _ in b.model.terms], rtol=1e-5)
+    once = planted.withColumn("times", F.lit(1.0))  # nothing to add
+    b = search(once, XS, "y", "id", opt, copies="times", known=known, consensus=False)["y"]
+    assert b.metrics["n"] == planted.count()
+
+
 def test_grammar_and_refiner_improve_an_unlocked_law(planted):
     base = LIGHT.patched(bag_boots=0, max_atoms=2, max_ops=1, max_grammar=0, linear_lock=2.0)
     plain = search(planted, XS, "y", "id", base, consensus=False)["y"]

@@ -174,6 +174,25 @@ def test_rounds_with_counts_and_with_copies_agree(spark, events):
         assert value == other or abs(value - other) < 1e-6 * max(1.0, abs(value)), key
 
 
+def test_replay_adds_only_the_repeated_rows_to_the_moments(spark, events, monkeypatch):
+    from gramlaw.plans import search as plan
+
+    read, whole, adding, passing = [], [], plan.table_with, plan.leaf_table
+    monkeypatch.setattr(plan, "table_with", lambda known, more, prof: (read.append(more.df.count()), adding(known, more, prof))[1])
+    monkeypatch.setattr(plan, "leaf_table", lambda design, *rest: (whole.append(design.df.count()), passing(design, *rest))[1])
+    opt = Options(n_proj=3, n_pairs=1, max_atoms=3, max_ops=3, max_grammar=0, refine=False, bag_boots=0, folds=3)
+    inputs = ["temp", "pred_temp", "queue_ratio", "temp_slope"]
+    done = {replay: distill_rounds(label(events), "regimes", inputs, opt, rounds=2, replay=replay) for replay in ("weights", "copies")}
+    rows = [int(r["n_eval"]) for r in done["weights"].rounds]
+    assert whole[:2] == [rows[0], rows[0]] and len(whole) == 4  # the counts read all rows once, the copies in every round
+    assert read == [int(r["num_hard_examples"]) for r in done["weights"].rounds[:2]]
+    for a, b in zip([*done["weights"].rounds, done["weights"].evaluation], [*done["copies"].rounds, done["copies"].evaluation]):
+        assert a.keys() == b.keys()
+        for key, value in a.items():
+            assert value == b[key] or abs(value - b[key]) < 1e-6 * max(1.0, abs(value)), key
+    assert [o[:4] for r in done["weights"].student.reports.values() for o in r.op_log] == [o[:4] for r in done["copies"].student.reports.values() for o in r.op_log]
+
+
 def test_sigma_documents_and_shapes(spark):
     docs = spark.createDataFrame([(0, "[[1.0, 0.5], [0.5, 2.0]]"), (1, '{"Sigma": [[3.0]]}')], "k int, value string")
     keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "i long")
