@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gramlaw.operators.algebra import fold_view, orthonormal_map, residualize, ridge, split_views, whole_view
 from gramlaw.operators.catalog import Candidate, build_bank, evaluate
-from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, gram, profile_inputs, salted_sum, sum_partials
+from gramlaw.operators.gram import PLAIN, WEIGHTED, Design, gram, profile_inputs, salted_sum, sum_partials, working_scale
 from gramlaw.operators.noise import Ar1, ar1_frame, sparse_chi2, variance_weight, whiten_blocks
 from gramlaw.plans.basis import evaluate_basis, evaluate_external, raw_moments
 
@@ -299,3 +299,29 @@ def test_stacked_whiteners_equal_single_ones():
     stack = np.array([[[2.0, 0.5], [0.5, 1.0]], [[1.0, 1.0], [1.0, 1.0]], [[0.0, 0.0], [0.0, 3.0]]])
     for some in (stack, stack[:1]):
         assert np.allclose(_whiteners(some), [_whitener(S) for S in some], atol=1e-12)
+
+
+def test_equal_columns_are_summed_once(spark, monkeypatch):
+    from gramlaw.operators import gram as module
+    from gramlaw.operators.catalog import distinct_columns, evaluate
+
+    corr = np.array([[1.0, 0.2, 0.9], [0.2, 1.0, 0.1], [0.9, 0.1, 1.0]])
+    cands = build_bank(corr, 7, 5, 3)
+    first, at = distinct_columns(cands)
+    odd = np.array([[0.5, -2.0, 3.0], [np.nan, 1.0, -0.0], [-1.0, np.inf, np.nan], [-np.inf, -1e200, 2.0], [0.0, 0.25, -4.0]])
+    values = evaluate(cands, odd)
+    assert np.array_equal(values, values[:, first][:, at]) and len(cands) - len(first) == 2 * 8 + 2 * 24 - 4  # two atoms, two axes
+
+    df, _, _, _ = frame(spark)
+    df = df.withColumns({"c": F.lit(2.0), "w": variance_weight(F.col("s"))})
+    design = Design(df, ["x0", "x1", "x2"], ["y"], weight="w", leaf="fold", copies="c")
+    centre, scale = working_scale(cands, profile_inputs(design))
+    whole = module.collect_moments(module.leaf_moments(design, cands, centre, scale), len(cands), 1, centre, scale)
+    gathered = []
+    passing = module.leaf_moments
+    monkeypatch.setattr(module, "leaf_moments", lambda d, some, *rest: (gathered.append(len(some)), passing(d, some, *rest))[1])
+    once = module.distinct_moments(design, cands, centre, scale)
+    assert gathered == [len(first)] and once.keys() == whole.keys()
+    for key, m in once.items():
+        assert (m.n, m.p, m.t) == (whole[key].n, whole[key].p, whole[key].t)
+        np.testing.assert_allclose(m.M, whole[key].M, rtol=1e-9, atol=1e-9 * np.abs(whole[key].M).max())
