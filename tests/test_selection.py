@@ -177,3 +177,20 @@ def test_groups():
     assert spec.perm_groups == ((0, 1, 2),)
     assert spec.rot2d_pairs == ((0, 3), (1, 3), (2, 3))
     assert groups_from_moments(np.eye(1), np.ones(1)).sign_groups == ((0,),)
+
+
+def test_products_read_only_the_columns_in_use():
+    from gramlaw.operators.algebra import small
+    from gramlaw.operators.select import _rows_of
+
+    rng = np.random.default_rng(5)
+    U = rng.normal(size=(50, 9))
+    M, A = U.T @ U, np.zeros((2, 9))
+    A[0, [0, 3]], A[1, [3, 6]] = (0.5, -2.0), (1.5, 1.0)
+    E = np.vstack([np.eye(9)[0], A, np.eye(9)[8]])
+    broken = M.copy()
+    broken[:, [1, 2, 4, 5, 7]] = broken[[1, 2, 4, 5, 7]] = np.nan  # columns that no feature has
+    for y in (8, -1):
+        np.testing.assert_allclose(small(broken, A, y), E @ M @ E.T, rtol=1e-12)
+    np.testing.assert_allclose(_rows_of(A, M), A @ M, rtol=1e-12)
+    np.testing.assert_allclose(small(M, A[:0], 8), M[np.ix_([0, 8], [0, 8])])
