@@ -212,6 +212,8 @@ class RowMatrix:
         return out
 
     def __getitem__(self, key):
+        if isinstance(key, np.ndarray):
+            return np.array([self.row(k) for k in key]).reshape(len(key), len(self.keep))
         if not isinstance(key, tuple):
             return self.row(key)
         r, c = key
