@@ -9,7 +9,8 @@
 3. Buckets (equal band keys) of two or more classes. In each, the class with the most partners over all buckets is the
    hub, usually what the others were copied from; every other class is paired with its hub, not with all others.
 4. Pairs are screened by set size and sketch (``MARGIN`` under the limit: four standard deviations, so that a pair at the
-   limit is lost with probability 3e-5, and ever more rarely above), then confirmed on the full sets. Links merge classes into components (smallest label spreads over links, labels jump ahead).
+   limit is lost with probability 3e-5, and ever more rarely above), then confirmed on the full sets. Links merge classes into components: each label gives way to the smallest next to it,
+   and the links are carried over to the labels that are left, of which there are soon few.
 5. ``STARS`` rounds of 3 and 4; after the first, only buckets with several components take part, with a hub for each of
    two components. What then still shares a bucket across components is compared in full, so that no pair that shares a
    bucket stays untested: an equi-join on the bucket that screens inside the join, by sketches and two exact bounds. Of a
@@ -29,7 +30,10 @@ the id, all have kept = true. An empty table gives no rows. Other columns are no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -101,34 +105,30 @@ def features(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), ["doc_id", "text", "th"], run, FEATURES)
 
 
-def _estimate(x: str, y: str) -> Column:
-    z = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
-    return 1 + BITS / (4.0 * SAMPLES) * F.log(F.greatest(F.lit(1e-9), 1 - 2.0 * z / BITS))
+#: The most bits in which two sketches may differ: beyond it the estimate is more than ``MARGIN`` under the limit.
+FAR = max(z for z in range(BITS) if 1 + BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * z / BITS)) >= LEAST / OF - MARGIN)
 
 
 def _near(n: str, m: str, s: str, t: str) -> Column:
-    """Sizes and sketches allow the limit."""
-    return (OF * F.least(n, m) >= LEAST * F.greatest(n, m)) & (_estimate(s, t) >= LEAST / OF - MARGIN)
+    """Sizes and sketches allow the limit. The words of the sketches are written out one by one, as Spark compiles such sums
+    but interprets functions over arrays."""
+    apart = reduce(add, (F.bit_count(F.get(s, F.lit(k)).bitwiseXOR(F.get(t, F.lit(k)))) for k in range(BITS // 64)))
+    return (OF * F.least(n, m) >= LEAST * F.greatest(n, m)) & (apart <= FAR)
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(a, items, cells): the packed sets of the ``wanted`` classes, from the text of the smallest id of each, and which of
-    ``CELLS`` cells hold a shingle."""
+    """(a, items, cells): the packed sets of the ``wanted`` classes, from the text of the smallest id of each, and the numbers
+    of the ``CELLS`` cells that hold a shingle."""
     owners = classes.join(wanted, "a", "left_semi").select(F.col("rep").alias("_rep"))
     texts = docs.select("doc_id", "text").join(owners, F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    schema = pa.schema([("a", pa.int64()), ("items", pa.binary()), ("cells", pa.list_(pa.int64()))])
-
-    def cells(s: np.ndarray) -> np.ndarray:
-        out = np.zeros(CELLS, dtype=np.uint8)
-        out[(mix(s, 6) >> np.uint64(52)).astype(np.int64)] = 1
-        return np.packbits(out).view(np.int64)
+    schema = pa.schema([("a", pa.int64()), ("items", pa.binary()), ("cells", pa.list_(pa.int16()))])
 
     def run(batches):
         for part in batches:
             sets = list(shingle_sets(part.column(1)))
-            yield batch(schema, np.array([mix(s, 2).sum() for s in sets], dtype=np.uint64).view(np.int64), [s.tobytes() for s in sets], [cells(s) for s in sets])
+            yield batch(schema, np.array([mix(s, 2).sum() for s in sets], dtype=np.uint64).view(np.int64), [s.tobytes() for s in sets], [np.unique((mix(s, 6) >> np.uint64(52)).astype(np.int16)) for s in sets])
 
-    return mapped(texts, ["doc_id", "text"], run, "a long, items binary, cells array<long>").join(wanted, "a", "left_semi").dropDuplicates(["a"])
+    return mapped(texts, ["doc_id", "text"], run, "a long, items binary, cells array<smallint>").join(wanted, "a", "left_semi").dropDuplicates(["a"])
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,26 +169,34 @@ def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(a, comp): the smallest label reachable over ``links`` (x, y), for every row of ``nodes`` (a, comp)."""
-    edges = cut(links.select("x", "y").union(links.select("y", "x")).distinct(), "edges")
-    labels = cut(nodes.select("a", "comp"), "labels")
+    """(a, comp): the smallest label reachable over ``links`` (x, y), for every row of ``nodes`` (a, comp). A label is itself a
+    row of ``nodes``, and labels are hashes: where they rise along a path, they do so for a few steps only."""
+    named = nodes.where("a != comp")
+    ends = links.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")).select("e.*")
+    edges = cut(_renamed(ends, named).distinct(), "edges")
     if edges.isEmpty():
-        return labels
-    ends = edges.select(F.col("x").alias("a")).distinct()
-    first = labels.join(ends, "a", "left_semi")
-    # labels of an earlier round are nodes as well: an edge to the label keeps old groups together
-    edges = cut(edges.union(first.where("a != comp").select("a", "comp")).union(first.where("a != comp").select("comp", "a")).distinct(), "edges")
-    live = cut(labels.join(edges.select(F.col("x").alias("a")).distinct(), "a", "left_semi"), "labels")
+        return nodes
+    moves = None
     while True:
-        far = edges.join(live.select(F.col("a").alias("y"), F.col("comp").alias("c")), "y").groupBy("x").agg(F.min("c").alias("c"))
-        new = live.join(far.withColumnRenamed("x", "a"), "a", "left").select("a", F.col("comp").alias("old"), F.least("comp", "c").alias("comp"))
-        ahead = new.select(F.col("a").alias("comp"), F.col("comp").alias("ahead"))
-        new = cut(new.join(ahead, "comp", "left").select("a", "old", F.least("comp", "ahead").alias("comp")), "labels")
-        live = new.select("a", "comp")
-        if new.where("comp != old").isEmpty():
+        # each label gives way to its least neighbour; an edge between the new labels keeps together what was
+        step = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("a"), F.least("x", "y").alias("comp")), "step")
+        if moves is None:
+            moves = step
+        else:
+            ahead = step.select(F.col("a").alias("comp"), F.col("comp").alias("ahead"))
+            moves = cut(moves.join(ahead, "comp", "left").select("a", F.coalesce("ahead", "comp").alias("comp")), "moves")
+        edges = cut(_renamed(edges, step).distinct(), "edges")
+        if edges.isEmpty():
             break
-    moved = live.select(F.col("a").alias("comp"), F.col("comp").alias("to"))
-    return cut(labels.join(moved, "comp", "left").select("a", F.coalesce("to", "comp").alias("comp")), "labels")
+    moved = moves.select(F.col("a").alias("comp"), F.col("comp").alias("to"))
+    return cut(nodes.join(moved, "comp", "left").select("a", F.coalesce("to", "comp").alias("comp")), "labels")
+
+
+def _renamed(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """The edges between different labels: ends that ``labels`` (a, comp) names are replaced."""
+    for end in ("x", "y"):
+        edges = edges.join(labels.select(F.col("a").alias(end), F.col("comp").alias(f"to_{end}")), end, "left").withColumn(end, F.coalesce(f"to_{end}", end))
+    return edges.select("x", "y").where("x != y")
 
 
 def _hubs(members: DataFrame) -> DataFrame:
@@ -254,17 +262,17 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _across(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs of a bucket across components that sizes, shared shingles and sketches allow, each once."""
     shared = cut(shared_sizes(open_.select("a").distinct(), sets), "shared")
-    filled_ = F.aggregate("cells", F.lit(0), lambda t, c: t + F.bit_count(c))
-    held = sets.select("a", "cells", filled_.alias("filled"))
-    able = shared.join(classes.select("a", "n", "sketch", "bands"), "a").where(OF * F.col("shared") >= LEAST * F.col("n")).join(held, "a")
-    full = cut(open_.join(able, "a"), "across")
+    able = shared.join(classes.select("a", "n", "sketch", "bands"), "a").where(OF * F.col("shared") >= LEAST * F.col("n")).join(sets.select("a", "cells"), "a")
+    earlier = F.slice("bands", F.lit(1), F.col("band")).alias("earlier")  # the document's keys of the bands before this one
+    full = cut(open_.join(able, "a").select("a", "key", "comp", "n", "shared", "sketch", "cells", earlier), "across")
     l, r = full.alias("l"), full.alias("r")  # noqa: E741
     most = F.least("l.shared", "r.shared")
     reach = lambda common: OF * common >= LEAST * (F.col("l.n") + F.col("r.n") - common)
     # two sets have at most a shingle in common for each cell that both fill, and one more for each that shares its cell
     # with another of its own set
-    both = F.aggregate(F.zip_with("l.cells", "r.cells", lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda t, c: t + c)
-    met = both + F.least(F.col("l.n") - F.col("l.filled"), F.col("r.n") - F.col("r.filled"))
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a")) & (F.col("l.comp") != F.col("r.comp")) & reach(most) & _near("l.n", "r.n", "l.sketch", "r.sketch") & reach(met)
-    on = on & (F.array_position(F.zip_with("l.bands", "r.bands", lambda p, q: p == q), True) == F.col("l.band") + 1)
+    both = F.size(F.array_intersect("l.cells", "r.cells"))
+    met = both + F.least(F.col("l.n") - F.size("l.cells"), F.col("r.n") - F.size("r.cells"))
+    # Spark compiles all of this into the loop over a bucket's pairs, which a function with a lambda would prevent
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.a") < F.col("r.a")) & (F.col("l.comp") != F.col("r.comp")) & reach(most) & _near("l.n", "r.n", "l.sketch", "r.sketch")
+    on = on & ~F.arrays_overlap("l.earlier", "r.earlier") & reach(met)
     return l.join(r, on).select(F.col("l.a").alias("x"), F.col("r.a").alias("y"))

@@ -115,3 +115,40 @@ def test_texts_are_shuffled_once_to_drop_copies(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
     assert found and sum("string" in types for types in found) == 1  # buffers of first(text) have names of their own
     assert sorted(kept, key=str) == sorted([d for d, _, _, k in set(brute([(r.doc_id, r.text) for r in docs.collect()])) if k], key=str)
+
+
+def test_links_are_computed_once(spark):
+    """Both directions of a link come from one pass over the links."""
+    draw = random.Random(8)
+    pairs = [(draw.randrange(60), draw.randrange(60, 90)) for _ in range(50)]
+    old = {a: a - a % 3 for a in range(90)}
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for part in batches:
+            seen.add(part.num_rows)
+            yield part
+
+    links = spark.createDataFrame(pairs, "x long, y long").mapInArrow(count, "x long, y long")
+    got = {r.a: r.comp for r in minhash.components(spark.createDataFrame(list(old.items()), "a long, comp long"), links).collect()}
+    group = dict(old)
+    for _ in range(90):
+        for x, y in [*pairs, *old.items()]:
+            group[x] = group[y] = min(group[x], group[y])
+    assert got == group
+    assert seen.value == len(pairs)
+
+
+def test_last_join_is_compiled(spark):
+    """No function with a lambda, which Spark interprets, is evaluated for the pairs of a bucket."""
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = minhash.features(docs).where("n > 0").withColumnRenamed("doc_id", "rep").dropDuplicates(["a"]).cache()
+    sets = minhash.full_sets(docs, classes, classes.select("a"))
+    open_ = classes.selectExpr("a", "a as comp", "posexplode(bands) as (band, key)")
+    out = minhash._across(open_, classes, sets)
+    assert "lambda" not in out._jdf.queryExecution().toString()
+    found = {tuple(sorted(r)) for r in out.collect()}
+    text = {r.a: shingles(dict(rows)[r.rep]) for r in classes.collect()}
+    alike = {(x, y) for x in text for y in text if x < y and 100 * len(text[x] & text[y]) >= 75 * len(text[x] | text[y])}
+    assert alike and alike <= found and out.count() == len(found)
