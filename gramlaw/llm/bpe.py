@@ -5,8 +5,8 @@ queue, lowest rank first, then leftmost; a merge relinks its neighbours and queu
 symbols have changed since is stale and skipped, so a piece of n symbols costs O(n log n) however long it is. Decoding
 joins vocabulary strings.
 
-Texts are cut at ASCII white space, which no piece crosses, and each distinct unit of a slice is encoded once; a bounded
-cache keeps units between slices. ``model`` reads what the file says: normalisation (NFC, white space, lower case), pieces
+Texts are cut at ASCII white space, which no piece crosses. The distinct units of a slice are normalised and cut into pieces
+together, and each distinct piece is encoded once; a bounded cache keeps pieces between slices. ``model`` reads what the file says: normalisation (NFC, lower case), pieces
 (a pattern), byte alphabet, word-end mark, special tokens, which stay whole wherever they stand in a text.
 Character classes and lower case are those of Python's Unicode; a code point assigned later may differ from other libraries.
 
@@ -21,6 +21,7 @@ import heapq
 import json
 import unicodedata
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame
 
 from gramlaw.llm.text import batch, filled, mapped
 
-CACHE = 120_000  # entries of one generation
-LONGEST = 64  # characters of a cached unit
+CACHE = 240_000  # entries of one generation
+LONGEST = 64  # characters of a cached piece
+BREAK = (1 << 32) - 1  # stands between the ids of units
 ID_BITS, PLACE_BITS = 24, 40
-ID, PLACE = (1 << ID_BITS) - 1, (1 << PLACE_BITS) - 1
+PLACE = (1 << PLACE_BITS) - 1
+NONE = 1 << 30  # no merge
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -46,7 +49,7 @@ def byte_alphabet() -> list[str]:
 
 class Recent(dict):
     """A bounded cache of two generations: when the young one is full it becomes the old one, and what is asked for again
-    moves back, so that frequent units stay."""
+    moves back, so that frequent pieces stay."""
 
     def __init__(self):
         self.old: dict = {}
@@ -67,69 +70,90 @@ class Recent(dict):
 
 @dataclass
 class Model:
-    vocab: list[str]
-    merges: dict[int, int]  # two ids in one number: rank and merged id in one number
+    vocab: pa.Array  # the string of each id
+    merges: dict[int, int]  # two ids in one number: rank
+    made: list[int]  # id that the merge of each rank makes
     inner: list[int]  # id of each byte
     final: list[int]  # id of each byte at the end of a word
+    start: list[list[int]]  # rank of each two bytes inside a word
+    stop: list[list[int]]  # and at its end
     special: dict[str, int]
     pieces: regex.Pattern
     marks: regex.Pattern | None
-    spaces: regex.Pattern = field(default_factory=lambda: regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+"))
     known: Recent = field(default_factory=Recent)
-    units: Recent = field(default_factory=Recent)
 
-    def merged(self, symbols: list[int]) -> tuple[int, ...]:
-        n, find = len(symbols), self.merges.get
+    def merged(self, raw: bytes) -> tuple[int, ...]:
+        n, find, made = len(raw), self.merges.get, self.made
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.final[raw[-1]]
+        # the rank of the pair that starts at each place, as it is now; ranks tell pairs apart
+        rank = [self.start[a][b] for a, b in zip(raw, raw[1:])]  # noqa: B905
+        if n > 1:
+            rank[-1] = self.stop[raw[-2]][raw[-1]]
+        rank.append(NONE)
+        queue = [r << PLACE_BITS | i for i, r in enumerate(rank) if r != NONE]
+        if not queue:
+            return tuple(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        # an entry is rank and position in one number; ranks tell pairs apart
-        queue = [(hit >> ID_BITS) << PLACE_BITS | i for i in range(n - 1) if (hit := find(symbols[i] << ID_BITS | symbols[i + 1])) is not None]
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            entry = heapq.heappop(queue)
+            entry = pop(queue)
             i = entry & PLACE
-            j = after[i]
-            a = symbols[i]
-            if a < 0 or j >= n:
-                continue
-            hit = find(a << ID_BITS | symbols[j])
-            if hit is None or hit >> ID_BITS != entry >> PLACE_BITS:
+            r = entry >> PLACE_BITS
+            if rank[i] != r:
                 continue  # stale: the symbols here have changed since
-            new = hit & ID
-            symbols[i], symbols[j] = new, -1
+            j = after[i]
+            new = symbols[i] = made[r]
+            symbols[j], rank[j] = -1, NONE
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (hit := find(new << ID_BITS | symbols[k])) is not None:
-                    heapq.heappush(queue, (hit >> ID_BITS) << PLACE_BITS | i)
+                r = rank[i] = find(new << ID_BITS | symbols[k], NONE)
+                if r != NONE:
+                    push(queue, r << PLACE_BITS | i)
+            else:
+                rank[i] = NONE
             h = before[i]
-            if h >= 0 and (hit := find(symbols[h] << ID_BITS | new)) is not None:
-                heapq.heappush(queue, (hit >> ID_BITS) << PLACE_BITS | h)
+            if h >= 0:
+                r = rank[h] = find(symbols[h] << ID_BITS | new, NONE)
+                if r != NONE:
+                    push(queue, r << PLACE_BITS | h)
         return tuple([s for s in symbols if s >= 0])
 
     def piece(self, text: str) -> tuple[int, ...]:
         ids = self.known.find(text)
         if ids is None:
-            raw = text.encode()
-            ids = self.merged([*(self.inner[b] for b in raw[:-1]), self.final[raw[-1]]])
+            ids = self.merged(text.encode())
             self.known.keep(text, ids)
         return ids
 
-    def plain(self, text: str) -> list[int]:
-        normal = unicodedata.normalize("NFC", text)
-        normal = self.spaces.sub(" ", normal).replace("Σ", "σ").lower()  # Σ: no form for word ends
-        return [i for p in self.pieces.findall(normal) for i in self.piece(p)]
-
-    def encode(self, text: str) -> tuple[int, ...]:
-        """Ids of a text."""
-        ids = self.units.find(text)
-        if ids is None:
-            parts = self.marks.split(text) if self.marks and "<" in text else [text]
-            ids = tuple(i for p in parts if p for i in ([self.special[p]] if p in self.special else self.plain(p)))
-            self.units.keep(text, ids)
-        return ids
-
-    def decode(self, ids) -> str:
-        return " ".join([self.vocab[i] for i in ids])
+    def pieces_of(self, text: str) -> list[str]:
+        """The pieces of a text, and the line ends between them. White space is in no piece, so it stays as it is."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # Σ: no form for word ends
+        return self.pieces.findall(text.lower())
+
+    def marked(self, text: str) -> list[int]:
+        """Ids of a text without line ends, with special tokens in it."""
+        parts = self.marks.split(text)
+        return [i for p in parts if p for i in ([self.special[p]] if p in self.special else chain.from_iterable(map(self.piece, self.pieces_of(p))))]
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each unit begin and how many they are. A unit holds no line end, so that all units are cut
+        into pieces at once; each distinct piece is encoded once."""
+        odd = {k: self.marked(u) for k, u in enumerate(units) if "<" in u and self.marks.search(u)} if self.marks else {}
+        pieces = self.pieces_of("".join([f"{u}\n" for u in units]) if not odd else "".join(["\n" if k in odd else f"{u}\n" for k, u in enumerate(units)]))
+        found = {p: self.piece(p) for p in set(pieces) if p != "\n"}
+        found["\n"] = (BREAK,)
+        flat = np.fromiter(chain.from_iterable(map(found.__getitem__, pieces)), dtype="<u4")
+        ends = np.flatnonzero(flat == BREAK)
+        first = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        size = ends - first
+        for k, ids in odd.items():
+            first[k], size[k] = len(flat), len(ids)
+            flat = np.append(flat, np.array(ids, dtype="<u4"))
+        return flat, first, size
 
 
 _models: dict[str, Model] = {}
@@ -143,14 +167,17 @@ def model(path: str) -> Model:
         spec = json.load(f)
     ids, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    merges = {}
+    merges, made = {}, []
     for rank, (a, b) in enumerate(spec["model"]["merges"]):
-        merges[ids[a] << ID_BITS | ids[b]] = rank << ID_BITS | ids[a + b]
+        merges[ids[a] << ID_BITS | ids[b]] = rank
+        made.append(ids[a + b])
     names = {i: s for s, i in [*ids.items(), *special.items()]}
     letters = byte_alphabet()
+    inner, final = [ids[c] for c in letters], [ids[c + end] for c in letters]
+    ranks = lambda second: [[merges.get(a << ID_BITS | b, NONE) for b in second] for a in inner]
     pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
     marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-    _models[path] = Model([names[i] for i in range(len(names))], merges, [ids[c] for c in letters], [ids[c + end] for c in letters], special, regex.compile(pattern.replace(r"\s", r"\t-\r\x20\x85\xa0  -     　")), marks)
+    _models[path] = Model(pa.array([names[i] for i in range(len(names))], pa.string()), merges, made, inner, final, ranks(inner), ranks(final), special, regex.compile("\n|" + pattern.replace(r"\s", r"\t-\r\x20\x85\xa0  -     　")), marks)
     return _models[path]
 
 
@@ -161,18 +188,13 @@ def encode_slice(bpe: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, p
     bounds = lists.offsets.to_numpy().astype(np.int64)
     bounds -= bounds[0]
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    units = [bpe.encode(u) for u in coded.dictionary.to_pylist()]
-    size = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-    flat = np.fromiter((i for u in units for i in u), dtype="<u4", count=int(size.sum()))
-    first = size.cumsum() - size
+    flat, first, size = bpe.encode(coded.dictionary.to_pylist())
     each = size[codes] if len(codes) else np.zeros(0, dtype=np.int64)
     ends = each.cumsum()
     ids = flat[np.repeat(first[codes] - (ends - each), each) + np.arange(int(each.sum()))] if len(codes) else flat[:0]
-    keep = each > 0
-    words = pa.array([bpe.decode(u) for u in units], pa.string()).take(pa.array(codes[keep])) if len(codes) else pa.array([], pa.string())
-    spans = np.concatenate([[0], np.cumsum(keep)])[bounds].astype(np.int32)
-    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(spans), words), " ")
-    return ids, np.concatenate([[0], ends])[bounds], decoded
+    bounds = np.concatenate([[0], ends])[bounds]
+    decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), bpe.vocab.take(pa.array(ids))), " ")
+    return ids, bounds, decoded
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

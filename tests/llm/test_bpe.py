@@ -46,3 +46,14 @@ def test_odd_rows(odd, none, spark):
     assert bpe.digests(none, PATH).count() == 0
     full = bpe.encoded(odd.where("doc_id = 4"), PATH).first()
     assert full.ids == theirs.encode("Word", add_special_tokens=False).ids and full.decoded == "word</w>"
+
+
+def test_a_piece_is_merged_once_a_slice(monkeypatch):
+    """Words that differ in case or punctuation share their pieces, also when the cache is far too small."""
+    monkeypatch.setattr(bpe, "CACHE", 1)
+    ours, seen = bpe.model(PATH), []
+    monkeypatch.setattr(ours, "known", bpe.Recent())
+    plain = bpe.Model.merged
+    monkeypatch.setattr(bpe.Model, "merged", lambda self, raw: seen.append(tuple(raw)) or plain(self, raw))
+    same([f"Other{i % 7}, other. (OTHER) again! Again {'x' * 40} <|endoftext|>again éA Éa" for i in range(20)])
+    assert len(seen) == len(set(seen)) + 1  # the piece beside a special token is encoded by itself
