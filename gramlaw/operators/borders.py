@@ -31,10 +31,20 @@ from gramlaw.operators.gram import (
 )
 from gramlaw.operators.graphs import Graph, key_of
 
-STEP_BYTES = 32 << 20  # of a batch's columns
+STEP_BYTES = 16 << 20  # of a batch's columns
 ROOT = ""  # the graph without outputs
 
 
+def value_key(node) -> str:
+    """Equal for nodes that are equal to the last digit: the order in which a commutative operator takes its parents does not
+    matter."""
+    if isinstance(node, int):
+        return f"x{node}"
+    op, params, parents = node
+    keys = [value_key(p) for p in parents]
+    return f"{op}{params}({','.join(sorted(keys) if REGISTRY[op].commutative else keys)})"
+
+
 class NodeDictionary:
     """Every distinct sub-expression of some graph columns once, parents before users."""
 
@@ -42,6 +52,10 @@ class NodeDictionary:
         self.slots: dict[str, int] = {}
         self.steps: list[tuple] = []
         self.outputs = [self._place(c.args["node"]) for c in cands]
+        self.rows: dict[int, list[int]] = {}  # of the output array, by slot
+        for row, slot in enumerate(self.outputs):
+            self.rows.setdefault(slot, []).append(row)
+        self.read = {p for _, _, parents in self.steps for p in parents}
 
     def _place(self, node) -> int:
         key = key_of(node)
@@ -51,39 +65,52 @@ class NodeDictionary:
             self.steps.append(step)
         return self.slots[key]
 
-    def fill(self, X: np.ndarray, out: np.ndarray) -> None:
+    def fill(self, X: np.ndarray, out: np.ndarray, shift: np.ndarray, factor: np.ndarray) -> None:
+        """The columns of a batch, shifted and scaled, as rows of ``out``; each is finished while it is in the cache."""
         XT = np.ascontiguousarray(X.T)
-        values: list[np.ndarray] = []
+        values: list[np.ndarray | None] = []
         with np.errstate(all="ignore"):
-            for op, what, parents in self.steps:
-                values.append(XT[what] if op is None else REGISTRY[op].array(*[values[p] for p in parents], **what))
-            for row, slot in enumerate(self.outputs):
-                out[row] = finite_array(values[slot])
+            for slot, (op, what, parents) in enumerate(self.steps):
+                v = XT[what] if op is None else REGISTRY[op].array(*[values[p] for p in parents], **what)
+                values.append(v if slot in self.read else None)
+                for row in self.rows.get(slot, ()):
+                    np.subtract(finite_array(v), shift[row], out=out[row])
+                    out[row] *= factor[row]
+
+
+def _at(which: np.ndarray) -> np.ndarray | slice:
+    """The same rows, as a slice where they lie side by side: taking them is then a view."""
+    return slice(int(which[0]), int(which[-1]) + 1) if len(which) and (np.diff(which) == 1).all() else which
 
 
 class Borders(Square):
-    """Products of given sets of rows of U with given sets of columns, laid end to end."""
+    """Products of given sets of rows of U with given sets of columns, the squares of some rows, and the products of given
+    pairs of rows, laid end to end."""
 
-    def __init__(self, columns: int, pieces: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, columns: int, pieces: list[tuple[np.ndarray, np.ndarray]], squares: np.ndarray, pairs: np.ndarray):
         super().__init__(columns)
-        self.pieces = pieces
-
-    @property
-    def numbers(self) -> int:
-        return sum(len(a) * len(b) for a, b in self.pieces)
+        self.shapes = [(len(a), len(b)) for a, b in pieces]
+        self.pieces = [(_at(a), _at(b)) for a, b in pieces]
+        self.squares, self.pairs = _at(squares), pairs
+        self.numbers = sum(a * b for a, b in self.shapes) + len(squares) + len(pairs)
 
     def rows_per_step(self) -> int:
         return int(np.clip(STEP_BYTES // (8 * self.columns), 256, ROWS_PER_STEP))
 
-    def filler(self, cands: list[Candidate]):
-        return NodeDictionary(cands).fill
+    def filler(self, cands: list[Candidate], shift: np.ndarray, factor: np.ndarray):
+        nodes = NodeDictionary(cands)
+        return lambda X, out: nodes.fill(X, out, shift, factor)
 
     def products(self, U: np.ndarray) -> np.ndarray:
         out, at = np.empty(self.numbers), 0
-        for a, b in self.pieces:
-            size = len(a) * len(b)
-            np.matmul(U[a], U[b].T, out=out[at : at + size].reshape(len(a), len(b)))
+        for (a, b), shape in zip(self.pieces, self.shapes):
+            size = shape[0] * shape[1]
+            np.matmul(U[a], U[b].T, out=out[at : at + size].reshape(shape))
             at += size
+        own = U[self.squares]
+        np.einsum("ij,ij->i", own, own, out=out[at : at + len(own)])
+        if len(self.pairs):
+            np.einsum("ij,ij->i", U[self.pairs[:, 0]], U[self.pairs[:, 1]], out=out[at + len(own) :])
         return out
 
     def packed(self, acc: dict, counts: dict) -> Iterator[tuple]:
@@ -105,16 +132,30 @@ class Known:
 class Piece:
     """One product of the last pass: its place and the positions of its rows and columns by name."""
 
-    at: slice
+    start: int
+    shape: tuple[int, int]
     rows: dict[str | int, int]
     columns: dict[str | int, int]
 
     def pick(self, flat: np.ndarray, rows: list, columns: list) -> np.ndarray:
-        M = flat[:, self.at].reshape(len(flat), len(self.rows), len(self.columns))
+        M = flat[:, self.start : self.start + self.shape[0] * self.shape[1]].reshape(len(flat), *self.shape)
         at = lambda places, names: np.array([places[n] for n in names], dtype=int)
         return M[:, at(self.rows, rows)[:, None], at(self.columns, columns)]
 
 
+@dataclass
+class Inner:
+    """Products of the new columns of one graph with one another: the places of all new columns, of their squares and pairs."""
+
+    at: dict[str, int]
+    places: dict[tuple[int, int], int]
+    names: list[str]
+
+    def pick(self, flat: np.ndarray, rows: list, columns: list) -> np.ndarray:
+        where = lambda a, b: self.places[min(a, b), max(a, b)]
+        return flat[:, np.array([[where(self.at[r], self.at[c]) for c in columns] for r in rows], dtype=int)]
+
+
 @dataclass
 class Fresh:
     """What a graph has beyond its parent: products of its new columns with columns that all parents of the generation
@@ -122,7 +163,7 @@ class Fresh:
 
     parent: Known
     columns: list[Candidate]
-    pieces: tuple[Piece, Piece, Piece]
+    pieces: tuple[Piece, Piece, Inner]
 
 
 class GraphSums:
@@ -156,48 +197,64 @@ class GraphSums:
         self.keep_keys([*ready, *[k for k in families if k != ROOT]])
         first = ROOT not in self.known
         self.known.setdefault(ROOT, Known([], np.empty((0, 0, 0))))
-        pool: dict[str, Candidate] = {}
+        pool: dict[str, Candidate] = {c.name: c for key in families for c in self.known[key].columns}
         own: dict[str, list[Candidate]] = {}
         news: dict[str, dict[str, None]] = {}  # per parent: its children's new columns
+        fresh: dict[str, Candidate] = {}
         for key, children in families.items():
-            base = {c.name: c for c in self.known[key].columns}
+            base = {c.name for c in self.known[key].columns}
             rows = news.setdefault(key, {})
-            pool |= base
             for g in children:
                 own[g.key()] = self.columns_of(g)
                 for c in own[g.key()]:
-                    pool.setdefault(c.name, c)
                     if c.name not in base:
                         rows.setdefault(c.name)
-        cands = list(pool.values())
+                        fresh.setdefault(c.name, c)
+        place: dict[str, int] = {n: 1 + j for j, n in enumerate(pool)}  # known columns first, then new ones
+        cands, values, new_at = list(pool.values()), {}, {}
+        for n, c in fresh.items():  # new columns that are equal share a row, which a column known to another parent does not
+            v = value_key(c.args["node"])
+            if v not in values:
+                values[v] = 1 + len(cands)
+                cands.append(c)
+            new_at[n] = values[v]
+        first_new = 1 + len(pool)
         ends = list(range(t))  # targets go by number, the constant by -1
-        at = {-1: 0, **{n: 1 + j for j, n in enumerate(pool)}, **{e: 1 + len(cands) + e for e in ends}}
+        at = {-1: 0, **place, **{e: 1 + len(cands) + e for e in ends}}
         pieces: list[tuple[np.ndarray, np.ndarray]] = []
         end = 0
 
-        def piece(rows: list, columns: list) -> Piece:
+        def piece(rows: list, columns: list, row_at: dict) -> Piece:
             nonlocal end
-            pieces.append((np.array([at[r] for r in rows], dtype=int), np.array([at[c] for c in columns], dtype=int)))
-            end += len(rows) * len(columns)
-            places = lambda names: {n: j for j, n in enumerate(names)}
-            return Piece(slice(end - len(rows) * len(columns), end), places(rows), places(columns))
+            distinct = {r: j for j, r in enumerate(dict.fromkeys(row_at[r] for r in rows))}
+            pieces.append((np.array(list(distinct), dtype=int), np.array([at[c] for c in columns], dtype=int)))
+            start, shape = end, (len(distinct), len(columns))
+            end += shape[0] * shape[1]
+            return Piece(start, shape, {r: distinct[row_at[r]] for r in rows}, {c: j for j, c in enumerate(columns)})
 
-        root = piece([-1, *ends], [-1, *ends]) if first else None
+        root = piece([-1, *ends], [-1, *ends], at) if first else None
         parents = [{c.name: None for c in self.known[key].columns} for key in families]
         shared = [n for n in parents[0] if all(n in p for p in parents)]
-        common = piece(list(dict.fromkeys(n for rows in news.values() for n in rows)), [-1, *shared, *ends])
+        common = piece(list(fresh), [-1, *shared, *ends], new_at)
+        own_parts = {key: piece(list(news[key]), [c.name for c in self.known[key].columns if c.name not in common.columns], new_at) for key in families}
+        squares = np.arange(first_new, 1 + len(cands))
+        places = {(r, r): end + j for j, r in enumerate(squares.tolist())}
+        end += len(squares)
         self.fresh = {}
         for key, children in families.items():
-            parent = self.known[key]
-            own_part = piece(list(news[key]), [c.name for c in parent.columns if c.name not in common.columns])
             for g in children:
                 if g.key() not in self.fresh:
                     new = [c.name for c in own[g.key()] if c.name in news[key]]
-                    self.fresh[g.key()] = Fresh(parent, own[g.key()], (common, own_part, piece(new, new)))
+                    where = sorted({new_at[n] for n in new})
+                    for i, a in enumerate(where):
+                        for b in where[i + 1 :]:
+                            places.setdefault((a, b), len(places) + end - len(squares))
+                    self.fresh[g.key()] = Fresh(self.known[key], own[g.key()], (common, own_parts[key], Inner(new_at, places, new)))
+        pairs = np.array([k for k in places if k[0] != k[1]], dtype=int).reshape(-1, 2)
         centre, scale = working_scale(cands, self.prof)
-        self.scales |= {c.name: (float(centre[j]), float(scale[j])) for j, c in enumerate(cands)}
+        self.scales |= {n: (float(centre[j - 1]), float(scale[j - 1])) for n, j in (place | new_at).items()}
         self.targets = centre[-t:], scale[-t:]
-        form = Borders(1 + len(cands) + t, pieces)
+        form = Borders(1 + len(cands) + t, pieces, squares, pairs)
         self.numbers = form.numbers
         summed = sum_partials(partial_moments(self.design, cands, centre, scale, form=form), *fan_in_for(self.design.df))
         parts: dict[tuple[int, int], dict[int, np.ndarray]] = {}
@@ -233,7 +290,7 @@ class GraphSums:
         common, own_part, inner = f.pieces
         kept = [n for n in mine if n in place]
         here, there = [mine[n] for n in kept], [place[n] for n in kept]
-        new = list(inner.rows)
+        new = inner.names
         rows = [mine[n] for n in new]
         by = [(p, [n for n in kept if n in p.columns]) for p in (common, own_part)] + [(inner, new)]
         M = np.empty((len(self.leaves), 1 + k + t, 1 + k + t))

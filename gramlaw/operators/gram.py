@@ -38,7 +38,8 @@ class Design:
     repetition counts: each row then enters moments and row counts as if it were there that many times. ``origin`` is
     taken off each target before anything is summed, so that a large offset costs no digits; only the intercept of a
     finished law takes it back. ``serial`` is the number of folds that cut through correlated series: the frame then
-    carries the roles of ``serial_frame``, and ``leaf`` its fold.
+    carries the roles of ``serial_frame``, and ``leaf`` its fold. ``even`` says that the frame is a table written in even
+    parts for all cores, whose rows a pass need not deal out again.
     """
 
     df: DataFrame
@@ -51,6 +52,7 @@ class Design:
     copies: str | None = None
     origin: tuple[float, ...] = ()
     serial: int = 0
+    even: bool = False
 
     @property
     def d(self) -> int:
@@ -142,6 +144,11 @@ def _narrow(design: Design, extra: list[Column] | None = None) -> DataFrame:
     return df.select(*cols, *(extra or []))
 
 
+def _dealt(design: Design) -> DataFrame:
+    """The columns of a pass in enough pieces for all cores."""
+    return _narrow(design) if design.even else spread(_narrow(design))
+
+
 def _layout(design: Design) -> dict:
     array = isinstance(design.features, str)
     names = lambda prefix, k: [f"{prefix}{j}" for j in range(k)]
@@ -201,9 +208,15 @@ class Square:
     def rows_per_step(self) -> int:
         return ROWS_PER_STEP
 
-    def filler(self, cands: list[Candidate]):
-        """Evaluates the candidates of a batch into the rows of an array."""
-        return lambda X, out: evaluate(cands, X, out)
+    def filler(self, cands: list[Candidate], shift: np.ndarray, factor: np.ndarray):
+        """Evaluates the candidates of a batch, shifted and scaled, into the rows of an array."""
+
+        def fill(X: np.ndarray, out: np.ndarray) -> None:
+            evaluate(cands, X, out)
+            out -= shift[:, None]
+            out *= factor[:, None]
+
+        return fill
 
     def products(self, U: np.ndarray) -> np.ndarray:
         return U @ U.T
@@ -212,14 +225,19 @@ class Square:
         return pack(acc, counts, self.columns)
 
 
-def _by_leaf(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[tuple[int, slice]]]:
-    """The batch with the rows of a leaf side by side, in their order, and each leaf's place: its columns are then a view."""
+def _sorted_by_leaf(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with the rows of a leaf side by side, in their order."""
     leaf = batch.column("leaf").to_numpy(zero_copy_only=False)
     if (leaf[1:] < leaf[:-1]).any():
-        order = np.argsort(leaf, kind="stable")
-        batch, leaf = batch.take(pa.array(order)), leaf[order]
+        batch = batch.take(pa.array(np.argsort(leaf, kind="stable")))
+    return batch
+
+
+def _leaf_runs(batch: pa.RecordBatch) -> list[tuple[int, slice]]:
+    """Each leaf's place in a batch that is sorted by leaf: its columns are a view."""
+    leaf = batch.column("leaf").to_numpy(zero_copy_only=False)
     found, start = np.unique(leaf, return_index=True)
-    return batch, [(int(k), slice(int(lo), int(hi))) for k, lo, hi in zip(found, start, [*start[1:], len(leaf)])]
+    return [(int(k), slice(int(lo), int(hi))) for k, lo, hi in zip(found, start, [*start[1:], len(leaf)])]
 
 
 def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale: np.ndarray, form: Square | None = None):
@@ -232,17 +250,16 @@ def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale:
         counts: dict[int, int] = {}
         P = 1 + len(centre)
 
-        shift, factor = centre[:, None], (1.0 / scale)[:, None]
-        fill, step = form.filler(cands), form.rows_per_step()
+        p, factor = len(cands), 1.0 / scale
+        fill, step = form.filler(cands, centre[:p], factor[:p]), form.rows_per_step()
+        shift_y, factor_y = centre[p:, None], factor[p:, None]
 
         def standard(X, Y):
             """Columns as rows of U, shifted and scaled."""
             U = np.empty((P, X.shape[0]))
             U[0] = 1.0
-            fill(X, U[1 : 1 + len(cands)])
-            U[1 + len(cands) :] = Y.T
-            U[1:] -= shift
-            U[1:] *= factor
+            fill(X, U[1 : 1 + p])
+            U[1 + p :] = (Y.T - shift_y) * factor_y
             return U
 
         def add(key, U):
@@ -252,8 +269,10 @@ def _accumulate(layout: dict, cands: list[Candidate], centre: np.ndarray, scale:
                 acc[key] = form.products(U)
 
         for whole in batches:
+            whole = _sorted_by_leaf(whole)  # a step then meets few leaves
             for lo in range(0, whole.num_rows, step):
-                batch, runs = _by_leaf(whole.slice(lo, step))
+                batch = whole.slice(lo, step)
+                runs = _leaf_runs(batch)
                 U = standard(_matrix(batch, layout["x"], layout["d"]), _matrix(batch, layout["y"], 0))
                 V = None
                 if layout["lagged"]:
@@ -327,7 +346,7 @@ def partial_moments(
         from gramlaw.operators.serial import entered
 
         design = entered(design)
-    narrow = spread(_narrow(design))
+    narrow = _dealt(design)
     narrow = narrow.coalesce(max_tasks or max(8, WAVES * narrow.sparkSession.sparkContext.defaultParallelism))
     return narrow.mapInArrow(_accumulate(_layout(design), cands, centre, scale, form), PARTIAL_SCHEMA)
 
@@ -418,7 +437,7 @@ def profile_inputs(design: Design, sample_rows: int = 4096) -> RawProfile:
     base = replace(design, weight=None, lagged=False, serial=0)
     layout = _layout(base)
     raw = [Candidate(f"x{i}", "unary", {"f": "x", "i": i}) for i in range(d)]
-    narrow = spread(_narrow(base))
+    narrow = _dealt(base)
     mean, sd, flat = _location(narrow, layout, d)
     keep_each = max(1, sample_rows // SAMPLE_PIECES)
     body = _accumulate(layout, raw, mean, sd)

@@ -72,12 +72,13 @@ def rank_select(df: DataFrame, value: Column, ranks: list[int]) -> list[tuple[fl
     return [done[r] for r in ranks]
 
 
-def first_rows(df: DataFrame, order: list[Column], ks: list[int]) -> list[Column]:
+def first_rows(df: DataFrame, order: list[Column], ks: list[int], shown: list[Column] | None = None) -> list[Column]:
     """For each k a condition that is true for exactly the first ``k`` rows in the ascending order of ``order`` tuples.
 
     All cuts are found together; ties at a cut are settled by the next order column, so no global sort and no
-    single-partition limit is needed.
+    single-partition limit is needed. ``shown`` are the same values as columns of another frame, for conditions on its rows.
     """
+    shown = shown or order
     inner = sorted({k for k in ks if k > 0})
     found = dict(zip(inner, rank_select(df, order[0], inner))) if inner else {}
     out = []
@@ -86,13 +87,13 @@ def first_rows(df: DataFrame, order: list[Column], ks: list[int]) -> list[Column
             out.append(F.lit(False))
             continue
         value, less, equal = found[k]
-        head, tie = order[0] < F.lit(value), order[0] == F.lit(value)
+        head, tie = shown[0] < F.lit(value), shown[0] == F.lit(value)
         if less + equal == k:
             out.append(head | tie)
         elif len(order) == 1:
             raise ValueError("order columns do not identify rows")
         else:
-            out.append(head | (tie & first_rows(df.where(tie), order[1:], [k - less])[0]))
+            out.append(head | (tie & first_rows(df.where(order[0] == F.lit(value)), order[1:], [k - less], shown[1:])[0]))
     return out
 
 

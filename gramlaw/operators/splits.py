@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlaw.operators.ranks import first_rows
+from gramlaw.session import materialise
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -24,12 +25,13 @@ def fold_sizes(n: int, folds: int, larger_last: bool = True) -> list[int]:
 
 
 def exact_folds(df: DataFrame, key: str, folds: int, seed: int = 1337, larger_last: bool = True, name: str = "fold") -> DataFrame:
-    """Folds of exact size in hash order. The key must be unique."""
+    """Folds of exact size in hash order. The key must be unique. The hashes are written once to find the cuts."""
     order = [hash_order(F.col(key), seed), F.col(key)]
-    n = df.count()
+    hashes = materialise(df.select(order[0].alias("__h"), order[1].alias("__key")), "hashes")
+    n = hashes.count()
     cuts = list(accumulate(fold_sizes(n, folds, larger_last)[:-1]))
     value = F.lit(0)
-    for inside in first_rows(df, order, cuts):
+    for inside in first_rows(hashes, [F.col("__h"), F.col("__key")], cuts, order):
         value = value + (~inside).cast("int")
     return df.withColumn(name, value)
 

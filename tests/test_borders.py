@@ -119,3 +119,40 @@ def test_a_column_that_overflows_is_the_same_in_both(spark):
     over.gather([(big, g)])
     with np.errstate(all="ignore"):
         np.testing.assert_allclose(over.scorer(big, (0, 0)).energy(big), direct(design, prof, big, (0, 0), opt, False), rtol=1e-8)
+
+
+def test_a_pass_makes_one_product_a_parent_and_none_a_graph(rows, monkeypatch):
+    """The squares and pairs of new columns are summed together, and products of the same two columns in either order are one."""
+    from gramlaw.operators import borders
+
+    forms = []
+    inner = borders.partial_moments
+    monkeypatch.setattr(borders, "partial_moments", lambda *args, form: forms.append(form) or inner(*args, form=form))
+    opt = Options()
+    design = Design(rows, XS, ["y"], leaf="fold")
+    prof = profile_inputs(design)
+    over = Generations.of(design, prof, opt, False)
+    start = seed_graph(3)
+    over.gather([(start, None)])
+    a, b = start.outputs[0], start.outputs[6]
+    grown = [start.grown(["mul", {}, pair], "add_mul") for pair in ([a, b], [b, a])] + [start.grown(["mul", {}, [a, o]], "add_mul") for o in start.outputs[1:6]]
+    over.gather([(g, start) for g in grown])
+    assert len(forms[-1].pieces) <= 1 + 1  # what all parents share, and each parent's own part
+    assert forms[-1].columns == 1 + len(start.outputs) + 6 + 1
+    for g in grown:
+        np.testing.assert_allclose(over.scorer(g, (1, 0)).energy(g), direct(design, prof, g, (1, 0), opt, False), rtol=1e-8)
+
+
+def test_a_table_written_evenly_is_not_dealt_out_again(rows):
+    from gramlaw.operators.gram import partial_moments, working_scale
+    from gramlaw.session import materialise_evenly
+
+    written = materialise_evenly(rows, "even")
+    cands = columns_of([seed_graph(3)], Options())
+    shuffles = []
+    for even in (False, True):
+        design = Design(written, XS, ["y"], leaf="fold", even=even)
+        prof = profile_inputs(design)
+        plan = partial_moments(design, cands, *working_scale(cands, prof))._jdf.queryExecution().executedPlan().toString()
+        shuffles.append("Exchange" in plan)
+    assert shuffles == [True, False]
