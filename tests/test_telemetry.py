@@ -233,3 +233,30 @@ def test_content_marks(spark):
 def test_generated_code_of_wide_rows_is_short_enough_to_be_compiled(spark):
     prepare(spark)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
+
+
+def test_replay_rounds_runs_every_round_with_all_options(spark, monkeypatch):
+    """Two rounds of replay after the first fit, with bags, grammar rounds and the graph stage."""
+    import inspect
+
+    from gramlaw.plans.options import Options
+    from gramlaw.queries import QUERIES, searches
+
+    calls = []
+
+    class Done:
+        def history(self, spark):
+            return spark.range(1)
+
+    def record(*args, **kwargs):
+        bound = inspect.signature(distill_rounds).bind(*args, **kwargs)
+        bound.apply_defaults()
+        calls.append(bound.arguments)
+        return Done()
+
+    monkeypatch.setattr(searches, "distill_rounds", record)
+    sf = "/root/testdata/sf0.001"
+    QUERIES["replay_rounds"](spark, sf).collect()
+    (call,) = calls
+    assert call["opt"] == Options() and call["rounds"] == 2 and call["replay"] == "weights"
+    assert call["labelled"].count() == spark.read.parquet(f"{sf}/events.parquet").count()
