@@ -298,3 +298,46 @@ def test_user_atoms_operators_and_groups_reach_the_executors(spark):
     finally:
         forget("bump")
         forget("wave")
+
+
+def test_dataset_summary_searches_every_table_with_all_options(spark, monkeypatch):
+    """No table has fewer projections, pairs, atoms, bags or stages than the defaults."""
+    from types import SimpleNamespace
+
+    from gramlaw.queries import QUERIES, searches
+
+    seen = []
+
+    def record(df, features, target, key, opt=Options(), **extra):
+        seen.append((opt, df.count(), extra.get("dim", len(features))))
+        return {target: SimpleNamespace(metrics={"n": 1, "R2_OOF": 0.0, "MSE_OOF": 0.0}, op_log=[])}
+
+    monkeypatch.setattr(searches, "search", record)
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["dataset_summary"](spark, sf).count() == 4
+    assert [opt for opt, _, _ in seen] == [Options()] * 4
+    assert seen[3][1:] == (spark.read.parquet(f"{sf}/embeddings.parquet").count(), 64)
+
+
+def test_a_wide_bank_sends_the_sums_of_each_leaf_once(spark):
+    """Rows dealt by leaf: as many sums as a leaf has tasks, not one a task and leaf, and the moments of a plain pass."""
+    from gramlaw.operators.catalog import Candidate
+    from gramlaw.operators.gram import Design, dealt_moments, partial_moments, profile_inputs, unpack, working_scale
+
+    rng = np.random.default_rng(3)
+    data = [(int(k % 40), float(v), float(v * v + k % 3)) for k, v in enumerate(rng.normal(size=4000))]
+    df = spark.createDataFrame(data, "leaf int, x double, y double").repartition(8)
+    design = Design(df, ["x"], ["y"], leaf="leaf")
+    cands = [Candidate(f, "unary", {"f": f, "i": 0}) for f in ("x", "sin", "tanh")]
+    centre, scale = working_scale(cands, profile_inputs(design))
+    dealt = dealt_moments(design, cands, centre, scale, 40).collect()
+    each = -(-2 * spark.sparkContext.defaultParallelism // 40)
+    assert len(dealt) <= 40 * each < partial_moments(design, cands, centre, scale).count()
+    total = []
+    for one in (dealt, partial_moments(design, cands, centre, scale).collect()):
+        sums = {}
+        for r in one:
+            (M, n), = unpack([r], 5).values()
+            sums[r["leaf"]] = sums.get(r["leaf"], 0) + np.append(M, n)
+        total.append(np.array([sums[k] for k in range(40)]))
+    np.testing.assert_allclose(*total, rtol=1e-9, atol=1e-9)
